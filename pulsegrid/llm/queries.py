@@ -42,11 +42,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.partenum_join import near_duplicate_components
+
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op7_secret_scan": op7_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 SQL: dict[str, str] = {}
