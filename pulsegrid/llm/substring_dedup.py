@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.word_hashes import hash_words, mix, pieces, sequences
 
 #: Bytes of text whose suffixes a task merges before it sends them, and bytes of text for each bucket.
-TASK_BYTES = 24 << 20
+TASK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 
 SENT = "bucket long, anchors binary, docs binary, places binary, counts binary, steps binary, low binary, high binary, own binary, own_places binary"
