@@ -26,6 +26,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.quality_classifier import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.packing import pack_documents
 
@@ -44,6 +50,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op8_lattice_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.lattice_near_duplicates import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.substring_dedup import removal_digest, remove_repeats
 
@@ -58,9 +70,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op7_secret_scan": op7_secret_scan,
+    "op8_lattice_near_duplicates": op8_lattice_near_duplicates,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
