@@ -70,7 +70,7 @@ def cells(vectors: np.ndarray, tables: int, width: float, probes: int, seed: int
     return np.stack(own, axis=1), np.stack(probed, axis=1)
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 8, width: float = 1.6, probes: int = 12, seed: int = 11) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 4, width: float = 1.2, probes: int = 12, seed: int = 11) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id and kept (it is the component's smallest id).
 
     Only vectors of equal, non-null label and equal length are compared. Null or zero vectors and those
