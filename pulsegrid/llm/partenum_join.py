@@ -213,7 +213,10 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def compare_families(percent: int):
-    """Links from rows (family, part, rank, class, features) in this order; rank 0 is the family's hub."""
+    """Links (a, b) from rows with family, part, class and features, sorted by family and part, a family's hub first.
+
+    Each row is compared with the hub and the leaders before it; one that is similar to none becomes a leader.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, leaders = None, []

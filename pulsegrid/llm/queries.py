@@ -44,6 +44,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.line_dedup import line_digest, with_removed
+
+    return line_digest(with_removed(table(spark, sf_dir, "documents")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.secret_scan import secret_digest, secret_spans
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_lattice_near_duplicates": op8_lattice_near_duplicates,
     "op9_substring_dedup": op9_substring_dedup,
