@@ -35,8 +35,8 @@ from pulsegrid.llm.scratch import stored
 from pulsegrid.llm.word_hashes import WEIGHTS, hash_words, mix, pieces, sequences
 
 #: Signatures that a task gathers before it sends them, and bytes of text for each bucket of signatures.
-TASK_SIGNATURES = 2_000_000
-BUCKET_BYTES = 24 << 20
+TASK_SIGNATURES = 500_000
+BUCKET_BYTES = 12 << 20
 #: Members of a family that one task compares, and leaders that it holds.
 FAMILY = 4000
 LEADERS = 64
