@@ -44,6 +44,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.piece_nbest import n_best_segmentations, segmentation_digest
+
+    return segmentation_digest(n_best_segmentations(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.line_dedup import line_digest, with_removed
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
+    "op5_piece_nbest": op5_piece_nbest,
     "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_lattice_near_duplicates": op8_lattice_near_duplicates,
