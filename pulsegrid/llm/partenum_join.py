@@ -13,8 +13,9 @@ a choice with features with each similar set.
 
 Equal sets are one class from the start and a task sends the signatures of a class once, so groups of
 copies don't multiply. Classes that share signatures are first compared with the class of smallest
-hash that they meet and with the leaders found beside it; the classes that this joins need no more
-comparing, and only pairs from different components that share a signature are compared one by one.
+hash that they meet and with the leaders found beside it. Groups of a signature that lie in one
+component then need no more comparing. The classes of the other groups are compared through an
+inverted index in memory, large groups by pairs of blocks, so pairs are counted there and never rows.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BUCKET_BYTES = 12 << 20
 #: Members of a family that one task compares, and leaders that it holds.
 FAMILY = 4000
 LEADERS = 64
+#: Classes of a signature's group in a block.
+BLOCK = 1500
 
 
 @dataclass(frozen=True)
@@ -239,16 +242,79 @@ def compare_families(percent: int):
     return compare
 
 
-def compare_pairs(percent: int):
+def shared_counts(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set the number of elements that it shares with each set of the list, from an inverted index."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(element, kind="stable")
+    holders = owner[order]
+    begins = np.searchsorted(element[order], np.arange(element.max() + 2))
+    at = 0
+    for x in sets:
+        own = element[at : at + len(x)]
+        at += len(x)
+        count = begins[own + 1] - begins[own]
+        found = holders[np.repeat(begins[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        yield np.bincount(found, minlength=len(sets))
+
+
+def is_similar(shared: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * shared >= percent * (size + sizes - shared)
+
+
+def join_components(members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links that join the members' components (class, component, features), as few as do so."""
+    parent = {c: c for _, c, _ in members}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    sets, links = [x for _, _, x in members], []
+    sizes = np.array([len(x) for x in sets])
+    for i, shared in enumerate(shared_counts(sets)):
+        for j in np.flatnonzero(is_similar(shared[:i], len(sets[i]), sizes[:i], percent)).tolist():
+            a, b = root(members[i][1]), root(members[j][1])
+            if a != b:
+                parent[a] = b
+                links.append((members[i][0], members[j][0]))
+    return links
+
+
+def compare_groups(percent: int):
+    """Links from rows (group, part, class, component, features) sorted by group and part; a part is held in memory."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "of_a", "of_b")))
-            found = [(a, b) for a, b, x, y in rows if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], ["a", "b"])
+            links: list[tuple[int, int]] = []
+            for group, part, own, component, features in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "class", "component", "features"))):
+                if key != (group, part):
+                    links += join_components(members, percent) if len(members) > 1 else []
+                    key, members = (group, part), []
+                members.append((own, component, np.frombuffer(features, np.uint64)))
+            yield links_of(links)
+        yield links_of(join_components(members, percent) if len(members) > 1 else [])
 
     return compare
 
 
+def links_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+
+def dealt_in_parts(members: DataFrame, block: int) -> DataFrame:
+    """Rows of ``members`` (group, class, ...) with ``part``: groups of more than ``block`` classes are cut into
+
+    blocks, and each pair of blocks makes a part, so that every two members of a group meet in one.
+    """
+    counts = members.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = members.join(counts, "group").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    number = lambda j: F.least(F.col("own"), j) * F.col("blocks") + F.greatest(F.col("own"), j)
+    return rows.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), number))).drop("blocks", "own")
+
+
 def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included).
 
@@ -289,7 +355,7 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
             yield pa.RecordBatch.from_arrays([batch.column("class").take(meant), batch.column("places").take(meant), features], ["class", "places", "features"])
 
     # a repeated id may stand for several texts: the class tells which
-    sets = named.join(places, "doc").select("class", "places", "text")
+    sets = named.join(places.hint("merge"), "doc").select("class", "places", "text")
     sets = sets.mapInArrow(features_of, "class long, places array<struct<family:long,part:int,rank:int>>, features binary")
     sets = stored(sets, "sets")
     dealt = sets.select("class", "features", F.explode("places").alias("p")).select("p.family", "p.part", "p.rank", "class", "features")
@@ -299,17 +365,13 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
     # classes that share a signature and are not joined yet
     joined = connected_components(links)
     met_in = members.select("group", "class").distinct().join(joined.withColumnRenamed("node", "class"), "class", "left")
-    met_in = met_in.select("group", "class", F.coalesce("component", "class").alias("component")).join(chosen.select("class", "size"), "class")
-    met_in = stored(met_in, "met-in")
+    met_in = stored(met_in.select("group", "class", F.coalesce("component", "class").alias("component")), "met-in")
     mixed = met_in.groupBy("group").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("group")
     open_ = stored(met_in.join(mixed, "group", "left_semi"), "open")
-    x, y = (open_.select("group", F.col("class").alias(n), F.col("component").alias(f"c{n}"), F.col("size").alias(f"s{n}")) for n in "ab")
-    near = (100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-    pairs = x.join(y, "group").where(near).select("a", "b").distinct()
     features = sets.select("class", "features").dropDuplicates(["class"])
-    pairs = pairs.join(features.select(F.col("class").alias("a"), F.col("features").alias("of_a")), "a")
-    pairs = pairs.join(features.select(F.col("class").alias("b"), F.col("features").alias("of_b")), "b")
-    more = stored(pairs.mapInArrow(compare_pairs(percent), "a long, b long"), "more-links")
+    parts = dealt_in_parts(open_, BLOCK).join(features, "class").select("group", "part", "class", "component", "features")
+    more = parts.repartition("group", "part").sortWithinPartitions("group", "part", "class").mapInArrow(compare_groups(percent), "a long, b long")
+    more = stored(more, "more-links")
     joined = joined if more.isEmpty() else connected_components(links.union(more))
 
     # back to documents
