@@ -129,8 +129,8 @@ def split(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]
             yield int(keys[part[0]]), part
 
 
-def repeats_of_bucket(table: pa.Table) -> pa.Table:
-    """Of one bucket's subtrees: a row per document with the starts of its windows that a smaller document has."""
+def repeats_of_bucket(table: pa.Table, buckets: int) -> pa.Table:
+    """Of one bucket's subtrees: documents and starts of their windows that a smaller document has, by buckets of documents."""
     joined = lambda name, dtype: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
     anchors, docs, places, counts = joined("anchors", np.uint64), joined("docs", np.int64), joined("places", np.int32), joined("counts", np.uint8).astype(np.int64)
     at = np.cumsum(counts) - counts
@@ -155,7 +155,14 @@ def repeats_of_bucket(table: pa.Table) -> pa.Table:
     repeat = doc > least
     doc = np.concatenate([doc[repeat], joined("own", np.int64)])
     place = np.concatenate([place[repeat], joined("own_places", np.int32)]).astype(np.int32)
-    order = np.argsort(doc, kind="stable")
+    parts = [(bucket, doc[rows].tobytes(), place[rows].tobytes()) for bucket, rows in split(pmod(doc, buckets), np.arange(len(doc)))]
+    return pa.table({"bucket": pa.array([x[0] for x in parts], pa.int64()), "docs": pa.array([x[1] for x in parts], pa.binary()), "places": pa.array([x[2] for x in parts], pa.binary())})
+
+
+def places_of_documents(table: pa.Table) -> pa.Table:
+    """Of a bucket of documents: a row for each, with its places sorted."""
+    doc, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("docs", np.int64), ("places", np.int32)))
+    order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
     heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
     ends = np.append(heads[1:], len(doc))
@@ -165,19 +172,20 @@ def repeats_of_bucket(table: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, window: int = 13, anchor_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``places`` (binary, 32-bit starts of windows, in words) of what a smaller document has too.
 
-    A document may have several rows. Documents with a null id are neither searched nor sources.
+    A row for each such document. Documents with a null id are neither searched nor sources.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     sent = rows.mapInArrow(send_suffixes(window, anchor_words, buckets), SENT)
-    return sent.groupBy("bucket").applyInArrow(repeats_of_bucket, "doc_id long, places binary")
+    found = sent.groupBy("bucket").applyInArrow(lambda t: repeats_of_bucket(t, buckets), "bucket long, docs binary, places binary")
+    return found.groupBy("bucket").applyInArrow(places_of_documents, "doc_id long, places binary")
 
 
-def covered(places: list[bytes], n_words: int, window: int) -> np.ndarray:
+def covered(places: bytes, n_words: int, window: int) -> np.ndarray:
     """Which of a text's words stand in one of the windows; places beyond the text are ignored."""
-    starts = np.unique(np.frombuffer(b"".join(places), np.int32))
+    starts = np.unique(np.frombuffer(places, np.int32))
     starts = starts[starts + window <= n_words]
     change = np.zeros(n_words + 1, np.int64)
     change[starts] += 1
@@ -188,8 +196,7 @@ def covered(places: list[bytes], n_words: int, window: int) -> np.ndarray:
 def with_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text) with ``places``: all starts of its repeated windows, null if there are none."""
     rows = docs.select(F.col(options.get("id_col", "doc_id")).cast("long").alias("doc_id"), F.col(options.get("text_col", "text")).cast("string").alias("text"))
-    found = repeated_windows(docs, **options).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    return rows.join(found, "doc_id", "left")
+    return rows.join(repeated_windows(docs, **options).hint("merge"), "doc_id", "left")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, **options) -> DataFrame:
@@ -226,7 +233,7 @@ def maximal_repeats(docs: DataFrame, window: int = 13, **options) -> DataFrame:
         for batch in batches:
             ids, starts, stops = [], [], []
             for i, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = np.unique(np.frombuffer(b"".join(places), np.int32))
+                at = np.unique(np.frombuffer(places, np.int32))
                 cuts = np.flatnonzero(np.diff(at) > 1) + 1
                 for run in np.split(at, cuts):
                     ids.append(i)
@@ -234,8 +241,7 @@ def maximal_repeats(docs: DataFrame, window: int = 13, **options) -> DataFrame:
                     stops.append(int(run[-1]) + window)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], ["doc_id", "start", "stop"])
 
-    found = repeated_windows(docs, window=window, **options).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    return found.mapInArrow(spans, "doc_id long, start long, stop long")
+    return repeated_windows(docs, window=window, **options).mapInArrow(spans, "doc_id long, start long, stop long")
 
 
 def removal_digest(kept: DataFrame) -> DataFrame:
