@@ -13,7 +13,8 @@ that length. Lines that share one are candidates if their sizes allow it (length
 
 Equal sets are one class. Classes that meet are compared with the earliest line of one of their
 groups and with leaders found beside it; a class found similar to an earlier one is decided. The rest
-are compared with every earlier class that they share a signature with and whose size fits.
+are compared with every earlier class of their groups through an inverted index in memory, large
+groups by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.partenum_join import compare_families, compare_pairs, set_class
+from pulsegrid.llm.partenum_join import BLOCK, compare_families, dealt_in_parts, is_similar, set_class, shared_counts
 from pulsegrid.llm.scratch import stored
 from pulsegrid.llm.substring_dedup import split
 from pulsegrid.llm.word_hashes import WEIGHTS, hash_words, mix, pieces
@@ -205,6 +206,31 @@ def meet_pairs(percent: int):
     return meet
 
 
+def compare_with_earlier(percent: int):
+    """Classes that are not done and similar to an earlier one, from rows sorted by group, part and place."""
+
+    def found(members: list[tuple[int, bool, np.ndarray]]) -> list[int]:
+        if len(members) < 2 or all(done for _, done, _ in members):
+            return []
+        sizes = np.array([len(x) for _, _, x in members])
+        counts = shared_counts([x for _, _, x in members])
+        return [c for i, ((c, done, x), shared) in enumerate(zip(members, counts)) if not done and is_similar(shared[:i], len(x), sizes[:i], percent).any()]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
+        for batch in batches:
+            out: list[int] = []
+            for group, part, own, done, features in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "class", "done", "features"))):
+                if key != (group, part):
+                    out += found(members)
+                    key, members = (group, part), []
+                members.append((own, done, np.frombuffer(features, np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["class"])
+        yield pa.RecordBatch.from_arrays([pa.array(found(members), pa.int64())], ["class"])
+
+    return compare
+
+
 def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     """From rows (doc: long, text): doc and ``lines``, the numbers of its lines that repeat earlier ones."""
     spark = rows.sparkSession
@@ -250,22 +276,19 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
                 columns[1] = [docs[i].as_py() for i in columns[1]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["class", "doc", "line", "places", "features"])
 
-    sets = rows.select("doc", "text").join(wanted, "doc").mapInArrow(features_of, "class long, doc long, line long, places array<struct<family:long,part:int>>, features binary")
+    sets = rows.select("doc", "text").join(wanted.hint("merge"), "doc").mapInArrow(features_of, "class long, doc long, line long, places array<struct<family:long,part:int>>, features binary")
     sets = stored(sets, "sets")
     dealt = sets.select("class", "doc", "line", "features", F.explode("places").alias("p")).select("p.family", "p.part", "doc", "line", "class", "features")
     dealt = dealt.repartition("family", "part").sortWithinPartitions("family", "part", "doc", "line", "class")
     decided = stored(dealt.mapInArrow(compare_families(percent), "a long, b long").select(F.col("b").alias("class")).distinct(), "decided")
 
     # classes not decided yet against every earlier class of their groups
-    later = members.join(heads, "group").where(F.col("at") > F.col("head.at")).join(decided, "class", "left_anti")
-    later = later.select("group", F.col("class").alias("b"), F.col("at").alias("at_b"), F.col("size").alias("size_b"))
-    earlier = members.select("group", F.col("class").alias("a"), F.col("at").alias("at_a"), F.col("size").alias("size_a"))
-    fits = (F.col("at_a") < F.col("at_b")) & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    pairs = later.join(earlier, "group").where(fits).select("a", "b").distinct()
+    marked = members.join(decided.withColumn("done", F.lit(True)), "class", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    late = marked.join(heads, "group").where(~F.col("done") & (F.col("at") > F.col("head.at"))).select("group").distinct()
+    open_ = stored(marked.join(late, "group", "left_semi").select("group", "class", "at", "done"), "open")
     features = sets.select("class", "features").dropDuplicates(["class"])
-    pairs = pairs.join(features.select(F.col("class").alias("a"), F.col("features").alias("of_a")), "a")
-    pairs = pairs.join(features.select(F.col("class").alias("b"), F.col("features").alias("of_b")), "b")
-    more = pairs.mapInArrow(compare_pairs(percent), "a long, b long").select(F.col("b").alias("class"))
+    parts = dealt_in_parts(open_, BLOCK).join(features, "class").select("group", "part", "at", "class", "done", "features")
+    more = parts.repartition("group", "part").sortWithinPartitions("group", "part", "at").mapInArrow(compare_with_earlier(percent), "class long")
     gone = stored(decided.union(more).distinct().withColumn("gone", F.lit(True)), "gone")
 
     verdicts = firsts.join(gone, "class", "left").where("n > 1 or gone").select("class", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
@@ -294,7 +317,7 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc
 def with_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     found = repeated_lines(docs.select(doc.alias("doc"), F.col(text_col).cast("string").alias("text")), percent)
-    rows = docs.withColumn("__doc", doc).join(found.select(F.col("doc").alias("__doc"), F.col("lines").alias("__removed")), "__doc", "left")
+    rows = docs.withColumn("__doc", doc).join(found.select(F.col("doc").alias("__doc"), F.col("lines").alias("__removed")).hint("merge"), "__doc", "left")
     return rows.withColumn(text_col, without_lines(F.col(text_col), F.col("__removed"))).select("__doc", *docs.columns, "__removed")
 
 
