@@ -5,11 +5,12 @@ in a table of fixed size, words of one cell counting together), then by hash; an
 the same everywhere gives exact results, rarity makes them cheap.
 
 Prefix and position: let two lines of sizes a and b have a Jaccard similarity of at least p percent.
-They differ in k <= (a + b) (100 - p) / (100 + p) words. Each such word breaks at most one of the gaps
-between words that both have, in rarity order. So among the first k + 2 shared words two neighbours
-have nothing between them in either line, and they stand within the first k + 2 + (words not shared)
-places of each. A line's signatures are therefore the pairs of neighbouring words in a prefix of
-that length. Lines that share one are candidates if their sizes allow it (length filter).
+They differ in k <= (a + b) (100 - p) / (100 + p) words. Of the runs of three words that both have and
+that follow each other among the shared words, in rarity order, each differing word parts two at
+most. So among the first 2 k + 3 shared words some three have nothing between them in either line, and
+they stand within the first 2 k + 3 + (words not shared) places of each. A line's signatures are
+therefore the runs of three words in a prefix of that length. Lines that share one are candidates; the
+length filter and the count of shared words decide.
 
 Equal sets are one class. Classes that meet are compared with the earliest line of one of their
 groups and with leaders found beside it; a class found similar to an earlier one is decided. The rest
@@ -101,11 +102,11 @@ def lines_with_sizes(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Places of a line in which a shared pair of neighbours must stand: k + 2 + words not shared, at most."""
+    """Places of a line in which a shared run of three must stand: 2 k + 3 + words not shared, at most."""
     largest = sizes * 100 // percent
     k = (sizes + largest) * (100 - percent) // (100 + percent)
     alone = sizes - (percent * sizes + 99) // 100
-    return np.minimum(sizes, k + 2 + alone)
+    return np.minimum(sizes, 2 * k + 3 + alone)
 
 
 def classes_of(rank: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -115,22 +116,23 @@ def classes_of(rank: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.nda
     return mix(np.add.reduceat(mix(rank), heads) + sizes.astype(np.uint64) * WEIGHTS[2]).view(np.int64)
 
 
-SENT = "bucket long, pairs binary, classes binary, sizes binary, docs binary, doc_lines binary, doc_classes binary"
+SENT = "bucket long, low binary, high binary, classes binary, docs binary, doc_lines binary, doc_classes binary"
 
 
-def send_pairs(levels, percent: int, buckets: int):
+def send_runs(levels, percent: int, buckets: int):
     names = [x.split()[0] for x in SENT.split(", ")]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, size = set(), 0
-        held: dict[str, list[np.ndarray]] = {n: [] for n in ("pairs", "classes", "sizes", "docs", "doc_lines", "doc_classes")}
+        held: dict[str, list[np.ndarray]] = {n: [] for n in ("runs", "classes", "docs", "doc_lines", "doc_classes")}
 
         def out() -> Iterator[pa.RecordBatch]:
             joined = {n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in held.items()}
             rows = []
-            pairs = joined["pairs"].astype(np.uint64)
-            for bucket, own in split((mix(pairs) % np.uint64(buckets)).astype(np.int64), np.arange(len(pairs))):
-                rows.append({"bucket": bucket, "pairs": pairs[own].tobytes(), "classes": joined["classes"][own].tobytes(), "sizes": joined["sizes"][own].astype(np.int32).tobytes()})
+            runs = joined["runs"].astype(np.uint64)
+            for bucket, own in split((runs % np.uint64(buckets)).astype(np.int64), np.arange(len(runs))):
+                code = runs[own] >> np.uint64(24)  # 40 bits, beside the bucket
+                rows.append({"bucket": bucket, "low": code.astype(np.uint32).tobytes(), "high": (code >> np.uint64(32)).astype(np.uint8).tobytes(), "classes": joined["classes"][own].tobytes()})
             for bucket, own in split((mix(joined["docs"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), np.arange(len(joined["docs"]))):
                 rows.append({"bucket": bucket, "docs": joined["docs"][own].tobytes(), "doc_lines": joined["doc_lines"][own].astype(np.int32).tobytes(), "doc_classes": joined["doc_classes"][own].tobytes()})
             for row in rows:
@@ -154,11 +156,10 @@ def send_pairs(levels, percent: int, buckets: int):
                         fresh[i] = False
                     else:
                         seen.add(own)
-                count = np.where(fresh, prefix_lengths(sizes, percent) - 1, 0)
+                count = np.where(fresh, np.maximum(prefix_lengths(sizes, percent) - 2, 0), 0)
                 at = np.repeat(heads - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                held["pairs"].append((mix(rank[at] * WEIGHTS[3] + rank[at + 1] * WEIGHTS[4])).view(np.int64))
+                held["runs"].append(mix(rank[at] * WEIGHTS[3] + rank[at + 1] * WEIGHTS[4] + rank[at + 2] * WEIGHTS[5]).view(np.int64))
                 held["classes"].append(np.repeat(classes, count))
-                held["sizes"].append(np.repeat(sizes, count))
                 size += int(first[-1]) + 6 * len(rank)
                 if size >= TASK_BYTES:
                     yield from out()
@@ -170,38 +171,39 @@ def send_pairs(levels, percent: int, buckets: int):
     return send
 
 
-def meet_pairs(percent: int):
-    """Of one bucket: a row for each line, and for each class that shares a pair its groups."""
+def meet_runs():
+    """Of one bucket: a row for each line, and for each class that shares a run its groups."""
 
     def meet(table: pa.Table) -> pa.Table:
         joined = lambda name, dtype: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
-        pairs, classes, sizes = joined("pairs", np.uint64), joined("classes", np.int64), joined("sizes", np.int32)
-        order = np.lexsort((classes, pairs))
-        pairs, classes, sizes = pairs[order], classes[order], sizes[order]
+        runs = joined("low", np.uint32).astype(np.uint64) | joined("high", np.uint8).astype(np.uint64) << np.uint64(32)
+        classes = joined("classes", np.int64)
+        order = np.argsort(runs, kind="stable")
+        same = runs[order[1:]] == runs[order[:-1]]
+        shared = np.zeros(len(order), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        order = order[shared]
+        runs, classes = runs[order], classes[order]
+        order = np.lexsort((classes, runs))
+        runs, classes = runs[order], classes[order]
         group = np.zeros(0, np.int64)
-        if len(pairs):
-            once = np.append(True, (pairs[1:] != pairs[:-1]) | (classes[1:] != classes[:-1]))
-            pairs, classes, sizes = pairs[once], classes[once], sizes[once]
-            # by size within a pair; a class whose size fits none beside it meets nobody
-            order = np.lexsort((sizes, pairs))
-            pairs, classes, sizes = pairs[order], classes[order], sizes[order]
-            fits = (pairs[1:] == pairs[:-1]) & (100 * sizes[:-1].astype(np.int64) >= percent * sizes[1:].astype(np.int64))
-            apart = np.append(True, ~fits)
-            heads = np.flatnonzero(apart)
-            counts = np.diff(np.append(heads, len(pairs)))
+        if len(runs):
+            once = np.append(True, (runs[1:] != runs[:-1]) | (classes[1:] != classes[:-1]))
+            runs, classes = runs[once], classes[once]
+            heads = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+            counts = np.diff(np.append(heads, len(runs)))
             name = np.add.reduceat(mix(classes.view(np.uint64)), heads)
             name = mix(name + counts.astype(np.uint64))
             _, first = np.unique(name, return_index=True)
             first = first[counts[first] > 1]
             n = counts[first]
             member = np.repeat(heads[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            group, classes, sizes = np.repeat(name[first], n).view(np.int64), classes[member], sizes[member]
-        else:
-            classes, sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+            group, classes = np.repeat(name[first], n).view(np.int64), classes[member]
         docs, lines, own = joined("docs", np.int64), joined("doc_lines", np.int32), joined("doc_classes", np.int64)
         pad = lambda values, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(values.astype(np.int64)), pa.nulls(after, pa.int64())])
         a, b = len(docs), len(classes)
-        return pa.table({"doc": pad(docs, 0, b), "line": pad(lines, 0, b), "class": pa.array(np.concatenate([own, classes])), "group": pad(group, a, 0), "size": pad(sizes, a, 0)})
+        return pa.table({"doc": pad(docs, 0, b), "line": pad(lines, 0, b), "class": pa.array(np.concatenate([own, classes])), "group": pad(group, a, 0)})
 
     return meet
 
@@ -237,11 +239,11 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     levels = spark.sparkContext.broadcast(count_words(rows.select("text")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    met = rows.select("doc", "text").mapInArrow(send_pairs(levels, percent, buckets), SENT).groupBy("bucket").applyInArrow(meet_pairs(percent), "doc long, line long, class long, group long, size long")
+    met = rows.select("doc", "text").mapInArrow(send_runs(levels, percent, buckets), SENT).groupBy("bucket").applyInArrow(meet_runs(), "doc long, line long, class long, group long")
     met = stored(met, "met")
     lines = met.where("group is null").select("doc", "line", "class")
     firsts = stored(lines.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n")), "firsts")
-    members = met.where("group is not null").select("group", "class", "size").distinct()
+    members = met.where("group is not null").select("group", "class").distinct()
     members = stored(members.join(firsts.select("class", "at"), "class"), "members")
 
     # each class goes to the family of the earliest of the groups' earliest lines
