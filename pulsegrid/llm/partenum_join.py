@@ -14,8 +14,9 @@ a choice with features with each similar set.
 Equal sets are one class from the start and a task sends the signatures of a class once, so groups of
 copies don't multiply. Classes that share signatures are first compared with the class of smallest
 hash that they meet and with the leaders found beside it. Groups of a signature that lie in one
-component then need no more comparing. The classes of the other groups are compared through an
-inverted index in memory, large groups by pairs of blocks, so pairs are counted there and never rows.
+component then need no more comparing. The classes of the other groups are compared by bit patterns a
+sixteenth as large as the sets, large groups by pairs of blocks, within the task; only pairs that the
+patterns can't rule out become rows, and their sets decide.
 """
 
 from __future__ import annotations
@@ -262,40 +263,72 @@ def is_similar(shared: np.ndarray, size: int, sizes: np.ndarray, percent: int) -
     return 100 * shared >= percent * (size + sizes - shared)
 
 
-def join_components(members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links that join the members' components (class, component, features), as few as do so."""
-    parent = {c: c for _, c, _ in members}
+def parity_bits(features: np.ndarray) -> bytes:
+    """Four to eight bits for each element (a power of two, 256 at least): whether an odd number of elements fall on it.
 
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = c = parent[parent[c]]
-        return c
-
-    sets, links = [x for _, _, x in members], []
-    sizes = np.array([len(x) for x in sets])
-    for i, shared in enumerate(shared_counts(sets)):
-        for j in np.flatnonzero(is_similar(shared[:i], len(sets[i]), sizes[:i], percent)).tolist():
-            a, b = root(members[i][1]), root(members[j][1])
-            if a != b:
-                parent[a] = b
-                links.append((members[i][0], members[j][0]))
-    return links
+    Of two sets at least as many elements differ as bits do, so bits that differ too much rule a pair
+    out. A wider pattern folds to a narrower one.
+    """
+    width = 1 << max(8, (4 * len(features) - 1).bit_length())
+    odd = np.bincount((mix(features ^ WEIGHTS[6]) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def folded(patterns: np.ndarray, words: int) -> np.ndarray:
+    while patterns.shape[-1] > words:
+        half = patterns.shape[-1] // 2
+        patterns = patterns[..., :half] ^ patterns[..., half:]
+    return patterns
+
+
+def possible_pairs(members: list[tuple[int, int, int, bytes]], percent: int) -> list[tuple[int, int]]:
+    """Pairs from different components that neither sizes nor bits rule out; members are (class, component, size, bits)."""
+    classes, components, sizes = (np.array([m[k] for m in members]) for k in range(3))
+    words = np.array([len(m[3]) // 8 for m in members])
+    stacks = {w: (np.flatnonzero(words == w), np.stack([np.frombuffer(m[3], np.uint64) for m in members if len(m[3]) // 8 == w])) for w in np.unique(words).tolist()}
+    found = []
+    for w, (rows, patterns) in stacks.items():
+        for v, (others, theirs) in stacks.items():
+            if v > w:
+                continue
+            own = folded(patterns, v)
+            for i, pattern in zip(rows.tolist(), own):
+                near = (components[others] != components[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))
+                if v == w:
+                    near &= others > i
+                if near.any():
+                    chosen = others[near]
+                    apart = np.bitwise_count(theirs[near] ^ pattern).sum(axis=1, dtype=np.int64)
+                    few = apart * (100 + percent) <= (sizes[chosen] + sizes[i]) * (100 - percent)
+                    found += [(int(classes[i]), int(classes[j])) for j in chosen[few]]
+    return found
 
 
 def compare_groups(percent: int):
-    """Links from rows (group, part, class, component, features) sorted by group and part; a part is held in memory."""
+    """Pairs that may be similar, from rows (group, part, class, component, size, bits) sorted by group and part; a part is held in memory."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for group, part, own, component, features in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "class", "component", "features"))):
+            for group, part, *own in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "class", "component", "size", "bits"))):
                 if key != (group, part):
-                    links += join_components(members, percent) if len(members) > 1 else []
+                    links += possible_pairs(members, percent) if len(members) > 1 else []
                     key, members = (group, part), []
-                members.append((own, component, np.frombuffer(features, np.uint64)))
+                members.append(tuple(own))
             yield links_of(links)
-        yield links_of(join_components(members, percent) if len(members) > 1 else [])
+        yield links_of(possible_pairs(members, percent) if len(members) > 1 else [])
+
+    return compare
+
+
+def compare_pairs(percent: int):
+    """The pairs (a, b, of_a, of_b) that are similar."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "of_a", "of_b")))
+            yield links_of([(a, b) for a, b, x, y in rows if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)])
 
     return compare
 
@@ -352,11 +385,12 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
             found = list(shingle_sets(batch.column("text"), words))
             meant = pa.array([i for i, (x, own) in enumerate(zip(found, batch.column("class").to_pylist())) if set_class(x) == own], pa.int64())
             features = pa.array([found[i].tobytes() for i in meant.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("class").take(meant), batch.column("places").take(meant), features], ["class", "places", "features"])
+            bits = pa.array([parity_bits(found[i]) for i in meant.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("class").take(meant), batch.column("places").take(meant), features, bits], ["class", "places", "features", "bits"])
 
     # a repeated id may stand for several texts: the class tells which
     sets = named.join(places.hint("merge"), "doc").select("class", "places", "text")
-    sets = sets.mapInArrow(features_of, "class long, places array<struct<family:long,part:int,rank:int>>, features binary")
+    sets = sets.mapInArrow(features_of, "class long, places array<struct<family:long,part:int,rank:int>>, features binary, bits binary")
     sets = stored(sets, "sets")
     dealt = sets.select("class", "features", F.explode("places").alias("p")).select("p.family", "p.part", "p.rank", "class", "features")
     dealt = dealt.repartition("family", "part").sortWithinPartitions("family", "part", "rank", "class")
@@ -368,10 +402,15 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
     met_in = stored(met_in.select("group", "class", F.coalesce("component", "class").alias("component")), "met-in")
     mixed = met_in.groupBy("group").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("group")
     open_ = stored(met_in.join(mixed, "group", "left_semi"), "open")
+    bits = sets.select("class", (F.octet_length("features") / 8).cast("long").alias("size"), "bits").dropDuplicates(["class"])
+    parts = dealt_in_parts(open_, BLOCK).join(bits, "class").select("group", "part", "class", "component", "size", "bits")
+    parts = parts.repartition("group", "part").sortWithinPartitions("group", "part", "class")
+    pairs = parts.mapInArrow(compare_groups(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(pairs.distinct(), "pairs")
     features = sets.select("class", "features").dropDuplicates(["class"])
-    parts = dealt_in_parts(open_, BLOCK).join(features, "class").select("group", "part", "class", "component", "features")
-    more = parts.repartition("group", "part").sortWithinPartitions("group", "part", "class").mapInArrow(compare_groups(percent), "a long, b long")
-    more = stored(more, "more-links")
+    pairs = pairs.join(features.select(F.col("class").alias("a"), F.col("features").alias("of_a")), "a")
+    pairs = pairs.join(features.select(F.col("class").alias("b"), F.col("features").alias("of_b")), "b")
+    more = stored(pairs.mapInArrow(compare_pairs(percent), "a long, b long"), "more-links")
     joined = joined if more.isEmpty() else connected_components(links.union(more))
 
     # back to documents
