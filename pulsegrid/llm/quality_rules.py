@@ -214,8 +214,9 @@ def keep_good_documents(docs: DataFrame, labels: DataFrame, settings: RuleSettin
     rows = base_statistics(docs.select("doc_id", stratum(F.col("lang"), settings).alias("stratum"), "text")).drop("text")
     labelled = rows.join(good_documents(labels), "doc_id").where(~base_failed(F.col("stat")))
     cutoffs = stored(choose_cutoffs(labelled, settings), "cutoffs")
-    judged = with_verdict(base_statistics(docs).withColumn("stratum", stratum(F.col("lang"), settings)), cutoffs, settings)
-    return judged.where("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), stratum(F.col("lang"), settings).alias("stratum"), "text")
+    judged = with_verdict(base_statistics(whole), cutoffs, settings)
+    return judged.where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def sql(settings: RuleSettings = RuleSettings()) -> str:
