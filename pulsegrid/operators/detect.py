@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,42 +117,50 @@ def priority(base: Column, points: Column, seconds: Column, thin: Column, level_
 
 
 def level_shifts(points: DataFrame, least: float) -> DataFrame:
-    """Level shifts with a window from the series' own interval, the trend removed and persistence asked for; per series in pandas."""
+    """Level shifts of each series, in pandas: the width of a window depends on the series' own interval.
+
+    For each split into ``width`` points before and after that follow each other in time: the shift is
+    the difference of the medians; what the windows' own slope explains of it is taken off and never
+    added. Shift and step must reach ``least``, 70 % of the points after must lie that far on the same
+    side of the level before, and the step must be three times the scatter around the two levels where
+    there is any. Of adjacent splits the strongest stays; ties go to the steadier, then the earlier.
+    """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=["value"]).sort_values("end_ust").reset_index(drop=True)
-        steps = sorted((rows["end_ust"] - rows["start_ust"]).tolist())
         columns = ["host", "item", "start_ust", "shift", "normalized"]
+        steps = sorted((rows["end_ust"] - rows["start_ust"]).tolist())
         if not steps or steps[len(steps) // 2] <= 0:
             return pd.DataFrame(columns=columns)
         width = max(-(-SHIFT_SECONDS // steps[len(steps) // 2]), SHIFT_POINTS)
         starts, ends, values = (rows[c].to_numpy() for c in ("start_ust", "end_ust", "value"))
-        found: list[tuple[int, float, float]] = []
+        times = (starts + ends) / 2
+        joined = np.append(True, starts[1:] == ends[:-1])
+
+        def slope(part: slice) -> float:
+            v, t, half = values[part], times[part], width // 2
+            return (np.median(v[-half:]) - np.median(v[:half])) / (np.median(t[-half:]) - np.median(t[:half]))
+
+        best, last = [], None
         for i in range(width, len(rows) - width + 1):
-            part = slice(i - width, i + width)
-            if (starts[part][1:] != ends[part][:-1]).any():
+            old, new = slice(i - width, i), slice(i, i + width)
+            if not joined[i - width + 1 : i + width].all():
+                continue
+            level = np.median(values[old])
+            shift = np.median(values[new]) - level
+            explained = (slope(old) + slope(new)) / 2 * (np.median(times[new]) - np.median(times[old]))
+            step = shift if explained * shift <= 0 else np.sign(shift) * max(abs(shift) - abs(explained), 0.0)
+            stays = ((values[new] - level) * np.sign(shift) >= least).mean()
+            scatter = np.median(np.abs(np.concatenate([values[old] - level, values[new] - level - shift]))) * MAD_SCALE
+            normalized = abs(step) / scatter if scatter else np.inf
+            if min(abs(shift), abs(step)) < least or stays < PERSISTENCE or normalized < SHIFT_NORMALIZED:
                 continue
-            before, after = pd.Series(values[i - width : i]), pd.Series(values[i : i + width])
-            shift = after.median() - before.median()
-            trend = (before.diff().median() + after.diff().median()) / 2 * width
-            step = shift - trend if abs(trend) < abs(shift) and trend * shift > 0 else shift
-            side = 1 if shift > 0 else -1
-            middle = (after.median() + before.median()) / 2
-            stays = min(((after - middle) * side > 0).mean(), ((middle - before) * side > 0).mean())
-            rest = pd.concat([before - before.median(), after - after.median()])
-            spread = rest.abs().median() * MAD_SCALE
-            if abs(shift) >= least and abs(step) >= least and stays >= PERSISTENCE and (spread == 0 or abs(step) / spread >= SHIFT_NORMALIZED):
-                found.append((i, float(shift), float(abs(step) / spread) if spread else float("inf")))
-        best: list[tuple[int, float, float]] = []
-        last = None
-        for one in found:
-            if last is not None and one[0] == last + 1:
-                best[-1] = max(best[-1], one, key=lambda x: (abs(x[1]), -x[0]))
+            one = (normalized if scatter else abs(step) / least, stays, -i, shift, normalized)
+            if last == i - 1:
+                best[-1] = max(best[-1], one)
             else:
                 best.append(one)
-            last = one[0]
-        return pd.DataFrame([(rows["host"][0], rows["item"][0], int(starts[i]), s, n) for i, s, n in best], columns=columns)
+            last = i
+        return pd.DataFrame([(rows["host"][0], rows["item"][0], int(starts[-i]), float(s), float(n)) for _, _, i, s, n in best], columns=columns)
 
     return points.select("host", "item", "start_ust", "end_ust", "value").groupBy(*SERIES).applyInPandas(fold, "host string, item string, start_ust long, shift double, normalized double")
-
-
