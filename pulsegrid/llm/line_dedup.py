@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.partenum_join import BLOCK, compare_families, dealt_in_parts, is_similar, set_class, shared_counts
 from pulsegrid.llm.scratch import stored
-from pulsegrid.llm.substring_dedup import split
+from pulsegrid.llm.substring_dedup import as_batch, split
 from pulsegrid.llm.word_hashes import WEIGHTS, hash_words, mix, pieces
 
 #: Cells of the count table: 2^CELL_BITS bytes are broadcast, whatever the input.
@@ -120,13 +120,11 @@ SENT = "bucket long, low binary, high binary, classes binary, docs binary, doc_l
 
 
 def send_runs(levels, percent: int, buckets: int):
-    names = [x.split()[0] for x in SENT.split(", ")]
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, size = set(), 0
         held: dict[str, list[np.ndarray]] = {n: [] for n in ("runs", "classes", "docs", "doc_lines", "doc_classes")}
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             joined = {n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in held.items()}
             rows = []
             runs = joined["runs"].astype(np.uint64)
@@ -135,8 +133,7 @@ def send_runs(levels, percent: int, buckets: int):
                 rows.append({"bucket": bucket, "low": code.astype(np.uint32).tobytes(), "high": (code >> np.uint64(32)).astype(np.uint8).tobytes(), "classes": joined["classes"][own].tobytes()})
             for bucket, own in split((mix(joined["docs"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), np.arange(len(joined["docs"]))):
                 rows.append({"bucket": bucket, "docs": joined["docs"][own].tobytes(), "doc_lines": joined["doc_lines"][own].astype(np.int32).tobytes(), "doc_classes": joined["doc_classes"][own].tobytes()})
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([row.get(c, b"")], pa.int64() if c == "bucket" else pa.binary()) for c in names], names)
+            return as_batch(rows, SENT)
 
         for batch in batches:
             for k, n in pieces(batch.column(1)):
@@ -162,11 +159,11 @@ def send_runs(levels, percent: int, buckets: int):
                 held["classes"].append(np.repeat(classes, count))
                 size += int(first[-1]) + 6 * len(rank)
                 if size >= TASK_BYTES:
-                    yield from out()
+                    yield out()
                     seen, size = set(), 0
                     for x in held.values():
                         x.clear()
-        yield from out()
+        yield out()
 
     return send
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.components import connected_components
 from pulsegrid.llm.scratch import stored
+from pulsegrid.llm.substring_dedup import as_batch, pmod, split
 from pulsegrid.llm.word_hashes import WEIGHTS, hash_words, mix, pieces, sequences
 
 #: Signatures that a task gathers before it sends them, and bytes of text for each bucket of signatures.
@@ -143,14 +144,10 @@ SENT = "bucket long, signatures binary, classes binary, docs binary, sizes binar
 
 
 def send_signatures(scheme: PartEnum, words: int, buckets: int):
-    names = [x.split()[0] for x in SENT.split(", ")]
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pulsegrid.llm.substring_dedup import pmod, split
-
         signatures, classes, seen, held, docs = [], [], set(), 0, []
 
-        def batches_of() -> Iterator[pa.RecordBatch]:
+        def batch_of() -> pa.RecordBatch:
             rows = []
             if signatures:
                 values = np.concatenate(signatures)
@@ -161,8 +158,7 @@ def send_signatures(scheme: PartEnum, words: int, buckets: int):
                 table = np.array(docs, np.int64)
                 for bucket, own in split(pmod(table[:, 0], buckets), np.arange(len(table))):
                     rows.append({"bucket": bucket, "docs": table[own, 0].tobytes(), "sizes": table[own, 1].tobytes(), "doc_classes": table[own, 2].tobytes()})
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([row.get(c, b"")], pa.int64() if c == "bucket" else pa.binary()) for c in names], names)
+            return as_batch(rows, SENT)
 
         for batch in batches:
             for i, features in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words)):
@@ -174,9 +170,9 @@ def send_signatures(scheme: PartEnum, words: int, buckets: int):
                     classes.append(own)
                     held += len(signatures[-1])
                 if held >= TASK_SIGNATURES:
-                    yield from batches_of()
+                    yield batch_of()
                     signatures, classes, seen, held, docs = [], [], set(), 0, []
-        yield from batches_of()
+        yield batch_of()
 
     return send
 

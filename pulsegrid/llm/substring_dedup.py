@@ -16,7 +16,7 @@ for each task and not for each document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,12 +94,6 @@ def send_suffixes(window: int, anchor_words: int, buckets: int):
                 "high": (code >> np.uint64(32)).astype(np.uint8).tobytes(),
             }
 
-    names = [x.split()[0] for x in SENT.split(", ")]
-
-    def batch_of(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-        for row in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([row.get(c, b"")], pa.int64() if c == "bucket" else pa.binary()) for c in names], names)
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -109,13 +103,20 @@ def send_suffixes(window: int, anchor_words: int, buckets: int):
                 size += int(words.offsets[-1])
                 held += [(i, words.hashes[a:b]) for i, a, b in zip(ids[k : k + n], words.first[:-1], words.first[1:]) if i is not None and b - a >= window]
                 if size >= TASK_BYTES:
-                    yield from batch_of(of_chunk(held))
+                    yield as_batch(of_chunk(held), SENT)
                     held, size = [], 0
-        yield from batch_of(of_chunk(held))
+        yield as_batch(of_chunk(held), SENT)
 
     return send
 
 
+def as_batch(rows: Iterable[dict], schema: str) -> pa.RecordBatch:
+    """One batch of rows of a bucket and binary columns; columns that a row leaves out are empty."""
+    rows = list(rows)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c, b"") for r in rows], pa.int64() if c == "bucket" else pa.binary()) for c in names], names)
+
+
 def pmod(values: np.ndarray, n: int) -> np.ndarray:
     return (mix(values.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
