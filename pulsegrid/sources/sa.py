@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: The format's constants.
-SYSSTAT_MAGIC = 0xD596
+FILE_MAGIC = 0xD596
 MAGIC_SIZE, ACTIVITY_SIZE, RECORD_SIZE, COMMENT_SIZE, EXTRA_SIZE = 76, 36, 24, 64, 24
 STATS, RESTART, LAST_STATS, COMMENT = 1, 2, 3, 4
 SELF_DESCRIBING = 0x2175
@@ -50,7 +50,7 @@ class Decoder:
         if len(data) < MAGIC_SIZE:
             raise BadFile("shorter than its magic")
         for order in "<>":
-            if struct.unpack_from(order + "H", data)[0] == SYSSTAT_MAGIC:
+            if struct.unpack_from(order + "H", data)[0] == FILE_MAGIC:
                 break
         else:
             raise BadFile("no activity file")
