@@ -29,6 +29,20 @@ SPACE = "▁"
 UNKNOWN = 10.0
 
 
+class Remembered(dict):
+    """Values of a function, the first ``limit`` of them kept."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        found = self.make(key)
+        if len(self) < self.limit:
+            self[key] = found
+        return found
+
+
 class PieceLattice:
     """Pieces of a model file and the searches over them. ``limit`` words and as many units are remembered."""
 
@@ -46,7 +60,7 @@ class PieceLattice:
         self.by_words = not any(a != SPACE and b == SPACE for a, b in self.pairs)
         self.dtype = np.dtype("<u2" if m.get_piece_size() <= 1 << 16 else "<u4")
         self.limit = limit
-        self.words: dict[str, tuple[float, float, bytes]] = {}
+        self.words = Remembered(self.word, limit)
         self.units: dict[str, tuple[float, float, bytes]] = {}
 
     def unknown_ids(self, character: str) -> tuple[int, ...]:
@@ -142,13 +156,8 @@ class PieceLattice:
 
     def word(self, word: str) -> tuple[float, float, bytes]:
         """Best score, loss of the second path, and ids of the best."""
-        found = self.words.get(word)
-        if found is None:
-            own = [self._unit(u) for u in self.cuts(word)]
-            found = own[0] if len(own) == 1 else (sum(x[0] for x in own), min(x[1] for x in own), b"".join(x[2] for x in own))
-            if len(self.words) < self.limit:
-                self.words[word] = found
-        return found
+        own = [self._unit(u) for u in self.cuts(word)]
+        return own[0] if len(own) == 1 else (sum(x[0] for x in own), min(x[1] for x in own), b"".join(x[2] for x in own))
 
     def paths_of_word(self, word: str, n: int) -> list[tuple[float, bytes]]:
         best = [(0.0, b"")]
@@ -178,20 +187,22 @@ class PieceLattice:
         if not text:
             return [(0.0, b"")]
         words = self.split(text)
-        own = list(map(self.word, words))
-        total = sum(x[0] for x in own)
-        parts = [x[2] for x in own]
-        chosen = heapq.nsmallest(n - 1, range(len(own)), key=lambda i: own[i][1])
+        scores, losses, parts = zip(*map(self.words.__getitem__, words))
+        total = sum(scores)
+        chosen = heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)
         combined: list[tuple[float, dict[int, bytes]]] = [(total, {})]
         for i in chosen:
-            if own[i][1] == np.inf:
+            if losses[i] == np.inf:
                 break
             paths = self.paths_of_word(words[i], n)
             merged = [(s + p - paths[0][0], changed if ids == parts[i] else changed | {i: ids}) for s, changed in combined for p, ids in paths]
             combined = heapq.nlargest(n, merged, key=lambda x: x[0])
         out = []
         for score, changed in combined:
-            out.append((score, b"".join(changed.get(i, p) for i, p in enumerate(parts)) if changed else b"".join(parts)))
+            path = list(parts)
+            for i, ids in changed.items():
+                path[i] = ids
+            out.append((score, b"".join(path)))
         return out
 
     def decode(self, ids: bytes) -> str:
