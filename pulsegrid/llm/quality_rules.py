@@ -208,14 +208,17 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, settings: RuleSettings
 
 
 def keep_good_documents(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSettings()) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they are."""
+    """The rows of ``docs`` that pass, with their columns as they are.
+
+    Rows and statistics are written to the shared folder once: a filter on them would otherwise have
+    Spark work them out again for each use.
+    """
     from pulsegrid.llm.scratch import stored
 
-    rows = base_statistics(docs.select("doc_id", stratum(F.col("lang"), settings).alias("stratum"), "text")).drop("text")
-    labelled = rows.join(good_documents(labels), "doc_id").where(~base_failed(F.col("stat")))
-    cutoffs = stored(choose_cutoffs(labelled, settings), "cutoffs")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), stratum(F.col("lang"), settings).alias("stratum"), "text")
-    judged = with_verdict(base_statistics(whole), cutoffs, settings)
+    rows = stored(base_statistics(whole).drop("text"), "statistics")
+    labelled = rows.select(F.col("row.doc_id").alias("doc_id"), "stratum", "stat").join(good_documents(labels), "doc_id").where(~base_failed(F.col("stat")))
+    judged = with_verdict(rows, choose_cutoffs(labelled, settings), settings)
     return judged.where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
