@@ -277,8 +277,18 @@ def folded(patterns: np.ndarray, words: int) -> np.ndarray:
     return patterns
 
 
-def possible_pairs(members: list[tuple[int, int, int, bytes]], percent: int) -> list[tuple[int, int]]:
-    """Pairs from different components that neither sizes nor bits rule out; members are (class, component, size, bits)."""
+def possible_pairs(members: list[tuple[int, int, int, bytes]], percent: int, spanning: bool = False) -> list[tuple[int, int]]:
+    """Pairs from different components that neither sizes nor bits rule out; members are (class, component, size, bits).
+
+    ``spanning``: only as many as would join the components that they join together.
+    """
+    parent = {m[1]: m[1] for m in members}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
     classes, components, sizes = (np.array([m[k] for m in members]) for k in range(3))
     words = np.array([len(m[3]) // 8 for m in members])
     stacks = {w: (np.flatnonzero(words == w), np.stack([np.frombuffer(m[3], np.uint64) for m in members if len(m[3]) // 8 == w])) for w in np.unique(words).tolist()}
@@ -296,11 +306,17 @@ def possible_pairs(members: list[tuple[int, int, int, bytes]], percent: int) ->
                     chosen = others[near]
                     apart = np.bitwise_count(theirs[near] ^ pattern).sum(axis=1, dtype=np.int64)
                     few = apart * (100 + percent) <= (sizes[chosen] + sizes[i]) * (100 - percent)
-                    found += [(int(classes[i]), int(classes[j])) for j in chosen[few]]
+                    for j in chosen[few].tolist():
+                        if spanning:
+                            a, b = root(int(components[i])), root(int(components[j]))
+                            if a == b:
+                                continue
+                            parent[a] = b
+                        found.append((int(classes[i]), int(classes[j])))
     return found
 
 
-def compare_groups(percent: int):
+def compare_groups(percent: int, spanning: bool):
     """Pairs that may be similar, from rows (group, part, class, component, size, bits) sorted by group and part; a part is held in memory."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,11 +325,11 @@ def compare_groups(percent: int):
             links: list[tuple[int, int]] = []
             for group, part, *own in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "class", "component", "size", "bits"))):
                 if key != (group, part):
-                    links += possible_pairs(members, percent) if len(members) > 1 else []
+                    links += possible_pairs(members, percent, spanning) if len(members) > 1 else []
                     key, members = (group, part), []
                 members.append(tuple(own))
             yield links_of(links)
-        yield links_of(possible_pairs(members, percent) if len(members) > 1 else [])
+        yield links_of(possible_pairs(members, percent, spanning) if len(members) > 1 else [])
 
     return compare
 
@@ -392,22 +408,26 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
     dealt = dealt.repartition("family", "part").sortWithinPartitions("family", "part", "rank", "class")
     links = stored(dealt.mapInArrow(compare_families(percent), "a long, b long"), "links")
 
-    # classes that share a signature and are not joined yet
-    joined = connected_components(links)
-    met_in = members.select("group", "class").distinct().join(joined.withColumnRenamed("node", "class"), "class", "left")
-    met_in = stored(met_in.select("group", "class", F.coalesce("component", "class").alias("component")), "met-in")
-    mixed = met_in.groupBy("group").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("group")
-    open_ = stored(met_in.join(mixed, "group", "left_semi"), "open")
+    # classes that share a signature and are not joined yet: first as few pairs as may join them, then all that are left
+    groups = members.select("group", "class").distinct()
     bits = sets.select("class", (F.octet_length("features") / 8).cast("long").alias("size"), "bits").dropDuplicates(["class"])
-    parts = dealt_in_parts(open_, BLOCK).join(bits, "class").select("group", "part", "class", "component", "size", "bits")
-    parts = parts.repartition("group", "part").sortWithinPartitions("group", "part", "class")
-    pairs = parts.mapInArrow(compare_groups(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pairs.distinct(), "pairs")
     features = sets.select("class", "features").dropDuplicates(["class"])
-    pairs = pairs.join(features.select(F.col("class").alias("a"), F.col("features").alias("of_a")), "a")
-    pairs = pairs.join(features.select(F.col("class").alias("b"), F.col("features").alias("of_b")), "b")
-    more = stored(pairs.mapInArrow(compare_pairs(percent), "a long, b long"), "more-links")
-    joined = joined if more.isEmpty() else connected_components(links.union(more))
+    joined = connected_components(links)
+    for spanning in (True, False):
+        met_in = groups.join(joined.withColumnRenamed("node", "class"), "class", "left")
+        met_in = stored(met_in.select("group", "class", F.coalesce("component", "class").alias("component")), "met-in")
+        mixed = met_in.groupBy("group").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("group")
+        open_ = stored(met_in.join(mixed, "group", "left_semi"), "open")
+        parts = dealt_in_parts(open_, BLOCK).join(bits, "class").select("group", "part", "class", "component", "size", "bits")
+        parts = parts.repartition("group", "part").sortWithinPartitions("group", "part", "class")
+        pairs = parts.mapInArrow(compare_groups(percent, spanning), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = stored(pairs.distinct(), "pairs")
+        pairs = pairs.join(features.select(F.col("class").alias("a"), F.col("features").alias("of_a")), "a")
+        pairs = pairs.join(features.select(F.col("class").alias("b"), F.col("features").alias("of_b")), "b")
+        more = stored(pairs.mapInArrow(compare_pairs(percent), "a long, b long"), "more-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            joined = connected_components(links)
 
     # back to documents
     to_class = classes.join(joined.withColumnRenamed("node", "class"), "class", "left")
