@@ -9,8 +9,10 @@ They differ in k <= (a + b) (100 - p) / (100 + p) words. Of the runs of three wo
 that follow each other among the shared words, in rarity order, each differing word parts two at
 most. So among the first 2 k + 3 shared words some three have nothing between them in either line, and
 they stand within the first 2 k + 3 + (words not shared) places of each. A line's signatures are
-therefore the runs of three words in a prefix of that length. Lines that share one are candidates; the
-length filter and the count of shared words decide.
+therefore the runs of three words in a prefix of that length. A signature brings its line's size and a
+parity pattern: each word flips one of 64 bits, so the patterns of two lines differ in no more bits
+than the lines in words. Lines that share a run stay candidates if size and pattern of another line of
+its group leave that similarity possible; the count of shared words decides.
 
 Equal sets are one class. Classes that meet are compared with the earliest line of one of their
 groups and with leaders found beside it; a class found similar to an earlier one is decided. The rest
@@ -38,6 +40,8 @@ RANGE_BITS = 16
 BUCKET_BYTES = 24 << 20
 TASK_BYTES = 8 << 20
 FAMILY = 4000
+#: Members of groups that are compared group by group; smaller ones at once, larger ones not by pattern.
+SMALL_GROUP, LARGE_GROUP = 16, 1000
 #: Lines of fewer different words are never removed.
 LEAST_WORDS = 5
 
@@ -116,21 +120,61 @@ def classes_of(rank: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.nda
     return mix(np.add.reduceat(mix(rank), heads) + sizes.astype(np.uint64) * WEIGHTS[2]).view(np.int64)
 
 
-SENT = "bucket long, low binary, high binary, classes binary, docs binary, doc_lines binary, doc_classes binary"
+def parity_patterns(rank: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.reduceat(np.uint64(1) << (mix(rank ^ WEIGHTS[6]) >> np.uint64(58)), heads) if len(heads) else np.zeros(0, np.uint64)
+
+
+def may_be_similar(patterns: np.ndarray, sizes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Of members of consecutive groups (``counts`` of each): can another one of the group be similar? All of large groups can."""
+
+    def close(a, b):
+        differ = np.maximum(np.bitwise_count(patterns[a] ^ patterns[b]), np.abs(sizes[a] - sizes[b]))
+        return differ * (100 + percent) <= (sizes[a] + sizes[b]) * (100 - percent)
+
+    out = np.repeat(counts > LARGE_GROUP, counts)
+    group = np.repeat(np.arange(len(counts)), counts)
+    small = np.repeat(counts <= SMALL_GROUP, counts)
+    for d in range(1, SMALL_GROUP):
+        a = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
+        a = a[close(a, a + d)]
+        out[a] = out[a + d] = True
+    first = np.cumsum(counts) - counts
+    for g in np.flatnonzero((counts > SMALL_GROUP) & (counts <= LARGE_GROUP)):
+        own = np.arange(first[g], first[g] + counts[g])
+        hit = close(own[:, None], own[None, :])
+        np.fill_diagonal(hit, False)
+        out[own] = hit.any(axis=1)
+    return out
+
+
+def different_groups(classes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of groups that start at ``heads``, one of each set of members, of two or more: places of the members, names, counts."""
+    none = np.zeros(0, np.int64)
+    if not len(classes):
+        return none, none, none
+    counts = np.diff(np.append(heads, len(classes)))
+    name = mix(np.add.reduceat(mix(classes.view(np.uint64)), heads) + counts.astype(np.uint64))
+    _, first = np.unique(name, return_index=True)
+    first = first[counts[first] > 1]
+    n = counts[first]
+    return np.repeat(heads[first] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(name[first], n).view(np.int64), n
+
+
+SENT = "bucket long, low binary, high binary, classes binary, patterns binary, sizes binary, docs binary, doc_lines binary, doc_classes binary"
 
 
 def send_runs(levels, percent: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, size = set(), 0
-        held: dict[str, list[np.ndarray]] = {n: [] for n in ("runs", "classes", "docs", "doc_lines", "doc_classes")}
+        held: dict[str, list[np.ndarray]] = {n: [] for n in ("runs", "classes", "patterns", "sizes", "docs", "doc_lines", "doc_classes")}
 
         def out() -> pa.RecordBatch:
-            joined = {n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in held.items()}
+            joined = {n: np.concatenate(x) if x else np.zeros(0, np.uint64 if n == "patterns" else np.uint16 if n == "sizes" else np.int64) for n, x in held.items()}
             rows = []
             runs = joined["runs"].astype(np.uint64)
             for bucket, own in split((runs % np.uint64(buckets)).astype(np.int64), np.arange(len(runs))):
                 code = runs[own] >> np.uint64(24)  # 40 bits, beside the bucket
-                rows.append({"bucket": bucket, "low": code.astype(np.uint32).tobytes(), "high": (code >> np.uint64(32)).astype(np.uint8).tobytes(), "classes": joined["classes"][own].tobytes()})
+                rows.append({"bucket": bucket, "low": code.astype(np.uint32).tobytes(), "high": (code >> np.uint64(32)).astype(np.uint8).tobytes(), "classes": joined["classes"][own].tobytes(), "patterns": joined["patterns"][own].tobytes(), "sizes": joined["sizes"][own].tobytes()})
             for bucket, own in split((mix(joined["docs"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), np.arange(len(joined["docs"]))):
                 rows.append({"bucket": bucket, "docs": joined["docs"][own].tobytes(), "doc_lines": joined["doc_lines"][own].astype(np.int32).tobytes(), "doc_classes": joined["doc_classes"][own].tobytes()})
             return as_batch(rows, SENT)
@@ -157,6 +201,9 @@ def send_runs(levels, percent: int, buckets: int):
                 at = np.repeat(heads - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 held["runs"].append(mix(rank[at] * WEIGHTS[3] + rank[at + 1] * WEIGHTS[4] + rank[at + 2] * WEIGHTS[5]).view(np.int64))
                 held["classes"].append(np.repeat(classes, count))
+                held["patterns"].append(np.repeat(parity_patterns(rank, heads), count))
+                # cut sizes allow for more differences than a pattern has bits
+                held["sizes"].append(np.repeat(np.minimum(sizes, 65535).astype(np.uint16), count))
                 size += int(first[-1]) + 6 * len(rank)
                 if size >= TASK_BYTES:
                     yield out()
@@ -168,35 +215,28 @@ def send_runs(levels, percent: int, buckets: int):
     return send
 
 
-def meet_runs():
-    """Of one bucket: a row for each line, and for each class that shares a run its groups."""
+def meet_runs(percent: int):
+    """Of one bucket: a row for each line, and for each class that shares a run with one that may be similar its groups."""
 
     def meet(table: pa.Table) -> pa.Table:
         joined = lambda name, dtype: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
         runs = joined("low", np.uint32).astype(np.uint64) | joined("high", np.uint8).astype(np.uint64) << np.uint64(32)
-        classes = joined("classes", np.int64)
+        classes, patterns, sizes = joined("classes", np.int64), joined("patterns", np.uint64), joined("sizes", np.uint16)
         order = np.argsort(runs, kind="stable")
         same = runs[order[1:]] == runs[order[:-1]]
         shared = np.zeros(len(order), bool)
         shared[1:] |= same
         shared[:-1] |= same
         order = order[shared]
+        order = order[np.lexsort((classes[order], runs[order]))]
         runs, classes = runs[order], classes[order]
-        order = np.lexsort((classes, runs))
-        runs, classes = runs[order], classes[order]
-        group = np.zeros(0, np.int64)
-        if len(runs):
-            once = np.append(True, (runs[1:] != runs[:-1]) | (classes[1:] != classes[:-1]))
-            runs, classes = runs[once], classes[once]
-            heads = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
-            counts = np.diff(np.append(heads, len(runs)))
-            name = np.add.reduceat(mix(classes.view(np.uint64)), heads)
-            name = mix(name + counts.astype(np.uint64))
-            _, first = np.unique(name, return_index=True)
-            first = first[counts[first] > 1]
-            n = counts[first]
-            member = np.repeat(heads[first] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            group, classes = np.repeat(name[first], n).view(np.int64), classes[member]
+        once = np.append(True, (runs[1:] != runs[:-1]) | (classes[1:] != classes[:-1]))[: len(runs)]
+        order, runs, classes = order[once], runs[once], classes[once]
+        member, group, counts = different_groups(classes, np.flatnonzero(np.append(True, runs[1:] != runs[:-1])))
+        near = member[may_be_similar(patterns[order[member]], sizes[order[member]].astype(np.int64), counts, percent)]
+        runs, classes = runs[near], classes[near]
+        member, group, counts = different_groups(classes, np.flatnonzero(np.append(True, runs[1:] != runs[:-1])))
+        classes = classes[member]
         docs, lines, own = joined("docs", np.int64), joined("doc_lines", np.int32), joined("doc_classes", np.int64)
         pad = lambda values, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(values.astype(np.int64)), pa.nulls(after, pa.int64())])
         a, b = len(docs), len(classes)
@@ -236,7 +276,7 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     levels = spark.sparkContext.broadcast(count_words(rows.select("text")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    met = rows.select("doc", "text").mapInArrow(send_runs(levels, percent, buckets), SENT).groupBy("bucket").applyInArrow(meet_runs(), "doc long, line long, class long, group long")
+    met = rows.select("doc", "text").mapInArrow(send_runs(levels, percent, buckets), SENT).groupBy("bucket").applyInArrow(meet_runs(percent), "doc long, line long, class long, group long")
     met = stored(met, "met")
     lines = met.where("group is null").select("doc", "line", "class")
     firsts = stored(lines.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n")), "firsts")
