@@ -16,8 +16,8 @@ its group leave that similarity possible; the count of shared words decides.
 
 Equal sets are one class. Classes that meet are compared with the earliest line of one of their
 groups and with leaders found beside it; a class found similar to an earlier one is decided. The rest
-are compared with every earlier class of their groups through an inverted index in memory, large
-groups by pairs of blocks.
+are compared with every earlier class of their groups, large groups by pairs of blocks: first by
+patterns, then, where these leave a pair possible, by words through an inverted index in memory.
 """
 
 from __future__ import annotations
@@ -245,6 +245,43 @@ def meet_runs(percent: int):
     return meet
 
 
+def possible_with_earlier(percent: int):
+    """Of rows sorted by group, part and place: classes not done that patterns let be similar to an earlier one, and those earlier ones."""
+
+    def found(rows: pa.Table) -> pa.Table:
+        done, patterns, sizes = (rows.column(c).to_numpy() for c in ("done", "pattern", "size"))
+        patterns, needed = patterns.view(np.uint64), np.zeros(len(rows), bool)
+        for i in np.flatnonzero(~done):
+            differ = np.maximum(np.bitwise_count(patterns[:i] ^ patterns[i]), np.abs(sizes[:i] - sizes[i]))
+            near = differ * (100 + percent) <= (sizes[:i] + sizes[i]) * (100 - percent)
+            if near.any():
+                needed[i] = True
+                needed[:i] |= near
+        return rows.filter(pa.array(needed)).select(["group", "part", "at", "class", "done"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            group, part = batch.column("group").to_numpy(), batch.column("part").to_numpy()
+            starts = np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1])) + 1
+            bounds = [0, *starts.tolist(), len(batch)]
+            out = []
+            for a, b in zip(bounds, bounds[1:]):
+                own = batch.slice(a, b - a)
+                if held and (held[0].column("group")[0] != own.column("group")[0] or held[0].column("part")[0] != own.column("part")[0]):
+                    out.append(found(pa.Table.from_batches(held)))
+                    held = []
+                held.append(own)
+            if out:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+        if held:
+            yield from found(pa.Table.from_batches(held)).to_batches()
+
+    return possible
+
+
 def compare_with_earlier(percent: int):
     """Classes that are not done and similar to an earlier one, from rows sorted by group, part and place."""
 
@@ -308,14 +345,15 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
                         if j < len(number) and number[j] == first[i] + w["line"]:
                             features = rank[heads[j] : heads[j] + sizes[j]]
                             if set_class(features) == w["class"]:
-                                out.append((w["class"], i + k, w["line"], w["places"], features.tobytes()))
+                                pattern = int(parity_patterns(features, np.zeros(1, np.int64)).view(np.int64)[0])
+                                out.append((w["class"], i + k, w["line"], w["places"], features.tobytes(), pattern, len(features)))
                 docs = batch.column("doc")
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("family", pa.int64()), ("part", pa.int32())])), pa.binary())
-                columns = [list(x) for x in zip(*out)] or [[]] * 5
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("family", pa.int64()), ("part", pa.int32())])), pa.binary(), pa.int64(), pa.int64())
+                columns = [list(x) for x in zip(*out)] or [[]] * 7
                 columns[1] = [docs[i].as_py() for i in columns[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["class", "doc", "line", "places", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["class", "doc", "line", "places", "features", "pattern", "size"])
 
-    sets = rows.select("doc", "text").join(wanted.hint("merge"), "doc").mapInArrow(features_of, "class long, doc long, line long, places array<struct<family:long,part:int>>, features binary")
+    sets = rows.select("doc", "text").join(wanted.hint("merge"), "doc").mapInArrow(features_of, "class long, doc long, line long, places array<struct<family:long,part:int>>, features binary, pattern long, size long")
     sets = stored(sets, "sets")
     dealt = sets.select("class", "doc", "line", "features", F.explode("places").alias("p")).select("p.family", "p.part", "doc", "line", "class", "features")
     dealt = dealt.repartition("family", "part").sortWithinPartitions("family", "part", "doc", "line", "class")
@@ -326,7 +364,12 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     late = marked.join(heads, "group").where(~F.col("done") & (F.col("at") > F.col("head.at"))).select("group").distinct()
     open_ = stored(marked.join(late, "group", "left_semi").select("group", "class", "at", "done"), "open")
     features = sets.select("class", "features").dropDuplicates(["class"])
-    parts = dealt_in_parts(open_, BLOCK).join(features, "class").select("group", "part", "at", "class", "done", "features")
+    marks = sets.select("class", "pattern", "size").dropDuplicates(["class"])
+    parts = dealt_in_parts(open_, BLOCK).join(marks, "class").select("group", F.col("part").cast("long").alias("part"), "at", "class", "done", "pattern", "size")
+    parts = parts.repartition("group", "part").sortWithinPartitions("group", "part", "at")
+    kind = "group long, part long, at struct<doc:long,line:long>, class long, done boolean"
+    parts = stored(parts.mapInArrow(possible_with_earlier(percent), kind), "possible")
+    parts = parts.join(features, "class").select("group", "part", "at", "class", "done", "features")
     more = parts.repartition("group", "part").sortWithinPartitions("group", "part", "at").mapInArrow(compare_with_earlier(percent), "class long")
     gone = stored(decided.union(more).distinct().withColumn("gone", F.lit(True)), "gone")
 

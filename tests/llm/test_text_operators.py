@@ -397,3 +397,19 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(31)} | {i: 50 for i in (50, 51, 52, 100)} | {200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_line_patterns_rule_out_no_similar_pair():
+    from pulsegrid.llm.line_dedup import may_be_similar, parity_patterns
+
+    rng = np.random.default_rng(1)
+    for percent in (60, 80, 95):
+        counts, sets, similar = rng.integers(2, 30, 60), [], []
+        for n in counts:
+            base = rng.integers(1, 1 << 62, rng.integers(5, 60), dtype=np.uint64)
+            group = [np.unique(np.append(base[rng.random(len(base)) < rng.choice([0.97, 0.8, 0.4])], base[:1])) for _ in range(n)]
+            similar += [any(i != j and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for j, b in enumerate(group)) for i, a in enumerate(group)]
+            sets += group
+        sizes = np.array([len(x) for x in sets])
+        near = may_be_similar(parity_patterns(np.concatenate(sets), np.cumsum(sizes) - sizes), sizes, counts, percent)
+        assert any(similar) and near[similar].all() and not near.all()
