@@ -10,8 +10,8 @@ subtree's leaves; nodes at full depth with leaves of several documents are the r
 consecutive places under such nodes are the maximal repeats.
 
 A task first merges the equal windows of the documents it holds (all but those of its smallest
-document are decided at once), so a passage that stands in a third of all documents sends one suffix
-for each task and not for each document.
+document are decided at once), so a passage that stands in a third of all documents sends the suffixes
+of one document for each task and not of each document.
 """
 
 from __future__ import annotations
@@ -59,7 +59,8 @@ def send_suffixes(window: int, anchor_words: int, buckets: int):
             return
         whole = sequences(hashes, window)[starts]
         text = np.repeat(np.arange(len(ids)), np.maximum(np.diff(first) - window + 1, 0))
-        # equal windows of this task: the first is of the smallest document, as texts are sorted by id
+        # equal windows of this task: the first is of the smallest document, as texts are sorted by id; all
+        # its places are sent, as a smaller document of another task makes each of them a repeat
         order = np.argsort(whole, kind="stable")
         fresh = np.ones(len(order), bool)
         fresh[1:] = whole[order[1:]] != whole[order[:-1]]
@@ -69,9 +70,7 @@ def send_suffixes(window: int, anchor_words: int, buckets: int):
         place = starts - first[text]
         for bucket, rows in split(pmod(ids[text], buckets), np.flatnonzero(repeat)):
             yield {"bucket": bucket, "own": ids[text[rows]].tobytes(), "own_places": place[rows].astype(np.int32).tobytes()}
-        sent = np.zeros(len(order), bool)
-        sent[order[fresh]] = True
-        rows = np.flatnonzero(sent)
+        rows = np.flatnonzero(~repeat)
         # one record for the windows of an anchor
         new = np.ones(len(rows), bool)
         new[1:] = at[rows[1:]] != at[rows[:-1]]

@@ -311,6 +311,19 @@ def test_repeated_passages(docs, odd_docs, no_docs):
     assert remove_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_passage_twice_in_a_document(spark, parts):
+    from pulsegrid.llm.substring_dedup import remove_repeats
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = {1: f"{passage} one", 2: f"two {passage} then {passage} and {passage} end", 3: f"{passage} {passage} three"}
+    # by parts: all in one task, documents of one task with a smaller one elsewhere, each in its own
+    docs = spark.createDataFrame([(i, t, {1: 0, 2: int(i > 1), 3: i - 1}[parts]) for i, t in texts.items()], "doc_id long, text string, part long")
+    docs = docs.repartitionByRange(parts, "part")
+    found = {r["doc_id"]: (r["n_removed"], r["text"]) for r in remove_repeats(docs).collect()}
+    assert found == {1: (0, texts[1]), 2: (60, "two then and end"), 3: (40, "three")}
+
+
 # --- near-duplicate documents
 
 
