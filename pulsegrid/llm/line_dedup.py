@@ -357,7 +357,8 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     sets = stored(sets, "sets")
     dealt = sets.select("class", "doc", "line", "features", F.explode("places").alias("p")).select("p.family", "p.part", "doc", "line", "class", "features")
     dealt = dealt.repartition("family", "part").sortWithinPartitions("family", "part", "doc", "line", "class")
-    decided = stored(dealt.mapInArrow(compare_families(percent), "a long, b long").select(F.col("b").alias("class")).distinct(), "decided")
+    # repeated rows give a class several times; its link with itself says nothing
+    decided = stored(dealt.mapInArrow(compare_families(percent), "a long, b long").where("a <> b").select(F.col("b").alias("class")).distinct(), "decided")
 
     # classes not decided yet against every earlier class of their groups
     marked = members.join(decided.withColumn("done", F.lit(True)), "class", "left").withColumn("done", F.coalesce("done", F.lit(False)))

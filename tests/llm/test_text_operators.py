@@ -246,6 +246,28 @@ def test_line_dedup(docs, odd_docs, no_docs):
     assert remove_repeated_lines(no_docs).count() == 0
 
 
+def removed_lines(docs, **options):
+    from pulsegrid.llm.line_dedup import line_digest, with_removed
+
+    return sorted(tuple(r) for r in line_digest(with_removed(docs, **options)).collect())
+
+
+def line_of(letter, n=12, changed=0):
+    return " ".join(f"{letter}{i}" if i >= changed else f"{letter}new{i}" for i in range(n))
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_lines_of_repeated_rows(spark):
+    rows = [(1, line_of("a") + "\n" + line_of("b"))] * 3 + [(2, line_of("a", changed=1) + "\n" + line_of("c")), (3, line_of("d"))] + [(4, line_of("c", changed=1) + "\n" + line_of("e"))] * 2
+    expected = plain_lines(sorted(set(rows)))
+    assert [n for n, _ in expected.values()] == [0, 1, 0, 1]
+    found = removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert found == sorted((i, expected[i][0], sha(expected[i][1])) for i, _ in rows)
+
+
 # --- secrets
 
 
