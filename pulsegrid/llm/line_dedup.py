@@ -160,13 +160,13 @@ def different_groups(classes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray
     return np.repeat(heads[first] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(name[first], n).view(np.int64), n
 
 
-SENT = "bucket long, low binary, high binary, classes binary, patterns binary, sizes binary, docs binary, doc_lines binary, doc_classes binary"
+SENT = "bucket long, low binary, high binary, classes binary, patterns binary, sizes binary, docs binary, doc_rows binary, doc_lines binary, doc_classes binary"
 
 
 def send_runs(levels, percent: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, size = set(), 0
-        held: dict[str, list[np.ndarray]] = {n: [] for n in ("runs", "classes", "patterns", "sizes", "docs", "doc_lines", "doc_classes")}
+        held: dict[str, list[np.ndarray]] = {n: [] for n in ("runs", "classes", "patterns", "sizes", "docs", "doc_rows", "doc_lines", "doc_classes")}
 
         def out() -> pa.RecordBatch:
             joined = {n: np.concatenate(x) if x else np.zeros(0, np.uint64 if n == "patterns" else np.uint16 if n == "sizes" else np.int64) for n, x in held.items()}
@@ -175,19 +175,20 @@ def send_runs(levels, percent: int, buckets: int):
             for bucket, own in split((runs % np.uint64(buckets)).astype(np.int64), np.arange(len(runs))):
                 code = runs[own] >> np.uint64(24)  # 40 bits, beside the bucket
                 rows.append({"bucket": bucket, "low": code.astype(np.uint32).tobytes(), "high": (code >> np.uint64(32)).astype(np.uint8).tobytes(), "classes": joined["classes"][own].tobytes(), "patterns": joined["patterns"][own].tobytes(), "sizes": joined["sizes"][own].tobytes()})
-            for bucket, own in split((mix(joined["docs"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), np.arange(len(joined["docs"]))):
-                rows.append({"bucket": bucket, "docs": joined["docs"][own].tobytes(), "doc_lines": joined["doc_lines"][own].astype(np.int32).tobytes(), "doc_classes": joined["doc_classes"][own].tobytes()})
+            for bucket, own in split((mix(joined["docs"].astype(np.uint64) ^ mix(joined["doc_rows"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), np.arange(len(joined["docs"]))):
+                rows.append({"bucket": bucket, "docs": joined["docs"][own].tobytes(), "doc_rows": joined["doc_rows"][own].tobytes(), "doc_lines": joined["doc_lines"][own].astype(np.int32).tobytes(), "doc_classes": joined["doc_classes"][own].tobytes()})
             return as_batch(rows, SENT)
 
         for batch in batches:
-            for k, n in pieces(batch.column(1)):
-                ids = np.array(batch.column(0).slice(k, n).to_pylist(), np.int64)
-                line, rank, first = line_tokens(batch.column(1).slice(k, n), levels.value)
+            for k, n in pieces(batch.column(2)):
+                ids, own_rows = (np.array(batch.column(c).slice(k, n).to_pylist(), np.int64) for c in (0, 1))
+                line, rank, first = line_tokens(batch.column(2).slice(k, n), levels.value)
                 number, heads, sizes = lines_with_sizes(line)
                 classes = classes_of(rank, heads, sizes)
                 meant = sizes >= LEAST_WORDS
                 text = np.searchsorted(first, number, "right") - 1
                 held["docs"].append(ids[text[meant]])
+                held["doc_rows"].append(own_rows[text[meant]])
                 held["doc_lines"].append((number - first[text])[meant])
                 held["doc_classes"].append(classes[meant])
                 fresh = meant.copy()
@@ -237,10 +238,10 @@ def meet_runs(percent: int):
         runs, classes = runs[near], classes[near]
         member, group, counts = different_groups(classes, np.flatnonzero(np.append(True, runs[1:] != runs[:-1])))
         classes = classes[member]
-        docs, lines, own = joined("docs", np.int64), joined("doc_lines", np.int32), joined("doc_classes", np.int64)
+        docs, own_rows, lines, own = joined("docs", np.int64), joined("doc_rows", np.int64), joined("doc_lines", np.int32), joined("doc_classes", np.int64)
         pad = lambda values, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(values.astype(np.int64)), pa.nulls(after, pa.int64())])
         a, b = len(docs), len(classes)
-        return pa.table({"doc": pad(docs, 0, b), "line": pad(lines, 0, b), "class": pa.array(np.concatenate([own, classes])), "group": pad(group, a, 0)})
+        return pa.table({"doc": pad(docs, 0, b), "row": pad(own_rows, 0, b), "line": pad(lines, 0, b), "class": pa.array(np.concatenate([own, classes])), "group": pad(group, a, 0)})
 
     return meet
 
@@ -308,15 +309,18 @@ def compare_with_earlier(percent: int):
 
 
 def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
-    """From rows (doc: long, text): doc and ``lines``, the numbers of its lines that repeat earlier ones."""
+    """From rows (doc: long, row: long, text): doc, row and ``lines``, the numbers of its lines that repeat earlier ones.
+
+    (doc, row) names a document: rows that share it have one text.
+    """
     spark = rows.sparkSession
     levels = spark.sparkContext.broadcast(count_words(rows.select("text")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    met = rows.select("doc", "text").mapInArrow(send_runs(levels, percent, buckets), SENT).groupBy("bucket").applyInArrow(meet_runs(percent), "doc long, line long, class long, group long")
+    met = rows.select("doc", "row", "text").mapInArrow(send_runs(levels, percent, buckets), SENT).groupBy("bucket").applyInArrow(meet_runs(percent), "doc long, row long, line long, class long, group long")
     met = stored(met, "met")
-    lines = met.where("group is null").select("doc", "line", "class")
-    firsts = stored(lines.groupBy("class").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("n")), "firsts")
+    lines = met.where("group is null").select("doc", "row", "line", "class")
+    firsts = stored(lines.groupBy("class").agg(F.min(F.struct("doc", "row", "line")).alias("at"), F.count("*").alias("n")), "firsts")
     members = met.where("group is not null").select("group", "class").distinct()
     members = stored(members.join(firsts.select("class", "at"), "class"), "members")
 
@@ -330,8 +334,8 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     as_member = F.when(F.col("hub") != F.col("class"), F.array(place(F.col("hub"), F.pmod(F.xxhash64("class"), F.col("parts")))))
     as_hub = F.when(F.col("own_parts").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("own_parts") - 1), lambda p: place(F.col("class"), p)))
     none = F.array().cast("array<struct<family:long,part:int>>")
-    wanted = parts.select(F.col("at.doc").alias("doc"), F.struct(F.col("at.line").alias("line"), "class", F.concat(F.coalesce(as_member, none), F.coalesce(as_hub, none)).alias("places")).alias("w"))
-    wanted = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))  # of one document
+    wanted = parts.select(F.col("at.doc").alias("doc"), F.col("at.row").alias("row"), F.struct(F.col("at.line").alias("line"), "class", F.concat(F.coalesce(as_member, none), F.coalesce(as_hub, none)).alias("places")).alias("w"))
+    wanted = wanted.groupBy("doc", "row").agg(F.collect_list("w").alias("wanted"))  # of one document
 
     def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,17 +350,17 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
                             features = rank[heads[j] : heads[j] + sizes[j]]
                             if set_class(features) == w["class"]:
                                 pattern = int(parity_patterns(features, np.zeros(1, np.int64)).view(np.int64)[0])
-                                out.append((w["class"], i + k, w["line"], w["places"], features.tobytes(), pattern, len(features)))
-                docs = batch.column("doc")
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("family", pa.int64()), ("part", pa.int32())])), pa.binary(), pa.int64(), pa.int64())
-                columns = [list(x) for x in zip(*out)] or [[]] * 7
-                columns[1] = [docs[i].as_py() for i in columns[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["class", "doc", "line", "places", "features", "pattern", "size"])
-
-    sets = rows.select("doc", "text").join(wanted.hint("merge"), "doc").mapInArrow(features_of, "class long, doc long, line long, places array<struct<family:long,part:int>>, features binary, pattern long, size long")
+                                out.append((w["class"], i + k, i + k, w["line"], w["places"], features.tobytes(), pattern, len(features)))
+                docs, own_rows = batch.column("doc"), batch.column("row")
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("family", pa.int64()), ("part", pa.int32())])), pa.binary(), pa.int64(), pa.int64())
+                columns = [list(x) for x in zip(*out)] or [[]] * 8
+                columns[1], columns[2] = [docs[i].as_py() for i in columns[1]], [own_rows[i].as_py() for i in columns[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["class", "doc", "row", "line", "places", "features", "pattern", "size"])
+
+    sets = rows.select("doc", "row", "text").join(wanted.hint("merge"), ["doc", "row"]).mapInArrow(features_of, "class long, doc long, row long, line long, places array<struct<family:long,part:int>>, features binary, pattern long, size long")
     sets = stored(sets, "sets")
-    dealt = sets.select("class", "doc", "line", "features", F.explode("places").alias("p")).select("p.family", "p.part", "doc", "line", "class", "features")
-    dealt = dealt.repartition("family", "part").sortWithinPartitions("family", "part", "doc", "line", "class")
+    dealt = sets.select("class", "doc", "row", "line", "features", F.explode("places").alias("p")).select("p.family", "p.part", "doc", "row", "line", "class", "features")
+    dealt = dealt.repartition("family", "part").sortWithinPartitions("family", "part", "doc", "row", "line", "class")
     # repeated rows give a class several times; its link with itself says nothing
     decided = stored(dealt.mapInArrow(compare_families(percent), "a long, b long").where("a <> b").select(F.col("b").alias("class")).distinct(), "decided")
 
@@ -368,7 +372,7 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     marks = sets.select("class", "pattern", "size").dropDuplicates(["class"])
     parts = dealt_in_parts(open_, BLOCK).join(marks, "class").select("group", F.col("part").cast("long").alias("part"), "at", "class", "done", "pattern", "size")
     parts = parts.repartition("group", "part").sortWithinPartitions("group", "part", "at")
-    kind = "group long, part long, at struct<doc:long,line:long>, class long, done boolean"
+    kind = "group long, part long, at struct<doc:long,row:long,line:long>, class long, done boolean"
     parts = stored(parts.mapInArrow(possible_with_earlier(percent), kind), "possible")
     parts = parts.join(features, "class").select("group", "part", "at", "class", "done", "features")
     more = parts.repartition("group", "part").sortWithinPartitions("group", "part", "at").mapInArrow(compare_with_earlier(percent), "class long")
@@ -376,8 +380,8 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
 
     verdicts = firsts.join(gone, "class", "left").where("n > 1 or gone").select("class", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
     verdicts = stored(verdicts, "verdicts")
-    repeated = lines.join(verdicts, "class").where(F.col("gone") | (F.struct("doc", "line") > F.col("at")))
-    return repeated.groupBy("doc").agg(F.collect_list("line").alias("lines"))
+    repeated = lines.join(verdicts, "class").where(F.col("gone") | (F.struct("doc", "row", "line") > F.col("at")))
+    return repeated.groupBy("doc", "row").agg(F.collect_list("line").alias("lines"))
 
 
 #: Stands for a null id; such documents come last in the order of lines.
@@ -391,16 +395,32 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc
     words goes if an earlier line of the input has a Jaccard similarity of ``percent`` or more with it,
     as sets of words (runs of characters outside x20 and x09-x0D, unchanged). Other lines stay, so do
     the line breaks between those left. Null texts stay null, empty ones empty; a text may become
-    empty. Rows with a null id come last in the order. Rows that repeat an id count as one
-    document with its lines at the same places.
+    empty. Rows with a null id come last in the order, each a document of its own. Rows that repeat an
+    id with another text are documents of their own too, in an order that depends on their texts;
+    rows that repeat id and text count as one document.
     """
     return with_removed(docs, percent, id_col, text_col).drop("__removed", "__doc")
 
 
+def with_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __doc, which orders them, and __row, which tells documents of one __doc apart.
+
+    __row is a hash of the text; rows with a null id get a number instead and are stored, so that it stays theirs.
+    """
+    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    named = docs.where(doc.isNotNull()).withColumns({"__doc": doc, "__row": F.xxhash64(text)})
+    nameless = docs.where(doc.isNull())
+    if nameless.select(id_col).isEmpty():
+        return named
+    numbered = nameless.withColumns({"__doc": F.lit(NO_ID).cast("long"), "__row": F.monotonically_increasing_id()})
+    return named.unionByName(stored(numbered, "nameless"))
+
+
 def with_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    found = repeated_lines(docs.select(doc.alias("doc"), F.col(text_col).cast("string").alias("text")), percent)
-    rows = docs.withColumn("__doc", doc).join(found.select(F.col("doc").alias("__doc"), F.col("lines").alias("__removed")).hint("merge"), "__doc", "left")
+    rows = with_rows(docs, id_col, text_col)
+    found = repeated_lines(rows.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text")), percent)
+    found = found.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("lines").alias("__removed"))
+    rows = rows.join(found.hint("merge"), ["__doc", "__row"], "left")
     return rows.withColumn(text_col, without_lines(F.col(text_col), F.col("__removed"))).select("__doc", *docs.columns, "__removed")
 
 

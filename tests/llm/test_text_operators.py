@@ -268,6 +268,19 @@ def test_lines_of_repeated_rows(spark):
     assert found == sorted((i, expected[i][0], sha(expected[i][1])) for i, _ in rows)
 
 
+def test_lines_of_rows_without_a_name_of_their_own(spark):
+    from pulsegrid.llm.line_dedup import remove_repeated_lines
+
+    a, b, c, d, e = (line_of(x) for x in "abcde")
+    near = line_of("a", changed=1)
+    rows = [(1, f"{a}\n{b}"), (None, f"{c}\n{near}"), (None, f"{d}\n{e}"), (None, f"{line_of('f')}\n{line_of('g')}"), (None, f"{c}\n{near}")]
+    rows += [(5, f"{line_of('h')}\n{b}"), (5, f"{line_of('i')}\n{line_of('j')}"), (None, None), (None, "")]
+    expected = [(1, f"{a}\n{b}"), (None, c), (None, f"{d}\n{e}"), (None, rows[3][1]), (None, ""), (5, line_of("h")), rows[6], (None, None), (None, "")]
+    for n in (1, 4):
+        left = remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert collections.Counter(map(tuple, left)) == collections.Counter(expected)
+
+
 # --- secrets
 
 
