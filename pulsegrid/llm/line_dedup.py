@@ -9,7 +9,9 @@ They differ in k <= (a + b) (100 - p) / (100 + p) words. Of the runs of three wo
 that follow each other among the shared words, in rarity order, each differing word parts two at
 most. So among the first 2 k + 3 shared words some three have nothing between them in either line, and
 they stand within the first 2 k + 3 + (words not shared) places of each. A line's signatures are
-therefore the runs of three words in a prefix of that length. A signature brings its line's size and a
+therefore the runs of three words in a prefix of that length. Where two sizes may share fewer than
+2 k + 3 words (never at 80 percent and five words), lines of these sizes also send runs of two, which
+ask for k + 2 shared words, or single words, which ask for one. A signature brings its line's size and a
 parity pattern: each word flips one of 64 bits, so the patterns of two lines differ in no more bits
 than the lines in words. Lines that share a run stay candidates if size and pattern of another line of
 its group leave that similarity possible; the count of shared words decides.
@@ -23,6 +25,7 @@ patterns, then, where these leave a pair possible, by words through an inverted
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,12 +108,21 @@ def lines_with_sizes(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return line[heads], heads, np.diff(np.append(heads, len(line)))
 
 
-def prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Places of a line in which a shared run of three must stand: 2 k + 3 + words not shared, at most."""
+@cache
+def run_lengths(size: int, percent: int, least: int) -> tuple[int, ...]:
+    """Lengths of runs that a line sends: for each size that a similar line may have, the longest that both surely share."""
+    other = np.arange(max(least, -(-percent * size // 100)), size * 100 // percent + 1)
+    shared = -(-percent * (size + other) // (100 + percent))
+    k = size + other - 2 * shared
+    return tuple(np.unique(np.where(shared >= 2 * k + 3, 3, np.where(shared >= k + 2, 2, 1))).tolist())
+
+
+def prefix_lengths(sizes: np.ndarray, percent: int, run: int = 3) -> np.ndarray:
+    """Places of a line in which a shared run must stand: (run - 1) k + run + words not shared, at most."""
     largest = sizes * 100 // percent
     k = (sizes + largest) * (100 - percent) // (100 + percent)
     alone = sizes - (percent * sizes + 99) // 100
-    return np.minimum(sizes, 2 * k + 3 + alone)
+    return np.minimum(sizes, (run - 1) * k + run + alone)
 
 
 def classes_of(rank: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -198,13 +210,21 @@ def send_runs(levels, percent: int, buckets: int):
                         fresh[i] = False
                     else:
                         seen.add(own)
-                count = np.where(fresh, np.maximum(prefix_lengths(sizes, percent) - 2, 0), 0)
-                at = np.repeat(heads - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                held["runs"].append(mix(rank[at] * WEIGHTS[3] + rank[at + 1] * WEIGHTS[4] + rank[at + 2] * WEIGHTS[5]).view(np.int64))
-                held["classes"].append(np.repeat(classes, count))
-                held["patterns"].append(np.repeat(parity_patterns(rank, heads), count))
-                # cut sizes allow for more differences than a pattern has bits
-                held["sizes"].append(np.repeat(np.minimum(sizes, 65535).astype(np.uint16), count))
+                kinds, kind = np.unique(sizes, return_inverse=True)
+                wanted = [run_lengths(x, percent, LEAST_WORDS) if x >= LEAST_WORDS else () for x in kinds.tolist()]
+                patterns = parity_patterns(rank, heads)
+                for run in (3, 2, 1):
+                    sends = fresh & np.array([run in x for x in wanted], bool)[kind]
+                    count = np.where(sends, np.maximum(prefix_lengths(sizes, percent, run) - run + 1, 0), 0)
+                    if not count.any():
+                        continue
+                    at = np.repeat(heads - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    code = sum((rank[at + j] * WEIGHTS[3 + j] for j in range(1, run)), rank[at] * WEIGHTS[3])
+                    held["runs"].append(mix(code).view(np.int64))
+                    held["classes"].append(np.repeat(classes, count))
+                    held["patterns"].append(np.repeat(patterns, count))
+                    # cut sizes allow for more differences than a pattern has bits
+                    held["sizes"].append(np.repeat(np.minimum(sizes, 65535).astype(np.uint16), count))
                 size += int(first[-1]) + 6 * len(rank)
                 if size >= TASK_BYTES:
                     yield out()

@@ -281,6 +281,22 @@ def test_lines_of_rows_without_a_name_of_their_own(spark):
         assert collections.Counter(map(tuple, left)) == collections.Counter(expected)
 
 
+@pytest.mark.parametrize("percent", [30, 60])
+def test_lines_of_low_percents(spark, percent):
+    r = np.random.default_rng(7)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(r.integers(6, 16))]
+        for v in range(5):
+            own = [w if r.random() > 0.2 else f"{w}v{v}" for w in base]
+            texts.append(" ".join(r.permutation(own)))
+    # runs of three are parted: eight of ten words shared, differing words between them
+    texts += ["a0 a1 b0 a2 a3 b1 a4 a5 a6 a7", "a0 a1 c0 a2 a3 c1 a4 a5 a6 a7"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=percent)
+    assert found == sorted((i, n, sha(t)) for i, (n, t) in plain_lines(rows, percent).items())
+
+
 # --- secrets
 
 
