@@ -37,13 +37,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; five-word shingles, 0.8 or more.
 
-    Of rows that repeat an id one stays. Documents with a null id are not compared and stay.
+    Rows that repeat an id with another text are judged each by its own text; of rows that repeat both
+    one stays. Rows with a null id come last; those of them without words all stay.
     """
-    named = docs.where("doc_id is not null")
-    found = near_duplicate_components(named, words=5, percent=80)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = named.join(first, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    empty = F.col("doc_id").isNull() & (F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") == "")
+    rows = docs.where(~empty).withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = near_duplicate_components(rows, words=5, percent=80, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__key")
+    first = found.distinct().join(rows.select("doc_id", "__key"), "__key").groupBy("component_id").agg(F.min(order).alias("least"))
+    kept = rows.join(first.select("least.__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.select(*docs.columns).unionByName(docs.where(empty))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,14 @@ def test_stages_keep_the_columns(spark, docs, odd_docs, no_docs, folder):
             out = stage(spark, table, folder)
             assert out.columns == table.columns and out.dtypes == table.dtypes
             assert out.count() <= table.count()
+
+
+def test_near_copies_among_rows_without_a_name_of_their_own(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (2, b), (None, a + " last"), (None, c), (None, c + " end"), (None, c), (None, ""), (None, "")]
+    left = [tuple(r) for r in corpus_pipeline.ngram_jaccard(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    named, nameless = [r for r in left if r[0] is not None], [t for i, t in left if i is None]
+    assert sorted(named) == [(1, a), (2, b)]
+    assert nameless.count("") == 2 and len(nameless) == 3 and max(nameless) in (c, c + " end")
