@@ -4,35 +4,34 @@ A line is the set of its words. Words are ordered by rarity: by their count in t
 in a table of fixed size, words of one cell counting together), then by hash; any such order that is
 the same everywhere gives exact results, rarity makes them cheap.
 
-Prefix and position: let two lines of sizes a and b have a Jaccard similarity of at least p percent.
-They differ in k <= (a + b) (100 - p) / (100 + p) words. Of the runs of three words that both have and
-that follow each other among the shared words, in rarity order, each differing word parts two at
-most. So among the first 2 k + 3 shared words some three have nothing between them in either line, and
-they stand within the first 2 k + 3 + (words not shared) places of each. A line's signatures are
-therefore the runs of three words in a prefix of that length. Where two sizes may share fewer than
-2 k + 3 words (never at 80 percent and five words), lines of these sizes also send runs of two, which
-ask for k + 2 shared words, or single words, which ask for one. A signature brings its line's size and a
-parity pattern: each word flips one of 64 bits, so the patterns of two lines differ in no more bits
-than the lines in words. Lines that share a run stay candidates if size and pattern of another line of
-its group leave that similarity possible; the count of shared words decides.
-
-Equal sets are one class. Classes that meet are compared with the earliest line of one of their
-groups and with leaders found beside it; a class found similar to an earlier one is decided. The rest
-are compared with every earlier class of their groups, large groups by pairs of blocks: first by
-patterns, then, where these leave a pair possible, by words through an inverted index in memory.
+* Prefix: let p be the least Jaccard similarity. A line of s words shares ceil(p s) with each similar
+  one, so the rarest word that both share is among the first s - ceil(p s) + 1 of each. Each line sends
+  a record for those words; words that the whole corpus has once are left out.
+* Length: similar lines have sizes a <= b with a >= p b.
+* Position: two lines must share ceil(p (a + b) / (1 + p)) words. Where the rarest shared word stands at
+  place i of one and j of the other, they share at most 1 + min(a - i - 1, b - j - 1). The smaller line's
+  place must leave enough for a partner of its own size, which halves the records that look for others.
+* Pattern: each word flips one of 64 bits, so the patterns of two lines differ in no more bits than the
+  lines in words. This comes last and rules out most of what the other filters leave.
+
+Lines that stay candidates of each other through one word form a group. Equal sets are one class.
+Classes are compared with the earliest line of one of their groups and with leaders found beside it; a
+class found similar to an earlier one is decided. The rest are compared with every earlier class of
+their groups, large groups by pairs of blocks: first by wider patterns, then, where these leave a pair
+possible, by words through an inverted index in memory. So a family of similar lines makes rows in
+proportion to its size, and the classes that need words are few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.partenum_join import BLOCK, compare_families, dealt_in_parts, is_similar, set_class, shared_counts
+from pulsegrid.llm.partenum_join import BLOCK, compare_families, dealt_in_parts, folded, is_similar, parity_bits, set_class, shared_counts
 from pulsegrid.llm.scratch import stored
 from pulsegrid.llm.substring_dedup import as_batch, split
 from pulsegrid.llm.word_hashes import WEIGHTS, hash_words, mix, pieces
@@ -42,22 +41,29 @@ CELL_BITS = 22
 RANGE_BITS = 16
 BUCKET_BYTES = 24 << 20
 TASK_BYTES = 8 << 20
+#: Bytes of text that are hashed at once; arrays of that size stay in the processor's cache.
+PIECE_BYTES = 1 << 18
 FAMILY = 4000
-#: Members of groups that are compared group by group; smaller ones at once, larger ones not by pattern.
-SMALL_GROUP, LARGE_GROUP = 16, 1000
-#: Lines of fewer different words are never removed.
-LEAST_WORDS = 5
+#: Members of a word's group beyond which a bucket leaves its pairs to blocks of their own.
+LARGE_GROUP = 4000
+#: Level of a word that the corpus has once.
+ONCE = 2
 
 
 def count_words(texts: DataFrame) -> np.ndarray:
     """A byte for each cell: twice the base-2 logarithm of its words' count. Each task sends its non-zero cells by ranges."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        total, held, size = np.zeros(1 << CELL_BITS, np.int64), [], 0
         for batch in batches:
-            for k, n in pieces(batch.column(0)):
-                found = hash_words(batch.column(0).slice(k, n)).hashes >> np.uint64(64 - CELL_BITS)
-                total += np.bincount(found.astype(np.int64), minlength=1 << CELL_BITS)
+            for k, n in pieces(batch.column(0), PIECE_BYTES):
+                held.append((hash_words(batch.column(0).slice(k, n)).hashes >> np.uint64(64 - CELL_BITS)).astype(np.int32))
+                size += len(held[-1])
+                if size >= 1 << CELL_BITS:
+                    total += np.bincount(np.concatenate(held), minlength=1 << CELL_BITS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << CELL_BITS)
         for r in range(1 << (CELL_BITS - RANGE_BITS)):
             part = total[r << RANGE_BITS : (r + 1) << RANGE_BITS]
             at = np.flatnonzero(part)
@@ -92,10 +98,20 @@ def line_tokens(texts: pa.Array, levels: np.ndarray) -> tuple[np.ndarray, np.nda
     breaks = np.flatnonzero(words.data == 10)
     per_text = np.searchsorted(breaks, words.offsets)
     first = per_text + np.arange(len(words.offsets))
-    owner = words.text_of()
-    line = np.searchsorted(breaks, words.starts) + owner
-    rank = levels[(words.hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | words.hashes >> np.uint64(8)
-    order = np.lexsort((rank, line))
+    line = np.searchsorted(breaks, words.starts) + words.text_of()
+    level = levels[(words.hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
+    rank = level << np.uint64(56) | words.hashes >> np.uint64(8)
+    order = None
+    if not len(line) or line[-1] < 1 << 17:
+        # line, level and 39 bits of the hash in one key; two words of a line that differ in other bits alone are sorted again
+        key = line.astype(np.uint64) << np.uint64(47) | level << np.uint64(39) | words.hashes >> np.uint64(25)
+        order = np.argsort(key)
+        key = key[order]
+        tied = np.flatnonzero(key[1:] == key[:-1])
+        if (rank[order[tied]] != rank[order[tied + 1]]).any():
+            order = None
+    if order is None:
+        order = np.lexsort((rank, line))
     line, rank = line[order], rank[order]
     if len(line):
         fresh = np.append(True, (line[1:] != line[:-1]) | (rank[1:] != rank[:-1]))
@@ -108,21 +124,14 @@ def lines_with_sizes(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return line[heads], heads, np.diff(np.append(heads, len(line)))
 
 
-@cache
-def run_lengths(size: int, percent: int, least: int) -> tuple[int, ...]:
-    """Lengths of runs that a line sends: for each size that a similar line may have, the longest that both surely share."""
-    other = np.arange(max(least, -(-percent * size // 100)), size * 100 // percent + 1)
-    shared = -(-percent * (size + other) // (100 + percent))
-    k = size + other - 2 * shared
-    return tuple(np.unique(np.where(shared >= 2 * k + 3, 3, np.where(shared >= k + 2, 2, 1))).tolist())
+def prefix_lengths(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """First places of a line among which the rarest word shared with a similar line must be."""
+    return sizes - (percent * sizes + 99) // 100 + 1
 
 
-def prefix_lengths(sizes: np.ndarray, percent: int, run: int = 3) -> np.ndarray:
-    """Places of a line in which a shared run must stand: (run - 1) k + run + words not shared, at most."""
-    largest = sizes * 100 // percent
-    k = (sizes + largest) * (100 - percent) // (100 + percent)
-    alone = sizes - (percent * sizes + 99) // 100
-    return np.minimum(sizes, (run - 1) * k + run + alone)
+def shared_at_least(sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Words that similar lines of these sizes share."""
+    return -(-percent * (sizes + others) // (100 + percent))
 
 
 def classes_of(rank: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -136,27 +145,52 @@ def parity_patterns(rank: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (mix(rank ^ WEIGHTS[6]) >> np.uint64(58)), heads) if len(heads) else np.zeros(0, np.uint64)
 
 
-def may_be_similar(patterns: np.ndarray, sizes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """Of members of consecutive groups (``counts`` of each): can another one of the group be similar? All of large groups can."""
-
-    def close(a, b):
-        differ = np.maximum(np.bitwise_count(patterns[a] ^ patterns[b]), np.abs(sizes[a] - sizes[b]))
-        return differ * (100 + percent) <= (sizes[a] + sizes[b]) * (100 - percent)
+def possible_pairs(group: np.ndarray, sizes: np.ndarray, places: np.ndarray, patterns: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group that length, position and pattern leave possible; rows are sorted by group and size.
 
-    out = np.repeat(counts > LARGE_GROUP, counts)
-    group = np.repeat(np.arange(len(counts)), counts)
-    small = np.repeat(counts <= SMALL_GROUP, counts)
-    for d in range(1, SMALL_GROUP):
-        a = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
-        a = a[close(a, a + d)]
-        out[a] = out[a + d] = True
-    first = np.cumsum(counts) - counts
-    for g in np.flatnonzero((counts > SMALL_GROUP) & (counts <= LARGE_GROUP)):
-        own = np.arange(first[g], first[g] + counts[g])
-        hit = close(own[:, None], own[None, :])
-        np.fill_diagonal(hit, False)
-        out[own] = hit.any(axis=1)
-    return out
+    All rows look at once at the row one on, two on and so forth, as long as it is of their group and not too large.
+    """
+    ends = np.searchsorted(group, group, "right") if len(group) else np.zeros(0, np.int64)
+    at = np.flatnonzero(sizes - places >= shared_at_least(sizes, sizes, percent))
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = 1
+    while len(at):
+        at = at[at + step < ends[at]]
+        other = at + step
+        near = 100 * sizes[at] >= percent * sizes[other]
+        at, other = at[near], other[near]
+        most = np.minimum(sizes[at] - places[at], sizes[other] - places[other])
+        near = most >= shared_at_least(sizes[at], sizes[other], percent)
+        a, b = at[near], other[near]
+        near = np.bitwise_count(patterns[a] ^ patterns[b]).astype(np.int64) * (100 + percent) <= (sizes[a] + sizes[b]) * (100 - percent)
+        first.append(a[near])
+        second.append(b[near])
+        step += 1
+    return np.concatenate(first), np.concatenate(second)
+
+
+def candidate_groups(group: np.ndarray, classes: np.ndarray, sizes: np.ndarray, places: np.ndarray, patterns: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names and classes of the groups of candidates: rows of one group joined by possible pairs, one of each set of classes."""
+    order = np.lexsort((places, sizes, group))
+    group, classes, sizes, places, patterns = (x[order] for x in (group, classes, sizes, places, patterns))
+    a, b = possible_pairs(group, sizes, places, patterns, percent)
+    label = np.arange(len(group))
+    while True:
+        least = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    member = np.zeros(len(group), bool)
+    member[a] = member[b] = True
+    rows = np.flatnonzero(member)
+    rows = rows[np.lexsort((classes[rows], label[rows]))]
+    classes, label = classes[rows], label[rows]
+    heads = np.flatnonzero(np.append(True, label[1:] != label[:-1])) if len(label) else np.zeros(0, np.int64)
+    member, names, _ = different_groups(classes, heads)
+    return names, classes[member]
 
 
 def different_groups(classes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,59 +206,56 @@ def different_groups(classes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray
     return np.repeat(heads[first] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(name[first], n).view(np.int64), n
 
 
-SENT = "bucket long, low binary, high binary, classes binary, patterns binary, sizes binary, docs binary, doc_rows binary, doc_lines binary, doc_classes binary"
+KINDS = {"low": np.uint32, "high": np.uint8, "classes": np.int64, "patterns": np.uint64, "sizes": np.uint32, "places": np.uint32, "docs": np.int64, "doc_rows": np.int64, "doc_lines": np.int32, "doc_classes": np.int64}
+SENT = "bucket long, " + ", ".join(f"{name} binary" for name in KINDS)
 
 
-def send_runs(levels, percent: int, buckets: int):
+def send_words(levels, percent: int, least_words: int, buckets: int):
+    """Rows for SENT from (doc, row, text): the words of each line's prefix by bucket, and the lines."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, size = set(), 0
-        held: dict[str, list[np.ndarray]] = {n: [] for n in ("runs", "classes", "patterns", "sizes", "docs", "doc_rows", "doc_lines", "doc_classes")}
+        held: dict[str, list[np.ndarray]] = {n: [] for n in ("words", "classes", "patterns", "sizes", "places", "docs", "doc_rows", "doc_lines", "doc_classes")}
 
         def out() -> pa.RecordBatch:
-            joined = {n: np.concatenate(x) if x else np.zeros(0, np.uint64 if n == "patterns" else np.uint16 if n == "sizes" else np.int64) for n, x in held.items()}
+            joined = {n: np.concatenate(x) if x else np.zeros(0, np.uint64 if n in ("words", "patterns") else np.int64) for n, x in held.items()}
             rows = []
-            runs = joined["runs"].astype(np.uint64)
-            for bucket, own in split((runs % np.uint64(buckets)).astype(np.int64), np.arange(len(runs))):
-                code = runs[own] >> np.uint64(24)  # 40 bits, beside the bucket
-                rows.append({"bucket": bucket, "low": code.astype(np.uint32).tobytes(), "high": (code >> np.uint64(32)).astype(np.uint8).tobytes(), "classes": joined["classes"][own].tobytes(), "patterns": joined["patterns"][own].tobytes(), "sizes": joined["sizes"][own].tobytes()})
+            for bucket, own in split((joined["words"] % np.uint64(buckets)).astype(np.int64), np.arange(len(joined["words"]))):
+                code = joined["words"][own] >> np.uint64(24)  # 40 bits, beside the bucket
+                row = {"low": code & np.uint64(0xFFFFFFFF), "high": code >> np.uint64(32)} | {n: joined[n][own] for n in ("classes", "patterns", "sizes", "places")}
+                rows.append({"bucket": bucket} | {n: x.astype(KINDS[n]).tobytes() for n, x in row.items()})
             for bucket, own in split((mix(joined["docs"].astype(np.uint64) ^ mix(joined["doc_rows"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), np.arange(len(joined["docs"]))):
-                rows.append({"bucket": bucket, "docs": joined["docs"][own].tobytes(), "doc_rows": joined["doc_rows"][own].tobytes(), "doc_lines": joined["doc_lines"][own].astype(np.int32).tobytes(), "doc_classes": joined["doc_classes"][own].tobytes()})
+                rows.append({"bucket": bucket} | {n: joined[n][own].astype(KINDS[n]).tobytes() for n in ("docs", "doc_rows", "doc_lines", "doc_classes")})
             return as_batch(rows, SENT)
 
         for batch in batches:
-            for k, n in pieces(batch.column(2)):
+            for k, n in pieces(batch.column(2), PIECE_BYTES):
                 ids, own_rows = (np.array(batch.column(c).slice(k, n).to_pylist(), np.int64) for c in (0, 1))
                 line, rank, first = line_tokens(batch.column(2).slice(k, n), levels.value)
                 number, heads, sizes = lines_with_sizes(line)
                 classes = classes_of(rank, heads, sizes)
-                meant = sizes >= LEAST_WORDS
+                meant = sizes >= least_words
                 text = np.searchsorted(first, number, "right") - 1
                 held["docs"].append(ids[text[meant]])
                 held["doc_rows"].append(own_rows[text[meant]])
                 held["doc_lines"].append((number - first[text])[meant])
                 held["doc_classes"].append(classes[meant])
-                fresh = meant.copy()
-                for i in np.flatnonzero(meant):
-                    own = int(classes[i])
-                    if own in seen:
-                        fresh[i] = False
-                    else:
+                fresh = np.zeros(len(sizes), bool)
+                for i, own in zip(np.flatnonzero(meant).tolist(), classes[meant].tolist()):
+                    if own not in seen:
                         seen.add(own)
-                kinds, kind = np.unique(sizes, return_inverse=True)
-                wanted = [run_lengths(x, percent, LEAST_WORDS) if x >= LEAST_WORDS else () for x in kinds.tolist()]
-                patterns = parity_patterns(rank, heads)
-                for run in (3, 2, 1):
-                    sends = fresh & np.array([run in x for x in wanted], bool)[kind]
-                    count = np.where(sends, np.maximum(prefix_lengths(sizes, percent, run) - run + 1, 0), 0)
-                    if not count.any():
-                        continue
-                    at = np.repeat(heads - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    code = sum((rank[at + j] * WEIGHTS[3 + j] for j in range(1, run)), rank[at] * WEIGHTS[3])
-                    held["runs"].append(mix(code).view(np.int64))
-                    held["classes"].append(np.repeat(classes, count))
-                    held["patterns"].append(np.repeat(patterns, count))
-                    # cut sizes allow for more differences than a pattern has bits
-                    held["sizes"].append(np.repeat(np.minimum(sizes, 65535).astype(np.uint16), count))
+                        fresh[i] = True
+                count = np.where(fresh, prefix_lengths(sizes, percent), 0)
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                owner = np.repeat(np.arange(len(sizes)), count)
+                word = rank[heads[owner] + place]
+                several = (word >> np.uint64(56)) > ONCE
+                owner, place, word = owner[several], place[several], word[several]
+                held["words"].append(mix(word))
+                held["classes"].append(classes[owner])
+                held["patterns"].append(parity_patterns(rank, heads)[owner])
+                held["sizes"].append(sizes[owner])
+                held["places"].append(place)
                 size += int(first[-1]) + 6 * len(rank)
                 if size >= TASK_BYTES:
                     yield out()
@@ -236,69 +267,103 @@ def send_runs(levels, percent: int, buckets: int):
     return send
 
 
-def meet_runs(percent: int):
-    """Of one bucket: a row for each line, and for each class that shares a run with one that may be similar its groups."""
+MET = "doc long, row long, line long, class long, group long, size long, place long, pattern long"
+
+
+def meet_words(percent: int, large: int):
+    """Of one bucket: a row for each line, for each class its groups of candidates, and the rows of groups that are too large to compare here."""
 
     def meet(table: pa.Table) -> pa.Table:
-        joined = lambda name, dtype: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
-        runs = joined("low", np.uint32).astype(np.uint64) | joined("high", np.uint8).astype(np.uint64) << np.uint64(32)
-        classes, patterns, sizes = joined("classes", np.int64), joined("patterns", np.uint64), joined("sizes", np.uint16)
-        order = np.argsort(runs, kind="stable")
-        same = runs[order[1:]] == runs[order[:-1]]
+        joined = {n: np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in KINDS.items()}
+        words = joined["low"].astype(np.uint64) | joined["high"].astype(np.uint64) << np.uint64(32)
+        order = np.argsort(words)
+        same = words[order[1:]] == words[order[:-1]]
         shared = np.zeros(len(order), bool)
         shared[1:] |= same
         shared[:-1] |= same
         order = order[shared]
-        order = order[np.lexsort((classes[order], runs[order]))]
-        runs, classes = runs[order], classes[order]
-        once = np.append(True, (runs[1:] != runs[:-1]) | (classes[1:] != classes[:-1]))[: len(runs)]
-        order, runs, classes = order[once], runs[once], classes[once]
-        member, group, counts = different_groups(classes, np.flatnonzero(np.append(True, runs[1:] != runs[:-1])))
-        near = member[may_be_similar(patterns[order[member]], sizes[order[member]].astype(np.int64), counts, percent)]
-        runs, classes = runs[near], classes[near]
-        member, group, counts = different_groups(classes, np.flatnonzero(np.append(True, runs[1:] != runs[:-1])))
-        classes = classes[member]
-        docs, own_rows, lines, own = joined("docs", np.int64), joined("doc_rows", np.int64), joined("doc_lines", np.int32), joined("doc_classes", np.int64)
-        pad = lambda values, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(values.astype(np.int64)), pa.nulls(after, pa.int64())])
-        a, b = len(docs), len(classes)
-        return pa.table({"doc": pad(docs, 0, b), "row": pad(own_rows, 0, b), "line": pad(lines, 0, b), "class": pa.array(np.concatenate([own, classes])), "group": pad(group, a, 0)})
+        order = order[np.lexsort((joined["classes"][order], words[order]))]
+        words, classes = words[order], joined["classes"][order]
+        once = np.append(True, (words[1:] != words[:-1]) | (classes[1:] != classes[:-1]))[: len(words)]
+        order, words, classes = order[once], words[once], classes[once]
+        sizes, places, patterns = joined["sizes"][order].astype(np.int64), joined["places"][order].astype(np.int64), joined["patterns"][order]
+        heads = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(heads, len(words)))
+        group = np.repeat(np.arange(len(counts)), counts)
+        here = np.repeat(counts <= large, counts)
+        names, found = candidate_groups(group[here], classes[here], sizes[here], places[here], patterns[here], percent)
+        left = np.flatnonzero(~here)
+        bucket = table.column("bucket")[0].as_py()
+        columns = {
+            "doc": [joined["docs"], None, None],
+            "row": [joined["doc_rows"], None, None],
+            "line": [joined["doc_lines"], None, None],
+            "class": [joined["doc_classes"], found, classes[left]],
+            "group": [None, names, mix(words[left] ^ mix(np.uint64([bucket % (1 << 62)]))).view(np.int64)],
+            "size": [None, None, sizes[left]],
+            "place": [None, None, places[left]],
+            "pattern": [None, None, patterns[left].view(np.int64)],
+        }
+        lengths = [len(joined["docs"]), len(found), len(left)]
+        return pa.table({n: pa.concat_arrays([pa.nulls(k, pa.int64()) if x is None else pa.array(x.astype(np.int64)) for x, k in zip(own, lengths)]) for n, own in columns.items()})
 
     return meet
 
 
+def parts_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (group, part), from rows sorted by both."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        group, part = batch.column("group").to_numpy(), batch.column("part").to_numpy()
+        starts = np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1])) + 1
+        bounds = [0, *starts.tolist(), len(batch)]
+        for a, b in zip(bounds, bounds[1:]):
+            own = batch.slice(a, b - a)
+            if held and (held[0].column("group")[0] != own.column("group")[0] or held[0].column("part")[0] != own.column("part")[0]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(own)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def groups_of_parts(percent: int):
+    """Groups of candidates (group, class) of large groups' parts, from rows sorted by group and part."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts_in_order(batches):
+            classes, sizes, places, patterns = (rows.column(c).to_numpy() for c in ("class", "size", "place", "pattern"))
+            names, own = candidate_groups(np.zeros(len(rows), np.int64), classes, sizes, places, patterns.view(np.uint64), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(own)], ["group", "class"])
+
+    return found
+
+
 def possible_with_earlier(percent: int):
-    """Of rows sorted by group, part and place: classes not done that patterns let be similar to an earlier one, and those earlier ones."""
+    """Of rows sorted by group, part and place: classes not done that wide patterns let be similar to an earlier one, and those earlier ones."""
 
     def found(rows: pa.Table) -> pa.Table:
-        done, patterns, sizes = (rows.column(c).to_numpy() for c in ("done", "pattern", "size"))
-        patterns, needed = patterns.view(np.uint64), np.zeros(len(rows), bool)
-        for i in np.flatnonzero(~done):
-            differ = np.maximum(np.bitwise_count(patterns[:i] ^ patterns[i]), np.abs(sizes[:i] - sizes[i]))
-            near = differ * (100 + percent) <= (sizes[:i] + sizes[i]) * (100 - percent)
-            if near.any():
-                needed[i] = True
-                needed[:i] |= near
+        done, sizes, needed = rows.column("done").to_numpy(), rows.column("size").to_numpy(), np.zeros(len(rows), bool)
+        bits = [np.frombuffer(x, np.uint64) for x in rows.column("bits").to_pylist()]
+        width = np.array([len(x) for x in bits])
+        stacks = {w: (np.flatnonzero(width == w), np.stack([x for x in bits if len(x) == w])) for w in np.unique(width).tolist()}
+        for i in np.flatnonzero(~done).tolist():
+            for w, (places, patterns) in stacks.items():
+                n = int(np.searchsorted(places, i))
+                least = min(w, int(width[i]))
+                differ = np.bitwise_count(folded(patterns[:n], least) ^ folded(bits[i], least)).sum(axis=1, dtype=np.int64)
+                own = places[:n]
+                near = own[np.maximum(differ, np.abs(sizes[own] - sizes[i])) * (100 + percent) <= (sizes[own] + sizes[i]) * (100 - percent)]
+                if len(near):
+                    needed[i] = True
+                    needed[near] = True
         return rows.filter(pa.array(needed)).select(["group", "part", "at", "class", "done"])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            group, part = batch.column("group").to_numpy(), batch.column("part").to_numpy()
-            starts = np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1])) + 1
-            bounds = [0, *starts.tolist(), len(batch)]
-            out = []
-            for a, b in zip(bounds, bounds[1:]):
-                own = batch.slice(a, b - a)
-                if held and (held[0].column("group")[0] != own.column("group")[0] or held[0].column("part")[0] != own.column("part")[0]):
-                    out.append(found(pa.Table.from_batches(held)))
-                    held = []
-                held.append(own)
-            if out:
-                yield from pa.concat_tables(out).combine_chunks().to_batches()
-        if held:
-            yield from found(pa.Table.from_batches(held)).to_batches()
+        for rows in parts_in_order(batches):
+            yield from found(rows).combine_chunks().to_batches()
 
     return possible
 
@@ -328,7 +393,7 @@ def compare_with_earlier(percent: int):
     return compare
 
 
-def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
+def repeated_lines(rows: DataFrame, percent: int, least_words: int = 1, large: int = LARGE_GROUP, block: int = BLOCK) -> DataFrame:
     """From rows (doc: long, row: long, text): doc, row and ``lines``, the numbers of its lines that repeat earlier ones.
 
     (doc, row) names a document: rows that share it have one text.
@@ -337,15 +402,20 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     levels = spark.sparkContext.broadcast(count_words(rows.select("text")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    met = rows.select("doc", "row", "text").mapInArrow(send_runs(levels, percent, buckets), SENT).groupBy("bucket").applyInArrow(meet_runs(percent), "doc long, row long, line long, class long, group long")
+    met = rows.select("doc", "row", "text").mapInArrow(send_words(levels, percent, max(1, least_words), buckets), SENT).groupBy("bucket").applyInArrow(meet_words(percent, large), MET)
     met = stored(met, "met")
     lines = met.where("group is null").select("doc", "row", "line", "class")
     firsts = stored(lines.groupBy("class").agg(F.min(F.struct("doc", "row", "line")).alias("at"), F.count("*").alias("n")), "firsts")
-    members = met.where("group is not null").select("group", "class").distinct()
-    members = stored(members.join(firsts.select("class", "at"), "class"), "members")
+    members = met.where("group is not null and size is null").select("group", "class")
+    too_large = met.where("size is not null")
+    if not too_large.isEmpty():
+        parts = dealt_in_parts(too_large.select("group", "class", "size", "place", "pattern"), block).withColumn("part", F.col("part").cast("long"))
+        parts = parts.select("group", "part", "class", "size", "place", "pattern").repartition("group", "part").sortWithinPartitions("group", "part")
+        members = members.union(parts.mapInArrow(groups_of_parts(percent), "group long, class long"))
+    members = stored(members.distinct().join(firsts.select("class", "at"), "class"), "members")
 
     # each class goes to the family of the earliest of the groups' earliest lines
-    heads = members.groupBy("group").agg(F.min(F.struct("at", "class")).alias("head"))
+    heads = members.groupBy("group").agg(F.min(F.struct("at", "class")).alias("head"), F.count("*").alias("n"))
     chosen = stored(members.join(heads, "group").groupBy("class", "at").agg(F.min("head").alias("head")), "chosen")
     families = chosen.where(F.col("head.class") != F.col("class")).groupBy(F.col("head.class").alias("hub")).agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("parts"))
     own_parts = families.select(F.col("hub").alias("class"), F.col("parts").alias("own_parts"))
@@ -356,41 +426,23 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     none = F.array().cast("array<struct<family:long,part:int>>")
     wanted = parts.select(F.col("at.doc").alias("doc"), F.col("at.row").alias("row"), F.struct(F.col("at.line").alias("line"), "class", F.concat(F.coalesce(as_member, none), F.coalesce(as_hub, none)).alias("places")).alias("w"))
     wanted = wanted.groupBy("doc", "row").agg(F.collect_list("w").alias("wanted"))  # of one document
-
-    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, n in pieces(batch.column("text")):
-                line, rank, first = line_tokens(batch.column("text").slice(k, n), levels.value)
-                number, heads, sizes = lines_with_sizes(line)
-                out = []
-                for i, wanted in enumerate(batch.column("wanted").slice(k, n).to_pylist()):
-                    for w in wanted:
-                        j = int(np.searchsorted(number, first[i] + w["line"]))
-                        if j < len(number) and number[j] == first[i] + w["line"]:
-                            features = rank[heads[j] : heads[j] + sizes[j]]
-                            if set_class(features) == w["class"]:
-                                pattern = int(parity_patterns(features, np.zeros(1, np.int64)).view(np.int64)[0])
-                                out.append((w["class"], i + k, i + k, w["line"], w["places"], features.tobytes(), pattern, len(features)))
-                docs, own_rows = batch.column("doc"), batch.column("row")
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("family", pa.int64()), ("part", pa.int32())])), pa.binary(), pa.int64(), pa.int64())
-                columns = [list(x) for x in zip(*out)] or [[]] * 8
-                columns[1], columns[2] = [docs[i].as_py() for i in columns[1]], [own_rows[i].as_py() for i in columns[2]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["class", "doc", "row", "line", "places", "features", "pattern", "size"])
-
-    sets = rows.select("doc", "row", "text").join(wanted.hint("merge"), ["doc", "row"]).mapInArrow(features_of, "class long, doc long, row long, line long, places array<struct<family:long,part:int>>, features binary, pattern long, size long")
+    # repeated rows have one text, so one of them is enough
+    sources = rows.select("doc", "row", "text").join(wanted.hint("merge"), ["doc", "row"])
+    sets = sources.mapInArrow(sets_of_lines(levels), "class long, doc long, row long, line long, places array<struct<family:long,part:int>>, features binary, bits binary, size long")
     sets = stored(sets, "sets")
     dealt = sets.select("class", "doc", "row", "line", "features", F.explode("places").alias("p")).select("p.family", "p.part", "doc", "row", "line", "class", "features")
     dealt = dealt.repartition("family", "part").sortWithinPartitions("family", "part", "doc", "row", "line", "class")
     # repeated rows give a class several times; its link with itself says nothing
     decided = stored(dealt.mapInArrow(compare_families(percent), "a long, b long").where("a <> b").select(F.col("b").alias("class")).distinct(), "decided")
 
-    # classes not decided yet against every earlier class of their groups
-    marked = members.join(decided.withColumn("done", F.lit(True)), "class", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    late = marked.join(heads, "group").where(~F.col("done") & (F.col("at") > F.col("head.at"))).select("group").distinct()
-    open_ = stored(marked.join(late, "group", "left_semi").select("group", "class", "at", "done"), "open")
+    # classes not decided yet against every earlier class of their groups; a group of such a class and its hub says nothing new
+    undecided = chosen.select("class", F.col("head.class").alias("hub")).join(decided, "class", "left_anti")
+    late = members.join(undecided, "class").join(heads, "group").where((F.col("at") > F.col("head.at")) & ((F.col("n") > 2) | (F.col("hub") != F.col("head.class"))))
+    open_ = members.join(late.select("group").distinct(), "group", "left_semi").join(decided.withColumn("done", F.lit(True)), "class", "left")
+    open_ = stored(open_.select("group", "class", "at", F.coalesce("done", F.lit(False)).alias("done")), "open")
     features = sets.select("class", "features").dropDuplicates(["class"])
-    marks = sets.select("class", "pattern", "size").dropDuplicates(["class"])
-    parts = dealt_in_parts(open_, BLOCK).join(marks, "class").select("group", F.col("part").cast("long").alias("part"), "at", "class", "done", "pattern", "size")
+    marks = sets.select("class", "bits", "size").dropDuplicates(["class"])
+    parts = dealt_in_parts(open_, block).join(marks, "class").select("group", F.col("part").cast("long").alias("part"), "at", "class", "done", "bits", "size")
     parts = parts.repartition("group", "part").sortWithinPartitions("group", "part", "at")
     kind = "group long, part long, at struct<doc:long,row:long,line:long>, class long, done boolean"
     parts = stored(parts.mapInArrow(possible_with_earlier(percent), kind), "possible")
@@ -404,22 +456,51 @@ def repeated_lines(rows: DataFrame, percent: int) -> DataFrame:
     return repeated.groupBy("doc", "row").agg(F.collect_list("line").alias("lines"))
 
 
+def sets_of_lines(levels):
+    """Words, wide pattern and size of the lines that are wanted of each text, from rows (doc, row, text, wanted)."""
+    place = pa.list_(pa.struct([("family", pa.int64()), ("part", pa.int32())]))
+    kinds = {"class": pa.int64(), "doc": pa.int64(), "row": pa.int64(), "line": pa.int64(), "places": place, "features": pa.binary(), "bits": pa.binary(), "size": pa.int64()}
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, texts = [], []
+            for doc, row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text", "wanted"))):
+                lines = text.split("\n")
+                for w in wanted:
+                    asked.append((doc, row, w))
+                    texts.append(lines[w["line"]])
+            texts, out = pa.array(texts, pa.string()), []
+            for k, n in pieces(texts, PIECE_BYTES):
+                line, rank, _ = line_tokens(texts.slice(k, n), levels.value)
+                number, heads, sizes = lines_with_sizes(line)
+                for i, a, size in zip(number.tolist(), heads.tolist(), sizes.tolist()):
+                    doc, row, w = asked[k + i]
+                    features = rank[a : a + size]
+                    if set_class(features) == w["class"]:
+                        out.append((w["class"], doc, row, w["line"], w["places"], features.tobytes(), parity_bits(features), size))
+            columns = [list(x) for x in zip(*out)] or [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds.values())], list(kinds))
+
+    return sets
+
+
 #: Stands for a null id; such documents come last in the order of lines.
 NO_ID = (1 << 63) - 1
 
 
-def remove_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1) -> DataFrame:
     """``docs`` without the lines that repeat an earlier line; columns and rows stay as they are.
 
-    Lines are split at \\n and ordered by document id and place. A line of at least five different
-    words goes if an earlier line of the input has a Jaccard similarity of ``percent`` or more with it,
-    as sets of words (runs of characters outside x20 and x09-x0D, unchanged). Other lines stay, so do
-    the line breaks between those left. Null texts stay null, empty ones empty; a text may become
-    empty. Rows with a null id come last in the order, each a document of its own. Rows that repeat an
-    id with another text are documents of their own too, in an order that depends on their texts;
-    rows that repeat id and text count as one document.
+    Lines are split at \\n and ordered by document id and place. A line of at least ``least_words``
+    different words (all lines with words, unless given) goes if an earlier line of the input of which
+    that is true has a Jaccard similarity of ``percent`` or more with it, as sets of words (runs of
+    characters outside x20 and x09-x0D, unchanged). Other lines stay, so do the line breaks between
+    those left. Null texts stay null, empty ones empty; a text may become empty. Very long texts are
+    worked on whole. Rows with a null id come last in the order, each a document of its own. Rows that
+    repeat an id with another text are documents of their own too, in an order that depends on their
+    texts; rows that repeat id and text count as one document. An empty table gives no rows.
     """
-    return with_removed(docs, percent, id_col, text_col).drop("__removed", "__doc")
+    return with_removed(docs, percent, id_col, text_col, least_words).drop("__removed", "__doc")
 
 
 def with_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -436,9 +517,9 @@ def with_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return named.unionByName(stored(numbered, "nameless"))
 
 
-def with_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, **options) -> DataFrame:
     rows = with_rows(docs, id_col, text_col)
-    found = repeated_lines(rows.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text")), percent)
+    found = repeated_lines(rows.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text")), percent, least_words, **options)
     found = found.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("lines").alias("__removed"))
     rows = rows.join(found.hint("merge"), ["__doc", "__row"], "left")
     return rows.withColumn(text_col, without_lines(F.col(text_col), F.col("__removed"))).select("__doc", *docs.columns, "__removed")
@@ -455,7 +536,8 @@ def without_lines(text: Column, removed: Column) -> Column:
             out.append(t)
         return pa.array(out, pa.string())
 
-    return F.when(removed.isNull(), text).otherwise(cut(text, removed))
+    # texts of which nothing goes are not sent to Python
+    return F.when(removed.isNull(), text).otherwise(cut(F.when(removed.isNotNull(), text), removed))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -217,17 +217,17 @@ def test_n_best(spark, docs):
 # --- lines
 
 
-def plain_lines(pairs, percent=80):
+def plain_lines(pairs, percent=80, least=1):
     earlier, out = [], {}
     for i, text in pairs:
         kept, gone = [], 0
         for line in (text or "").split("\n"):
             own = frozenset(words_of(line))
-            if len(own) >= 5 and any(100 * len(own & x) >= percent * len(own | x) for x in earlier):
+            if len(own) >= least and any(100 * len(own & x) >= percent * len(own | x) for x in earlier):
                 gone += 1
             else:
                 kept.append(line)
-            if len(own) >= 5:
+            if len(own) >= least:
                 earlier.append(own)
         out[i] = (gone, "\n".join(kept))
     return out
@@ -463,17 +463,56 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_line_patterns_rule_out_no_similar_pair():
-    from pulsegrid.llm.line_dedup import may_be_similar, parity_patterns
-
-    rng = np.random.default_rng(1)
-    for percent in (60, 80, 95):
-        counts, sets, similar = rng.integers(2, 30, 60), [], []
-        for n in counts:
-            base = rng.integers(1, 1 << 62, rng.integers(5, 60), dtype=np.uint64)
-            group = [np.unique(np.append(base[rng.random(len(base)) < rng.choice([0.97, 0.8, 0.4])], base[:1])) for _ in range(n)]
-            similar += [any(i != j and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for j, b in enumerate(group)) for i, a in enumerate(group)]
-            sets += group
-        sizes = np.array([len(x) for x in sets])
-        near = may_be_similar(parity_patterns(np.concatenate(sets), np.cumsum(sizes) - sizes), sizes, counts, percent)
-        assert any(similar) and near[similar].all() and not near.all()
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_line_filters_rule_out_no_similar_pair(percent):
+    from pulsegrid.llm.line_dedup import parity_patterns, possible_pairs, prefix_lengths
+
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(1, 1 << 62, rng.integers(1, 60), dtype=np.uint64)
+        sets += [np.unique(np.append(base[rng.random(len(base)) < rng.choice([0.97, 0.8, 0.4])], base[:1])) for _ in range(rng.integers(2, 12))]
+    sizes = np.array([len(x) for x in sets])
+    patterns = parity_patterns(np.concatenate(sets), np.cumsum(sizes) - sizes)
+    count = prefix_lengths(sizes, percent)
+    owner = np.repeat(np.arange(len(sets)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    _, group = np.unique(np.array([sets[i][j] for i, j in zip(owner, place)]), return_inverse=True)
+    order = np.lexsort((place, sizes[owner], group))
+    owner, place, group = owner[order], place[order], group[order]
+    a, b = possible_pairs(group, sizes[owner], place, patterns[owner], percent)
+    found = {(min(i, j), max(i, j)) for i, j in zip(owner[a].tolist(), owner[b].tolist())}
+    similar = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= percent * (sizes[i] + sizes[j] - n)}
+    assert similar and {(min(p), max(p)) for p in similar} <= found
+
+
+def test_words_that_differ_beyond_the_sort_key_stay_in_order():
+    import pyarrow as pa
+
+    from pulsegrid.llm.line_dedup import CELL_BITS, line_tokens
+
+    levels = np.random.default_rng(3).integers(0, 60, 1 << CELL_BITS).astype(np.uint8)
+    text = "\n".join(" ".join(f"w{(i * j) % 97}" for j in range(20)) for i in range(50))
+    line, rank, first = line_tokens(pa.array([text, None, "", "a a"]), levels)
+    order = np.lexsort((rank, line))
+    assert (order == np.arange(len(order))).all() and len(set(zip(line.tolist(), rank.tolist()))) == len(line)
+    assert first.tolist() == [0, 50, 51, 52, 53]
+
+
+def family_rows(n=60):
+    """A family of near copies, pairs of lines of it that are only similar to each other, and short lines."""
+    r = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(n):
+        own = [w if r.random() > 0.08 else f"{w}v{i}" for w in base]
+        rows.append((i, " ".join(own) + ("\nshort line" if i % 7 == 0 else f"\nline {i}") + "\n\n."))
+    return rows + [(n, "line short\none"), (n + 1, "one one"), (n + 2, "x"), (n + 3, None)]
+
+
+@pytest.mark.parametrize("options", [{}, {"large": 3, "block": 2}, {"large": 10, "block": 7, "least_words": 3}])
+def test_lines_of_families(spark, options):
+    rows = family_rows()
+    found = removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **options)
+    expected = plain_lines(rows, least=options.get("least_words", 1))
+    assert found == sorted((i, n, sha(t)) for i, (n, t) in expected.items())
