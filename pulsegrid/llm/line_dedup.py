@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.partenum_join import BLOCK, compare_families, dealt_in_parts, folded, is_similar, parity_bits, set_class, shared_counts
+from pulsegrid.llm.row_keys import with_rows
 from pulsegrid.llm.scratch import stored
 from pulsegrid.llm.substring_dedup import as_batch, split
 from pulsegrid.llm.word_hashes import WEIGHTS, hash_words, mix, pieces
@@ -41,8 +42,6 @@ CELL_BITS = 22
 RANGE_BITS = 16
 BUCKET_BYTES = 24 << 20
 TASK_BYTES = 8 << 20
-#: Bytes of text that are hashed at once; arrays of that size stay in the processor's cache.
-PIECE_BYTES = 1 << 18
 FAMILY = 4000
 #: Members of a word's group beyond which a bucket leaves its pairs to blocks of their own.
 LARGE_GROUP = 4000
@@ -54,16 +53,10 @@ def count_words(texts: DataFrame) -> np.ndarray:
     """A byte for each cell: twice the base-2 logarithm of its words' count. Each task sends its non-zero cells by ranges."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(1 << CELL_BITS, np.int64), [], 0
+        total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for k, n in pieces(batch.column(0), PIECE_BYTES):
-                held.append((hash_words(batch.column(0).slice(k, n)).hashes >> np.uint64(64 - CELL_BITS)).astype(np.int32))
-                size += len(held[-1])
-                if size >= 1 << CELL_BITS:
-                    total += np.bincount(np.concatenate(held), minlength=1 << CELL_BITS)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=1 << CELL_BITS)
+            for k, n in pieces(batch.column(0)):
+                np.add.at(total, (hash_words(batch.column(0).slice(k, n)).hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         for r in range(1 << (CELL_BITS - RANGE_BITS)):
             part = total[r << RANGE_BITS : (r + 1) << RANGE_BITS]
             at = np.flatnonzero(part)
@@ -229,7 +222,7 @@ def send_words(levels, percent: int, least_words: int, buckets: int):
             return as_batch(rows, SENT)
 
         for batch in batches:
-            for k, n in pieces(batch.column(2), PIECE_BYTES):
+            for k, n in pieces(batch.column(2)):
                 ids, own_rows = (np.array(batch.column(c).slice(k, n).to_pylist(), np.int64) for c in (0, 1))
                 line, rank, first = line_tokens(batch.column(2).slice(k, n), levels.value)
                 number, heads, sizes = lines_with_sizes(line)
@@ -470,7 +463,7 @@ def sets_of_lines(levels):
                     asked.append((doc, row, w))
                     texts.append(lines[w["line"]])
             texts, out = pa.array(texts, pa.string()), []
-            for k, n in pieces(texts, PIECE_BYTES):
+            for k, n in pieces(texts):
                 line, rank, _ = line_tokens(texts.slice(k, n), levels.value)
                 number, heads, sizes = lines_with_sizes(line)
                 for i, a, size in zip(number.tolist(), heads.tolist(), sizes.tolist()):
@@ -484,10 +477,6 @@ def sets_of_lines(levels):
     return sets
 
 
-#: Stands for a null id; such documents come last in the order of lines.
-NO_ID = (1 << 63) - 1
-
-
 def remove_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1) -> DataFrame:
     """``docs`` without the lines that repeat an earlier line; columns and rows stay as they are.
 
@@ -503,20 +492,6 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc
     return with_removed(docs, percent, id_col, text_col, least_words).drop("__removed", "__doc")
 
 
-def with_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with __doc, which orders them, and __row, which tells documents of one __doc apart.
-
-    __row is a hash of the text; rows with a null id get a number instead and are stored, so that it stays theirs.
-    """
-    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    named = docs.where(doc.isNotNull()).withColumns({"__doc": doc, "__row": F.xxhash64(text)})
-    nameless = docs.where(doc.isNull())
-    if nameless.select(id_col).isEmpty():
-        return named
-    numbered = nameless.withColumns({"__doc": F.lit(NO_ID).cast("long"), "__row": F.monotonically_increasing_id()})
-    return named.unionByName(stored(numbered, "nameless"))
-
-
 def with_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, **options) -> DataFrame:
     rows = with_rows(docs, id_col, text_col)
     found = repeated_lines(rows.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text")), percent, least_words, **options)
@@ -528,13 +503,16 @@ def with_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
 def without_lines(text: Column, removed: Column) -> Column:
     @F.arrow_udf("string")
     def cut(texts: pa.Array, numbers: pa.Array) -> pa.Array:
-        out = []
-        for t, gone in zip(texts.to_pylist(), numbers.to_pylist()):
-            if t and gone:
-                gone = set(gone)
-                t = "\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone)
-            out.append(t)
-        return pa.array(out, pa.string())
+        out = [pa.nulls(0, pa.string())]
+        for k in range(0, len(texts), 256):  # few texts at once as Python strings
+            own = []
+            for t, gone in zip(texts.slice(k, 256).to_pylist(), numbers.slice(k, 256).to_pylist()):
+                if t and gone:
+                    gone = set(gone)
+                    t = "\n".join(line for i, line in enumerate(t.split("\n")) if i not in gone)
+                own.append(t)
+            out.append(pa.array(own, pa.string()))
+        return pa.concat_arrays(out)
 
     # texts of which nothing goes are not sent to Python
     return F.when(removed.isNull(), text).otherwise(cut(F.when(removed.isNotNull(), text), removed))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.components import connected_components
+from pulsegrid.llm.row_keys import NO_ID, with_rows
 from pulsegrid.llm.scratch import stored
 from pulsegrid.llm.substring_dedup import as_batch, pmod, split
 from pulsegrid.llm.word_hashes import WEIGHTS, hash_words, mix, pieces, sequences
@@ -140,7 +141,7 @@ def set_class(features: np.ndarray) -> int:
     return int(value.view(np.int64)[0])
 
 
-SENT = "bucket long, signatures binary, classes binary, docs binary, sizes binary, doc_classes binary"
+SENT = "bucket long, signatures binary, classes binary, docs binary, doc_rows binary, sizes binary, doc_classes binary"
 
 
 def send_signatures(scheme: PartEnum, words: int, buckets: int):
@@ -156,14 +157,14 @@ def send_signatures(scheme: PartEnum, words: int, buckets: int):
                     rows.append({"bucket": bucket, "signatures": values[own].tobytes(), "classes": owners[own].tobytes()})
             if docs:
                 table = np.array(docs, np.int64)
-                for bucket, own in split(pmod(table[:, 0], buckets), np.arange(len(table))):
-                    rows.append({"bucket": bucket, "docs": table[own, 0].tobytes(), "sizes": table[own, 1].tobytes(), "doc_classes": table[own, 2].tobytes()})
+                for bucket, own in split(pmod(table[:, 0] ^ mix(table[:, 1].astype(np.uint64)).view(np.int64), buckets), np.arange(len(table))):
+                    rows.append({"bucket": bucket, "docs": table[own, 0].tobytes(), "doc_rows": table[own, 1].tobytes(), "sizes": table[own, 2].tobytes(), "doc_classes": table[own, 3].tobytes()})
             return as_batch(rows, SENT)
 
         for batch in batches:
-            for i, features in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words)):
+            for i, row, features in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), words)):
                 own = set_class(features) if len(features) else 0
-                docs.append((i, len(features), own))
+                docs.append((i, row, len(features), own))
                 if len(features) and own not in seen:
                     seen.add(own)
                     signatures.append(scheme.signatures(features))
@@ -197,10 +198,10 @@ def meet(table: pa.Table) -> pa.Table:
         group, hub, classes = np.repeat(group[first], n).view(np.int64), np.repeat(classes[heads[first]], n), classes[member]
     else:
         group = hub = np.zeros(0, np.int64)
-    docs, sizes, own = joined("docs", np.int64), joined("sizes", np.int64), joined("doc_classes", np.int64)
+    docs, rows, sizes, own = joined("docs", np.int64), joined("doc_rows", np.int64), joined("sizes", np.int64), joined("doc_classes", np.int64)
     pad = lambda values, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(values, pa.int64()), pa.nulls(after, pa.int64())])
     a, b = len(docs), len(classes)
-    return pa.table({"doc": pad(docs, 0, b), "size": pad(sizes, 0, b), "class": pa.array(np.concatenate([own, classes]), pa.int64()), "group": pad(group, a, 0), "hub": pad(hub, a, 0)})
+    return pa.table({"doc": pad(docs, 0, b), "row": pad(rows, 0, b), "size": pad(sizes, 0, b), "class": pa.array(np.concatenate([own, classes]), pa.int64()), "group": pad(group, a, 0), "hub": pad(hub, a, 0)})
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -370,18 +371,18 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
     """
     spark = docs.sparkSession
     scheme = PartEnum(percent)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    named = rows.withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
+    rows = with_rows(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")), "doc", "text")
+    rows = rows.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    met = named.mapInArrow(send_signatures(scheme, words, buckets), SENT).groupBy("bucket").applyInArrow(meet, "doc long, size long, class long, group long, hub long")
+    met = rows.mapInArrow(send_signatures(scheme, words, buckets), SENT).groupBy("bucket").applyInArrow(meet, "doc long, row long, size long, class long, group long, hub long")
     met = stored(met, "met")
-    of_docs = met.where("group is null").select("doc", "size", "class")
+    of_docs = met.where("group is null").select("doc", "row", "size", "class")
     members = met.where("group is not null").select("group", "class", "hub")
 
     # each class goes to the family of the least class that it meets; hubs of large families go to each part
     hubs = members.groupBy("class").agg(F.min("hub").alias("hub"))
-    classes = of_docs.where("size > 0").groupBy("class").agg(F.min("doc").alias("doc"), F.first("size").alias("size"))
+    classes = of_docs.where("size > 0").groupBy("class").agg(F.min(F.struct("doc", "row")).alias("first"), F.first("size").alias("size"))
     chosen = stored(hubs.join(classes, "class"), "chosen")
     families = chosen.where("hub <> class").groupBy("hub").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("parts"))
     own_parts = families.select(F.col("hub").alias("class"), F.col("parts").alias("own_parts"))
@@ -390,18 +391,22 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
     as_member = F.when(F.col("hub") != F.col("class"), F.array(place(F.col("hub"), F.pmod(F.xxhash64("class"), F.col("parts")), 1)))
     as_hub = F.when(F.col("own_parts").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("own_parts") - 1), lambda p: place(F.col("class"), p, 0)))
     none = F.array().cast("array<struct<family:long,part:int,rank:int>>")
-    places = parts.select("doc", "class", F.concat(F.coalesce(as_member, none), F.coalesce(as_hub, none)).alias("places"))
+    places = parts.select(F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), "class", F.concat(F.coalesce(as_member, none), F.coalesce(as_hub, none)).alias("places"))
 
     def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            found = list(shingle_sets(batch.column("text"), words))
-            meant = pa.array([i for i, (x, own) in enumerate(zip(found, batch.column("class").to_pylist())) if set_class(x) == own], pa.int64())
-            features = pa.array([found[i].tobytes() for i in meant.to_pylist()], pa.binary())
-            bits = pa.array([parity_bits(found[i]) for i in meant.to_pylist()], pa.binary())
+            found, meant = list(shingle_sets(batch.column("text"), words)), []
+            for i, own in enumerate(batch.column("class").to_pylist()):
+                if own != last and set_class(found[i]) == own:  # repeated rows stand beside each other
+                    meant.append(i)
+                last = own
+            features = pa.array([found[i].tobytes() for i in meant], pa.binary())
+            bits = pa.array([parity_bits(found[i]) for i in meant], pa.binary())
+            meant = pa.array(meant, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("class").take(meant), batch.column("places").take(meant), features, bits], ["class", "places", "features", "bits"])
 
-    # a repeated id may stand for several texts: the class tells which
-    sets = named.join(places.hint("merge"), "doc").select("class", "places", "text")
+    sets = rows.join(places.hint("merge"), ["doc", "row"]).select("class", "places", "text")
     sets = sets.mapInArrow(features_of, "class long, places array<struct<family:long,part:int,rank:int>>, features binary, bits binary")
     sets = stored(sets, "sets")
     dealt = sets.select("class", "features", F.explode("places").alias("p")).select("p.family", "p.part", "p.rank", "class", "features")
@@ -431,13 +436,9 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
 
     # back to documents
     to_class = classes.join(joined.withColumnRenamed("node", "class"), "class", "left")
-    to_class = to_class.select("class", "doc", F.coalesce("component", "class").alias("component"))
-    least = to_class.groupBy("component").agg(F.min("doc").alias("component_id"))
+    to_class = to_class.select("class", "first", F.coalesce("component", "class").alias("component"))
+    least = to_class.groupBy("component").agg(F.min("first.doc").alias("component_id"))
     of_class = stored(to_class.join(least, "component").select("class", "component_id"), "component-of-class")
     out = of_docs.join(of_class, "class", "left")
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return out.select(back("doc").alias("doc_id"), F.col("size").alias("n_shingles"), back("component_id").alias("found"), "size").select("doc_id", "n_shingles", F.when(F.col("size") > 0, F.col("found")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-#: Stands for a null id.
-NO_ID = (1 << 63) - 1

@@ -10,7 +10,7 @@ chosen for each stratum (a language) on labelled documents:
   ``error / (strata * rules)``, by the exact binomial distribution (the Clopper-Pearson bound).
 * Testing stops at the first failure (fixed-sequence testing), and the levels are split over all
   strata and rules (Bonferroni). So with probability 1 - ``error`` all passing cutoffs hold at once,
-  and a stratum loses at most the share ``risk`` of its good documents.
+  and the rules lose at most the share ``risk`` of a stratum's good documents that pass the base rules.
 * Of the cutoffs that passed, the one that rejects the most bad beyond good documents is taken, the
   most lenient on ties. A rule with none, or none that gains, is off in that stratum.
 """
@@ -208,15 +208,17 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, settings: RuleSettings
 
 
 def keep_good_documents(docs: DataFrame, labels: DataFrame, settings: RuleSettings = RuleSettings()) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they are.
+    """The rows of ``docs`` that pass, with their columns as they are, whatever their names.
 
-    Rows and statistics are written to the shared folder once: a filter on them would otherwise have
-    Spark work them out again for each use.
+    Documents with a null or empty text fail. Rows with a null id or language are judged with the
+    stratum of other languages, repeated rows each by themselves, very long texts whole. An empty table
+    stays empty; without labels only the base rules decide. Rows and statistics are written to the
+    shared folder once: a filter on them would otherwise have Spark work them out again for each use.
     """
     from pulsegrid.llm.scratch import stored
 
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), stratum(F.col("lang"), settings).alias("stratum"), "text")
-    rows = stored(base_statistics(whole).drop("text"), "statistics")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), stratum(F.col("lang"), settings).alias("stratum"))
+    rows = stored(base_statistics(whole, "row.text"), "statistics")
     labelled = rows.select(F.col("row.doc_id").alias("doc_id"), "stratum", "stat").join(good_documents(labels), "doc_id").where(~base_failed(F.col("stat")))
     judged = with_verdict(rows, choose_cutoffs(labelled, settings), settings)
     return judged.where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -99,17 +99,24 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("array<struct<start:int,kind:string,stop:int>>")
     def scan(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"start": a, "kind": KINDS[k], "stop": b} for a, k, b in find_secrets(t)] if t else [] for t in texts.to_pylist()], kinds)
+        few = (texts.slice(k, 256).to_pylist() for k in range(0, len(texts), 256))
+        found = (find_secrets(t) if t else [] for own in few for t in own)
+        return pa.array([[{"start": a, "kind": KINDS[k], "stop": b} for a, k, b in spans] for spans in found], kinds)
 
     return docs.withColumn("secrets", scan(F.col(text_col).cast("string")))
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """Replaces each secret in the text by ``mask``; overlapping spans become one. Null texts stay null."""
+    """Replaces each secret in the text by ``mask``; overlapping spans become one.
+
+    Null texts stay null, empty ones empty; rows, their order and other columns stay. Very long texts are
+    worked on whole.
+    """
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
-        return pa.array([mask_text(t, mask) if t else t for t in texts.to_pylist()], pa.string())
+        few = (texts.slice(k, 256).to_pylist() for k in range(0, len(texts), 256))
+        return pa.concat_arrays([pa.nulls(0, pa.string()), *(pa.array([mask_text(t, mask) if t else t for t in own], pa.string()) for own in few)])
 
     return docs.withColumn(text_col, masked(F.col(text_col).cast("string")))
 

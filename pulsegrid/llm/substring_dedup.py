@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.row_keys import NO_ID, with_rows
 from pulsegrid.llm.word_hashes import hash_words, mix, pieces, sequences
 
 #: Bytes of text whose suffixes a task merges before it sends them, and bytes of text for each bucket.
 TASK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 
-SENT = "bucket long, anchors binary, docs binary, places binary, counts binary, steps binary, low binary, high binary, own binary, own_places binary"
+SENT = "bucket long, anchors binary, docs binary, rows binary, places binary, counts binary, steps binary, low binary, high binary, own binary, own_rows binary, own_places binary"
 
 
 def anchors_of(hashes: np.ndarray, first: np.ndarray, window: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,13 +48,13 @@ def anchors_of(hashes: np.ndarray, first: np.ndarray, window: int, anchor_words:
 
 
 def send_suffixes(window: int, anchor_words: int, buckets: int):
-    """Rows for SENT from (doc_id, text): suffixes by bucket, and places already known to be repeats."""
+    """Rows for SENT from (doc, row, text): suffixes by bucket, and places already known to be repeats."""
 
-    def of_chunk(held: list[tuple[int, np.ndarray]]) -> Iterator[dict]:
-        held.sort(key=lambda x: x[0])
-        ids = np.array([i for i, _ in held], np.int64)
-        first = np.concatenate([[0], np.cumsum([len(h) for _, h in held])])
-        hashes = np.concatenate([h for _, h in held]) if held else np.zeros(0, np.uint64)
+    def of_chunk(held: list[tuple[int, int, np.ndarray]]) -> Iterator[dict]:
+        held.sort(key=lambda x: x[:2])
+        ids, own_rows = (np.array([x[j] for x in held], np.int64) for j in (0, 1))
+        first = np.concatenate([[0], np.cumsum([len(h) for *_, h in held])])
+        hashes = np.concatenate([h for *_, h in held]) if held else np.zeros(0, np.uint64)
         starts, at, anchors = anchors_of(hashes, first, window, anchor_words)
         if not len(starts):
             return
@@ -68,8 +69,8 @@ def send_suffixes(window: int, anchor_words: int, buckets: int):
         repeat = np.zeros(len(order), bool)
         repeat[order] = ids[text[order]] > ids[text[leader]]
         place = starts - first[text]
-        for bucket, rows in split(pmod(ids[text], buckets), np.flatnonzero(repeat)):
-            yield {"bucket": bucket, "own": ids[text[rows]].tobytes(), "own_places": place[rows].astype(np.int32).tobytes()}
+        for bucket, rows in split(bucket_of_row(ids[text], own_rows[text], buckets), np.flatnonzero(repeat)):
+            yield {"bucket": bucket, "own": ids[text[rows]].tobytes(), "own_rows": own_rows[text[rows]].tobytes(), "own_places": place[rows].astype(np.int32).tobytes()}
         rows = np.flatnonzero(~repeat)
         # one record for the windows of an anchor
         new = np.ones(len(rows), bool)
@@ -86,6 +87,7 @@ def send_suffixes(window: int, anchor_words: int, buckets: int):
                 "bucket": bucket,
                 "anchors": anchors[head].tobytes(),
                 "docs": ids[text[head]].tobytes(),
+                "rows": own_rows[text[head]].tobytes(),
                 "places": (at[head] - first[text[head]]).astype(np.int32).tobytes(),
                 "counts": n.astype(np.uint8).tobytes(),
                 "steps": (at[member] - starts[member]).astype(np.uint8).tobytes(),
@@ -96,11 +98,11 @@ def send_suffixes(window: int, anchor_words: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, own_rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for k, n in pieces(texts):
                 words = hash_words(texts.slice(k, n))
                 size += int(words.offsets[-1])
-                held += [(i, words.hashes[a:b]) for i, a, b in zip(ids[k : k + n], words.first[:-1], words.first[1:]) if i is not None and b - a >= window]
+                held += [(i, row, words.hashes[a:b]) for i, row, a, b in zip(ids[k : k + n], own_rows[k : k + n], words.first[:-1], words.first[1:]) if b - a >= window]
                 if size >= TASK_BYTES:
                     yield as_batch(of_chunk(held), SENT)
                     held, size = [], 0
@@ -120,6 +122,10 @@ def pmod(values: np.ndarray, n: int) -> np.ndarray:
     return (mix(values.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
+def bucket_of_row(docs: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    return pmod(docs ^ mix(rows.astype(np.uint64)).view(np.int64), n)
+
+
 def split(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The rows of each key, in their order."""
     order = rows[np.argsort(keys[rows], kind="stable")]
@@ -132,7 +138,7 @@ def split(keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]
 def repeats_of_bucket(table: pa.Table, buckets: int) -> pa.Table:
     """Of one bucket's subtrees: documents and starts of their windows that a smaller document has, by buckets of documents."""
     joined = lambda name, dtype: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
-    anchors, docs, places, counts = joined("anchors", np.uint64), joined("docs", np.int64), joined("places", np.int32), joined("counts", np.uint8).astype(np.int64)
+    anchors, docs, rows, places, counts = joined("anchors", np.uint64), joined("docs", np.int64), joined("rows", np.int64), joined("places", np.int32), joined("counts", np.uint8).astype(np.int64)
     at = np.cumsum(counts) - counts
     order = np.argsort(anchors, kind="stable")
     same = anchors[order[1:]] == anchors[order[:-1]]
@@ -145,42 +151,48 @@ def repeats_of_bucket(table: pa.Table, buckets: int) -> pa.Table:
     step = joined("steps", np.uint8)[member]
     code = joined("low", np.uint32)[member].astype(np.uint64) | joined("high", np.uint8)[member].astype(np.uint64) << np.uint64(32)
     leaf = mix(np.repeat(anchors[chosen], n) ^ mix(code | step.astype(np.uint64) << np.uint64(40)))
-    doc = np.repeat(docs[chosen], n)
+    doc, row = np.repeat(docs[chosen], n), np.repeat(rows[chosen], n)
     place = np.repeat(places[chosen], n) - step
     order = np.lexsort((doc, leaf))  # leaves of the subtrees, smallest document first
-    leaf, doc, place = leaf[order], doc[order], place[order]
+    leaf, doc, row, place = leaf[order], doc[order], row[order], place[order]
     fresh = np.ones(len(leaf), bool)
     fresh[1:] = leaf[1:] != leaf[:-1]
     least = doc[np.maximum.accumulate(np.where(fresh, np.arange(len(leaf)), 0))] if len(leaf) else doc
     repeat = doc > least
     doc = np.concatenate([doc[repeat], joined("own", np.int64)])
+    row = np.concatenate([row[repeat], joined("own_rows", np.int64)])
     place = np.concatenate([place[repeat], joined("own_places", np.int32)]).astype(np.int32)
-    parts = [(bucket, doc[rows].tobytes(), place[rows].tobytes()) for bucket, rows in split(pmod(doc, buckets), np.arange(len(doc)))]
-    return pa.table({"bucket": pa.array([x[0] for x in parts], pa.int64()), "docs": pa.array([x[1] for x in parts], pa.binary()), "places": pa.array([x[2] for x in parts], pa.binary())})
+    parts = [(bucket, *(x[own].tobytes() for x in (doc, row, place))) for bucket, own in split(bucket_of_row(doc, row, buckets), np.arange(len(doc)))]
+    return pa.table({"bucket": pa.array([x[0] for x in parts], pa.int64())} | {name: pa.array([x[j] for x in parts], pa.binary()) for j, name in enumerate(("docs", "rows", "places"), 1)})
 
 
 def places_of_documents(table: pa.Table) -> pa.Table:
     """Of a bucket of documents: a row for each, with its places sorted."""
-    doc, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("docs", np.int64), ("places", np.int32)))
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    doc, row, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("docs", np.int64), ("rows", np.int64), ("places", np.int32)))
+    order = np.lexsort((place, row, doc))
+    doc, row, place = doc[order], row[order], place[order]
+    heads = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))) if len(doc) else np.zeros(0, np.int64)
     ends = np.append(heads[1:], len(doc))
-    return pa.table({"doc_id": pa.array(doc[heads], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary())})
+    return pa.table({"doc": pa.array(doc[heads], pa.int64()), "row": pa.array(row[heads], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary())})
+
+
+def own_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, row (see ``with_rows``), doc_id and text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_rows(rows, "doc_id", "text").select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), "doc_id", "text")
 
 
-def repeated_windows(docs: DataFrame, window: int = 13, anchor_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``places`` (binary, 32-bit starts of windows, in words) of what a smaller document has too.
+def repeated_windows(rows: DataFrame, window: int = 13, anchor_words: int = 5) -> DataFrame:
+    """From ``own_rows``: doc, row and ``places`` (binary, 32-bit starts of windows, in words) of what a smaller document has too.
 
     A row for each such document. Documents with a null id are neither searched nor sources.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    sent = rows.mapInArrow(send_suffixes(window, anchor_words, buckets), SENT)
-    found = sent.groupBy("bucket").applyInArrow(lambda t: repeats_of_bucket(t, buckets), "bucket long, docs binary, places binary")
-    return found.groupBy("bucket").applyInArrow(places_of_documents, "doc_id long, places binary")
+    sent = rows.where(F.col("doc") != NO_ID).select("doc", "row", "text").mapInArrow(send_suffixes(window, anchor_words, buckets), SENT)
+    found = sent.groupBy("bucket").applyInArrow(lambda t: repeats_of_bucket(t, buckets), "bucket long, docs binary, rows binary, places binary")
+    return found.groupBy("bucket").applyInArrow(places_of_documents, "doc long, row long, places binary")
 
 
 def covered(places: bytes, n_words: int, window: int) -> np.ndarray:
@@ -193,19 +205,14 @@ def covered(places: bytes, n_words: int, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def with_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (doc_id, text) with ``places``: all starts of its repeated windows, null if there are none."""
-    rows = docs.select(F.col(options.get("id_col", "doc_id")).cast("long").alias("doc_id"), F.col(options.get("text_col", "text")).cast("string").alias("text"))
-    return rows.join(repeated_windows(docs, **options).hint("merge"), "doc_id", "left")
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, anchor_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and text: the words left, joined by one space.
 
     A word goes if a window that covers it also starts in a document with a smaller id; windows are
     judged on the input. A null or empty text has no words and gives an empty text; a text of fewer
-    words than a window stays. Ids should be unique: rows that repeat an id count as one document and
-    each loses what was found for any. Other columns are left out. An empty table gives no rows.
+    words than a window stays, one with a null id too; very long texts are worked on whole. Rows that
+    repeat an id are each judged by their own text; neither has the smaller id. Other columns are left
+    out. An empty table gives no rows.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +230,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, **options) -> DataFrame:
                 texts.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
-    return with_repeats(docs, window=window, **options).mapInArrow(apply, "doc_id long, n_words long, n_removed long, text string")
+    rows = own_rows(docs, id_col, text_col)
+    joined = rows.join(repeated_windows(rows, window, anchor_words).hint("merge"), ["doc", "row"], "left").select("doc_id", "text", "places")
+    return joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, text string")
 
 
-def maximal_repeats(docs: DataFrame, window: int = 13, **options) -> DataFrame:
-    """doc_id, start, stop (in words, stop exclusive): the maximal runs of words under repeated windows."""
+def maximal_repeats(docs: DataFrame, window: int = 13, anchor_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, stop (in words, stop exclusive): the maximal runs of words under repeated windows, of each row."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +250,7 @@ def maximal_repeats(docs: DataFrame, window: int = 13, **options) -> DataFrame:
                     stops.append(int(run[-1]) + window)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], ["doc_id", "start", "stop"])
 
-    return repeated_windows(docs, window=window, **options).mapInArrow(spans, "doc_id long, start long, stop long")
+    return repeated_windows(own_rows(docs, id_col, text_col), window, anchor_words).select("doc", "places").mapInArrow(spans, "doc_id long, start long, stop long")
 
 
 def removal_digest(kept: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def byte_characters() -> dict[int, str]:
 class TextEncoder(dict):
     """Maps a word to its ids as little-endian bytes; at most ``limit`` words and as many units are kept."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -74,7 +74,9 @@ class TextEncoder(dict):
         low = word.lower()
         if PLAIN.fullmatch(word) and not any(t in low for t in self.added):
             core = low.rstrip(".,")
-            if core.isalpha():
+            if core == word:  # one string and one list of ids for both tables
+                packed = self._unit(word) if core.isalpha() else b"".join(map(self._unit, UNIT.findall(low)))
+            elif core.isalpha():
                 packed = self._unit(core)
                 if len(core) < len(low):
                     packed += self._unit(low[len(core) :])

@@ -297,6 +297,32 @@ def test_lines_of_low_percents(spark, percent):
     assert found == sorted((i, n, sha(t)) for i, (n, t) in plain_lines(rows, percent).items())
 
 
+# --- repeated passages and near copies of rows without a name of their own
+
+
+def test_repeats_are_judged_by_row(spark):
+    from pulsegrid.llm.substring_dedup import maximal_repeats, remove_repeats
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (2, f"{a} {c}"), (2, b), (2, b), (None, a), (None, f"{b} x"), (3, f"y {b}"), (4, None), (5, "")]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    expected = [(1, 20, 0, a), (2, 40, 20, c), (2, 20, 0, b), (2, 20, 0, b), (None, 20, 0, a), (None, 21, 0, f"{b} x"), (3, 21, 20, "y"), (4, 0, 0, ""), (5, 0, 0, "")]
+    assert collections.Counter(map(tuple, found)) == collections.Counter(expected)
+    spans = maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, spans)) == [(2, 0, 20), (3, 1, 21)]
+
+
+def test_near_copies_of_rows_without_a_name(spark):
+    from pulsegrid.llm.partenum_join import near_duplicate_components
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(None, a)] * 3 + [(None, b), (7, f"{a} end"), (7, b), (7, b), (3, f"{b} end"), (None, None), (9, "")]
+    found = near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == collections.Counter(
+        [(None, 57, 7)] * 3 + [(None, 57, 3), (7, 58, 7), (7, 57, 3), (7, 57, 3), (3, 58, 3), (None, 0, None), (9, 0, 9)]
+    )
+
+
 # --- secrets
 
 
