@@ -15,8 +15,17 @@ def modulus(bits: Column) -> Column:
 
 
 def interval_cs(now: Column, before: Column) -> Column:
-    """Hundredths of a second between two uptimes; a 64-bit wrap counts on, and 0 becomes 1."""
-    return F.greatest(F.pmod(now.cast(D) - before.cast(D), F.lit("18446744073709551616").cast(D)), F.lit(1).cast(D)).cast("long")
+    """Hundredths of a second between two uptimes for sar-compatible output: a 64-bit wrap counts on, and 0 becomes 1.
+
+    As decimal(20,0): a clock that goes back gives nearly 2^64.
+    """
+    return F.greatest(F.pmod(now.cast(D) - before.cast(D), F.lit("18446744073709551616").cast(D)), F.lit(1).cast(D)).cast("decimal(20,0)")
+
+
+def native_interval_cs(now: Column, before: Column) -> Column:
+    """Hundredths of a second between two uptimes; 0 where no time passed or the clock went back, which is never made a length."""
+    apart = now.cast(D) - before.cast(D)
+    return F.when((apart > 0) & (apart < F.lit(1 << 62).cast(D)), apart).otherwise(F.lit(0).cast(D)).cast("long")
 
 
 def wrapping_delta(now: Column, before: Column, bits: Column) -> Column:
@@ -33,7 +42,7 @@ def clamped_rate(now: Column, before: Column, elapsed_cs: Column) -> Column:
 
 
 def classified_delta(now: Column, before: Column, bits: Column, first: Column, restart: Column, replaced: Column, elapsed_cs: Column) -> Column:
-    """struct(delta, wrapped, reason): why there is no delta, in the order of the checks."""
+    """struct(delta, wrapped, reason): why there is no delta, in the order of the checks. ``delta`` is decimal(20,0)."""
     reason = (
         F.when(first, "first_sample")
         .when(restart, "restart")
@@ -41,7 +50,7 @@ def classified_delta(now: Column, before: Column, bits: Column, first: Column, r
         .when(elapsed_cs <= 0, "non_positive_elapsed")
         .when((now < before) & (bits == 64), "ambiguous_decrease")
     )
-    delta = F.when(reason.isNull(), wrapping_delta(now, before, bits)).cast("long")
+    delta = F.when(reason.isNull(), wrapping_delta(now, before, bits)).cast("decimal(20,0)")
     return F.struct(delta.alias("delta"), (reason.isNull() & (now < before)).alias("wrapped"), reason.alias("reason"))
 
 

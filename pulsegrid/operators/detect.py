@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.series import SERIES, hit_runs, longest_run
+from pulsegrid.operators.series import hit_runs, longest_run, series_of
 
 #: Defaults of the detector.
 DEVIATION_RATIO = 8.0
@@ -22,18 +22,18 @@ PROMOTION_SAMPLES, PROMOTION_SECONDS = 3, 1800
 
 def verdicts(points: DataFrame, hit: Column, least_s: int) -> DataFrame:
     """observed / not_observed / undetermined for a condition that must hold for ``least_s`` seconds, with its longest run."""
-    seen = points.groupBy(*SERIES).agg(F.count("value").alias("observations"))
-    run = longest_run(points, hit).select(*SERIES, "seconds", "start_ust", "end_ust", "points")
+    seen = points.groupBy(*series_of(points)).agg(F.count("value").alias("observations"))
+    run = longest_run(points, hit).select(*series_of(points), "seconds", "start_ust", "end_ust", "points")
     verdict = F.when(F.col("observations") == 0, "undetermined").when(F.col("seconds") >= least_s, "observed").otherwise("not_observed")
-    return seen.join(run, SERIES, "left").withColumn("verdict", verdict)
+    return seen.join(run, series_of(points), "left").withColumn("verdict", verdict)
 
 
 def baselines(points: DataFrame) -> DataFrame:
     """Median, raw MAD and the state of the dispersion of each series: too few samples, flat, too sparse or measured."""
-    rows = points.where(F.col("value").isNotNull()).select(*SERIES, "value")
-    centre = rows.groupBy(*SERIES).agg(F.count("*").alias("n"), F.median("value").alias("median"))
-    apart = rows.join(centre, SERIES).withColumn("apart", F.abs(F.col("value") - F.col("median")))
-    out = apart.groupBy(*SERIES).agg(F.first("n").alias("n"), F.first("median").alias("median"), F.median("apart").alias("mad"), F.count_if(F.col("apart") > 0).alias("off_centre"))
+    rows = points.where(F.col("value").isNotNull()).select(*series_of(points), "value")
+    centre = rows.groupBy(*series_of(points)).agg(F.count("*").alias("n"), F.median("value").alias("median"))
+    apart = rows.join(centre, series_of(points)).withColumn("apart", F.abs(F.col("value") - F.col("median")))
+    out = apart.groupBy(*series_of(points)).agg(F.first("n").alias("n"), F.first("median").alias("median"), F.median("apart").alias("mad"), F.count_if(F.col("apart") > 0).alias("off_centre"))
     needed = F.floor((F.col("n") * OFF_CENTRE_PERCENT + 99) / 100)
     state = F.when(F.col("n") < LEAST_SAMPLES, "insufficient_samples").when(F.col("mad") == 0, "not_measurable").when(F.col("off_centre") < needed, "too_sparse").otherwise("measured")
     return out.withColumn("state", state)
@@ -41,16 +41,16 @@ def baselines(points: DataFrame) -> DataFrame:
 
 def deviations(points: DataFrame, floor: float, ratio: float = DEVIATION_RATIO) -> DataFrame:
     """Runs of points whose distance from the median is ``ratio`` MADs and ``floor`` or more, for measured series."""
-    known = baselines(points).where("state = 'measured'").select(*SERIES, "median", "mad")
-    rows = points.join(known, SERIES)
+    known = baselines(points).where("state = 'measured'").select(*series_of(points), "median", "mad")
+    rows = points.join(known, series_of(points))
     apart = F.abs(F.col("value") - F.col("median"))
     return hit_runs(rows, (apart >= ratio * F.col("mad")) & (apart >= floor))
 
 
 def absolute_departures(points: DataFrame, floor: float) -> DataFrame:
     """The same by the floor alone, where no dispersion can be measured."""
-    known = baselines(points).where("state in ('not_measurable', 'too_sparse')").select(*SERIES, "median")
-    return hit_runs(points.join(known, SERIES), F.abs(F.col("value") - F.col("median")) >= floor)
+    known = baselines(points).where("state in ('not_measurable', 'too_sparse')").select(*series_of(points), "median")
+    return hit_runs(points.join(known, series_of(points)), F.abs(F.col("value") - F.col("median")) >= floor)
 
 
 def window_shifts(points: DataFrame, width: int, least: float) -> DataFrame:
@@ -58,7 +58,7 @@ def window_shifts(points: DataFrame, width: int, least: float) -> DataFrame:
 
     All 2 * width points must follow each other in time.
     """
-    order = Window.partitionBy(*SERIES).orderBy("end_ust")
+    order = Window.partitionBy(*series_of(points)).orderBy("end_ust")
     rows = points.where(F.col("value").isNotNull())
     rows = rows.withColumns(
         {
@@ -73,10 +73,10 @@ def window_shifts(points: DataFrame, width: int, least: float) -> DataFrame:
     middle = lambda a: (F.get(F.array_sort(a), F.lit((width - 1) // 2)) + F.get(F.array_sort(a), F.lit(width // 2))) / 2
     full = rows.where((F.size("before") == width) & (F.size("after") == width) & (F.col("gaps") == F.col("to_ust") - F.col("from_ust")))
     full = full.withColumns({"level_before": middle("before"), "level_after": middle("after")}).withColumn("shift", F.col("level_after") - F.col("level_before"))
-    hits = full.where(F.abs("shift") >= least).select(*SERIES, "n", "start_ust", "level_before", "level_after", "shift")
-    island = F.col("n") - F.row_number().over(Window.partitionBy(*SERIES).orderBy("n"))
-    best = Window.partitionBy(*SERIES, "island").orderBy(F.abs("shift").desc(), "n")
-    return hits.withColumn("island", island).withColumn("r", F.row_number().over(best)).where("r = 1").select(*SERIES, "start_ust", "level_before", "level_after", "shift")
+    hits = full.where(F.abs("shift") >= least).select(*series_of(points), "n", "start_ust", "level_before", "level_after", "shift")
+    island = F.col("n") - F.row_number().over(Window.partitionBy(*series_of(points)).orderBy("n"))
+    best = Window.partitionBy(*series_of(points), "island").orderBy(F.abs("shift").desc(), "n")
+    return hits.withColumn("island", island).withColumn("r", F.row_number().over(best)).where("r = 1").select(*series_of(points), "start_ust", "level_before", "level_after", "shift")
 
 
 def standing(found: DataFrame, first_ust: Column, last_ust: Column) -> DataFrame:
@@ -84,25 +84,62 @@ def standing(found: DataFrame, first_ust: Column, last_ust: Column) -> DataFrame
     return found.withColumn("standing", (F.col("end_ust") - F.col("start_ust")) * 100 >= (last_ust - first_ust) * STANDING_PERCENT)
 
 
-def episodes(found: DataFrame, gap_s: int, span_cap_s: int) -> DataFrame:
-    """Groups detections of a host by onset: a new episode where the next onset is later than ``gap_s`` after
+def episode_limits(points: DataFrame) -> DataFrame:
+    """One row: ``gap_s``, twice the 90th percentile of the sampling interval but 1800 s at most, and ``span_cap_s``,
 
-    the last one or ``span_cap_s`` after the episode's first. The cap depends on where the episode began,
-    so each host's detections (few beside its points) are folded in order.
+    a quarter of the input's span or four gaps, whichever is longer.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_ust", "end_ust", "item"]).reset_index(drop=True)
-        number, first, last, out = 0, None, None, []
-        for at in rows["start_ust"]:
-            if first is None or at - last > gap_s or at - first > span_cap_s:
-                number, first = number + 1, at
-            last = at
-            out.append(number)
-        return rows.assign(episode=out)
-
-    kept = found.select("host", "item", "start_ust", "end_ust")
-    return kept.groupBy("host").applyInPandas(fold, "host string, item string, start_ust long, end_ust long, episode long")
+    step = F.col("end_ust") - F.col("start_ust")
+    steps = points.where(step > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n"))  # few different lengths
+    order = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = steps.withColumns({"run": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy())})
+    p90 = ranked.agg(F.min(F.when(F.col("run") * 10 >= F.col("all") * 9, F.col("step"))).alias("p90"))
+    span = points.agg((F.max("end_ust") - F.min("start_ust")).alias("span"))
+    gap = F.least(F.col("p90") * GAP_FACTOR, F.lit(GAP_CAP))
+    return p90.crossJoin(span).select(gap.alias("gap_s"), F.greatest(F.floor(F.col("span") / 4), gap * 4).alias("span_cap_s"))  # one row each
+
+
+def marks_before(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """``found`` with the numbers of its host's ``marks`` (host, ust) up to the onset and up to the end."""
+    own = [F.col(c) for c in found.columns]
+    looks = found.select("host", F.struct(*own).alias("d"), F.explode(F.array(F.struct(F.col("start_ust").alias("t"), F.lit(0).alias("end")), F.struct(F.col("end_ust").alias("t"), F.lit(1).alias("end")))).alias("x"))
+    looks = looks.select("host", "d", "x.t", "x.end", F.lit(0).alias("mark"))
+    both = looks.unionByName(marks.select("host", F.col("ust").alias("t"), F.lit(1).alias("mark")), allowMissingColumns=True)
+    past = Window.partitionBy("host").orderBy("t", F.col("mark").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = both.withColumn("n", F.sum("mark").over(past)).where("mark = 0")
+    counted = counted.groupBy("host", "d").agg(F.max(F.when(F.col("end") == 0, F.col("n"))).alias("marks_on"), F.max(F.when(F.col("end") == 1, F.col("n"))).alias("marks_end"))
+    return counted.select("d.*", "marks_on", "marks_end")
+
+
+def episodes(found: DataFrame, gap_s: int, span_cap_s: int, marks: DataFrame | None = None) -> DataFrame:
+    """Groups detections of a host by onset. A new episode begins where the next onset is later than ``gap_s`` after
+
+    the last one or ``span_cap_s`` after the episode's first, or where one of ``marks`` (host, ust: restarts
+    and other discontinuities) lies after the episode's first onset and not after the end of what it would
+    cover. Windows cut at gaps; cap and marks depend on where an episode began, so each stretch without a
+    gap is folded in order. ``episode`` counts within the host.
+    """
+    keys = series_of(found)
+    rest = [c for c in keys if c != "host"]
+    order = Window.partitionBy("host").orderBy("start_ust", "end_ust", *rest)
+    rows = found.select(*keys, "start_ust", "end_ust").distinct()
+    zero = F.lit(0).cast("long")
+    rows = marks_before(rows, marks) if marks is not None else rows.withColumns({"marks_on": zero, "marks_end": zero})
+    cut = F.coalesce(F.col("start_ust") - F.lag("start_ust").over(order) > gap_s, F.lit(True))
+    rows = rows.withColumn("stretch", F.sum(cut.cast("long")).over(order))
+    kinds = dict(rows.dtypes)
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["start_ust", "end_ust", *rest]).reset_index(drop=True)
+        first, seen, covered, fresh = None, 0, 0, []
+        for at, on, end in zip(part["start_ust"], part["marks_on"], part["marks_end"]):
+            fresh.append(first is None or at - first > span_cap_s or max(covered, end) > seen)
+            first, seen, covered = (at, on, end) if fresh[-1] else (first, seen, max(covered, end))
+        return part[[*keys, "start_ust", "end_ust"]].assign(fresh=fresh)
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", start_ust long, end_ust long, fresh boolean"
+    folded = rows.groupBy("host", "stretch").applyInPandas(fold, schema)
+    return folded.withColumn("episode", F.sum(F.col("fresh").cast("long")).over(order)).drop("fresh")
 
 
 def sufficiency(points: Column, needed: int, missing: Column) -> Column:
@@ -116,51 +153,73 @@ def priority(base: Column, points: Column, seconds: Column, thin: Column, level_
     return F.greatest(base + F.when(lasts, 1).otherwise(0) - F.when(thin, 1).otherwise(0), F.lit(0))
 
 
-def level_shifts(points: DataFrame, least: float) -> DataFrame:
-    """Level shifts of each series, in pandas: the width of a window depends on the series' own interval.
+#: Points in a block of a series that one call looks at.
+SHIFT_BLOCK = 4096
+
+
+def shift_width(points: DataFrame) -> DataFrame:
+    """``width`` of a series: points in half an hour by the upper median of its intervals, five at least."""
+    keys = series_of(points)
+    steps = points.groupBy(*keys, (F.col("end_ust") - F.col("start_ust")).alias("step")).agg(F.count("*").alias("n"))
+    past = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = steps.withColumns({"run": F.sum("n").over(past), "all": F.sum("n").over(Window.partitionBy(*keys))})
+    median = ranked.groupBy(*keys).agg(F.min(F.when(F.col("run") > F.floor(F.col("all") / 2), F.col("step"))).alias("step"))
+    return median.where("step > 0").select(*keys, F.greatest(F.ceil(F.lit(SHIFT_SECONDS) / F.col("step")), F.lit(SHIFT_POINTS)).cast("int").alias("width"))
+
+
+def level_shifts(points: DataFrame, least: float, block: int = SHIFT_BLOCK) -> DataFrame:
+    """Level shifts of each series; the width of a window depends on the series' own interval.
 
     For each split into ``width`` points before and after that follow each other in time: the shift is
     the difference of the medians; what the windows' own slope explains of it is taken off and never
     added. Shift and step must reach ``least``, 70 % of the points after must lie that far on the same
     side of the level before, and the step must be three times the scatter around the two levels where
     there is any. Of adjacent splits the strongest stays; ties go to the steadier, then the earlier.
+    Series are cut into blocks of ``block`` splits with ``width`` points more at both ends, so no task
+    holds a whole series.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=["value"]).sort_values("end_ust").reset_index(drop=True)
-        columns = ["host", "item", "start_ust", "shift", "normalized"]
-        steps = sorted((rows["end_ust"] - rows["start_ust"]).tolist())
-        if not steps or steps[len(steps) // 2] <= 0:
+    keys = series_of(points)
+    known = points.where(F.col("value").isNotNull()).select(*keys, "start_ust", "end_ust", "value")
+    rows = known.join(shift_width(known), keys).withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("end_ust")) - 1)
+    number = lambda c: F.floor(F.greatest(c, F.lit(0)) / block)
+    rows = rows.withColumn("block", F.explode(F.sequence(number(F.col("n") - F.col("width")), number(F.col("n") + F.col("width")))))
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n").reset_index(drop=True)
+        width, size = int(part["width"][0]), len(part)
+        starts, ends, values, n = (part[c].to_numpy() for c in ("start_ust", "end_ust", "value", "n"))
+        names = [part[c][0] for c in keys]
+        columns = [*keys, "n", "start_ust", "shift", "normalized", "strength", "stays"]
+        if size < 2 * width:
+            return pd.DataFrame(columns=columns)
+        views = lambda x: np.lib.stride_tricks.sliding_window_view(x, width)
+        times, half = (starts + ends) / 2, width // 2
+        joined = np.append(0, np.cumsum(np.append(True, starts[1:] == ends[:-1])))
+        split = np.arange(width, size - width + 1)
+        own = (n[split] // block == part["block"][0]) & (joined[split + width] - joined[split - width + 1] == 2 * width - 1)
+        split = split[own]
+        if not len(split):
             return pd.DataFrame(columns=columns)
-        width = max(-(-SHIFT_SECONDS // steps[len(steps) // 2]), SHIFT_POINTS)
-        starts, ends, values = (rows[c].to_numpy() for c in ("start_ust", "end_ust", "value"))
-        times = (starts + ends) / 2
-        joined = np.append(True, starts[1:] == ends[:-1])
-
-        def slope(part: slice) -> float:
-            v, t, half = values[part], times[part], width // 2
-            return (np.median(v[-half:]) - np.median(v[:half])) / (np.median(t[-half:]) - np.median(t[:half]))
-
-        best, last = [], None
-        for i in range(width, len(rows) - width + 1):
-            old, new = slice(i - width, i), slice(i, i + width)
-            if not joined[i - width + 1 : i + width].all():
-                continue
-            level = np.median(values[old])
-            shift = np.median(values[new]) - level
-            explained = (slope(old) + slope(new)) / 2 * (np.median(times[new]) - np.median(times[old]))
-            step = shift if explained * shift <= 0 else np.sign(shift) * max(abs(shift) - abs(explained), 0.0)
-            stays = ((values[new] - level) * np.sign(shift) >= least).mean()
-            scatter = np.median(np.abs(np.concatenate([values[old] - level, values[new] - level - shift]))) * MAD_SCALE
-            normalized = abs(step) / scatter if scatter else np.inf
-            if min(abs(shift), abs(step)) < least or stays < PERSISTENCE or normalized < SHIFT_NORMALIZED:
-                continue
-            one = (normalized if scatter else abs(step) / least, stays, -i, shift, normalized)
-            if last == i - 1:
-                best[-1] = max(best[-1], one)
-            else:
-                best.append(one)
-            last = i
-        return pd.DataFrame([(rows["host"][0], rows["item"][0], int(starts[-i]), float(s), float(n)) for _, _, i, s, n in best], columns=columns)
-
-    return points.select("host", "item", "start_ust", "end_ust", "value").groupBy(*SERIES).applyInPandas(fold, "host string, item string, start_ust long, shift double, normalized double")
+        v, t = views(values), views(times)
+        old, new, old_t, new_t = v[split - width], v[split], t[split - width], t[split]
+        median = lambda x: np.median(x, axis=1)
+        slope = lambda x, at: (median(x[:, -half:]) - median(x[:, :half])) / (median(at[:, -half:]) - median(at[:, :half]))
+        level = median(old)
+        shift = median(new) - level
+        explained = (slope(old, old_t) + slope(new, new_t)) / 2 * (median(new_t) - median(old_t))
+        step = np.where(explained * shift <= 0, shift, np.sign(shift) * np.maximum(np.abs(shift) - np.abs(explained), 0.0))
+        stays = ((new - level[:, None]) * np.sign(shift)[:, None] >= least).mean(axis=1)
+        scatter = median(np.abs(np.concatenate([old - level[:, None], new - (level + shift)[:, None]], axis=1))) * MAD_SCALE
+        normalized = np.abs(step) / np.where(scatter > 0, scatter, np.nan)
+        normalized = np.where(scatter > 0, normalized, np.inf)
+        hit = (np.minimum(np.abs(shift), np.abs(step)) >= least) & (stays >= PERSISTENCE) & (normalized >= SHIFT_NORMALIZED)
+        strength = np.where(scatter > 0, normalized, np.abs(step) / least)
+        at = split[hit]
+        return pd.DataFrame({c: [x] * len(at) for c, x in zip(keys, names)} | {"n": n[at], "start_ust": starts[at], "shift": shift[hit], "normalized": normalized[hit], "strength": strength[hit], "stays": stays[hit]}, columns=columns)
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n long, start_ust long, shift double, normalized double, strength double, stays double"
+    hits = rows.groupBy(*keys, "block").applyInPandas(fold, schema)
+    island = F.col("n") - F.row_number().over(Window.partitionBy(*keys).orderBy("n"))
+    best = Window.partitionBy(*keys, "island").orderBy(F.col("strength").desc(), F.col("stays").desc(), "n")
+    return hits.withColumn("island", island).withColumn("r", F.row_number().over(best)).where("r = 1").select(*keys, "start_ust", "shift", "normalized")

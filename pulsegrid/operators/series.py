@@ -1,4 +1,8 @@
-"""Operators on points: one row per series and interval (host, item, segment, start_ust, end_ust, elapsed_cs, value, reason)."""
+"""Operators on points: one row per series and interval (host, activity, item, field, segment, start_ust, end_ust, elapsed_cs, value, reason).
+
+A series is named by those of the columns of ``SERIES`` that a table has: the reader's samples have all
+four, tables of one activity and field may leave these out.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +11,34 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import counters
 
-SERIES = ["host", "item"]
+SERIES = ["host", "activity", "item", "field"]
+
+
+def series_of(rows: DataFrame) -> list[str]:
+    """The columns that name a series of ``rows``."""
+    return [c for c in SERIES if c in rows.columns]
 
 
 def deltas(samples: DataFrame, raw: str = "raw", bits: str = "bits") -> DataFrame:
     """Each sample against the one before of its series: delta, wrapped, reason, elapsed_cs.
 
-    Rows with a reason have no delta. A series that misses the sample before counts as replaced.
+    Rows with a reason have no delta. A series that misses the sample before counts as replaced, and so
+    does one that begins after the first sample of its host's activity (the least of a group, one row for
+    each, which Spark broadcasts where it is small). Equal uptimes and ones that go back have no length.
     """
-    order = Window.partitionBy(*SERIES).orderBy("sample_id")
+    keys = series_of(samples)
+    group = [c for c in ("host", "activity") if c in keys]
+    order = Window.partitionBy(*keys).orderBy("sample_id")
     before = {c: F.lag(c).over(order) for c in (raw, "uptime_cs", "segment", "sample_id", "ust")}
     rows = samples.withColumns({f"__{c}": x for c, x in before.items()})
-    first = F.col("__sample_id").isNull()
-    restart = F.col("__segment") != F.col("segment")
-    replaced = F.col("__sample_id") != F.col("sample_id") - 1
-    elapsed = F.when(first | restart | replaced, F.lit(0).cast("long")).otherwise(counters.interval_cs(F.col("uptime_cs"), F.col("__uptime_cs")))
-    rows = rows.withColumn("elapsed_cs", elapsed)
-    found = counters.classified_delta(F.col(raw), F.col(f"__{raw}"), F.col(bits), first, restart, replaced, elapsed)
-    rows = rows.withColumn("d", found).withColumns({"start_ust": F.coalesce("__ust", "ust"), "end_ust": F.col("ust"), "delta": F.col("d.delta"), "wrapped": F.col("d.wrapped"), "reason": F.col("d.reason")})
+    rows = rows.join(samples.groupBy(*group).agg(F.min("sample_id").alias("__least")), group)
+    alone = F.col("__sample_id").isNull()
+    first = alone & (F.col("sample_id") == F.col("__least"))
+    restart = ~alone & (F.col("__segment") != F.col("segment"))
+    replaced = alone | (F.col("__sample_id") != F.col("sample_id") - 1)
+    elapsed = F.when(first | restart | replaced, F.lit(0).cast("long")).otherwise(counters.native_interval_cs(F.col("uptime_cs"), F.col("__uptime_cs")))
+    found = counters.classified_delta(F.col(raw), F.col(f"__{raw}"), F.col(bits), first, restart, replaced, F.col("elapsed_cs"))
+    rows = rows.withColumn("elapsed_cs", elapsed).withColumn("d", found).drop("__least").withColumns({"start_ust": F.coalesce("__ust", "ust"), "end_ust": F.col("ust"), "delta": F.col("d.delta"), "wrapped": F.col("d.wrapped"), "reason": F.col("d.reason")})
     return rows.drop("d", *(f"__{c}" for c in before))
 
 
@@ -35,18 +49,18 @@ def rates(points: DataFrame) -> DataFrame:
 
 def with_segments(points: DataFrame) -> DataFrame:
     """``run_segment``: counts on where a point doesn't start at the end of the one before, or a discontinuity stands."""
-    order = Window.partitionBy(*SERIES).orderBy("end_ust")
+    order = Window.partitionBy(*series_of(points)).orderBy("end_ust")
     cut = F.coalesce(F.col("start_ust") != F.lag("end_ust").over(order), F.lit(True)) | (F.col("elapsed_cs") <= 0)
     return points.withColumn("__cut", cut.cast("int")).withColumn("run_segment", F.sum("__cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__cut")
 
 
 def hit_runs(points: DataFrame, hit: Column) -> DataFrame:
     """Maximal runs of adjacent points that hold ``hit``: start, end, points, seconds, least and greatest value."""
-    order = Window.partitionBy(*SERIES).orderBy("end_ust")
+    order = Window.partitionBy(*series_of(points)).orderBy("end_ust")
     rows = points.where(hit & F.col("value").isNotNull() & (F.col("elapsed_cs") > 0))
     new = F.coalesce(F.col("start_ust") != F.lag("end_ust").over(order), F.lit(True))
     rows = rows.withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*SERIES, "__run").agg(
+    return rows.groupBy(*series_of(points), "__run").agg(
         F.min("start_ust").alias("start_ust"),
         F.max("end_ust").alias("end_ust"),
         F.count("*").alias("points"),
@@ -59,7 +73,7 @@ def hit_runs(points: DataFrame, hit: Column) -> DataFrame:
 
 def longest_run(points: DataFrame, hit: Column) -> DataFrame:
     """The longest run of each series; the earliest on ties."""
-    rank = Window.partitionBy(*SERIES).orderBy(F.col("seconds").desc(), "start_ust")
+    rank = Window.partitionBy(*series_of(points)).orderBy(F.col("seconds").desc(), "start_ust")
     return hit_runs(points, hit).withColumn("__r", F.row_number().over(rank)).where("__r = 1").drop("__r")
 
 
@@ -73,7 +87,7 @@ def summarize(points: DataFrame) -> DataFrame:
     """A row per series: period rate over valid intervals, means, extrema with their first time, last value, coverage."""
     valid = F.col("value").isNotNull()
     seconds = lambda c: F.coalesce(F.sum(F.when(c, F.col("elapsed_cs"))), F.lit(0))
-    return points.groupBy(*SERIES).agg(
+    return points.groupBy(*series_of(points)).agg(
         F.count("*").alias("points"),
         F.count("value").alias("observed"),
         (F.count("*") - F.count("value")).alias("missing"),
@@ -93,22 +107,22 @@ def period_rate(points: DataFrame) -> DataFrame:
     """Sum of deltas over sum of their time: not a mean of rates."""
     ok = F.col("reason").isNull()
     num, den = F.sum(F.when(ok, F.col("delta"))), F.sum(F.when(ok, F.col("elapsed_cs")))
-    return points.groupBy(*SERIES).agg(num.alias("delta_sum"), den.alias("elapsed_cs"), counters.per_second(num, den).alias("rate"))
+    return points.groupBy(*series_of(points)).agg(num.alias("delta_sum"), den.alias("elapsed_cs"), counters.per_second(num, den).alias("rate"))
 
 
-def weighted_percentile(points: DataFrame, q: float, weight: str, cap: int = 200_000) -> DataFrame:
-    """Exact weighted nearest rank: the first value whose running weight reaches ceil(q * total). Above ``cap`` values: null.
+def weighted_percentile(points: DataFrame, q: float, weight: str, cap: int | None = None) -> DataFrame:
+    """Exact weighted nearest rank: the first value whose running weight reaches ceil(q * total). Above ``cap`` values, if given: null.
 
     ``q`` is in thousandths, so the rank is computed in whole numbers.
     """
     thousandths = round(q * 1000)
     rows = points.where(F.col("value").isNotNull() & (F.col(weight) > 0))
-    by_value = rows.groupBy(*SERIES, "value").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
-    order = Window.partitionBy(*SERIES).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*SERIES)
+    by_value = rows.groupBy(*series_of(points), "value").agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
+    order = Window.partitionBy(*series_of(points)).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*series_of(points))
     ranked = by_value.withColumns({"run": F.sum("w").over(order), "total": F.sum("w").over(whole), "all": F.sum("n").over(whole)})
     need = F.floor((F.col("total") * thousandths + 999) / 1000)
-    return ranked.groupBy(*SERIES).agg(F.when(F.max("all") <= cap, F.min(F.when(F.col("run") >= need, F.col("value")))).alias("percentile"))
+    return ranked.groupBy(*series_of(points)).agg(F.when(F.lit(cap is None) | (F.max("all") <= (cap or 0)), F.min(F.when(F.col("run") >= need, F.col("value")))).alias("percentile"))
 
 
 def in_daily_window(ust: Column, start_s: int, end_s: int) -> Column:
@@ -132,12 +146,12 @@ def align(points: DataFrame, start: Column, end: Column, step: int) -> DataFrame
     b0 = F.col("g0") + F.col("bucket") * step
     weight = F.least("hi", F.least(b0 + step, F.col("g1"))) - F.greatest("lo", b0)
     rows = rows.withColumn("w", weight)
-    return rows.groupBy(*SERIES, "bucket").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"), F.sum("w").cast("long").alias("overlap_s"))
+    return rows.groupBy(*series_of(points), "bucket").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"), F.sum("w").cast("long").alias("overlap_s"))
 
 
 def hold_last(buckets: DataFrame, limit: int) -> DataFrame:
     """Fills up to ``limit`` buckets after a value with it; expects a row per bucket, null where nothing was seen."""
-    order = Window.partitionBy(*SERIES).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*series_of(buckets)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(F.when(F.col("value").isNotNull(), F.struct("bucket", "value")), ignorenulls=True).over(order)
     rows = buckets.withColumn("__s", seen)
     return rows.withColumn("filled", F.when(F.col("bucket") - F.col("__s.bucket") <= limit, F.col("__s.value"))).drop("__s")
@@ -145,7 +159,7 @@ def hold_last(buckets: DataFrame, limit: int) -> DataFrame:
 
 def linear_fill(buckets: DataFrame, limit: int) -> DataFrame:
     """Straight lines over gaps of at most ``limit`` buckets."""
-    w = Window.partitionBy(*SERIES).orderBy("bucket")
+    w = Window.partitionBy(*series_of(buckets)).orderBy("bucket")
     known = F.when(F.col("value").isNotNull(), F.struct("bucket", "value"))
     rows = buckets.withColumns({"__a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
     gap = F.col("__b.bucket") - F.col("__a.bucket")
@@ -156,8 +170,8 @@ def linear_fill(buckets: DataFrame, limit: int) -> DataFrame:
 def merged_windows(spans: DataFrame, context: int) -> DataFrame:
     """Spans (item, start_ust, end_ust) widened by ``context`` seconds, overlapping ones as one."""
     rows = spans.withColumns({"lo": F.col("start_ust") - context, "hi": F.col("end_ust") + context})
-    w = Window.partitionBy(*SERIES).orderBy("lo", "hi")
+    w = Window.partitionBy(*series_of(spans)).orderBy("lo", "hi")
     past = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("__n", F.coalesce(F.col("lo") > past, F.lit(True)).cast("int"))
     rows = rows.withColumn("__g", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*SERIES, "__g").agg(F.min("lo").alias("start_ust"), F.max("hi").alias("end_ust"), F.count("*").alias("spans")).drop("__g")
+    return rows.groupBy(*series_of(spans), "__g").agg(F.min("lo").alias("start_ust"), F.max("hi").alias("end_ust"), F.count("*").alias("spans")).drop("__g")

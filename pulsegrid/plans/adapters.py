@@ -65,10 +65,10 @@ lagged as (
   select *, lag(raw) over w as raw_b, lag(raw32) over w as raw32_b, lag(cum) over w as cum_b, lag(segment) over w as segment_b, lag(sample_id) over w as sample_b, lag(ust) over w as ust_b, lag(uptime_cs) over w as up_b
   from samples window w as (partition by host, item order by sample_id)),
 timed as (
-  select *, case when sample_b is null then 'first_sample' when segment_b <> segment then 'restart' when sample_b <> sample_id - 1 then 'item_replaced' end as broken from lagged),
+  select *, case when sample_b is null and sample_id = (select min(sample_id) from samples) then 'first_sample' when sample_b is null then 'item_replaced' when segment_b <> segment then 'restart' when sample_b <> sample_id - 1 then 'item_replaced' when uptime_cs <= up_b then 'non_positive_elapsed' end as broken from lagged),
 points as (
-  select host, item, segment, sample_id, coalesce(ust_b, ust) as start_ust, ust as end_ust, case when broken is null then greatest(uptime_cs - up_b, 1) else 0 end as elapsed_cs,
-    case when broken is null then raw - raw_b end as delta, broken as reason, case when broken is null then cast(raw - raw_b as double) / cast(greatest(uptime_cs - up_b, 1) as double) * 100 end as value
+  select host, item, segment, sample_id, coalesce(ust_b, ust) as start_ust, ust as end_ust, case when broken is null then uptime_cs - up_b else 0 end as elapsed_cs,
+    case when broken is null then raw - raw_b end as delta, broken as reason, case when broken is null then cast(raw - raw_b as double) / cast(uptime_cs - up_b as double) * 100 end as value
   from timed)"""
 )
 

@@ -39,8 +39,13 @@ base as (select *, case when n < 12 then 'insufficient_samples' when mad = 0 the
 """
 
 
+def with_long(rows):
+    """Deltas as long, which the values of these tables fit."""
+    return rows.withColumn("delta", F.col("delta").cast("long"))
+
+
 def deltas(spark, d):
-    return series.deltas(ad.samples(spark, d))
+    return with_long(series.deltas(ad.samples(spark, d)))
 
 
 def points(spark, d):
@@ -52,7 +57,7 @@ def points(spark, d):
 
 @query(S + "select item, sample_id, case when broken is null then ((raw32 - raw32_b) % 4294967296 + 4294967296) % 4294967296 end as delta, broken is null and raw32 < raw32_b as wrapped, broken as reason from timed")
 def delta_wrap32(spark, d):
-    return series.deltas(ad.samples(spark, d), "raw32", "bits32").select("item", "sample_id", "delta", F.coalesce("wrapped", F.lit(False)).alias("wrapped"), "reason")
+    return with_long(series.deltas(ad.samples(spark, d), "raw32", "bits32")).select("item", "sample_id", "delta", F.coalesce("wrapped", F.lit(False)).alias("wrapped"), "reason")
 
 
 @query(S + "select item, sample_id, delta, elapsed_cs, reason from points")

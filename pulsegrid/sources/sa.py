@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,17 +24,46 @@ MAGIC_SIZE, ACTIVITY_SIZE, RECORD_SIZE, COMMENT_SIZE, EXTRA_SIZE = 76, 36, 24, 6
 STATS, RESTART, LAST_STATS, COMMENT = 1, 2, 3, 4
 SELF_DESCRIBING = 0x2175
 FIXED_FORMATS = {0x216F: "8.1.1..8.1.2", 0x1170: "9.0.4", 0x2170: "..9.1.5", 0x2171: "9.1.6..10.2.x", 0x2173: "10.3.1..11.6.x", 0x2175: "11.7.x..12.8.x"}
-#: Names of the fields of an item, in the order of the file: 64-bit, long, 32-bit.
+#: Of each activity: its name, how its items are named, and the fields of an item in the order of the file (64-bit, long, 32-bit).
+#: Items are named by position (``cpu``: all, cpu0, ...), by the text after the fields (``text``), by device number (``disk``) or not (``one``).
 FIELDS = {
-    1: ("CPU", ["user", "nice", "sys", "idle", "iowait", "steal", "irq", "soft", "guest", "gnice"]),
-    2: ("PCSW", ["cswch", "proc"]),
-    4: ("SWAP", ["pswpin", "pswpout"]),
-    5: ("PAGE", ["pgpgin", "pgpgout", "fault", "majflt", "pgfree", "pgscank", "pgscand", "pgsteal"]),
-    6: ("IO", ["tps", "rtps", "wtps", "bread", "bwrtn", "dtps", "bdscd"]),
+    1: ("CPU", "cpu", "user nice sys idle iowait steal irq soft guest gnice"),
+    2: ("PCSW", "one", "cswch proc"),
+    3: ("IRQ", "text", "intr"),
+    4: ("SWAP", "one", "pswpin pswpout"),
+    5: ("PAGE", "one", "pgpgin pgpgout fault majflt pgfree pgscank pgscand pgsteal pgprom pgdem"),
+    6: ("IO", "one", "tps rtps wtps bread bwrtn dtps bdscd"),
+    7: ("MEMORY", "one", "kbmemfree kbbuffers kbcached kbmemtotal kbswpfree kbswptotal kbswpcad kbcommit kbactive kbinact kbdirty kbanonpg kbslab kbkstack kbpgtbl kbvmused kbavail kbshmem"),
+    8: ("KTABLES", "one", "file_nr inode_nr dentunusd pty_nr"),
+    9: ("QUEUE", "one", "runq_sz blocked plist_sz ldavg_1 ldavg_5 ldavg_15"),
+    10: ("SERIAL", "index", "rcvin xmtin framerr prtyerr brk ovrun line"),
+    11: ("DISK", "disk", "tps wwn_high wwn_low read_sectors write_sectors discard_sectors read_ticks write_ticks tot_ticks rq_ticks major minor discard_ticks partition_nr"),
+    12: ("NET_DEV", "text", "rxpck_per_sec txpck_per_sec rx_bytes_per_sec tx_bytes_per_sec rxcmp_per_sec txcmp_per_sec rxmcst_per_sec speed"),
+    13: ("NET_EDEV", "text", "coll_per_sec rxerr_per_sec txerr_per_sec rxdrop_per_sec txdrop_per_sec rxfifo_per_sec txfifo_per_sec rxfram_per_sec txcarr_per_sec"),
+    14: ("NET_NFS", "one", "call_per_sec retrans_per_sec read_per_sec write_per_sec access_per_sec getatt_per_sec"),
+    16: ("NET_SOCK", "one", "totsck tcpsck tcp_tw udpsck rawsck ip_frag"),
+    30: ("PWR_CPU", "cpu", "mhz"),
+    31: ("PWR_FAN", "index", "rpm rpm_min"),
+    32: ("PWR_TEMP", "index", "temp_celsius temp_min temp_max"),
+    34: ("HUGE", "one", "kbhugfree kbhugtotal kbhugrsvd kbhugsurp"),
+    37: ("FS", "text", "fs_total fs_free fs_available inodes_total inodes_free"),
+    39: ("NET_SOFT", "cpu", "total_per_sec dropd_per_sec squeezd_per_sec rx_rps_per_sec flw_lim_per_sec blg_len"),
+    40: ("PSI_CPU", "one", "scpu scpu_10 scpu_60 scpu_300"),
+    41: ("PSI_IO", "one", "sio fio sio_10 sio_60 sio_300 fio_10 fio_60 fio_300"),
+    42: ("PSI_MEM", "one", "smem fmem smem_10 smem_60 smem_300 fmem_10 fmem_60 fmem_300"),
 }
+#: Bytes of the text that names an item.
+NAME_SIZES = {"IRQ": 8, "NET_DEV": 16, "NET_EDEV": 16, "FS": 128}
+#: Most items, slots of an item and bytes of an item that a file may declare.
+MOST_ITEMS, MOST_SLOTS, MOST_BYTES = 1 << 17, 4096, 8192
+BATCH_VALUES = 100_000
 
-SAMPLES = "path string, host string, segment long, sample_id long, ust long, uptime_cs long, activity string, item int, field string, raw decimal(20,0), bits int"
+SAMPLES = "path string, host string, segment long, sample_id long, ust long, uptime_cs decimal(20,0), activity string, item string, field string, raw decimal(20,0), bits int"
 EVENTS = "path string, host string, ust long, kind string, cpu_count int, text string"
+HEADERS = "path string, host string, sysname string, release string, machine string, format int, ust long, hz long, cpus long, year int, month int, day int, long_size int, activities string"
+RECORDS = "path string, host string, number long, segment long, kind int, ust long, uptime_cs decimal(20,0), hour int, minute int, second int, offset long"
+SKIPPED = "path string, reason string"
+SCHEMAS = {"samples": SAMPLES, "events": EVENTS, "headers": HEADERS, "records": RECORDS, "skipped": SKIPPED}
 
 
 class BadFile(ValueError):
@@ -43,10 +75,20 @@ def text_of(raw: bytes) -> str:
 
 
 class Decoder:
-    """One file's bytes. ``lenient``: a cut-off tail ends the file; else it is an error."""
+    """One file's bytes. ``lenient``: a cut-off tail ends the file; else it is an error.
 
-    def __init__(self, data: bytes, lenient: bool = True):
-        self.data, self.lenient = data, lenient
+    ``activities`` and ``fields``, if given, are the names of those wanted; others are skipped by their size.
+    """
+
+    def __init__(self, data: bytes, lenient: bool = True, activities: set[str] | None = None, fields: set[str] | None = None):
+        self.data, self.lenient, self.wanted, self.fields = data, lenient, activities, fields
+        try:
+            self._open()
+        except struct.error as error:
+            raise BadFile("the head is cut off") from error
+
+    def _open(self) -> None:
+        data = self.data
         if len(data) < MAGIC_SIZE:
             raise BadFile("shorter than its magic")
         for order in "<>":
@@ -67,12 +109,16 @@ class Decoder:
         self.day, self.month, self.long_size = data[at + 64], data[at + 65], data[at + 66]
         names = [text_of(data[at + 67 + 65 * k : at + 132 + 65 * k]) for k in range(4)]
         self.sysname, self.nodename, self.release, self.machine = names
-        if activity_size < ACTIVITY_SIZE or record_size < RECORD_SIZE or activities > 4096:
+        if not ACTIVITY_SIZE <= activity_size <= 1024 or not RECORD_SIZE <= record_size <= 1024 or activities > 4096:
             raise BadFile("structure sizes")
         self.record_size, at = record_size, MAGIC_SIZE + header_size
         self.activities = []
         for _ in range(activities):
-            self.activities.append(struct.unpack_from(order + "IIiiiiIII", data, at))
+            own = struct.unpack_from(order + "IIiiiiIII", data, at)
+            name, _, nr, nr2, _, size, *types = own
+            if not 0 <= nr <= MOST_ITEMS or not 1 <= nr2 <= MOST_SLOTS or not 1 <= size <= MOST_BYTES or 8 * types[0] + 8 * types[1] + 4 * types[2] > size:
+                raise BadFile(f"counts of activity {name}")
+            self.activities.append(own)
             at += activity_size
         self.start = at if not self.extra else self.after_extra(at)
 
@@ -81,59 +127,99 @@ class Decoder:
         while more:
             number, size, more = struct.unpack_from(self.order + "III", self.data, at)
             at += EXTRA_SIZE + number * size
+            if at > len(self.data):
+                raise struct.error("cut off")
         return at
 
-    def records(self) -> Iterator[tuple]:
-        """("sample", segment, number, ust, uptime, activity, item, field, raw, bits) and ("event", ust, kind, cpus, text)."""
-        at, segment, number = self.start, 0, 0
+    def walk(self) -> Iterator[tuple]:
+        """(kind, segment, number, ust, uptime, (hour, minute, second), offset, content) of each whole record; the content of a
+
+        sample is a list of (place, items, slots, activity) in the file, of a restart the processors, of a comment its text.
+        """
+        at, segment, number, size = self.start, 0, 0, len(self.data)
         try:
-            while at + self.record_size <= len(self.data):
-                uptime, ust, extra, kind = struct.unpack_from(self.order + "QQIB", self.data, at)
+            while at + self.record_size <= size:
+                offset = at
+                uptime, ust, extra, kind, *clock = struct.unpack_from(self.order + "QQIBBBB", self.data, at)
+                if not 1 <= kind <= 15 or clock[0] > 23 or clock[1] > 59 or clock[2] > 60 or ust >> 62:
+                    raise BadFile(f"record at byte {at}")
                 at += self.record_size
+                content: list | int | str | None = None
                 if kind in (STATS, LAST_STATS):
-                    rows: list[tuple] = []
-                    for name, _, nr, nr2, has_nr, size, *types in self.activities:
+                    content = []
+                    for own in self.activities:
+                        _, _, nr, nr2, has_nr, width, *_ = own
                         if has_nr:
-                            nr, = struct.unpack_from(self.order + "I", self.data, at)
+                            nr, = struct.unpack_from(self.order + "i", self.data, at)
                             at += 4
-                        if at + nr * nr2 * size > len(self.data):
+                            if not 0 <= nr <= MOST_ITEMS:
+                                raise BadFile(f"number of items at byte {at - 4}")
+                        if at + nr * nr2 * width > size:
                             raise struct.error("cut off")
-                        if name in FIELDS:
-                            rows += self.items(at, nr * nr2, size, types, *FIELDS[name])
-                        at += nr * nr2 * size
-                    yield from (("sample", segment, number, ust, uptime, *r) for r in rows)
-                    number += 1
+                        content.append((at, nr, nr2, own))
+                        at += nr * nr2 * width
                 elif kind == RESTART:
-                    cpus, = struct.unpack_from(self.order + "I", self.data, at)
+                    content, = struct.unpack_from(self.order + "I", self.data, at)
                     at += 4
                     segment += 1
-                    yield "event", ust, "restart", cpus, None
                 elif kind == COMMENT:
-                    if at + COMMENT_SIZE > len(self.data):
+                    if at + COMMENT_SIZE > size:
                         raise struct.error("cut off")
-                    yield "event", ust, "comment", None, text_of(self.data[at : at + COMMENT_SIZE])
+                    content = text_of(self.data[at : at + COMMENT_SIZE])
                     at += COMMENT_SIZE
-                elif not 5 <= kind <= 15:
-                    raise BadFile(f"record type {kind}")
                 if extra:
                     at = self.after_extra(at)
-            if at != len(self.data):
+                yield kind, segment, number, ust, uptime, clock, offset, content
+                number += kind in (STATS, LAST_STATS)
+            if at != size:
                 raise struct.error("cut off")
         except struct.error as error:
             if not self.lenient:
                 raise BadFile("the last record is cut off") from error
 
-    def items(self, at: int, count: int, size: int, types: list[int], activity: str, names: list[str]) -> Iterator[tuple]:
-        wide, longs, ints = types
-        if 8 * wide + 8 * longs + 4 * ints > size:
-            raise BadFile("an item is smaller than its fields")
-        form = f"{self.order}{wide + longs}Q{ints}I"
-        for i in range(count):
-            values = struct.unpack_from(form, self.data, at + i * size)
-            for k, (name, raw) in enumerate(zip(names, values)):
-                # a long of a 32-bit machine takes 8 bytes in the file and wraps at 32 bits
-                bits = 64 if k < wide or (k < wide + longs and self.long_size == 8) else 32
-                yield activity, i, name, raw, bits
+    def items(self, at: int, nr: int, nr2: int, own: tuple) -> tuple[str, list[str], list[str], np.ndarray, list[int]] | None:
+        """activity, item names, fields, values (items, fields) and bits of each field; None if not wanted."""
+        name, _, _, _, _, size, wide, longs, ints = own
+        if name not in FIELDS or not nr:
+            return None
+        activity, named, fields = FIELDS[name]
+        if self.wanted is not None and activity not in self.wanted:
+            return None
+        fields = fields.split()[: wide + longs + ints]
+        raw = np.frombuffer(self.data, np.uint8, nr * nr2 * size, at).reshape(nr * nr2, size)
+        long_end, end = 8 * (wide + longs), 8 * (wide + longs) + 4 * ints
+        values = np.concatenate([np.ascontiguousarray(raw[:, :long_end]).view(self.order + "u8").astype(np.uint64), np.ascontiguousarray(raw[:, long_end:end]).view(self.order + "u4").astype(np.uint64)], axis=1)
+        # a long of a 32-bit machine takes 8 bytes in the file and wraps at 32 bits
+        bits = [64 if k < wide or (k < wide + longs and self.long_size == 8) else 32 for k in range(len(fields))]
+        if named == "cpu":
+            items = ["all" if i == 0 else f"cpu{i - 1}" for i in range(nr * nr2)]
+        elif named == "text":
+            texts = [text_of(raw[i, end : end + NAME_SIZES[activity]].tobytes()) for i in range(nr * nr2)]
+            # of a matrix the first row has the names; the others are of one processor each
+            items = texts if nr2 == 1 else [texts[i % nr2] + (f"/cpu{i // nr2 - 1}" if i >= nr2 else "") for i in range(nr * nr2)]
+        elif named == "disk":
+            major, minor = fields.index("major"), fields.index("minor")
+            items = [f"dev{a}-{b}" for a, b in values[:, [major, minor]].tolist()]
+        else:
+            items = ["-"] if named == "one" and nr * nr2 == 1 else [str(i) for i in range(nr * nr2)]
+        chosen = [k for k, f in enumerate(fields) if self.fields is None or f in self.fields]
+        return activity, items, [fields[k] for k in chosen], values[:, chosen], [bits[k] for k in chosen]
+
+    def samples(self, records: range | None = None) -> Iterator[tuple]:
+        """(segment, number, ust, uptime, *items) of each activity of each sample; ``records``: numbers of the samples wanted."""
+        for kind, segment, number, ust, uptime, _, _, content in self.walk():
+            if kind in (STATS, LAST_STATS) and (records is None or number in records):
+                for at, nr, nr2, own in content:
+                    found = self.items(at, nr, nr2, own)
+                    if found is not None and found[2]:
+                        yield segment, number, ust, uptime, *found
+
+    def events(self) -> Iterator[tuple]:
+        for kind, _, _, ust, _, _, _, content in self.walk():
+            if kind == RESTART:
+                yield ust, "restart", content, None
+            elif kind == COMMENT:
+                yield ust, "comment", None, content
 
 
 class OneFile(InputPartition):
@@ -150,49 +236,98 @@ def bytes_of(path: str) -> bytes:
         return source.read()
 
 
+def sample_batches(path: str, file: Decoder, records: range | None) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in SAMPLES.split(", ")]
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        counts = [x[7].size for x in held]
+        # of each: the numbers of its value's activity block, item and field
+        each = lambda values, kind: pa.array(np.repeat(np.array(values, kind), counts))
+        text = lambda values: pa.array(values, pa.string())
+        items = text([i for x in held for i in x[5] for _ in x[6]])
+        fields = text([f for x in held for _ in x[5] for f in x[6]])
+        bits = pa.array([b for x in held for _ in x[5] for b in x[8]], pa.int32())
+        raw = pa.array(np.concatenate([x[7].ravel() for x in held])).cast(pa.decimal128(20, 0))
+        activity = text([x[4] for x in held]).take(each(range(len(held)), np.int64))
+        total = sum(counts)
+        columns = [text([path]).take(pa.array(np.zeros(total, np.int64))), text([file.nodename]).take(pa.array(np.zeros(total, np.int64)))]
+        columns += [each([x[k] for x in held], np.int64) for k in range(3)] + [each([x[3] for x in held], np.uint64).cast(pa.decimal128(20, 0)), activity, items, fields, raw, bits]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    for one in file.samples(records):
+        held.append(one)
+        size += one[7].size
+        if size >= BATCH_VALUES:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
 class SaReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = sorted(p for p in options["paths"].split("\n") if p)
-        self.events = options.get("rows", "samples") == "events"
-        self.skip = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.rows = options.get("rows", "samples")
+        self.skip = self.rows == "skipped" or options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.lenient = options.get("lenient", "true") == "true"
+        names = lambda key: {x.strip() for x in options[key].split(",")} if options.get(key) else None
+        self.activities, self.fields = names("activities"), names("fields")
+        first, last = options.get("first_record"), options.get("last_record")
+        self.records = range(int(first or 0), int(last) + 1 if last else 1 << 62) if first or last else None
 
     def partitions(self) -> list[InputPartition]:
         return [OneFile(p) for p in self.paths]
 
-    def read(self, partition: OneFile) -> Iterator[tuple]:
-        from decimal import Decimal
-
+    def read(self, partition: OneFile) -> Iterator[tuple | pa.RecordBatch]:
+        path = partition.path
         try:
-            file = Decoder(bytes_of(partition.path), self.lenient)
-            for kind, *row in file.records():
-                if kind == "event" and self.events:
-                    yield partition.path, file.nodename, *row
-                elif kind == "sample" and not self.events:
-                    *before, raw, bits = row
-                    yield partition.path, file.nodename, *before, Decimal(raw), bits
-        except BadFile:
+            file = Decoder(bytes_of(path), self.lenient, self.activities, self.fields)
+            if self.rows == "samples":
+                yield from sample_batches(path, file, self.records)
+            elif self.rows == "events":
+                yield from ((path, file.nodename, *x) for x in file.events())
+            elif self.rows == "headers":
+                names = " ".join(FIELDS[a[0]][0] if a[0] in FIELDS else str(a[0]) for a in file.activities)
+                yield path, file.nodename, file.sysname, file.release, file.machine, file.format, file.ust, file.hz, file.cpus, file.year + 1900, file.month + 1, file.day, file.long_size, names
+            else:
+                for kind, segment, number, ust, uptime, clock, offset, _ in file.walk():
+                    if self.rows == "records":
+                        yield path, file.nodename, number, segment, kind, ust, Decimal(uptime), *clock, offset
+        except BadFile as error:
             if not self.skip:
                 raise
+            if self.rows == "skipped":
+                yield path, str(error)
 
 
 class SaDataSource(DataSource):
-    """Options: ``rows`` (samples or events), ``mode`` (FAILFAST or PERMISSIVE: skip bad files), ``lenient``."""
+    """Options: ``rows`` (samples, events, headers, records, or skipped: files that can't be read, and why),
+
+    ``mode`` (FAILFAST or PERMISSIVE: leave out the rest of bad files), ``lenient`` (a cut-off tail is no error),
+    ``activities`` and ``fields`` (names, comma-separated: others aren't decoded), ``first_record`` and
+    ``last_record`` (numbers of samples).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "sa"
 
     def schema(self) -> str:
-        return EVENTS if self.options.get("rows") == "events" else SAMPLES
+        return SCHEMAS[self.options.get("rows", "samples")]
 
     def reader(self, schema) -> DataSourceReader:
         return SaReader(dict(self.options))
 
 
-def read_sa(spark: SparkSession, paths: list[str], rows: str = "samples", mode: str = "FAILFAST", lenient: bool = True) -> DataFrame:
+def read_sa(spark: SparkSession, paths: list[str], rows: str = "samples", mode: str = "FAILFAST", lenient: bool = True, **options) -> DataFrame:
+    """``options``: see ``SaDataSource``; lists of names are joined."""
     spark.dataSource.register(SaDataSource)
-    return spark.read.format("sa").option("paths", "\n".join(paths)).option("rows", rows).option("mode", mode).option("lenient", str(lenient).lower()).load()
+    reader = spark.read.format("sa").option("paths", "\n".join(paths)).option("rows", rows).option("mode", mode).option("lenient", str(lenient).lower())
+    for key, value in options.items():
+        reader = reader.option(key, value if isinstance(value, str) else ",".join(value) if isinstance(value, (list, tuple, set)) else str(value))
+    return reader.load()
 
 
 def identify(spark: SparkSession, path: str) -> DataFrame:

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "host string, item string, sample_id long, start_ust long, end_ust long, elapsed_cs long, delta long, wrapped boolean, reason string"
-STATE = "sample_id long, ust long, uptime_cs long, segment long, raw long"
+from pulsegrid.operators.series import series_of
+
+OUT = "sample_id long, start_ust long, end_ust long, elapsed_cs long, delta decimal(20,0), wrapped boolean, reason string"
+STATE = "sample_id long, ust long, uptime_cs decimal(20,0), segment long, raw decimal(20,0)"
 
 
 def streaming_deltas(samples: DataFrame) -> DataFrame:
-    """From a stream of (host, item, segment, sample_id, ust, uptime_cs, raw, bits), in order within each series.
+    """From a stream of (host, activity, item, field, segment, sample_id, ust, uptime_cs, raw, bits), in order within each series.
 
-    A sample that is not newer than the last of its series is left out. State is one sample for each series.
+    Of the first four those that the stream has name a series. A sample that is not newer than the last of
+    its series is left out. State is one sample for each series; a series that begins late counts as new,
+    as the stream doesn't remember the other series of its activity.
     """
+    keys = series_of(samples)
+    columns = [*keys, *(c.split()[0] for c in OUT.split(", "))]
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
@@ -33,16 +40,20 @@ def streaming_deltas(samples: DataFrame) -> DataFrame:
             elif r.sample_id != last[0] + 1:
                 reason = "item_replaced"
             else:
-                elapsed = max((r.uptime_cs - last[2]) % (1 << 64), 1)
-                if r.raw < last[4] and r.bits == 64:
+                apart, raw, before = int(r.uptime_cs) - int(last[2]), int(r.raw), int(last[4])
+                elapsed = apart if 0 < apart < 1 << 62 else 0
+                if not elapsed:
+                    reason = "non_positive_elapsed"
+                elif raw < before and r.bits == 64:
                     reason = "ambiguous_decrease"
                 else:
-                    delta, wrapped = (r.raw - last[4]) % (1 << int(r.bits)), bool(r.raw < last[4])
+                    delta, wrapped = Decimal((raw - before) % (1 << int(r.bits))), raw < before
             out.append((*key, r.sample_id, last[1] if last else r.ust, r.ust, elapsed, delta, wrapped, reason))
-            last = (int(r.sample_id), int(r.ust), int(r.uptime_cs), int(r.segment), int(r.raw))
+            last = (int(r.sample_id), int(r.ust), Decimal(int(r.uptime_cs)), int(r.segment), Decimal(int(r.raw)))
         if last is not None:
             state.update(last)
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-        yield frame.astype({"delta": "Int64"})
+        yield pd.DataFrame(out, columns=columns)
 
-    return samples.groupBy("host", "item").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    kinds = dict(samples.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in keys] + [OUT])
+    return samples.groupBy(*keys).applyInPandasWithState(fold, schema, STATE, "append", GroupStateTimeout.NoTimeout)

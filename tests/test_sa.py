@@ -2,6 +2,7 @@ import struct
 
 import pytest
 
+from pulsegrid.operators import series
 from pulsegrid.sources.sa import BadFile, Decoder, identify, read_sa
 
 
@@ -31,7 +32,7 @@ def test_samples_and_events(spark, tmp_path, order):
     rows = read_sa(spark, [str(path)]).collect()
     assert len(rows) == 3 * (2 * 10 + 2)
     user = sorted((r["sample_id"], r["item"], int(r["raw"])) for r in rows if r["field"] == "user")
-    assert user == [(k, c, (1 << 64) - 1 - k) for k in range(3) for c in range(2)]
+    assert user == [(k, c, (1 << 64) - 1 - k) for k in range(3) for c in ("all", "cpu0")]
     assert {r["segment"] for r in rows if r["sample_id"] == 2} == {1} and {r["host"] for r in rows} == {"host-a"}
     assert [int(r["raw"]) for r in sorted(rows, key=lambda r: r["sample_id"]) if r["field"] == "pswpout"] == [0, 7, 14]
     events = read_sa(spark, [str(path)], "events").orderBy("ust").collect()
@@ -41,15 +42,51 @@ def test_samples_and_events(spark, tmp_path, order):
 
 
 def test_longs_of_32_bit_machines_wrap_at_32():
-    rows = [r for r in Decoder(sa_file(long_size=4)).records() if r[0] == "sample"]
-    assert {r[-1] for r in rows if r[5] == "SWAP"} == {32} and {r[-1] for r in rows if r[5] == "CPU"} == {64}
+    rows = {x[4]: x[8] for x in Decoder(sa_file(long_size=4)).samples()}
+    assert set(rows["SWAP"]) == {32} and set(rows["CPU"]) == {64}
+
+
+def test_only_what_is_wanted_is_decoded(spark, tmp_path):
+    path = tmp_path / "sa05"
+    path.write_bytes(sa_file())
+    rows = read_sa(spark, [str(path)], activities=["SWAP", "CPU"], fields=["pswpin", "idle"], first_record=1, last_record=1).collect()
+    assert sorted((r["sample_id"], r["activity"], r["item"], r["field"], int(r["raw"])) for r in rows) == [(1, "CPU", "all", "idle", 103), (1, "CPU", "cpu0", "idle", 113), (1, "SWAP", "-", "pswpin", 5)]
+    head = read_sa(spark, [str(path)], "headers").first()
+    assert (head["host"], head["machine"], head["cpus"], head["year"], head["month"], head["day"], head["activities"]) == ("host-a", "x86_64", 2, 2024, 7, 5, "CPU 77 SWAP")
+    records = read_sa(spark, [str(path)], "records").orderBy("offset").collect()
+    assert [(r["kind"], r["number"], r["segment"]) for r in records] == [(1, 0, 0), (1, 1, 0), (4, 2, 0), (2, 2, 1), (1, 2, 1)]
+
+
+def test_samples_feed_deltas_and_summaries(spark, tmp_path):
+    path = tmp_path / "sa05"
+    path.write_bytes(sa_file())
+    points = series.rates(series.deltas(read_sa(spark, [str(path)])))
+    counts = {r["reason"]: r["count"] for r in points.groupBy("reason").count().collect()}
+    assert counts == {"first_sample": 22, None: 20, "ambiguous_decrease": 2, "restart": 22}
+    row = series.summarize(points).where("activity = 'SWAP' and field = 'pswpout'").first()
+    assert (row["host"], row["item"], row["points"], row["observed"]) == ("host-a", "-", 3, 1) and row["max_value"] == pytest.approx(7 / 60)
+
+
+@pytest.mark.parametrize("nr", [-1, 1 << 20])
+def test_counts_of_items_are_checked(spark, tmp_path, nr):
+    data = bytearray(sa_file())
+    at = 76 + 336 + 3 * 36 + 24
+    data[at : at + 4] = struct.pack("<i", nr)
+    with pytest.raises(BadFile):
+        list(Decoder(bytes(data)).walk())
+    (tmp_path / "a").write_bytes(bytes(data))
+    (tmp_path / "b").write_bytes(sa_file()[: 76 + 336 + 50])  # cut inside the table of activities
+    (tmp_path / "c").write_bytes(sa_file())
+    paths = [str(tmp_path / n) for n in "abc"]
+    assert {r["path"][-1] for r in read_sa(spark, paths, mode="PERMISSIVE").collect()} == {"c"}
+    assert {r["path"][-1] for r in read_sa(spark, paths, "skipped").collect()} == {"a", "b"}
 
 
 def test_cut_off_and_foreign_files(spark, tmp_path):
     cut = sa_file(cut=10)
-    assert max(r[2] for r in Decoder(cut).records() if r[0] == "sample") == 1
+    assert max(x[1] for x in Decoder(cut).samples()) == 1
     with pytest.raises(BadFile):
-        list(Decoder(cut, lenient=False).records())
+        list(Decoder(cut, lenient=False).walk())
     for bad in (b"", b"x" * 500, sa_file()[:200]):
         with pytest.raises(BadFile):
             Decoder(bad)

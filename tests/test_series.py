@@ -28,7 +28,7 @@ EXPECTED = {
     ("a", 3): (None, "restart", 0),
     ("a", 5): (None, "item_replaced", 0),
     ("b", 0): (None, "first_sample", 0),
-    ("b", 1): (1, None, 1),
+    ("b", 1): (None, "non_positive_elapsed", 0),
     ("b", 2): (None, "ambiguous_decrease", 12000),
 }
 
@@ -55,8 +55,26 @@ def test_missing_is_not_zero(spark):
         fn.mean_wait_ms(F.lit(10), F.lit(0)).alias("c"),
         fn.interface_busy_percent(F.lit(1), F.lit(1), F.lit(0), F.lit(True)).alias("d"),
         fn.interval_cs(F.lit(5), F.lit(5)).alias("e"),
+        fn.native_interval_cs(F.lit(5), F.lit(5)).alias("f"),
+        fn.native_interval_cs(F.lit(5), F.lit(9)).alias("g"),
     ).first()
-    assert tuple(row) == (None, 0.0, 0.0, None, 1)
+    assert tuple(row) == (None, 0.0, 0.0, None, 1, 0, 0)
+
+
+def test_no_sample_stops_the_run(spark):
+    top = (1 << 64) - 1
+    rows = [("h", "A", i, "x", 0, k, 60 * k, u, Decimal(r), 64) for i, k, u, r in [("p", 0, 500, 0), ("p", 1, 400, 5), ("p", 2, top, 9), ("q", 0, 100, 0), ("q", 1, 200, top), ("q", 2, 300, 3), ("late", 2, 300, 1)]]
+    found = series.rates(series.deltas(spark.createDataFrame(rows, "host string, activity string, item string, field string, segment long, sample_id long, ust long, uptime_cs decimal(20,0), raw decimal(20,0), bits int"))).collect()
+    assert {(r["item"], r["sample_id"]): (None if r["delta"] is None else int(r["delta"]), r["reason"]) for r in found} == {
+        ("p", 0): (None, "first_sample"),
+        ("p", 1): (None, "non_positive_elapsed"),
+        ("p", 2): (None, "non_positive_elapsed"),
+        ("q", 0): (None, "first_sample"),
+        ("q", 1): (top, None),
+        ("q", 2): (None, "ambiguous_decrease"),
+        ("late", 2): (None, "item_replaced"),
+    }
+    assert all((r["value"] is None) == (r["reason"] is not None) for r in found)
 
 
 def points(spark, values, step=600):
@@ -86,6 +104,23 @@ def test_level_shift(spark):
     assert [r["start_ust"] for r in fixed] == [10 * 600]  # the first of equal shifts
 
 
+@pytest.mark.parametrize("block", [4, 7, 4096])
+def test_level_shifts_do_not_depend_on_blocks(spark, block):
+    values = [10.0 + i % 3 for i in range(30)] + [60.0 + i % 2 for i in range(25)] + [5.0] * 20
+    found = detect.level_shifts(points(spark, values), 20.0, block).orderBy("start_ust").collect()
+    assert [r["start_ust"] for r in found] == [30 * 600, 55 * 600]
+
+
+def test_marks_end_episodes(spark):
+    rows = [("h", "x", t, t + 10) for t in (0, 50, 100, 150)] + [("i", "x", 0, 5), ("i", "x", 120, 130)]
+    found = spark.createDataFrame(rows, "host string, item string, start_ust long, end_ust long")
+    marks = spark.createDataFrame([("h", 75), ("i", 500)], "host string, ust long")
+    out = detect.episodes(found, 60, 1000, marks).orderBy("host", "start_ust").collect()
+    assert [r["episode"] for r in out] == [1, 1, 2, 2, 1, 2]
+    limits = detect.episode_limits(points(spark, [1.0] * 100)).first()
+    assert tuple(limits) == (1200, 15000)
+
+
 def test_episodes_end_at_gap_or_span(spark):
     rows = [("h", "x", t, t + 10) for t in (0, 50, 100, 150, 400)]
     found = detect.episodes(spark.createDataFrame(rows, "host string, item string, start_ust long, end_ust long"), 60, 120).orderBy("start_ust").collect()
