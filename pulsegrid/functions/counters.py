@@ -135,6 +135,121 @@ def reregistered(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a & b, [(now < before) | (now == 0) for now, before in rest], first < first_before)
 
 
-def next_slice(uptime_cs: Column, start_cs: Column, interval_s: int) -> Column:
-    """Whether a sample is the nearest to a multiple of the interval: its place rounded to whole intervals moves on."""
-    return F.floor((uptime_cs - start_cs + interval_s * 50) / (interval_s * 100))
+def next_or_zero(x: Column) -> Column:
+    return F.greatest(x, F.lit(0))
+
+
+def memory_derived(c: dict[str, Column]) -> dict[str, Column]:
+    """The derived memory columns from kbmemtotal, kbmemfree, kbavail, kbbuffers, kbcached, kbslab, kbcommit, kbswptotal, kbswpfree, kbswpcad.
+
+    Shares of a whole of 0 are missing, but that of all memory is 0; so is the share of cached swap when nothing is used.
+    """
+    used = memory_used(c["kbmemtotal"], c["kbavail"])
+    nocache = used_without_cache(c["kbmemtotal"], c["kbmemfree"], c["kbbuffers"], c["kbcached"], c["kbslab"])
+    withcache = c["kbmemfree"] + c["kbbuffers"] + c["kbcached"] + c["kbslab"]
+    swap = next_or_zero(c["kbswptotal"] - c["kbswpfree"])
+    return {
+        "kbmemused": used,
+        "memused_pct": memory_used_percent(c["kbmemtotal"], c["kbavail"]),
+        "kbmemused_nocache": nocache,
+        "memused_nocache_pct": percent(nocache, c["kbmemtotal"]),
+        "kbmemfree_withcache": withcache,
+        "memused_withcache_pct": percent(next_or_zero(c["kbmemtotal"] - withcache), c["kbmemtotal"]),
+        "commit_pct": commit_percent(c["kbcommit"], c["kbmemtotal"], c["kbswptotal"]),
+        "kbswpused": swap,
+        "swpused_pct": percent(swap, c["kbswptotal"]),
+        "swpcad_pct": F.when(swap == 0, F.lit(0.0)).otherwise(percent(c["kbswpcad"], swap)),
+    }
+
+
+def huge_pages(total: Column, free: Column) -> tuple[Column, Column]:
+    """Used huge pages and their percent; missing where there are none."""
+    used = next_or_zero(total - free)
+    return used, percent(used, total)
+
+
+def inodes_used(total: Column, free: Column) -> tuple[Column, Column]:
+    used = next_or_zero(total - free)
+    return used, percent(used, total)
+
+
+def fan_above_least(rpm: Column, least: Column) -> Column:
+    return rpm - least
+
+
+#: What a rate of a column is divided by.
+RATE_DIVISORS = {"read_kb_per_sec": 2, "write_kb_per_sec": 2, "discard_kb_per_sec": 2, "avg_queue_size": 1000, "util_pct": 10, "pressure_total": 10000}
+#: Gauges kept in hundredths.
+HUNDREDTHS = ["ldavg_1", "ldavg_5", "ldavg_15", "mhz", "scpu_10", "scpu_60", "scpu_300", "sio_10", "sio_60", "sio_300", "fio_10", "fio_60", "fio_300", "smem_10", "smem_60", "smem_300", "fmem_10", "fmem_60", "fmem_300"]
+#: Activities all of whose columns are gauges, and gauges of others.
+GAUGE_ACTIVITIES = ["MEMORY", "KTABLES", "QUEUE", "NET_SOCK", "NET_SOCK6", "HUGE", "FS", "PWR_CPU", "PWR_FAN", "PWR_TEMP", "PWR_IN", "PWR_BAT"]
+GAUGE_FIELDS = ["avg_request_size", "await", "ifutil_pct", "speed", "duplex", "blg_len", "weighted_mhz", "freq_khz"]
+LAST_FIELDS = ["speed", "duplex", "temp_min", "temp_max", "volts_min", "volts_max", "freq_khz", "status"]
+SUM_FIELDS = ["read_ticks", "write_ticks", "discard_ticks", "time_in_state"]
+
+
+def is_gauge(activity: Column, field: Column) -> Column:
+    return activity.isin(GAUGE_ACTIVITIES) | field.isin(GAUGE_FIELDS + HUNDREDTHS)
+
+
+def clamps(activity: Column, field: Column, item: Column) -> Column:
+    """Counters that count 0 when they go back: those of processors and of all devices together, interrupts in sum, and device use."""
+    return activity.isin("CPU", "IO") | ((activity == "IRQ") & (item == "sum")) | ((activity == "DISK") & (field == "util_pct"))
+
+
+def method(activity: Column, field: Column, derived: Column) -> Column:
+    """How a column is summed up over a period."""
+    return (
+        F.when(derived, "derived_interval_sample_mean")
+        .when(field.isin(LAST_FIELDS) | (activity == "FS"), "last_valid")
+        .when(field.isin(SUM_FIELDS), "delta_sum")
+        .when(is_gauge(activity, field), "sample_mean")
+        .otherwise("rate_over_valid_intervals")
+    )
+
+
+def divisor(field: Column) -> Column:
+    return F.coalesce(*(F.when(field == f, float(d)) for f, d in RATE_DIVISORS.items()), F.lit(1.0))
+
+
+def column_value(activity: Column, field: Column, item: Column, now: Column, before: Column, bits: Column, elapsed_cs: Column, reason: Column) -> Column:
+    """struct(value, reason) of one column of an interval, whatever its kind.
+
+    A gauge is its own value, hundredths divided, whatever came before. For a counter the reason why there is
+    no interval stands first; one of those that count 0 when they go back is 0 then; else its classified
+    delta a second, over the column's divisor.
+    """
+    gauge = is_gauge(activity, field)
+    direct = now.cast("double") / F.when(field.isin(HUNDREDTHS), 100.0).otherwise(1.0)
+    broken = F.when(reason.isNotNull() & (reason != "ambiguous_decrease"), reason)
+    clamped = clamps(activity, field, item) & (now < before)
+    found = F.when(broken.isNull() & ~clamped & (now < before) & (bits == 64), "ambiguous_decrease").otherwise(broken)
+    rate = F.when(clamped, 0.0).otherwise(per_second(wrapping_delta(now, before, bits), elapsed_cs)) / divisor(field)
+    value = F.when(gauge, direct).when(found.isNull(), rate)
+    return F.struct(value.alias("value"), F.when(~gauge, found).alias("reason"))
+
+
+def other_units(kb_per_sec: Column) -> dict[str, Column]:
+    """A rate in kB in the other units that reports use."""
+    return {"sectors": kb_per_sec * 2, "kb": kb_per_sec, "mb": kb_per_sec / 1024}
+
+
+#: Units of sizes, each 1024 of the one before.
+UNITS = ["B", "k", "M", "G", "T", "P"]
+
+
+def human_size(bytes_: Column) -> Column:
+    """Like 1.5M: the largest unit that leaves at least 1, with one digit."""
+    power = F.least(F.greatest(F.floor(F.log(F.greatest(bytes_.cast("double"), F.lit(1.0))) / F.log(F.lit(1024.0)) + 1e-12), F.lit(0)), F.lit(len(UNITS) - 1)).cast("int")
+    return F.concat(F.format_string("%.1f", bytes_.cast("double") / F.pow(F.lit(1024.0), power)), F.get(F.array(*(F.lit(u) for u in UNITS)), power))
+
+
+def printable(text: Column) -> Column:
+    """Characters that don't print as dots."""
+    return F.regexp_replace(text, "[\\x00-\\x1F\\x7F]", ".")
+
+
+def duration_text(seconds: Column) -> Column:
+    """Like 2h05m, 5m30s or 12s."""
+    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
+    return F.when(seconds >= 3600, F.format_string("%dh%02dm", h, m)).when(seconds >= 60, F.format_string("%dm%02ds", m, s)).otherwise(F.format_string("%ds", s))

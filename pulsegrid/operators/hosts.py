@@ -1,4 +1,4 @@
-"""Several files and hosts: identity, boundaries between files, the common window, and rows for sinks."""
+"""Several files and hosts: identity, boundaries between samples and files, the common window, comparison."""
 
 from __future__ import annotations
 
@@ -10,43 +10,83 @@ BOOT_TOLERANCE_S = 5
 LONGEST_GAP_S = 7200
 
 
-def identity(comparable: Column, same: Column, alike: Column) -> Column:
-    return F.when(~comparable, "different").when(same, "identical").when(alike, "likely_same_machine").otherwise("ambiguous")
+def identity(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """How two descriptions of a host (nodename, sysname, machine, release, cpus) compare."""
+    same = {c: a[c].eqNullSafe(b[c]) for c in ("nodename", "sysname", "machine", "release", "cpus")}
+    return (
+        F.when(~same["nodename"], "different")
+        .when(~same["machine"] | ~same["sysname"], "ambiguous")
+        .when(~same["release"] | ~same["cpus"], "likely_same_machine")
+        .otherwise("identical")
+    )
+
+
+GROUP = ["nodename", "sysname", "machine"]
+
 
+def boot_epoch(ust: Column, uptime_cs: Column) -> Column:
+    """When the host was started, in seconds; null where uptime is not known."""
+    return F.when(uptime_cs > 0, ust - F.floor(uptime_cs / 100))
 
-def boundaries(files: DataFrame) -> DataFrame:
-    """``decision`` for each file (nodename, identity, boot_ust, first_ust, last_ust, file) against the one before of its host.
 
-    Checks stand in order: the first that holds decides.
+def boundaries(samples: DataFrame, carry_across_files: bool = True) -> DataFrame:
+    """``decision`` of each sample against the one before of its host (nodename, sysname, machine).
+
+    Samples have file, ust, uptime_cs, layout (a name for the activities and their sizes), release and cpus.
+    Checks stand in order: the first that holds decides. ``new_segment``: a restart, or another machine;
+    other breaks cut deltas and stay in the segment. ``boot`` counts the segments.
     """
-    w = Window.partitionBy("nodename").orderBy("first_ust", "file")
-    before = {c: F.lag(c).over(w) for c in ("identity", "boot_ust", "last_ust")}
+    w = Window.partitionBy(*GROUP).orderBy("ust", "file")
+    names = ("file", "ust", "uptime_cs", "layout", "release", "cpus")
+    rows = samples.withColumns({f"p_{c}": F.lag(c).over(w) for c in names}).withColumn("first", F.row_number().over(w) == 1)
+    c, p = F.col, lambda x: F.col(f"p_{x}")
+    now, before = boot_epoch(c("ust"), c("uptime_cs")), boot_epoch(p("ust"), p("uptime_cs"))
+    other = ~(c("release").eqNullSafe(p("release")) & c("cpus").eqNullSafe(p("cpus")))
     decision = (
-        F.when(before["identity"].isNull(), "first")
-        .when(before["identity"] != F.col("identity"), "identity_changed")
-        .when(F.abs(F.col("boot_ust") - before["boot_ust"]) > BOOT_TOLERANCE_S, "boot_epoch_changed")
-        .when(F.col("first_ust") < before["last_ust"], "time_backwards")
-        .when(F.col("first_ust") - before["last_ust"] > LONGEST_GAP_S, "gap")
+        F.when(c("first"), "first")
+        .when(other, "identity_changed")
+        .when(~c("layout").eqNullSafe(p("layout")), "layout_changed")
+        .when(now.isNull() | before.isNull(), "boot_epoch_unknown")
+        .when(F.abs(now - before) > BOOT_TOLERANCE_S, "boot_epoch_changed")
+        .when((c("uptime_cs") < p("uptime_cs")) | (c("ust") < p("ust")), "time_backwards")
+        .when(c("uptime_cs") - p("uptime_cs") > LONGEST_GAP_S * 100, "gap")
+        .when((c("file") != p("file")) & F.lit(not carry_across_files), "carry_disabled")
         .otherwise("continuous")
     )
-    return files.withColumn("decision", decision)
+    out = rows.withColumn("decision", decision)
+    out = out.withColumn("new_segment", F.col("decision").isin("identity_changed", "boot_epoch_changed"))
+    boot = F.sum(F.col("new_segment").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("boot", boot).drop("first", *(f"p_{x}" for x in names))
+
+
+def merged(samples: DataFrame, boundaries_of: DataFrame) -> DataFrame:
+    """Values of a host's files (GROUP, file, ust, item, raw) as one table of samples with the boundaries' ``boot`` and ``decision``."""
+    return samples.join(boundaries_of.select(*GROUP, "file", "ust", "boot", "decision"), [*GROUP, "file", "ust"])
+
+
+def representative_segment(points: DataFrame) -> DataFrame:
+    """Each host's segment with the most samples; the last on ties."""
+    sizes = points.groupBy("host", "segment").agg(F.count_distinct("end_ust").alias("samples"))
+    best = Window.partitionBy("host").orderBy(F.col("samples").desc(), F.col("segment").desc())
+    return sizes.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+
+
+def comparable(buckets: DataFrame) -> DataFrame:
+    """Buckets of metrics (item) with the number of hosts that have a value, and whether that is all hosts of the table."""
+    hosts = buckets.agg(F.count_distinct("host").alias("all_hosts"))
+    per = buckets.groupBy("item", "bucket").agg(F.count_distinct("host").alias("hosts"))
+    return per.crossJoin(F.broadcast(hosts)).select("item", "bucket", "hosts", (F.col("hosts") == F.col("all_hosts")).alias("comparable"))  # one row
+
+
+def compare(buckets: DataFrame) -> DataFrame:
+    """Mean over observed buckets of each metric and host, for metrics that every host has; the others are left out."""
+    hosts = buckets.agg(F.count_distinct("host").alias("all_hosts"))
+    means = buckets.groupBy("item", "host").agg(F.avg("value").alias("mean"), F.count("value").alias("buckets"))
+    whole = means.where("buckets > 0").withColumn("hosts", F.count("*").over(Window.partitionBy("item")))
+    return whole.crossJoin(F.broadcast(hosts)).where("hosts = all_hosts").select("item", "host", "mean", "buckets")  # one row
 
 
 def common_window(points: DataFrame) -> DataFrame:
     """One row: the latest start and the earliest end of all hosts."""
     spans = points.groupBy("host").agg(F.min("start_ust").alias("lo"), F.max("end_ust").alias("hi"))
     return spans.agg(F.max("lo").alias("window_start"), F.min("hi").alias("window_end"))
-
-
-def csv_rows(points: DataFrame) -> DataFrame:
-    return points.select(
-        "host",
-        "item",
-        F.col("segment").alias("boot"),
-        F.col("start_ust").alias("start_epoch"),
-        F.col("end_ust").alias("end_epoch"),
-        "elapsed_cs",
-        F.col("reason").isNull().alias("continuous"),
-        "value",
-        F.coalesce("reason", F.lit("ok")).alias("quality"),
-    )

@@ -230,11 +230,6 @@ def align_grid(spark, d):
     return grid(spark, d)
 
 
-@query(G + GRID + "select item, bucket, count(*) as hosts, count(*) = 4 as comparable from grid group by 1, 2")
-def comparable_buckets(spark, d):
-    return grid(spark, d).groupBy("item", "bucket").agg(F.count("*").alias("hosts"), (F.count("*") == 4).alias("comparable"))
-
-
 @query(G + GRID + "select item, host, sum(cast(round(value * 1000) as bigint))::bigint as thousandths, count(*) as buckets from grid group by 1, 2")
 def compare_mean(spark, d):
     return grid(spark, d).groupBy("item", "host").agg(F.sum(F.round(F.col("value") * 1000).cast("long")).alias("thousandths"), F.count("*").alias("buckets"))
@@ -245,25 +240,6 @@ def common_window(spark, d):
     return hosts.common_window(ad.gauge(spark, d))
 
 
-CATALOG = [("click", "upper", 1000.0), ("error", "upper", 500.0), ("swap", "upper", 1.0), ("view", "both", 2000.0)]
-SQL_CATALOG = ", catalog(item, direction, floor_value) as (values " + ", ".join(f"('{a}', '{b}', {c:.1f}::double)" for a, b, c in CATALOG) + ")"
-
-
-def catalog(spark):
-    return spark.createDataFrame(CATALOG, "item string, direction string, floor_value double")
-
-
-@query(G + SQL_CATALOG + " select item, direction, count(*) as n, count(*) filter (value >= floor_value) as above from points join catalog using (item) group by 1, 2")
-def catalog_lookup(spark, d):
-    rows = ad.gauge(spark, d).join(F.broadcast(catalog(spark)), "item")
-    return rows.groupBy("item", "direction").agg(F.count("*").alias("n"), F.count_if(F.col("value") >= F.col("floor_value")).alias("above"))
-
-
-@query(G + SQL_CATALOG + " select item, 'absent' as status from catalog where item not in (select item from points)")
-def catalog_absent(spark, d):
-    return catalog(spark).join(ad.gauge(spark, d).select("item").distinct(), "item", "left_anti").select("item", F.lit("absent").alias("status"))
-
-
 # --- aggregations
 
 
@@ -438,14 +414,6 @@ def epoch_window(spark, d):
     return ad.gauge(spark, d).where("start_ust >= 1704326400 and end_ust <= 1705536000").select("host", "item", "start_ust", "value")
 
 
-@query(S + ", k as (select item, segment, sample_id, floor((uptime_cs + 7200 * 3 * 50) / (7200 * 3 * 100)) as slot from samples), l as (select *, lag(slot) over (partition by item, segment order by sample_id) as before from k) select item, sample_id from l where before is null or slot > before")
-def next_slice_thinning(spark, d):
-    w = Window.partitionBy("item", "segment").orderBy("sample_id")
-    rows = ad.samples(spark, d).withColumn("slot", fn.next_slice(F.col("uptime_cs"), F.lit(0), 7200 * 3))
-    rows = rows.withColumn("before", F.lag("slot").over(w))
-    return rows.where("before is null or slot > before").select("item", "sample_id")
-
-
 @query(S + "select item, segment, sample_id from samples qualify row_number() over (partition by item, segment order by sample_id) <= 10")
 def count_per_segment(spark, d):
     rank = F.row_number().over(Window.partitionBy("item", "segment").orderBy("sample_id"))
@@ -455,31 +423,6 @@ def count_per_segment(spark, d):
 # --- hosts and continuity
 
 
-FILES = """, files as (select nodename || cast(machine as varchar) as file, nodename, machine, first_ust, last_ust, first_ust - machine * 4 as boot_ust
-  from (select event_type as nodename, user_id % 4 as machine, cast(min(floor(epoch(ts))) as bigint) as first_ust, cast(max(floor(epoch(ts))) as bigint) as last_ust from events group by all))"""
-
-
-def files(spark, d):
-    ust = F.unix_seconds(F.col("ts").cast("timestamp"))
-    rows = ad.table(spark, d, "events").groupBy(F.col("event_type").alias("nodename"), (F.col("user_id") % 4).alias("machine")).agg(F.min(ust).alias("first_ust"), F.max(ust).alias("last_ust"))
-    return rows.withColumns({"file": F.concat("nodename", F.col("machine").cast("string")), "boot_ust": F.col("first_ust") - F.col("machine") * 4})
-
-
-@query("with x as (select 1)" + FILES + """, b as (select *, lag(machine) over w as m, lag(last_ust) over w as l, lag(boot_ust) over w as bt from files window w as (partition by nodename order by first_ust, file))
-select file, case when m is null then 'first' when m % 2 <> machine % 2 then 'identity_changed' when abs(boot_ust - bt) > 5 then 'boot_epoch_changed' when first_ust < l then 'time_backwards' when first_ust - l > 7200 then 'gap' else 'continuous' end as decision from b""")
-def boundary_decision(spark, d):
-    rows = files(spark, d).withColumn("identity", F.col("machine") % 2)
-    return hosts.boundaries(rows).select("file", "decision")
-
-
-@query("select a.n_nationkey as a, b.n_nationkey as b, case when a.n_regionkey <> b.n_regionkey then 'different' when a.n_name = b.n_name then 'identical' when substr(a.n_name, 1, 1) = substr(b.n_name, 1, 1) then 'likely_same_machine' else 'ambiguous' end as verdict from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <= b.n_nationkey")
-def identity_verdict(spark, d):
-    rows = ad.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    a, b = (rows.select(F.col("n_nationkey").alias(x), F.col("n_name").alias(f"name_{x}"), "n_regionkey") for x in "ab")
-    pairs = a.join(b, "n_regionkey").where("a <= b")
-    return pairs.select("a", "b", hosts.identity(F.lit(True), F.col("name_a") == F.col("name_b"), F.substring("name_a", 1, 1) == F.substring("name_b", 1, 1)).alias("verdict"))
-
-
 FULL = """, ends as (select host, item, min(start_ust) as lo, max(start_ust) as hi from points group by 1, 2), slots as (select host, item, unnest(range(lo, hi + 1, 3600)) as s from ends),
 buckets as (select a.host, a.item, a.s // 3600 as bucket, value from slots a left join points p on p.host = a.host and p.item = a.item and p.start_ust = a.s)"""
 
@@ -503,27 +446,6 @@ def fill_linear(spark, d):
     return series.linear_fill(full_buckets(spark, d), 3).select("host", "item", "bucket", "filled")
 
 
-# --- rules: conditions that hold for a time
-
-
-def rule(name: str, hit_sql: str, hit, least_s: int) -> None:
-    sql = G + GAPS_RUNS.format(hit=hit_sql) + f""", best as (select * from runs qualify row_number() over (partition by host, item order by seconds desc, start_ust) = 1)
-select p.host, p.item, p.n as observations, best.seconds, best.start_ust, best.end_ust, best.points, case when p.n = 0 then 'undetermined' when seconds >= {least_s} then 'observed' else 'not_observed' end as verdict
-from (select host, item, count(value) as n from points group by 1, 2) p left join best on best.host = p.host and best.item = p.item"""
-    QUERIES[name] = lambda spark, d: detect.verdicts(ad.gauge(spark, d), hit(F.col("value")), least_s)
-    SQL[name] = sql
-
-
-rule("rule_cpu_saturation", "100 - value / 600 >= 90", lambda v: 100 - v / 600 >= 90, 7200)
-rule("rule_cpu_iowait", "value >= 20000", lambda v: v >= 20000, 7200)
-rule("rule_cpu_steal", "value >= 10000", lambda v: v >= 10000, 10800)
-rule("rule_memory_available", "value / 50000 * 100 <= 5", lambda v: v / 50000 * 100 <= 5, 3600)
-rule("rule_swap_activity", "value >= 1", lambda v: v >= 1, 14400)
-rule("rule_swap_space", "(50000 - value) / 50000 * 100 >= 50", lambda v: (50000 - v) / 50000 * 100 >= 50, 10800)
-rule("rule_run_queue", "value / 4 >= 2000", lambda v: v / 4 >= 2000, 10800)
-rule("rule_blocked", "value >= 12000", lambda v: v >= 12000, 10800)
-
-
 # --- detection
 
 
@@ -569,10 +491,21 @@ def level_shift_fixed_w(spark, d):
     return detect.window_shifts(rows, 3, 40000.0)
 
 
-@query()
+SHIFTS = HOURLY + """, w as (select item, start_ust, row_number() over o as n, list(value) over (o rows between 5 preceding and 1 preceding) as a, list(value) over (o rows between current row and 4 following) as b,
+  first_value(start_ust) over (o rows between 5 preceding and 1 preceding) as f, last_value(end_ust) over (o rows between current row and 4 following) as t from points window o as (partition by item order by end_ust)),
+m as (select *, list_median(a) as level, list_median(b) - list_median(a) as shift, ((a[4] + a[5]) / 2 - (a[1] + a[2]) / 2) / 10800.0::double as sa, ((b[4] + b[5]) / 2 - (b[1] + b[2]) / 2) / 10800.0::double as sb from w where len(a) = 5 and len(b) = 5 and t - f = 36000),
+e as (select *, (sa + sb) / 2 * 18000 as explained, len(list_filter(b, lambda x: (x - level) * sign(shift) >= 2000)) / 5.0::double as stays,
+  list_median(list_concat(list_transform(a, lambda x: abs(x - level)), list_transform(b, lambda x: abs(x - (level + shift))))) * 1.4826::double as scatter from m),
+s as (select *, case when explained * shift <= 0 then shift else sign(shift) * greatest(abs(shift) - abs(explained), 0) end as step from e),
+h as (select *, case when scatter > 0 then abs(step) / scatter else abs(step) / 2000 end as strength from s where least(abs(shift), abs(step)) >= 2000 and stays >= 0.7 and (scatter = 0 or abs(step) / scatter >= 3)),
+i as (select *, n - row_number() over (partition by item order by n) as island from h)
+select 'h' as host, item, start_ust, shift from i qualify row_number() over (partition by item, island order by strength desc, stays desc, n) = 1"""
+
+
+@query(SHIFTS)
 def level_shift_dynamic(spark, d):
     rows = ad.event_hours(spark, d).select(F.lit("h").alias("host"), "item", "start_ust", (F.col("start_ust") + 3600).alias("end_ust"), F.col("cents").cast("double").alias("value"))
-    return detect.level_shifts(rows, 10000.0)
+    return detect.level_shifts(rows, 2000.0).select("host", "item", "start_ust", "shift")
 
 
 @query(G + GAPS_RUNS.format(hit="value >= 100") + ", e as (select min(start_ust) as lo, max(end_ust) as hi from points) select host, item, start_ust, (end_ust - start_ust) * 100 >= (hi - lo) * 90 as standing from runs, e where points >= 3")
@@ -583,7 +516,12 @@ def standing_split(spark, d):
     return detect.standing(found, F.col("lo"), F.col("hi")).select("host", "item", "start_ust", "standing")
 
 
-@query()
+@query(f"""with recursive found as ({SQL["robust_deviation"]}),
+d as (select host, item, start_ust, end_ust, row_number() over (partition by host order by start_ust, end_ust, item) as n from found),
+e as (select *, start_ust as first, 1 as episode from d where n = 1
+  union all select d.*, case when d.start_ust - e.start_ust > 7200 or d.start_ust - e.first > 28800 then d.start_ust else e.first end, e.episode + case when d.start_ust - e.start_ust > 7200 or d.start_ust - e.first > 28800 then 1 else 0 end
+  from e join d on d.host = e.host and d.n = e.n + 1)
+select host, item, start_ust, end_ust, cast(episode as bigint) as episode from e""")
 def episodes(spark, d):
     return detect.episodes(detect.deviations(ad.gauge(spark, d), 5000.0, 3.0), 7200, 28800)
 
@@ -611,11 +549,6 @@ def coverage_tally(spark, d):
 # --- sinks
 
 
-@query(S + "select host, item, segment as boot, start_ust as start_epoch, end_ust as end_epoch, elapsed_cs, reason is null as continuous, value, coalesce(reason, 'ok') as quality from points")
-def csv_contract(spark, d):
-    return hosts.csv_rows(points(spark, d))
-
-
 @query(S + "select item, sample_id, '{\"item\":\"' || item || '\",\"sample_id\":' || cast(sample_id as varchar) || ',\"raw\":\"' || cast(raw as varchar) || '\"}' as line from samples")
 def ndjson_contract(spark, d):
     rows = ad.samples(spark, d)

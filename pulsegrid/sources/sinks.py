@@ -28,3 +28,53 @@ def as_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     names = [c for c, kind in rows.dtypes if c not in keys and kind in ("int", "bigint", "double", "float")]
     cast = rows.select(*keys, *(F.col(c).cast("double").alias(c) for c in names))
     return cast.unpivot(keys, names, "name", "value")
+
+
+#: The columns of the CSV table, in order.
+CSV_COLUMNS = ["hostname", "source", "boot", "start_epoch", "end_epoch", "elapsed_cs", "continuous", "activity", "item", "item_index", "space", "metric", "unit", "kind", "value", "raw", "text", "cpu", "quality"]
+
+
+def csv_rows(points: DataFrame) -> DataFrame:
+    """Points (and whichever of the other columns they have) as rows of the CSV table; what is not there is null."""
+    made = {
+        "hostname": F.col("host"),
+        "boot": F.col("segment"),
+        "start_epoch": F.col("start_ust"),
+        "end_epoch": F.col("end_ust"),
+        "continuous": F.col("reason").isNull(),
+        "metric": F.col("field") if "field" in points.columns else F.lit(None).cast("string"),
+        "quality": F.coalesce("reason", F.lit("ok")),
+    }
+    return points.select(*(made.get(c, F.col(c) if c in points.columns else F.lit(None).cast("string")).alias(c) for c in CSV_COLUMNS))
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """Restarts and comments (host, ust, kind, cpu_count, text) as lines of JSON."""
+    return events.select("host", "ust", F.to_json(F.struct(F.col("kind").alias("type"), "host", F.col("ust").alias("epoch"), F.col("cpu_count").alias("cpus"), "text")).alias("line"))
+
+
+def sample_lines(points: DataFrame) -> DataFrame:
+    """Points as lines of JSON; raw counters as text."""
+    raw = [F.col("raw").cast("string").alias("raw")] if "raw" in points.columns else []
+    line = F.struct(F.lit("sample").alias("type"), "host", F.col("segment").alias("boot"), *[c for c in ("activity", "item", "field") if c in points.columns], F.col("start_ust").alias("start"), F.col("end_ust").alias("end"), "value", *raw, F.coalesce("reason", F.lit("ok")).alias("quality"))
+    return points.select(*[c for c in ("host", "activity", "item", "field") if c in points.columns], "end_ust", F.to_json(line).alias("line"))
+
+
+def raw_pairs(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Each raw value beside the one of the sample before: ``previous``, ``current``; the first of a segment has no previous one."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*keys, "segment").orderBy("sample_id")
+    return samples.select(*keys, "segment", "sample_id", F.lag("raw").over(order).alias("previous"), F.col("raw").alias("current"))
+
+
+def horizontal(points: DataFrame, names: list[str]) -> DataFrame:
+    """A row per host, item and interval with a column for each of ``names`` (fields), null where there is no value."""
+    columns = [F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in names]
+    return points.where(F.col("field").isin(names)).groupBy("host", "activity", "item", "start_ust", "end_ust").agg(*columns)
+
+
+def chart_points(points: DataFrame, windows: DataFrame) -> DataFrame:
+    """The points of each merged window (host, item, start_ust, end_ust), with the window's ends: the data of its chart."""
+    w = windows.select("host", "item", F.col("start_ust").alias("chart_start"), F.col("end_ust").alias("chart_end"))
+    return points.join(w, ["host", "item"]).where((F.col("end_ust") > F.col("chart_start")) & (F.col("start_ust") < F.col("chart_end")))

@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from pulsegrid.plans.queries import QUERIES, SQL
+from pulsegrid.plans import queries, telemetry
+
+QUERIES, SQL = queries.QUERIES | telemetry.QUERIES, queries.SQL | telemetry.SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
