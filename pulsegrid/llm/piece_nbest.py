@@ -7,9 +7,9 @@ score, and the first n that reach the start are the n best.
 
 No piece holds a character pair that stands between two units (see ``PieceLattice.cuts``), so a
 text's paths are the combinations of its units' paths. Of the n best of a text, only the n - 1 units
-with the smallest loss of their second path can differ from the best one; A forward pass
-that keeps two scores for each place finds best path and loss; a worker remembers them of the words
-that it has met, and A* runs for the units that can differ.
+with the smallest loss of their second path can differ from the best one. A forward pass that keeps
+two scores for each place finds best path and loss, of all new words of some texts at once in arrays;
+a worker remembers them of the words that it has met, and A* runs for the words that can differ.
 """
 
 from __future__ import annotations
@@ -29,18 +29,20 @@ SPACE = "▁"
 UNKNOWN = 10.0
 
 
-class Remembered(dict):
-    """Values of a function, the first ``limit`` of them kept."""
+class Words(dict):
+    """Of the words that are kept; those of the texts at hand stand in ``passing``, others are worked out one by one."""
 
-    def __init__(self, make, limit: int):
+    def __init__(self, make):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.passing = make, {}
+
+    def __missing__(self, word):
+        return self.passing.get(word) or self.make(word)
 
-    def __missing__(self, key):
-        found = self.make(key)
-        if len(self) < self.limit:
-            self[key] = found
-        return found
+
+#: Longest word, in characters, that is worked on in arrays.
+LONGEST = 48
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PieceLattice:
@@ -60,8 +62,96 @@ class PieceLattice:
         self.by_words = not any(a != SPACE and b == SPACE for a, b in self.pairs)
         self.dtype = np.dtype("<u2" if m.get_piece_size() <= 1 << 16 else "<u4")
         self.limit = limit
-        self.words = Remembered(self.word, limit)
+        self.words = Words(self.word)
         self.units: dict[str, tuple[float, float, bytes]] = {}
+        # by length: hashes of what begins a piece, sorted; the piece's id or -1, and its score
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in range(1, max(map(len, self.prefixes)) + 1):
+            own = [x for x in self.prefixes if len(x) == size]
+            codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), size).astype(np.uint64)
+            hashes = np.zeros(len(own), np.uint64)
+            for k in range(size):
+                hashes = hashes * STEP + codes[:, k]
+            order = np.argsort(hashes)
+            found = [self.prefixes[own[i]] or (-1, 0.0) for i in order]
+            self.tables.append((hashes[order], np.array([x[0] for x in found]), np.array([x[1] for x in found])))
+
+    def learn(self, words: set[str]) -> None:
+        """Works out those of ``words`` that are not known, for the texts that come next."""
+        new = [w for w in words if w not in self.words]
+        short = [w for w in new if len(w) <= LONGEST]
+        found = {w: x or self.word(w) for w, x in zip(short, self.words_at_once(short))} if short else {}
+        room = self.limit - len(self.words)
+        if room >= len(found):
+            self.words.update(found)
+            self.words.passing = {}
+        else:
+            for w in list(found)[: max(room, 0)]:
+                self.words[w] = found.pop(w)
+            self.words.passing = found
+
+    def words_at_once(self, words: list[str]) -> list[tuple[float, float, bytes] | None]:
+        """``word`` of each, by the same forward pass over all at once; None for one with a character that no piece is."""
+        sizes = np.array([len(w) for w in words])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        first = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(codes)) - first[owner]
+        left = sizes[owner] - place
+        # pieces at each place, by growing prefixes
+        at, hashes = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        found = []
+        strange = np.zeros(len(words), bool)
+        for k, (known, ids, scores) in enumerate(self.tables):
+            inside = left[at] > k
+            at = at[inside]
+            hashes = hashes[inside] * STEP + codes[at + k]
+            where = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = known[where] == hashes
+            if k == 0:
+                whole = hit & (ids[where] >= 0)
+                strange[owner[at[~whole]]] = True
+            at, hashes, where = at[hit], hashes[hit], where[hit]
+            piece = ids[where] >= 0
+            found.append((at[piece], np.full(int(piece.sum()), k + 1), ids[where][piece], scores[where][piece]))
+            if not len(at):
+                break
+        start, length, ids, scores = (np.concatenate(x) for x in zip(*found))
+        own = ~strange[owner[start]]
+        start, length, ids, scores = start[own], length[own], ids[own], scores[own]
+        # nodes: a word's places and its end; pieces by the place where they end, the longest first
+        tail = start + owner[start] + length
+        step = place[start] + length
+        order = np.lexsort((-length, step))
+        start, length, ids, scores, tail, step = (x[order] for x in (start, length, ids, scores, tail, step))
+        head = start + owner[start]
+        nodes = len(codes) + len(words)
+        best, second, via = np.full(nodes, -np.inf), np.full(nodes, -np.inf), np.full(nodes, -1)
+        best[first + np.arange(len(words))] = 0.0
+        cuts = np.flatnonzero((np.diff(step) != 0) | (np.diff(length) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(step)]):
+            x, y = head[a:b], tail[a:b]
+            value, other, now = best[x] + scores[a:b], second[x] + scores[a:b], best[y]
+            better = value > now
+            second[y] = np.where(better, np.maximum(now, other), np.maximum(second[y], value))
+            best[y] = np.where(better, value, now)
+            via[y] = np.where(better, np.arange(a, b), via[y])
+        end = first + np.arange(len(words)) + sizes
+        node, active, taken = end.copy(), np.flatnonzero(~strange), []
+        while len(active):
+            edge = via[node[active]]
+            taken.append((active, ids[edge]))
+            node[active] = head[edge]
+            active = active[node[active] > (first + np.arange(len(words)))[active]]
+        whose = np.concatenate([x for x, _ in taken[::-1]]) if taken else np.zeros(0, int)
+        path = np.concatenate([x for _, x in taken[::-1]]) if taken else np.zeros(0, int)
+        order = np.argsort(whose, kind="stable")
+        packed, width = path[order].astype(self.dtype).tobytes(), self.dtype.itemsize
+        stop = np.cumsum(np.bincount(whose, minlength=len(words))) * width
+        begin = np.append(0, stop[:-1])
+        best, second = np.where(strange, 0.0, best[end]), np.where(strange, 0.0, second[end])
+        loss = best - second
+        return [None if odd else (s, x, packed[a:b]) for odd, s, x, a, b in zip(strange.tolist(), best.tolist(), loss.tolist(), begin.tolist(), stop.tolist())]
 
     def unknown_ids(self, character: str) -> tuple[int, ...]:
         if self.bytes:
@@ -189,7 +279,10 @@ class PieceLattice:
         words = self.split(text)
         scores, losses, parts = zip(*map(self.words.__getitem__, words))
         total = sum(scores)
-        chosen = heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)
+        # the words of smallest loss, the first on ties
+        bound = sorted(losses)[: n - 1][-1] if n > 1 else -np.inf
+        chosen = sorted((x, i) for i, x in enumerate(losses) if x <= bound)[: n - 1] if n > 1 else []
+        chosen = [i for _, i in chosen]
         combined: list[tuple[float, dict[int, bytes]]] = [(total, {})]
         for i in chosen:
             if losses[i] == np.inf:
@@ -223,8 +316,10 @@ def n_best_segmentations(docs: DataFrame, model_path: str, n: int = 4, id_col: s
 
     best (array of score, n_pieces and ids_crc32 of the n best, best first) and round_trip: whether
     decoding the best ids gives the text again. Null texts are empty; an empty text has one path without
-    pieces. Repeated rows each get a row; other columns are left out; an empty table gives no rows. A
-    row's work stays in its task, without a shuffle.
+    pieces. Ties of scores are all paths of equal worth: which of them come first is fixed by the order of
+    the search. Rows with a null id and repeated rows each get a row; other columns are left out; an empty
+    table gives no rows. A row's work stays in its task, without a shuffle; a very long text is worked on
+    whole.
     """
     kind = "doc_id long, ids binary, best array<struct<score:double,n_pieces:long,ids_crc32:long>>, round_trip boolean"
     struct = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64())]))
@@ -235,7 +330,10 @@ def n_best_segmentations(docs: DataFrame, model_path: str, n: int = 4, id_col: s
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 ids, best, same = [], [], []
-                for text in part.column(1).to_pylist():
+                texts = part.column(1).to_pylist()
+                if pieces.by_words:
+                    pieces.learn({w for text in texts if text for w in pieces.split(text)})
+                for text in texts:
                     paths = pieces.best(text or "", n)
                     ids.append(paths[0][1])
                     best.append([{"score": s, "n_pieces": len(x) // pieces.dtype.itemsize, "ids_crc32": zlib.crc32(x)} for s, x in paths])

@@ -214,6 +214,40 @@ def test_n_best(spark, docs):
     assert n_best_segmentations(docs.limit(0), path).count() == 0
 
 
+def test_n_best_columns_against_a_plain_search(spark, texts):
+    from pulsegrid.llm.piece_nbest import PieceLattice, n_best_segmentations, segmentation_digest
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = PieceLattice(path)
+    few = [t for t in texts if t is None or len(t) < 400]
+    rows = [(i, t) for i, t in enumerate(few)] + [(None, few[0]), (0, few[1]), (0, few[1])]
+    found = segmentation_digest(n_best_segmentations(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path)).collect()
+    assert len(found) == len(rows)
+    expected = collections.Counter()
+    for i, t in rows:
+        paths = plain_paths(pieces, t or "", 4)
+        expected[(i, len(paths), tuple(float(x) for x, _ in paths))] += 1
+    assert collections.Counter((r["doc_id"], r["n_paths"], tuple(map(float, r["scores"].split(",")))) for r in found) == expected
+    for r in found:
+        ids = [x for _, x in pieces.best({i: t for i, t in rows}[r["doc_id"]] or "", 1)] if r["doc_id"] else []
+        if ids:
+            assert r["ids_crc32"] == zlib.crc32(ids[0]) and r["n_pieces"] == len(ids[0]) // 2 and r["round_trip"]
+
+
+@pytest.mark.parametrize("limit", [0, 40, 10_000])
+def test_words_at_once_are_as_one_by_one(texts, limit):
+    from pulsegrid.llm.piece_nbest import PieceLattice
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    one, many = PieceLattice(path), PieceLattice(path, limit)
+    for part in (texts[:20], texts[20:60], ["漢字 a漢 \u2581x", "  two  spaces ", "x" * 300]):
+        words = {w for t in part if t for w in many.split(t)}
+        many.learn(words)
+        assert len(many.words) <= limit
+        for w in words:
+            assert many.words[w] == one.word(w)
+
+
 # --- lines
 
 
