@@ -2,10 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet to the
 shared folder and rereads as the next stage's docs. All but the last return the columns of documents.
+
+A stage keeps intermediate tables in the shared folder, which its result reads. They are deleted when
+the next stage is called, so a result must be written before that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,26 +20,46 @@ from pulsegrid.llm.packing import pack_documents
 from pulsegrid.llm.partenum_join import near_duplicate_components
 from pulsegrid.llm.quality_rules import keep_good_documents
 from pulsegrid.llm.queries import table, vocabulary
-from pulsegrid.llm.scratch import stored
+from pulsegrid.llm.scratch import delete_tables, recorded, stored
 from pulsegrid.llm.secret_scan import mask_secrets
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_tables: list[str] = []
+
+
+def staged(stage: Stage) -> Stage:
+    """``stage``, deleting the intermediate tables of the stage called before."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_tables(spark, _tables)
+        _tables.clear()
+        with recorded(_tables):
+            return stage(spark, docs, sf_dir)
+
+    return call
+
+
 def with_length(docs: DataFrame) -> DataFrame:
     """n_chars as the text now has it."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+@staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; cutoffs come from the labels of the documents given."""
     return keep_good_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@staged
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat earlier ones go; so do documents of which no word is left."""
     left = remove_repeated_lines(docs).where(F.translate("text", " \t\n\x0b\x0c\r", "") != "")
     return with_length(left).select(*docs.columns)
 
 
+@staged
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; five-word shingles, 0.8 or more.
 
@@ -49,11 +75,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.select(*docs.columns).unionByName(docs.where(empty))
 
 
+@staged
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; no document goes."""
     return with_length(mask_secrets(docs)).select(*docs.columns)
 
 
+@staged
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of the packed sequences."""
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
@@ -72,7 +100,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        written: list[str] = []
+        result = stage(spark, docs, sf_dir)
+        with recorded(written):
+            docs = stored(result, "stage-" + name.replace(" ", "-"))
+        delete_tables(spark, before)
+        before = written
     return docs

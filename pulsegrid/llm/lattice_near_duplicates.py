@@ -2,14 +2,17 @@
 
 In each of several tables a vector, scaled to length 1, is projected to eight dimensions and decoded
 to the nearest point of the E8 lattice; that point and the label are its cell. A vector also probes
-the neighbouring cells that lie nearest to its projection. Pairs that meet in a cell are compared by
-cosine in double precision. Equal vectors are one class from the start.
+the neighbouring cells that lie nearest to its projection. Of the pairs that meet in a cell those go on
+whose sketches, the signs of 128 random projections, differ in no more bits than similar vectors may; six
+standard deviations are allowed, so one similar pair in 10^8 is lost by that, and hardly an unrelated one
+is left. Cosine in double precision decides. Equal vectors are one class from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, product
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,7 @@ from pulsegrid.llm.components import connected_components
 from pulsegrid.llm.scratch import stored
 
 DIMENSIONS = 8
+SKETCH_BITS = 128
 
 
 def shortest_vectors() -> np.ndarray:
@@ -70,12 +74,24 @@ def cells(vectors: np.ndarray, tables: int, width: float, probes: int, seed: int
     return np.stack(own, axis=1), np.stack(probed, axis=1)
 
 
+def sketches(vectors: np.ndarray, seed: int) -> np.ndarray:
+    """128 bits of each vector, as two 64-bit integers: on which sides of random planes it lies."""
+    planes = np.random.default_rng([seed, 1, vectors.shape[1]]).normal(0, 1, (vectors.shape[1], SKETCH_BITS))
+    return np.packbits(vectors @ planes > 0, axis=1).view(np.int64)
+
+
+def most_differing_bits(least: float) -> int:
+    """Bits in which the sketches of vectors with a cosine of ``least`` or more may differ."""
+    share = acos(min(max(least, -1.0), 1.0)) / pi
+    return ceil(SKETCH_BITS * share + 6 * sqrt(SKETCH_BITS * share * (1 - share)))
+
+
 def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, tables: int = 4, width: float = 1.2, probes: int = 12, seed: int = 11) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id and kept (it is the component's smallest id).
 
     Only vectors of equal, non-null label and equal length are compared. Null or zero vectors and those
     with null or non-finite components link with nothing. Repeated rows count as vectors of their own.
-    An empty table gives no rows. Every pair that is reported has a cosine of ``least`` or more; the
+    Very long vectors are compared whole; other columns are left out. An empty table gives no rows. Every pair that is reported has a cosine of ``least`` or more; the
     share of such pairs that is found depends on the other parameters (see the README).
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
@@ -93,19 +109,23 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, tables: int
                 part = batch.take(chosen)
                 x = part.column("v").flatten().to_numpy().reshape(-1, size)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                own, probed = cells(x / np.linalg.norm(x, axis=1, keepdims=True), tables, width, probes, seed)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                own, probed = cells(x, tables, width, probes, seed)
+                sketch = sketches(x, seed)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("class"), part.column("label"), pa.array(np.full(len(x), size), pa.int32()), pa.array(list(own), pa.list_(pa.int64())), pa.array([list(p) for p in probed], pa.list_(pa.list_(pa.int64())))],
-                    ["class", "label", "size", "own", "probed"],
+                    [part.column("class"), part.column("label"), pa.array(np.full(len(x), size), pa.int32()), pa.array(list(own), pa.list_(pa.int64())), pa.array([list(p) for p in probed], pa.list_(pa.list_(pa.int64()))), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
+                    ["class", "label", "size", "own", "probed", "s0", "s1"],
                 )
 
     kind = dict(alike.dtypes)["label"]
-    keyed = stored(alike.select("class", "label", "v").mapInArrow(keys, f"class long, label {kind}, size int, own array<long>, probed array<array<long>>"), "cells")
-    own = keyed.select("class", "label", "size", F.posexplode("own").alias("t", "cell"))
-    probing = keyed.select(F.col("class").alias("other"), "label", "size", F.posexplode("probed").alias("t", "cells"))
-    probing = probing.select("other", "label", "size", "t", F.explode("cells").alias("cell"))
-    again = own.select(F.col("class").alias("other"), "label", "size", "t", "cell")
-    met = own.join(again.union(probing), ["label", "size", "t", "cell"]).where("class <> other")
+    keyed = stored(alike.select("class", "label", "v").mapInArrow(keys, f"class long, label {kind}, size int, own array<long>, probed array<array<long>>, s0 long, s1 long"), "cells")
+    own = keyed.select("class", "s0", "s1", "label", "size", F.posexplode("own").alias("t", "cell"))
+    of_other = [F.col("class").alias("other"), F.col("s0").alias("o0"), F.col("s1").alias("o1")]
+    probing = keyed.select(*of_other, "label", "size", F.posexplode("probed").alias("t", "cells"))
+    probing = probing.select("other", "o0", "o1", "label", "size", "t", F.explode("cells").alias("cell"))
+    again = own.select(*of_other, "label", "size", "t", "cell")
+    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("o0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("o1")))
+    met = own.join(again.union(probing), ["label", "size", "t", "cell"]).where((F.col("class") != F.col("other")) & (differ <= most_differing_bits(least)))
     pairs = met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
     of = lambda n: alike.select(F.col("class").alias(n), F.col("v").alias(f"v{n}"), F.col("n").alias(f"n{n}"))
 

@@ -4,6 +4,10 @@ Each item asks for several resources at once (tokens, segments, loss-bearing tok
 limit for a sequence. One sequence is open at a time; of the items that still fit in every dimension
 it takes the one whose demand has the greatest dot product with what is left, both as shares of the
 limits. Packing happens within the rows of an input split, so nothing is shuffled.
+
+``pack_examples`` packs whole examples, where the dimensions differ and the dot product decides. Plain
+documents (``pack_documents``) bear loss on all tokens but the first of a piece, so their limits on
+segments and loss seldom bind, and the dot product then takes what fills most.
 """
 
 from __future__ import annotations
@@ -122,7 +126,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size:
     """Packs whole texts into sequences of at most ``size`` tokens; a row per piece.
 
     Null texts are empty, an empty text is the end id. Null ids and repeated rows are packed like any
-    others. An empty table gives no rows; other columns are left out. ``sequence_id`` is the input
+    others. A task packs ``CHUNK_TOKENS`` tokens at a time (more where one text is longer). An empty table
+    gives no rows; other columns are left out. ``sequence_id`` is the input
     split's number times 2^32 plus a count, so it is unique and the same when a lost task runs again.
     """
 
@@ -165,25 +170,35 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size:
 def pack_examples(examples: DataFrame, id_col: str, demand_cols: list[str], limits: list[int], chunk_rows: int = 200_000) -> DataFrame:
     """Packs whole examples (instruction data) by their demands, none cut: id, sequence_id and place in the sequence.
 
-    Null or negative demands count as 0. An example beyond a limit by itself gets its own sequence.
+    A task packs ``chunk_rows`` examples at a time, over the batches it gets. Null or negative demands count
+    as 0. An example beyond a limit by itself gets its own sequence. Null and repeated ids are packed like
+    any others; an empty table gives no rows; other columns are left out.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
+        base, held, rows = TaskContext.get().partitionId() << 32, [], 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal base
+            part = pa.Table.from_batches(held)
+            demands = np.stack([np.maximum(part.column(j + 1).to_numpy(), 0) for j in range(len(demand_cols))], axis=1).astype(float)
+            found = pack_whole(demands, np.array(limits, float))
+            order = [i for own in found for i in own]
+            sequence = pa.array([base + s for s, own in enumerate(found) for _ in own], pa.int64())
+            place = pa.array([p for own in found for p in range(len(own))], pa.int32())
+            base += len(found)
+            return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(order)).combine_chunks(), sequence, place], [id_col, "sequence_id", "place"])
+
         for batch in batches:
             for k in range(0, batch.num_rows, chunk_rows):
                 part = batch.slice(k, chunk_rows)
-                demands = np.stack([np.maximum(part.column(j + 1).to_numpy(zero_copy_only=False), 0) for j in range(len(demand_cols))], axis=1).astype(float)
-                found = pack_whole(demands, np.array(limits, float))
-                order = [i for own in found for i in own]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        id_col: part.column(0).take(pa.array(order)),
-                        "sequence_id": pa.array([base + s for s, own in enumerate(found) for _ in own], pa.int64()),
-                        "place": pa.array([p for own in found for p in range(len(own))], pa.int32()),
-                    }
-                )
-                base += len(found)
+                if rows + part.num_rows > chunk_rows:
+                    yield out()
+                    held, rows = [], 0
+                held.append(part)
+                rows += part.num_rows
+        if rows:
+            yield out()
 
     asked = examples.select(id_col, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in demand_cols))
     return asked.mapInArrow(pack, f"{id_col} {dict(examples.dtypes)[id_col]}, sequence_id long, place int")

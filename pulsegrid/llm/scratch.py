@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
+_recorded: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +44,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    for paths in _recorded:
+        paths.append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -50,6 +55,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_splits(spark: SparkSession, df: DataFrame) -> int:
-    """Number of shuffle partitions to deal ``df`` into: the session's setting."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """The paths of tables stored meanwhile go to ``paths``."""
+    _recorded.append(paths)
+    try:
+        yield
+    finally:
+        _recorded.remove(paths)
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables, wherever they are; nothing may read them any more."""
+    context = spark.sparkContext
+    for path in paths:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -182,6 +182,51 @@ def test_examples_keep_all_limits(spark):
     assert all((v <= [2048, 6, 900]).all() for k, v in sums.items() if k != own) and sums[own][0] == 5000
 
 
+def test_dot_products_beat_the_longest_first():
+    from pulsegrid.llm.packing import pack_whole
+
+    r = np.random.default_rng(4)
+    # prompts with much context and little loss, and answers that are nearly all loss
+    context = np.stack([r.integers(500, 900, 300), np.ones(300, int), r.integers(10, 90, 300)], axis=1)
+    answers = np.stack([r.integers(200, 420, 300), np.ones(300, int), r.integers(190, 400, 300)], axis=1)
+    demands, limits = np.concatenate([context, answers]), np.array([2048.0, 6, 700])
+
+    def longest_first() -> int:
+        sequences: list[np.ndarray] = []
+        for d in demands[np.argsort(-demands[:, 0], kind="stable")]:
+            for used in sequences:
+                if (used + d <= limits).all():
+                    used += d
+                    break
+            else:
+                sequences.append(d.astype(float))
+        return len(sequences)
+
+    packed = pack_whole(demands, limits)
+    assert sorted(i for own in packed for i in own) == list(range(len(demands)))
+    assert all((demands[own].sum(axis=0) <= limits).all() for own in packed)
+    assert len(packed) < longest_first()
+
+
+def test_examples_over_batches_and_odd_rows(spark):
+    from pulsegrid.llm.packing import pack_examples, pack_documents
+
+    rows = [(i % 90 if i % 7 else None, 10, 1) for i in range(700)]
+    examples = spark.createDataFrame(rows, "id long, tokens long, extra long").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        placed = pack_examples(examples, "id", ["tokens"], [100], chunk_rows=500).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert collections.Counter(r["id"] for r in placed) == collections.Counter(i for i, *_ in rows)
+    assert len({r["sequence_id"] for r in placed}) == 71  # 448 rows, then 252
+    assert pack_examples(examples.limit(0), "id", ["tokens"], [100]).count() == 0
+    odd = [(None, "a b"), (None, "a b"), (3, "c"), (3, "d e"), (4, None), (5, "word " * 3000)]
+    pieces = pack_documents(spark.createDataFrame(odd, "doc_id long, text string"), TOKENIZER).collect()
+    assert sum(p["length"] for p in pieces) == sum(len(library_ids(t)) for _, t in odd)
+    assert collections.Counter(p["doc_id"] for p in pieces if p["start"] == 0) == collections.Counter(i for i, _ in odd)
+
+
 # --- pieces
 
 
@@ -229,8 +274,8 @@ def test_n_best_columns_against_a_plain_search(spark, texts):
         expected[(i, len(paths), tuple(float(x) for x, _ in paths))] += 1
     assert collections.Counter((r["doc_id"], r["n_paths"], tuple(map(float, r["scores"].split(",")))) for r in found) == expected
     for r in found:
-        ids = [x for _, x in pieces.best({i: t for i, t in rows}[r["doc_id"]] or "", 1)] if r["doc_id"] else []
-        if ids:
+        if r["doc_id"]:
+            ids = [x for _, x in pieces.best(few[r["doc_id"]] or "", 4)]
             assert r["ids_crc32"] == zlib.crc32(ids[0]) and r["n_pieces"] == len(ids[0]) // 2 and r["round_trip"]
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 
 def test_nearest_lattice_points():
@@ -42,3 +43,19 @@ def test_near_duplicate_vectors(spark):
     for i in range(400, 406):
         assert found[i]["n_links"] == 0 and found[i]["component_id"] == i and found[i]["kept"]
     assert near_duplicate_vectors(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [16, 64, 384])
+def test_pairs_at_the_threshold_are_found(size):
+    from pulsegrid.llm.lattice_near_duplicates import cells, most_differing_bits, sketches
+
+    r = np.random.default_rng(size)
+    x, y = r.normal(size=(2, 3000, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = 0.931 * x + np.sqrt(1 - 0.931**2) * y
+    (own_x, probed_x), (own_y, probed_y) = (cells(z, 4, 1.2, 12, 11) for z in (x, y))
+    meet = (own_x == own_y) | (probed_x == own_y[:, :, None]).any(2) | (probed_y == own_x[:, :, None]).any(2)
+    differ = np.bitwise_count(sketches(x, 11).view(np.uint64) ^ sketches(y, 11).view(np.uint64)).sum(1)
+    assert (meet.any(1) & (differ <= most_differing_bits(0.93))).mean() > 0.98
