@@ -175,3 +175,30 @@ def merged_windows(spans: DataFrame, context: int) -> DataFrame:
     rows = rows.withColumn("__n", F.coalesce(F.col("lo") > past, F.lit(True)).cast("int"))
     rows = rows.withColumn("__g", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*series_of(spans), "__g").agg(F.min("lo").alias("start_ust"), F.max("hi").alias("end_ust"), F.count("*").alias("spans")).drop("__g")
+
+
+def rollup(points: DataFrame) -> DataFrame:
+    """Coverage by activity, by item of it and by field of that: ``level`` 1 to 3 and nulls below it; level 0 is the whole."""
+    out = points.rollup("activity", "item", "field").agg(
+        (F.lit(3) - F.bit_count(F.grouping_id())).cast("int").alias("level"),
+        F.count("*").alias("points"),
+        F.count("value").alias("observed"),
+        F.min("start_ust").alias("first_ust"),
+        F.max("end_ust").alias("last_ust"),
+    )
+    return out
+
+
+def integer_mean(points: DataFrame, value: str) -> DataFrame:
+    """Means of whole numbers as old reports give them: divided as integers, towards zero."""
+    total, n = F.sum(F.col(value).cast("long")), F.count(value)
+    return points.groupBy(*series_of(points)).agg((F.signum(total) * F.floor(F.abs(total) / n)).cast("long").alias("mean"))
+
+
+#: Reasons that concern every series of a host.
+WHOLE_HOST = ["restart", "file_boundary_unverified", "layout_changed"]
+
+
+def marks(points: DataFrame) -> DataFrame:
+    """Discontinuities of hosts as a whole, each once: host, ust, reason."""
+    return points.where(F.col("reason").isin(WHOLE_HOST)).select("host", F.col("end_ust").alias("ust"), "reason").distinct()

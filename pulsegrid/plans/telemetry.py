@@ -575,3 +575,37 @@ def chart_points(spark, d):
     rows = metrics(spark, d).where("field = 'blocked'")
     windows = series.merged_windows(series.hit_runs(rows, F.col("value") >= 2), 3600)
     return sinks.chart_points(rows, windows).select("host", "start_ust", "value", "chart_start", "chart_end")
+
+
+@query(M + " select host, activity, item, end_ust, '{\"type\":\"detection\",\"host\":\"' || host || '\",\"activity\":\"' || activity || '\",\"item\":\"' || item || '\",\"end_ust\":' || cast(end_ust as varchar) || ',\"seconds\":3600}' as line from metrics where field = 'blocked' and value >= 1")
+def detection_lines(spark, d):
+    rows = metrics(spark, d).where("field = 'blocked' and value >= 1").select("host", "activity", "item", "end_ust", (F.col("end_ust") - F.col("start_ust")).alias("seconds"))
+    return sinks.lines(rows, "detection", ["host", "activity", "item", "end_ust"])
+
+
+@query(M + " select host, '{\"type\":\"summary\",\"host\":\"' || host || '\",\"points\":' || cast(count(*) as varchar) || ',\"first_ust\":' || cast(min(start_ust) as varchar) || '}' as line from metrics group by host")
+def summary_lines(spark, d):
+    return sinks.lines(metrics(spark, d).groupBy("host").agg(F.count("*").alias("points"), F.min("start_ust").alias("first_ust")), "summary", ["host"])
+
+
+@query(M + """, p as (select host, end_ust, activity, '{"activity":"' || activity || '","values":[' || string_agg('{"item":"' || item || '","field":"' || field || '","value":"' || cast(cast(value as bigint) as varchar) || '.0"}', ',' order by item, field) || ']}' as part from metrics where activity in ('CPU', 'QUEUE') group by 1, 2, 3)
+select host, end_ust, '{"host":"' || host || '","timestamp":' || cast(end_ust as varchar) || ',"activities":[' || string_agg(part, ',' order by activity) || ']}' as line from p group by 1, 2""")
+def nested_sample_lines(spark, d):
+    return sinks.nested_samples(metrics(spark, d).where("activity in ('CPU', 'QUEUE')"))
+
+
+@query(M + " select activity, item, field, cast(3 - (grouping(activity) + grouping(item) + grouping(field)) as integer) as level, count(*) as points, count(value) as observed, min(start_ust) as first_ust, max(end_ust) as last_ust from metrics group by rollup (activity, item, field)")
+def summary_rollup(spark, d):
+    return series.rollup(metrics(spark, d))
+
+
+@query(M + f" select {KEYS}, cast(sum(cast(value as bigint)) // count(value) as bigint) as mean from metrics group by all")
+def integer_means(spark, d):
+    return series.integer_mean(metrics(spark, d), "value")
+
+
+@query("with " + SQL_FILES + " select distinct nodename as host, ust, 'layout_changed' as reason from bo where decision = 'layout_changed'")
+def discontinuity_marks(spark, d):
+    rows = hosts.boundaries(file_samples(spark, d), carry_across_files=False)
+    points = rows.select(F.col("nodename").alias("host"), F.col("ust").alias("end_ust"), F.col("decision").alias("reason"))
+    return series.marks(points.union(points)).where("reason = 'layout_changed'")

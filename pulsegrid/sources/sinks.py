@@ -78,3 +78,19 @@ def chart_points(points: DataFrame, windows: DataFrame) -> DataFrame:
     """The points of each merged window (host, item, start_ust, end_ust), with the window's ends: the data of its chart."""
     w = windows.select("host", "item", F.col("start_ust").alias("chart_start"), F.col("end_ust").alias("chart_end"))
     return points.join(w, ["host", "item"]).where((F.col("end_ust") > F.col("chart_start")) & (F.col("start_ust") < F.col("chart_end")))
+
+
+def nested_samples(points: DataFrame) -> DataFrame:
+    """A line of JSON per host and sample: its activities, each with its items' values, in order of name; values as text.
+
+    A sample's values are those of one host at one time, so their number is bounded by the host's devices.
+    """
+    value = F.struct("item", "field", F.col("value").cast("string").alias("value"))
+    per = points.where(F.col("value").isNotNull()).groupBy("host", "end_ust", "activity").agg(F.array_sort(F.collect_list(value)).alias("values"))
+    whole = per.groupBy("host", "end_ust").agg(F.array_sort(F.collect_list(F.struct("activity", "values"))).alias("activities"))
+    return whole.select("host", "end_ust", F.to_json(F.struct("host", F.col("end_ust").alias("timestamp"), "activities")).alias("line"))
+
+
+def lines(rows: DataFrame, kind: str, keys: list[str]) -> DataFrame:
+    """Any rows (summaries, detections) as lines of JSON with their ``type``, beside the keys."""
+    return exact(rows).select(*keys, F.to_json(F.struct(F.lit(kind).alias("type"), *rows.columns)).alias("line"))
