@@ -177,42 +177,86 @@ class Decoder:
             if not self.lenient:
                 raise BadFile("the last record is cut off") from error
 
-    def items(self, at: int, nr: int, nr2: int, own: tuple) -> tuple[str, list[str], list[str], np.ndarray, list[int]] | None:
-        """activity, item names, fields, values (items, fields) and bits of each field; None if not wanted."""
+    def items(self, at: int, records: int, stride: int, nr: int, nr2: int, own: tuple) -> tuple[str, list[str], list[str], np.ndarray, list[int]] | None:
+        """activity, item names, fields, values (records, items, fields) and bits of each field; None if not wanted, or if names change.
+
+        ``records`` records of one form follow each other, ``stride`` bytes apart.
+        """
         name, _, _, _, _, size, wide, longs, ints = own
-        if name not in FIELDS or not nr:
-            return None
-        activity, named, fields = FIELDS[name]
-        if self.wanted is not None and activity not in self.wanted:
+        activity, named, fields = self.columns(own)
+        if not fields or not nr:
             return None
-        fields = fields.split()[: wide + longs + ints]
-        raw = np.frombuffer(self.data, np.uint8, nr * nr2 * size, at).reshape(nr * nr2, size)
+        data = np.frombuffer(self.data, np.uint8)
+        raw = np.lib.stride_tricks.as_strided(data[at:], (records, nr * nr2, size), (stride, size, 1), writeable=False)
         long_end, end = 8 * (wide + longs), 8 * (wide + longs) + 4 * ints
-        values = np.concatenate([np.ascontiguousarray(raw[:, :long_end]).view(self.order + "u8").astype(np.uint64), np.ascontiguousarray(raw[:, long_end:end]).view(self.order + "u4").astype(np.uint64)], axis=1)
+        values = np.empty((records, nr * nr2, wide + longs + ints), np.uint64)
+        values[:, :, : wide + longs] = np.ascontiguousarray(raw[:, :, :long_end]).view(self.order + "u8")
+        values[:, :, wide + longs :] = np.ascontiguousarray(raw[:, :, long_end:end]).view(self.order + "u4")
+        every = FIELDS[name][2].split()[: values.shape[2]]
         # a long of a 32-bit machine takes 8 bytes in the file and wraps at 32 bits
-        bits = [64 if k < wide or (k < wide + longs and self.long_size == 8) else 32 for k in range(len(fields))]
+        bits = [64 if k < wide or (k < wide + longs and self.long_size == 8) else 32 for k in range(len(every))]
         if named == "cpu":
             items = ["all" if i == 0 else f"cpu{i - 1}" for i in range(nr * nr2)]
         elif named == "text":
-            texts = [text_of(raw[i, end : end + NAME_SIZES[activity]].tobytes()) for i in range(nr * nr2)]
+            texts = raw[:, :, end : end + NAME_SIZES[activity]]
+            if records > 1 and (texts[1:] != texts[0]).any():
+                return None
+            texts = [text_of(texts[0, i].tobytes()) for i in range(nr * nr2)]
             # of a matrix the first row has the names; the others are of one processor each
             items = texts if nr2 == 1 else [texts[i % nr2] + (f"/cpu{i // nr2 - 1}" if i >= nr2 else "") for i in range(nr * nr2)]
         elif named == "disk":
-            major, minor = fields.index("major"), fields.index("minor")
-            items = [f"dev{a}-{b}" for a, b in values[:, [major, minor]].tolist()]
+            numbers = values[:, :, [every.index("major"), every.index("minor")]]
+            if records > 1 and (numbers[1:] != numbers[0]).any():
+                return None
+            items = [f"dev{a}-{b}" for a, b in numbers[0].tolist()]
         else:
             items = ["-"] if named == "one" and nr * nr2 == 1 else [str(i) for i in range(nr * nr2)]
-        chosen = [k for k, f in enumerate(fields) if self.fields is None or f in self.fields]
-        return activity, items, [fields[k] for k in chosen], values[:, chosen], [bits[k] for k in chosen]
+        chosen = [k for k, f in enumerate(every) if f in fields]
+        return activity, items, [every[k] for k in chosen], values if len(chosen) == values.shape[2] else values[:, :, chosen], [bits[k] for k in chosen]
+
+    def columns(self, own: tuple) -> tuple[str, str, list[str]]:
+        """Name of an activity, how its items are named, and its fields that are wanted."""
+        name, _, _, _, _, _, *types = own
+        if name not in FIELDS:
+            return "", "", []
+        activity, named, fields = FIELDS[name]
+        if self.wanted is not None and activity not in self.wanted:
+            return activity, named, []
+        return activity, named, [f for f in fields.split()[: sum(types)] if self.fields is None or f in self.fields]
 
     def samples(self, records: range | None = None) -> Iterator[tuple]:
-        """(segment, number, ust, uptime, *items) of each activity of each sample; ``records``: numbers of the samples wanted."""
+        """(segments, numbers, ust, uptime, *items) of each activity of runs of samples; ``records``: numbers of the samples wanted.
+
+        Samples of one form that stand one after the other, at even distances, are decoded together.
+        """
+        wanted = [k for k, own in enumerate(self.activities) if self.columns(own)[2]]
+
+        def decoded(run: list[tuple]) -> Iterator[tuple]:
+            stride = run[1][4][0][0] - run[0][4][0][0] if len(run) > 1 else 0
+            heads = [np.array([x[k] for x in run], np.uint64 if k > 1 else np.int64) for k in range(4)]
+            for k in wanted:
+                at, nr, nr2, own = run[0][4][k]
+                found = self.items(at, len(run), stride, nr, nr2, own)
+                if found is not None:
+                    yield (*heads, *found)
+                elif nr and len(run) > 1:  # names change
+                    for j, one in enumerate(run):
+                        yield (*(h[j : j + 1] for h in heads), *self.items(one[4][k][0], 1, 0, nr, nr2, own))
+
+        run: list[tuple] = []
+        form, last = None, 0
         for kind, segment, number, ust, uptime, _, _, content in self.walk():
-            if kind in (STATS, LAST_STATS) and (records is None or number in records):
-                for at, nr, nr2, own in content:
-                    found = self.items(at, nr, nr2, own)
-                    if found is not None and found[2]:
-                        yield segment, number, ust, uptime, *found
+            if kind not in (STATS, LAST_STATS) or not content or (records is not None and number not in records):
+                continue
+            own = tuple(x[1] for x in content)
+            at = content[0][0]
+            if run and (own != form or len(run) >= 4096 or (len(run) > 1 and at - last != last - run[-2][4][0][0])):
+                yield from decoded(run)
+                run = []
+            run.append((segment, number, ust, uptime, content))
+            form, last = own, at
+        if run:
+            yield from decoded(run)
 
     def events(self) -> Iterator[tuple]:
         for kind, _, _, ust, _, _, _, content in self.walk():
@@ -238,26 +282,25 @@ def bytes_of(path: str) -> bytes:
 
 def sample_batches(path: str, file: Decoder, records: range | None) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in SAMPLES.split(", ")]
-    held: list[tuple] = []
+    held: list[list[pa.Array]] = []
     size = 0
 
+    def arrays(segment, number, ust, uptime, activity, items, fields, values, bits) -> list[pa.Array]:
+        n, total = len(items) * len(fields), values.size
+        each = lambda x: np.repeat(x, n)
+        same = lambda x: pa.DictionaryArray.from_arrays(pa.array(np.zeros(total, np.int32)), pa.array([x], pa.string())).cast(pa.string())
+        named = lambda x, index: pa.array(x, pa.string()).take(pa.array(np.tile(index, len(segment))))
+        raw = pa.array(values.ravel()).cast(pa.decimal128(20, 0))
+        item = np.repeat(np.arange(len(items)), len(fields))
+        field = np.tile(np.arange(len(fields)), len(items))
+        times = [pa.array(each(x).astype(np.int64)) for x in (segment, number, ust)] + [pa.array(each(uptime)).cast(pa.decimal128(20, 0))]
+        return [same(path), same(file.nodename), *times, same(activity), named(items, item), named(fields, field), raw, pa.array(np.tile(np.array(bits, np.int32)[field], len(segment)))]
+
     def out() -> pa.RecordBatch:
-        counts = [x[7].size for x in held]
-        # of each: the numbers of its value's activity block, item and field
-        each = lambda values, kind: pa.array(np.repeat(np.array(values, kind), counts))
-        text = lambda values: pa.array(values, pa.string())
-        items = text([i for x in held for i in x[5] for _ in x[6]])
-        fields = text([f for x in held for _ in x[5] for f in x[6]])
-        bits = pa.array([b for x in held for _ in x[5] for b in x[8]], pa.int32())
-        raw = pa.array(np.concatenate([x[7].ravel() for x in held])).cast(pa.decimal128(20, 0))
-        activity = text([x[4] for x in held]).take(each(range(len(held)), np.int64))
-        total = sum(counts)
-        columns = [text([path]).take(pa.array(np.zeros(total, np.int64))), text([file.nodename]).take(pa.array(np.zeros(total, np.int64)))]
-        columns += [each([x[k] for x in held], np.int64) for k in range(3)] + [each([x[3] for x in held], np.uint64).cast(pa.decimal128(20, 0)), activity, items, fields, raw, bits]
-        return pa.RecordBatch.from_arrays(columns, names)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*held)], names)
 
     for one in file.samples(records):
-        held.append(one)
+        held.append(arrays(*one))
         size += one[7].size
         if size >= BATCH_VALUES:
             yield out()

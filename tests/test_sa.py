@@ -57,6 +57,18 @@ def test_only_what_is_wanted_is_decoded(spark, tmp_path):
     assert [(r["kind"], r["number"], r["segment"]) for r in records] == [(1, 0, 0), (1, 1, 0), (4, 2, 0), (2, 2, 1), (1, 2, 1)]
 
 
+def test_runs_of_samples_are_as_one_by_one():
+    from bench import activity_file
+
+    data = activity_file(7, 3)
+    at = data.rindex(b"eth5")
+    data = data[:at] + b"new5" + data[at + 4 :]  # a name changes in the last sample
+    rows = lambda file, n: sorted((i, a, item, f, v[k, y, z]) for _, number, _, _, a, items, fields, v, _ in file.samples(n) for k, i in enumerate(number.tolist()) for y, item in enumerate(items) for z, f in enumerate(fields))
+    together = rows(Decoder(data), None)
+    assert together == sorted(x for i in range(7) for x in rows(Decoder(data), range(i, i + 1)))
+    assert {item for i, a, item, *_ in together if a == "NET_DEV" and i == 6} - {item for i, a, item, *_ in together if a == "NET_DEV" and i == 5} == {"new5"}
+
+
 def test_samples_feed_deltas_and_summaries(spark, tmp_path):
     path = tmp_path / "sa05"
     path.write_bytes(sa_file())
@@ -84,7 +96,7 @@ def test_counts_of_items_are_checked(spark, tmp_path, nr):
 
 def test_cut_off_and_foreign_files(spark, tmp_path):
     cut = sa_file(cut=10)
-    assert max(x[1] for x in Decoder(cut).samples()) == 1
+    assert max(n for x in Decoder(cut).samples() for n in x[1].tolist()) == 1
     with pytest.raises(BadFile):
         list(Decoder(cut, lenient=False).walk())
     for bad in (b"", b"x" * 500, sa_file()[:200]):
