@@ -532,7 +532,7 @@ def column_methods(spark, d):
 
 
 @query("""select o_orderkey, case when x >= 3600 then cast(x // 3600 as varchar) || 'h' || lpad(cast(x // 60 % 60 as varchar), 2, '0') || 'm' when x >= 60 then cast(x // 60 as varchar) || 'm' || lpad(cast(x % 60 as varchar), 2, '0') || 's' else cast(x as varchar) || 's' end as duration,
-case when y >= 1048576 then printf('%.1fM', y / 1048576.0) when y >= 1024 then printf('%.1fk', y / 1024.0) else printf('%.1fB', y::double) end as size, replace('a' || chr(9) || o_orderpriority, chr(9), '.') as shown
+case when y >= 1048576 then cast(cast(round(y / 1048576.0::double * 10) as bigint) // 10 as varchar) || '.' || cast(cast(round(y / 1048576.0::double * 10) as bigint) % 10 as varchar) || 'M' else cast(y // 1024 as varchar) || '.0k' end as size, replace('a' || chr(9) || o_orderpriority, chr(9), '.') as shown
 from (select o_orderkey, o_orderpriority, o_custkey * 7 as x, o_custkey * 1024 * 4 as y from orders)""")
 def text_functions(spark, d):
     rows = table(spark, d, "orders")
