@@ -29,26 +29,78 @@ SPACE = "▁"
 UNKNOWN = 10.0
 
 
-class Words(dict):
-    """Of the words that are kept; those of the texts at hand stand in ``passing``, others are worked out one by one."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.passing = make, {}
-
-    def __missing__(self, word):
-        return self.passing.get(word) or self.make(word)
-
-
 #: Longest word, in characters, that is worked on in arrays.
 LONGEST = 48
 STEP = np.uint64(0x9E3779B97F4A7C15)
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
+
+
+class Beginnings:
+    """What begins a piece, of one length, found by hash: the place in ``ids`` (-1: no piece itself) and ``scores``."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, scores: np.ndarray):
+        self.hashes, self.ids, self.scores = hashes, ids, scores
+        self.shift = np.uint64(64 - max(8, (8 * len(hashes) - 1).bit_length()))
+        slots = (hashes * SPREAD) >> self.shift
+        taken, first = np.unique(slots, return_index=True)
+        self.at = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.at[taken] = first
+        rest = np.setdiff1d(np.arange(len(hashes)), first)
+        self.crowded = np.zeros(len(self.at), bool)
+        self.crowded[slots[rest]] = True
+        self.rest = rest[np.argsort(hashes[rest])]
+        self.rest_hashes = hashes[self.rest]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        slots = (hashes * SPREAD) >> self.shift
+        found = self.at[slots]
+        found[self.hashes[found] != hashes] = -1
+        again = np.flatnonzero((found < 0) & self.crowded[slots])
+        if len(again):
+            where = np.minimum(np.searchsorted(self.rest_hashes, hashes[again]), len(self.rest) - 1)
+            hit = self.rest_hashes[where] == hashes[again]
+            found[again[hit]] = self.rest[where[hit]]
+        return found
+
+
+class WordStore:
+    """Best score, loss of the second path and ids of the best, of words by number. What comes after the first ``limit`` words can be dropped."""
+
+    def __init__(self, dtype: np.dtype, limit: int):
+        self.limit, self.number, self.later = limit, {}, []
+        self.size, self.filled = 0, 0
+        self.score, self.loss = np.zeros(1024), np.zeros(1024)
+        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.ids = np.zeros(4096, dtype)
+
+    def drop_later(self) -> None:
+        for word in self.later:
+            del self.number[word]
+        if self.later:
+            self.size -= len(self.later)
+            self.filled = int(self.start[self.size])
+            self.later = []
+
+    def add(self, words: list[str], score, loss, count, ids: np.ndarray) -> None:
+        def grown(x: np.ndarray, used: int, more: int) -> np.ndarray:
+            return np.concatenate([x, np.zeros(max(len(x) // 2, used + more - len(x)), x.dtype)]) if used + more > len(x) else x
+
+        n, at = len(words), self.size
+        self.score, self.loss, self.start, self.count = (grown(x, at, n + 1) for x in (self.score, self.loss, self.start, self.count))
+        self.ids = grown(self.ids, self.filled, len(ids))
+        count = np.asarray(count, np.int64)
+        self.score[at : at + n], self.loss[at : at + n], self.count[at : at + n] = score, loss, count
+        self.start[at : at + n + 1] = self.filled + np.append(0, np.cumsum(count))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.number.update(zip(words, range(at, at + n)))
+        self.later += words[max(self.limit - at, 0) :]
+        self.size, self.filled = at + n, self.filled + len(ids)
 
 
 class PieceLattice:
-    """Pieces of a model file and the searches over them. ``limit`` words and as many units are remembered."""
+    """Pieces of a model file and the searches over them. ``limit`` words are remembered, and a tenth as many units and alternatives."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import sentencepiece
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,36 +114,32 @@ class PieceLattice:
         self.by_words = not any(a != SPACE and b == SPACE for a, b in self.pairs)
         self.dtype = np.dtype("<u2" if m.get_piece_size() <= 1 << 16 else "<u4")
         self.limit = limit
-        self.words = Words(self.word)
+        self.words = WordStore(self.dtype, limit)
         self.units: dict[str, tuple[float, float, bytes]] = {}
-        # by length: hashes of what begins a piece, sorted; the piece's id or -1, and its score
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.alternatives: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        self.tables: list[Beginnings] = []
         for size in range(1, max(map(len, self.prefixes)) + 1):
             own = [x for x in self.prefixes if len(x) == size]
             codes = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), size).astype(np.uint64)
             hashes = np.zeros(len(own), np.uint64)
             for k in range(size):
                 hashes = hashes * STEP + codes[:, k]
-            order = np.argsort(hashes)
-            found = [self.prefixes[own[i]] or (-1, 0.0) for i in order]
-            self.tables.append((hashes[order], np.array([x[0] for x in found]), np.array([x[1] for x in found])))
+            found = [self.prefixes[x] or (-1, 0.0) for x in own]
+            self.tables.append(Beginnings(hashes, np.array([x[0] for x in found]), np.array([x[1] for x in found])))
 
     def learn(self, words: set[str]) -> None:
-        """Works out those of ``words`` that are not known, for the texts that come next."""
-        new = [w for w in words if w not in self.words]
+        """Works out those of ``words`` that are not known."""
+        new = [w for w in words if w not in self.words.number]
         short = [w for w in new if len(w) <= LONGEST]
-        found = {w: x or self.word(w) for w, x in zip(short, self.words_at_once(short))} if short else {}
-        room = self.limit - len(self.words)
-        if room >= len(found):
-            self.words.update(found)
-            self.words.passing = {}
-        else:
-            for w in list(found)[: max(room, 0)]:
-                self.words[w] = found.pop(w)
-            self.words.passing = found
-
-    def words_at_once(self, words: list[str]) -> list[tuple[float, float, bytes] | None]:
-        """``word`` of each, by the same forward pass over all at once; None for one with a character that no piece is."""
+        if short:
+            self.words.add(short, *self.words_at_once(short))
+        if long := [w for w in new if len(w) > LONGEST]:
+            score, loss, packed = zip(*map(self.word, long))
+            ids = [np.frombuffer(x, self.dtype) for x in packed]
+            self.words.add(long, score, loss, [len(x) for x in ids], np.concatenate(ids))
+
+    def words_at_once(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Score, loss and number of ids of each, and all ids, by the same forward pass over all at once."""
         sizes = np.array([len(w) for w in words])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
         first = np.cumsum(sizes) - sizes
@@ -101,28 +149,27 @@ class PieceLattice:
         # pieces at each place, by growing prefixes
         at, hashes = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
         found = []
-        strange = np.zeros(len(words), bool)
-        for k, (known, ids, scores) in enumerate(self.tables):
-            inside = left[at] > k
-            at = at[inside]
-            hashes = hashes[inside] * STEP + codes[at + k]
-            where = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            hit = known[where] == hashes
-            if k == 0:
-                whole = hit & (ids[where] >= 0)
-                strange[owner[at[~whole]]] = True
+        for k, table in enumerate(self.tables):
+            if k:
+                inside = left[at] > k
+                at, hashes = at[inside], hashes[inside]
+            hashes = hashes * STEP + codes[at + k]
+            where = table.find(hashes)
+            hit = where >= 0
+            if k == 0:  # a character that is no piece: its negative code stands for its ids
+                none = at[~hit | (table.ids[where] < 0)]
+                found.append((none, np.ones(len(none), int), -1 - codes[none].astype(np.int64), np.full(len(none), self.unknown)))
             at, hashes, where = at[hit], hashes[hit], where[hit]
-            piece = ids[where] >= 0
-            found.append((at[piece], np.full(int(piece.sum()), k + 1), ids[where][piece], scores[where][piece]))
+            piece = table.ids[where] >= 0
+            where = where[piece]
+            found.append((at[piece], np.full(len(where), k + 1), table.ids[where], table.scores[where]))
             if not len(at):
                 break
         start, length, ids, scores = (np.concatenate(x) for x in zip(*found))
-        own = ~strange[owner[start]]
-        start, length, ids, scores = start[own], length[own], ids[own], scores[own]
         # nodes: a word's places and its end; pieces by the place where they end, the longest first
         tail = start + owner[start] + length
         step = place[start] + length
-        order = np.lexsort((-length, step))
+        order = np.argsort((step * 64 - length).astype(np.int16), kind="stable")
         start, length, ids, scores, tail, step = (x[order] for x in (start, length, ids, scores, tail, step))
         head = start + owner[start]
         nodes = len(codes) + len(words)
@@ -137,7 +184,7 @@ class PieceLattice:
             best[y] = np.where(better, value, now)
             via[y] = np.where(better, np.arange(a, b), via[y])
         end = first + np.arange(len(words)) + sizes
-        node, active, taken = end.copy(), np.flatnonzero(~strange), []
+        node, active, taken = end.copy(), np.arange(len(words)), []
         while len(active):
             edge = via[node[active]]
             taken.append((active, ids[edge]))
@@ -146,12 +193,17 @@ class PieceLattice:
         whose = np.concatenate([x for x, _ in taken[::-1]]) if taken else np.zeros(0, int)
         path = np.concatenate([x for _, x in taken[::-1]]) if taken else np.zeros(0, int)
         order = np.argsort(whose, kind="stable")
-        packed, width = path[order].astype(self.dtype).tobytes(), self.dtype.itemsize
-        stop = np.cumsum(np.bincount(whose, minlength=len(words))) * width
-        begin = np.append(0, stop[:-1])
-        best, second = np.where(strange, 0.0, best[end]), np.where(strange, 0.0, second[end])
-        loss = best - second
-        return [None if odd else (s, x, packed[a:b]) for odd, s, x, a, b in zip(strange.tolist(), best.tolist(), loss.tolist(), begin.tolist(), stop.tolist())]
+        whose, path = whose[order], path[order]
+        if len(odd := np.flatnonzero(path < 0)):
+            spelled = {c: self.unknown_ids(chr(-1 - c)) for c in np.unique(path[odd]).tolist()}
+            sizes = np.ones(len(path), np.int64)
+            sizes[odd] = [len(spelled[c]) for c in path[odd].tolist()]
+            first = np.cumsum(sizes) - sizes
+            whose, whole = np.repeat(whose, sizes), np.repeat(path, sizes)
+            for c, at in zip(path[odd].tolist(), first[odd].tolist()):
+                whole[at : at + len(spelled[c])] = spelled[c]
+            path = whole
+        return best[end], best[end] - second[end], np.bincount(whose, minlength=len(words)), path.astype(self.dtype)
 
     def unknown_ids(self, character: str) -> tuple[int, ...]:
         if self.bytes:
@@ -240,7 +292,7 @@ class PieceLattice:
         if found is None:
             score, loss, ids = self.best_and_loss(unit)
             found = (score, loss, np.array(ids, self.dtype).tobytes())
-            if len(self.units) < self.limit:
+            if len(self.units) < self.limit // 10:
                 self.units[unit] = found
         return found
 
@@ -250,10 +302,14 @@ class PieceLattice:
         return own[0] if len(own) == 1 else (sum(x[0] for x in own), min(x[1] for x in own), b"".join(x[2] for x in own))
 
     def paths_of_word(self, word: str, n: int) -> list[tuple[float, bytes]]:
-        best = [(0.0, b"")]
-        for unit in self.cuts(word):
-            own = [(s, np.array(ids, self.dtype).tobytes()) for s, ids in self.search(unit, n)]
-            best = heapq.nlargest(n, ((a + s, x + y) for a, x in best for s, y in own), key=lambda p: p[0])
+        best = self.alternatives.get((word, n))
+        if best is None:
+            best = [(0.0, b"")]
+            for unit in self.cuts(word):
+                own = [(s, np.array(ids, self.dtype).tobytes()) for s, ids in self.search(unit, n)]
+                best = heapq.nlargest(n, ((a + s, x + y) for a, x in best for s, y in own), key=lambda p: p[0])
+            if len(self.alternatives) < self.limit // 10:
+                self.alternatives[word, n] = best
         return best
 
     def split(self, text: str) -> list[str]:
@@ -274,28 +330,48 @@ class PieceLattice:
 
     def best(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of a whole text: score and ids. An empty text has one, without pieces."""
-        if not text:
-            return [(0.0, b"")]
-        words = self.split(text)
-        scores, losses, parts = zip(*map(self.words.__getitem__, words))
-        total = sum(scores)
-        # the words of smallest loss, the first on ties
-        bound = sorted(losses)[: n - 1][-1] if n > 1 else -np.inf
-        chosen = sorted((x, i) for i, x in enumerate(losses) if x <= bound)[: n - 1] if n > 1 else []
-        chosen = [i for _, i in chosen]
-        combined: list[tuple[float, dict[int, bytes]]] = [(total, {})]
-        for i in chosen:
-            if losses[i] == np.inf:
-                break
-            paths = self.paths_of_word(words[i], n)
-            merged = [(s + p - paths[0][0], changed if ids == parts[i] else changed | {i: ids}) for s, changed in combined for p, ids in paths]
-            combined = heapq.nlargest(n, merged, key=lambda x: x[0])
-        out = []
-        for score, changed in combined:
-            path = list(parts)
-            for i, ids in changed.items():
-                path[i] = ids
-            out.append((score, b"".join(path)))
+        return self.best_of([text], n)[0]
+
+    def best_of(self, texts: list[str], n: int) -> list[list[tuple[float, bytes]]]:
+        """``best`` of each text, new words of all of them worked out at once."""
+        of_texts = [self.split(t) if t else [] for t in texts]
+        words = [w for own in of_texts for w in own]
+        store = self.words
+        store.drop_later()
+        self.learn(set(words))
+        number = np.fromiter(map(store.number.__getitem__, words), np.int64, len(words))
+        score, loss, count = store.score[number], store.loss[number], store.count[number].astype(np.int64)
+        place = np.append(0, np.cumsum(count))
+        ids = store.ids[np.repeat(store.start[number] - place[:-1], count) + np.arange(place[-1])].tobytes()
+        width, out, at = self.dtype.itemsize, [], 0
+        place = place * width
+        for own in of_texts:
+            if not own:
+                out.append([(0.0, b"")])
+                continue
+            a, b = at, at + len(own)
+            at = b
+            whole, base = ids[place[a] : place[b]], int(place[a])
+            losses = loss[a:b]
+            few = np.arange(b - a)
+            if n > 1 and len(few) >= n:  # of the n - 1 words of smallest loss, the first on ties
+                few = np.flatnonzero(losses <= np.partition(losses, n - 2)[n - 2])
+            chosen = few[np.argsort(losses[few], kind="stable")][: n - 1].tolist()
+            combined: list[tuple[float, dict[int, bytes]]] = [(float(score[a:b].sum()), {})]
+            for i in chosen:
+                if losses[i] == np.inf:
+                    break
+                paths, mine = self.paths_of_word(own[i], n), whole[place[a + i] - base : place[a + i + 1] - base]
+                merged = [(s + p - paths[0][0], changed if x == mine else changed | {i: x}) for s, changed in combined for p, x in paths]
+                combined = heapq.nlargest(n, merged, key=lambda x: x[0])
+            found = []
+            for value, changed in combined:
+                parts, past = [], 0
+                for i in sorted(changed):
+                    parts += [whole[past : place[a + i] - base], changed[i]]
+                    past = place[a + i + 1] - base
+                found.append((value, b"".join([*parts, whole[past:]]) if parts else whole))
+            out.append(found)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -331,10 +407,7 @@ def n_best_segmentations(docs: DataFrame, model_path: str, n: int = 4, id_col: s
                 part = batch.slice(k, 512)
                 ids, best, same = [], [], []
                 texts = part.column(1).to_pylist()
-                if pieces.by_words:
-                    pieces.learn({w for text in texts if text for w in pieces.split(text)})
-                for text in texts:
-                    paths = pieces.best(text or "", n)
+                for text, paths in zip(texts, pieces.best_of([t or "" for t in texts], n)):
                     ids.append(paths[0][1])
                     best.append([{"score": s, "n_pieces": len(x) // pieces.dtype.itemsize, "ids_crc32": zlib.crc32(x)} for s, x in paths])
                     same.append(pieces.decode(paths[0][1]) == (text or ""))

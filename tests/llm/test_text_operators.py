@@ -287,10 +287,16 @@ def test_words_at_once_are_as_one_by_one(texts, limit):
     one, many = PieceLattice(path), PieceLattice(path, limit)
     for part in (texts[:20], texts[20:60], ["漢字 a漢 \u2581x", "  two  spaces ", "x" * 300]):
         words = {w for t in part if t for w in many.split(t)}
+        many.words.drop_later()
+        assert len(many.words.number) <= limit
         many.learn(words)
-        assert len(many.words) <= limit
+        store = many.words
         for w in words:
-            assert many.words[w] == one.word(w)
+            k = store.number[w]
+            found = store.score[k], store.loss[k], store.ids[store.start[k] : store.start[k] + store.count[k]].tobytes()
+            assert found == one.word(w)
+        for t in part:
+            assert many.best(t or "", 3) == one.best(t or "", 3)
 
 
 # --- lines
