@@ -388,3 +388,16 @@ def identify(spark: SparkSession, path: str) -> DataFrame:
 def in_order(files: DataFrame) -> DataFrame:
     """Files (year, month, day, header_ust, path) in the order in which their samples follow each other."""
     return files.orderBy("year", "month", "day", "header_ust", "path")
+
+
+def daily_files(spark: SparkSession, folder: str, day: str) -> DataFrame:
+    """path, modified and length of the files of a day (yyyy-mm-dd) in a folder: saYYYYMMDD, and saDD as far as it was changed since.
+
+    A name with the day of the month alone is used again each month: it counts if it was last changed on
+    that day or the one after.
+    """
+    long, short = f"sa{day.replace('-', '')}", f"sa{day[8:]}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "sa*").load(folder).select("path", F.col("modificationTime").alias("modified"), "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    own = F.date_diff(F.to_date("modified"), F.to_date(F.lit(day))).between(0, 1)
+    return files.where((name == long) | ((name == short) & own))

@@ -3,7 +3,7 @@ import struct
 import pytest
 
 from pulsegrid.operators import series
-from pulsegrid.sources.sa import BadFile, Decoder, identify, read_sa
+from pulsegrid.sources.sa import BadFile, Decoder, daily_files, identify, read_sa
 
 
 def sa_file(order="<", cut=0, long_size=8, act_extra=0):
@@ -108,3 +108,18 @@ def test_cut_off_and_foreign_files(spark, tmp_path):
     assert read_sa(spark, paths, mode="PERMISSIVE").select("path").distinct().count() == 1
     with pytest.raises(Exception, match="no activity file"):
         read_sa(spark, paths).count()
+
+
+def test_files_of_a_day(spark, tmp_path):
+    import datetime
+    import os
+
+    for name, changed in (("sa05", "2024-07-05"), ("sa20240705", "2024-08-01"), ("sa06", "2024-07-06"), ("sar05", "2024-07-05"), ("old/sa05", "2024-06-05")):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(sa_file())
+        at = datetime.datetime.fromisoformat(f"{changed}T23:50:00+00:00").timestamp()
+        os.utime(path, (at, at))
+    names = lambda folder, day: sorted(r["path"].rsplit("/", 1)[1] for r in daily_files(spark, str(folder), day).collect())
+    assert names(tmp_path, "2024-07-05") == ["sa05", "sa20240705"]
+    assert names(tmp_path / "old", "2024-07-05") == [] and names(tmp_path, "2024-07-07") == []
