@@ -24,6 +24,8 @@ from pulsegrid.llm.word_tokens import encoder
 
 #: Stands for a null document id in `.docs`.
 NO_ID = -(1 << 63)
+#: Bytes of text of a range; more than ``spark.sql.shuffle.partitions`` ranges are made where these would be larger.
+RANGE_BYTES = 64 << 20
 FILES = "name string, width int, n_docs long, n_tokens long, first_doc long"
 
 
@@ -57,11 +59,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             for batch in batches:
                 own = [NO_ID if x is None else x for x in batch.column(0).to_pylist()]
                 starts = []
-                for packed in tokens.encode(batch.column(1).to_pylist()):
-                    ids.write(packed)
-                    ids.write(end)
-                    starts.append(at)
-                    at += len(packed) // tokens.width + 1
+                for k in range(0, len(own), 256):
+                    for packed in tokens.encode(batch.column(1).slice(k, 256).to_pylist()):
+                        ids.write(packed)
+                        ids.write(end)
+                        starts.append(at)
+                        at += len(packed) // tokens.width + 1
                 offsets.write(np.array(starts, "<i8").tobytes())
                 names.write(np.array(own, "<i8").tobytes())
                 if own and not n_docs:
@@ -72,11 +75,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             yield pa.RecordBatch.from_pydict({"name": [name], "width": pa.array([tokens.width], pa.int32()), "n_docs": [n_docs], "n_tokens": [at], "first_doc": [first]})
 
     spark = docs.sparkSession
-    ordered = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-        .sortWithinPartitions("id", "text")
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ordered = rows.repartitionByRange(ranges, "id").sortWithinPartitions("id", "text")
     written = f"{folder}/written"
     ordered.mapInArrow(write, FILES).write.parquet(written)
     # a row for each file, so one task is enough for the prefix sum
@@ -90,15 +92,17 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(FILES + ", base long").parquet(f"{folder}/manifest")
 
 
-def mapped(files, path: str, dtype: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the file system is local, read otherwise."""
+def mapped(files, path: str, dtype: str, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Places ``first`` to ``last`` of a file as an array: memory-mapped where the file system is local, else only these are read."""
     from pyarrow import fs
 
+    width = np.dtype(dtype).itemsize
     if isinstance(files, fs.LocalFileSystem):
         with pa.memory_map(path) as source:
-            return np.frombuffer(source.read_buffer(), dtype)
+            return np.frombuffer(source.read_buffer(), dtype)[first:last]
     with files.open_input_file(path) as source:
-        return np.frombuffer(source.read(), dtype)
+        stop = source.size() // width if last is None else last
+        return np.frombuffer(source.read_at((stop - first) * width, first * width), dtype)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,15 +117,16 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 offsets = mapped(files, f"{root}/{row['name']}.offsets", "<i8")
                 names = mapped(files, f"{root}/{row['name']}.docs", "<i8")
-                ids = mapped(files, f"{root}/{row['name']}.ids", f"<u{row['width']}")
                 for k in range(0, len(names), 4096):
                     spans = list(zip(offsets[k : k + 4096].tolist(), offsets[k + 1 : k + 4097].tolist()))[: len(names) - k]
+                    base = spans[0][0]
+                    ids = mapped(files, f"{root}/{row['name']}.ids", f"<u{row['width']}", base, spans[-1][1])
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array([None if x == NO_ID else x for x in names[k : k + 4096].tolist()], pa.int64()),
                             "start": pa.array([row["base"] + a for a, _ in spans], pa.int64()),
                             "n_tokens": pa.array([b - a for a, b in spans], pa.int64()),
-                            "ids_crc32": pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in spans], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(ids[a - base : b - base].astype("<u4").tobytes()) for a, b in spans], pa.int64()),
                         }
                     )
 
