@@ -71,6 +71,43 @@ def test_cutoffs_hold_the_risk(spark):
     assert all(r["kept"] for r in few)  # too few labels to be sure of any cutoff
 
 
+def test_verdicts_with_cutoffs_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from pulsegrid.llm.quality_rules import quality_verdicts, sql
+
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(2600):
+        words = [f"w{r.integers(0, 400)}" + ("#%" if i % 7 == 0 and r.random() < 0.5 else "") for _ in range(r.integers(15, 60))]
+        text = " ".join(words[: len(words) // 2]) + "\n" + " ".join(words[len(words) // 2 :])
+        rows.append((i, text + ("\n" + text.split("\n")[0] * 2 if i % 9 == 0 else ""), "en" if i % 3 else "de", "s", len(text)))
+    rows += [(None, "one two", "en", "s", 7), (7, None, None, "s", 0), (7, "", "xx", "s", 0), rows[5], rows[5]]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = [(i, int(i % 7 != 0), 0) for i in range(2600)] + [(None, 1, 0), (8, None, 0)]
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(rows, columns=[c.split()[0] for c in names.split(", ")]).astype({"doc_id": "Int64"}))
+    db.register("labels", pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]).astype("Int64"))
+    docs, marked = spark.createDataFrame(rows, names), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = [tuple(x) for x in quality_verdicts(docs, marked).collect()]
+    expected = [tuple(None if v is pd.NA else v for v in x) for x in db.execute(sql()).fetchall()]
+    assert collections.Counter(found) == collections.Counter(expected)
+    rejected = [x for x in found if not x[6] and not x[7]]
+    assert len(rejected) > 200 and all(x[0] % 7 == 0 for x in rejected)
+
+
+def test_good_documents_of_odd_rows(spark, odd_docs, no_docs, labels):
+    from pulsegrid.llm.quality_rules import keep_good_documents, quality_verdicts
+
+    kept = keep_good_documents(odd_docs, labels)
+    assert kept.columns == odd_docs.columns and kept.dtypes == odd_docs.dtypes
+    good = lambda t: (s := plain_statistics(t))[0] >= 20 and 100 * s[4] <= 30 * s[0]
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(tuple(x) for x in odd_docs.collect() if good(x["text"]))
+    assert quality_verdicts(odd_docs, labels).count() == odd_docs.count()
+    assert keep_good_documents(no_docs, labels).count() == 0 and quality_verdicts(no_docs, labels).count() == 0
+
+
 # --- classifier
 
 
