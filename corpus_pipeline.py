@@ -84,7 +84,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @staged
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of the packed sequences."""
-    return pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"), keep_words=False)
 
 
 STAGES = [

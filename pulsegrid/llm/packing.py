@@ -122,9 +122,11 @@ def powers(pieces: list[tuple[int, int, int]], used: int) -> list[list[tuple[int
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, segments: int = 64, loss: int = 2048, least_cut: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, segments: int = 64, loss: int = 2048, least_cut: int = 16, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
     """Packs whole texts into sequences of at most ``size`` tokens; a row per piece.
 
+    ``keep_words``: a worker keeps the ids of words for its next task; without it their memory is given back.
+
     Null texts are empty, an empty text is the end id. Null ids and repeated rows are packed like any
     others. A task packs ``CHUNK_TOKENS`` tokens at a time (more where one text is longer). An empty table
     gives no rows; other columns are left out. ``sequence_id`` is the input
@@ -163,6 +165,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size:
                     names, packed, held = [], [], 0
         if packed:
             yield from sequences()
+        if not keep_words:
+            tokens.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(pack, PIECES)
 

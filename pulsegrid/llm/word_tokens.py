@@ -96,6 +96,11 @@ class TextEncoder(dict):
             text = text.replace(space, " ")
         return b"".join(map(self.__getitem__, text.split(" ")))
 
+    def forget(self) -> None:
+        """Gives back the memory of all words and units."""
+        self.clear()
+        self.units.clear()
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian integers of ``width`` bytes; null counts as empty."""
         if not self.word_local:
