@@ -189,9 +189,14 @@ def level_shifts(points: DataFrame, least: float, block: int = SHIFT_BLOCK) -> D
         width, size = int(part["width"][0]), len(part)
         starts, ends, values, n = (part[c].to_numpy() for c in ("start_ust", "end_ust", "value", "n"))
         names = [part[c][0] for c in keys]
-        columns = [*keys, "n", "start_ust", "shift", "normalized", "strength", "stays"]
+
+        def rows_of(n, start, shift, normalized, strength, stays) -> pd.DataFrame:
+            named = {c: pd.Series([x] * len(n), dtype=object) for c, x in zip(keys, names)}
+            return pd.DataFrame(named | {"n": n, "start_ust": start, "shift": shift, "normalized": normalized, "strength": strength, "stays": stays})
+
+        none = rows_of(*(np.zeros(0, t) for t in (int, int, float, float, float, float)))
         if size < 2 * width:
-            return pd.DataFrame(columns=columns)
+            return none
         views = lambda x: np.lib.stride_tricks.sliding_window_view(x, width)
         times, half = (starts + ends) / 2, width // 2
         joined = np.append(0, np.cumsum(np.append(True, starts[1:] == ends[:-1])))
@@ -199,7 +204,7 @@ def level_shifts(points: DataFrame, least: float, block: int = SHIFT_BLOCK) -> D
         own = (n[split] // block == part["block"][0]) & (joined[split + width] - joined[split - width + 1] == 2 * width - 1)
         split = split[own]
         if not len(split):
-            return pd.DataFrame(columns=columns)
+            return none
         v, t = views(values), views(times)
         old, new, old_t, new_t = v[split - width], v[split], t[split - width], t[split]
         median = lambda x: np.median(x, axis=1)
@@ -215,7 +220,7 @@ def level_shifts(points: DataFrame, least: float, block: int = SHIFT_BLOCK) -> D
         hit = (np.minimum(np.abs(shift), np.abs(step)) >= least) & (stays >= PERSISTENCE) & (normalized >= SHIFT_NORMALIZED)
         strength = np.where(scatter > 0, normalized, np.abs(step) / least)
         at = split[hit]
-        return pd.DataFrame({c: [x] * len(at) for c, x in zip(keys, names)} | {"n": n[at], "start_ust": starts[at], "shift": shift[hit], "normalized": normalized[hit], "strength": strength[hit], "stays": stays[hit]}, columns=columns)
+        return rows_of(n[at], starts[at], shift[hit], normalized[hit], strength[hit], stays[hit])
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n long, start_ust long, shift double, normalized double, strength double, stays double"

@@ -63,7 +63,7 @@ def test_missing_is_not_zero(spark):
 
 def test_no_sample_stops_the_run(spark):
     top = (1 << 64) - 1
-    rows = [("h", "A", i, "x", 0, k, 60 * k, u, Decimal(r), 64) for i, k, u, r in [("p", 0, 500, 0), ("p", 1, 400, 5), ("p", 2, top, 9), ("q", 0, 100, 0), ("q", 1, 200, top), ("q", 2, 300, 3), ("late", 2, 300, 1)]]
+    rows = [("h", "A", i, "x", 0, k, 60 * k, Decimal(u), Decimal(r), 64) for i, k, u, r in [("p", 0, 500, 0), ("p", 1, 400, 5), ("p", 2, top, 9), ("q", 0, 100, 0), ("q", 1, 200, top), ("q", 2, 300, 3), ("late", 2, 300, 1)]]
     found = series.rates(series.deltas(spark.createDataFrame(rows, "host string, activity string, item string, field string, segment long, sample_id long, ust long, uptime_cs decimal(20,0), raw decimal(20,0), bits int"))).collect()
     assert {(r["item"], r["sample_id"]): (None if r["delta"] is None else int(r["delta"]), r["reason"]) for r in found} == {
         ("p", 0): (None, "first_sample"),
