@@ -80,6 +80,24 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.tokenizer_alignment import alignment_digest
+
+    return alignment_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.embedding_whitening import whitened_embeddings
+
+    return whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.byte_bpe import round_trip_digest
+
+    return round_trip_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -91,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_near_duplicates": op8_lattice_near_duplicates,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 SQL: dict[str, str] = {"op1_quality_rules": quality_rules.sql()}
