@@ -1,4 +1,4 @@
-"""Reader of binary activity files: ``spark.read.format("sa").load(...)``, one partition per file.
+"""Reader of binary activity files: ``spark.read.format("sa").load(...)``, filters, small files together, large ones in parts.
 
 The self-describing format (0x2175) is decoded: a 76-byte magic, a header, a table of activities and
 records. Each statistics item is n0 64-bit, n1 long and n2 32-bit unsigned integers and then bytes;
@@ -8,6 +8,7 @@ are identified (``identify``) but not decoded.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from decimal import Decimal
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 #: The format's constants.
 FILE_MAGIC = 0xD596
@@ -24,46 +25,73 @@ MAGIC_SIZE, ACTIVITY_SIZE, RECORD_SIZE, COMMENT_SIZE, EXTRA_SIZE = 76, 36, 24, 6
 STATS, RESTART, LAST_STATS, COMMENT = 1, 2, 3, 4
 SELF_DESCRIBING = 0x2175
 FIXED_FORMATS = {0x216F: "8.1.1..8.1.2", 0x1170: "9.0.4", 0x2170: "..9.1.5", 0x2171: "9.1.6..10.2.x", 0x2173: "10.3.1..11.6.x", 0x2175: "11.7.x..12.8.x"}
-#: Of each activity: its name, how its items are named, and the fields of an item in the order of the file (64-bit, long, 32-bit).
-#: Items are named by position (``cpu``: all, cpu0, ...), by the text after the fields (``text``), by device number (``disk``) or not (``one``).
-FIELDS = {
-    1: ("CPU", "cpu", "user nice sys idle iowait steal irq soft guest gnice"),
-    2: ("PCSW", "one", "cswch proc"),
-    3: ("IRQ", "text", "intr"),
-    4: ("SWAP", "one", "pswpin pswpout"),
-    5: ("PAGE", "one", "pgpgin pgpgout fault majflt pgfree pgscank pgscand pgsteal pgprom pgdem"),
-    6: ("IO", "one", "tps rtps wtps bread bwrtn dtps bdscd"),
-    7: ("MEMORY", "one", "kbmemfree kbbuffers kbcached kbmemtotal kbswpfree kbswptotal kbswpcad kbcommit kbactive kbinact kbdirty kbanonpg kbslab kbkstack kbpgtbl kbvmused kbavail kbshmem"),
-    8: ("KTABLES", "one", "file_nr inode_nr dentunusd pty_nr"),
-    9: ("QUEUE", "one", "runq_sz blocked plist_sz ldavg_1 ldavg_5 ldavg_15"),
-    10: ("SERIAL", "index", "rcvin xmtin framerr prtyerr brk ovrun line"),
-    11: ("DISK", "disk", "tps wwn_high wwn_low read_sectors write_sectors discard_sectors read_ticks write_ticks tot_ticks rq_ticks major minor discard_ticks partition_nr"),
-    12: ("NET_DEV", "text", "rxpck_per_sec txpck_per_sec rx_bytes_per_sec tx_bytes_per_sec rxcmp_per_sec txcmp_per_sec rxmcst_per_sec speed"),
-    13: ("NET_EDEV", "text", "coll_per_sec rxerr_per_sec txerr_per_sec rxdrop_per_sec txdrop_per_sec rxfifo_per_sec txfifo_per_sec rxfram_per_sec txcarr_per_sec"),
-    14: ("NET_NFS", "one", "call_per_sec retrans_per_sec read_per_sec write_per_sec access_per_sec getatt_per_sec"),
-    16: ("NET_SOCK", "one", "totsck tcpsck tcp_tw udpsck rawsck ip_frag"),
-    30: ("PWR_CPU", "cpu", "mhz"),
-    31: ("PWR_FAN", "index", "rpm rpm_min"),
-    32: ("PWR_TEMP", "index", "temp_celsius temp_min temp_max"),
-    34: ("HUGE", "one", "kbhugfree kbhugtotal kbhugrsvd kbhugsurp"),
-    37: ("FS", "text", "fs_total fs_free fs_available inodes_total inodes_free"),
-    39: ("NET_SOFT", "cpu", "total_per_sec dropd_per_sec squeezd_per_sec rx_rps_per_sec flw_lim_per_sec blg_len"),
-    40: ("PSI_CPU", "one", "scpu scpu_10 scpu_60 scpu_300"),
-    41: ("PSI_IO", "one", "sio fio sio_10 sio_60 sio_300 fio_10 fio_60 fio_300"),
-    42: ("PSI_MEM", "one", "smem fmem smem_10 smem_60 smem_300 fmem_10 fmem_60 fmem_300"),
+#: Fixed values, of each activity: its name, how its items are named, and its revisions, the newest first: magic and the
+#: fields of an item in the order of the file, 64-bit, long and 32-bit ones.
+#: Items are named by position (``cpu``: all, cpu0, ...; ``irq``: sum, 0, ...), by the text after the fields (``text``), by
+#: device number (``disk``), by processor and slot (``slot``) or not (``one``).
+ACTIVITIES = {
+    1: ("CPU", "cpu", [(0x8B, "user nice sys idle iowait steal irq soft guest gnice", "", "")]),
+    2: ("PCSW", "one", [(0x8B, "cswch", "proc", "")]),
+    3: ("IRQ", "irq", [(0x8C, "", "", "intr"), (0x8B, "intr", "", "")]),
+    4: ("SWAP", "one", [(0x8A, "", "pswpin pswpout", "")]),
+    5: ("PAGE", "one", [(0x8A, "", "pgpgin pgpgout fault majflt pgfree pgscank pgscand pgsteal pgprom pgdem", ""), (0x8A, "", "pgpgin pgpgout fault majflt pgfree pgscank pgscand pgsteal", "")]),
+    6: ("IO", "one", [(0x8B, "tps rtps wtps bread bwrtn dtps bdscd", "", ""), (0x8B, "tps rtps wtps bread bwrtn", "", "")]),
+    7: (
+        "MEMORY",
+        "one",
+        [
+            (0x8B, "kbmemfree kbbuffers kbcached kbmemtotal kbswpfree kbswptotal kbswpcad kbcommit kbactive kbinact kbdirty kbanonpg kbslab kbkstack kbpgtbl kbvmused kbavail kbshmem", "", ""),
+            (0x8B, "kbmemfree kbbuffers kbcached kbmemtotal kbswpfree kbswptotal kbswpcad kbcommit kbactive kbinact kbdirty kbanonpg kbslab kbkstack kbpgtbl kbvmused kbavail", "", ""),
+        ],
+    ),
+    8: ("KTABLES", "one", [(0x8B, "file_nr inode_nr dentunusd pty_nr", "", "")]),
+    9: ("QUEUE", "one", [(0x8C, "runq_sz blocked plist_sz", "", "ldavg_1 ldavg_5 ldavg_15")]),
+    10: ("SERIAL", "index", [(0x8B, "", "", "rcvin xmtin framerr prtyerr brk ovrun line")]),
+    11: (
+        "DISK",
+        "disk",
+        [
+            (0x8C, "tps wwn_high wwn_low", "read_sectors write_sectors discard_sectors", "read_ticks write_ticks tot_ticks rq_ticks major minor discard_ticks partition_nr"),
+            (0x8C, "tps", "read_sectors write_sectors discard_sectors", "read_ticks write_ticks tot_ticks rq_ticks major minor discard_ticks"),
+            (0x8C, "tps", "read_sectors write_sectors", "read_ticks write_ticks tot_ticks rq_ticks major minor"),
+        ],
+    ),
+    12: ("NET_DEV", "text", [(0x8D, "rxpck_per_sec txpck_per_sec rx_bytes_per_sec tx_bytes_per_sec rxcmp_per_sec txcmp_per_sec rxmcst_per_sec", "", "speed")]),
+    13: ("NET_EDEV", "text", [(0x8C, "coll_per_sec rxerr_per_sec txerr_per_sec rxdrop_per_sec txdrop_per_sec rxfifo_per_sec txfifo_per_sec rxfram_per_sec txcarr_per_sec", "", "")]),
+    14: ("NET_NFS", "one", [(0x8A, "", "", "call_per_sec retrans_per_sec read_per_sec write_per_sec access_per_sec getatt_per_sec")]),
+    16: ("NET_SOCK", "one", [(0x8A, "", "", "totsck tcpsck tcp_tw udpsck rawsck ip_frag")]),
+    30: ("PWR_CPU", "cpu", [(0x8A, "", "mhz", "")]),
+    31: ("PWR_FAN", "index", [(0x8A, "rpm rpm_min", "", "")]),
+    32: ("PWR_TEMP", "index", [(0x8A, "temp_celsius temp_min temp_max", "", "")]),
+    33: ("PWR_IN", "index", [(0x8A, "volts volts_min volts_max", "", "")]),
+    34: ("HUGE", "one", [(0x8B, "kbhugfree kbhugtotal kbhugrsvd kbhugsurp", "", ""), (0x8B, "kbhugfree kbhugtotal", "", "")]),
+    35: ("PWR_FREQ", "slot", [(0x8B, "time_in_state", "freq_khz", "")]),
+    37: ("FS", "text", [(0x8B, "fs_total fs_free fs_available inodes_total inodes_free", "", "")]),
+    39: ("NET_SOFT", "cpu", [(0x8A, "", "", "total_per_sec dropd_per_sec squeezd_per_sec rx_rps_per_sec flw_lim_per_sec blg_len"), (0x8A, "", "", "total_per_sec dropd_per_sec squeezd_per_sec rx_rps_per_sec flw_lim_per_sec")]),
+    40: ("PSI_CPU", "one", [(0x8A, "scpu", "scpu_10 scpu_60 scpu_300", "")]),
+    41: ("PSI_IO", "one", [(0x8A, "sio fio", "sio_10 sio_60 sio_300 fio_10 fio_60 fio_300", "")]),
+    42: ("PSI_MEM", "one", [(0x8A, "smem fmem", "smem_10 smem_60 smem_300 fmem_10 fmem_60 fmem_300", "")]),
 }
+#: Single bytes after the text of an item.
+BYTES_AFTER = {"NET_DEV": ["duplex"]}
 #: Bytes of the text that names an item.
 NAME_SIZES = {"IRQ": 8, "NET_DEV": 16, "NET_EDEV": 16, "FS": 128}
 #: Most items, slots of an item and bytes of an item that a file may declare.
 MOST_ITEMS, MOST_SLOTS, MOST_BYTES = 1 << 17, 4096, 8192
 BATCH_VALUES = 100_000
+#: Bytes of a file that a task holds at once, and of a partition; a file counts as so many more.
+WINDOW = 8 << 20
+SPLIT, OPEN_COST = 64 << 20, 4 << 20
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
-SAMPLES = "path string, host string, segment long, sample_id long, ust long, uptime_cs decimal(20,0), activity string, item string, field string, raw decimal(20,0), bits int"
+SAMPLES = "path string, host string, segment long, sample_id long, ust long, uptime_cs decimal(20,0), activity string, item string, field string, raw decimal(20,0), bits int, item_index int, item_count int"
 EVENTS = "path string, host string, ust long, kind string, cpu_count int, text string"
 HEADERS = "path string, host string, sysname string, release string, machine string, format int, ust long, hz long, cpus long, year int, month int, day int, long_size int, activities string"
 RECORDS = "path string, host string, number long, segment long, kind int, ust long, uptime_cs decimal(20,0), hour int, minute int, second int, offset long"
 SKIPPED = "path string, reason string"
-SCHEMAS = {"samples": SAMPLES, "events": EVENTS, "headers": HEADERS, "records": RECORDS, "skipped": SKIPPED}
+STRUCTURE = "path string, host string, number int, activity string, magic int, items int, slots int, has_count boolean, item_bytes int, wide int, longs int, ints int, fields string, reason string"
+SPLITS = "path string, start long, end long, segment long, number long"
+SCHEMAS = {"samples": SAMPLES, "events": EVENTS, "headers": HEADERS, "records": RECORDS, "skipped": SKIPPED, "structure": STRUCTURE, "splits": SPLITS}
 
 
 class BadFile(ValueError):
@@ -74,21 +102,71 @@ def text_of(raw: bytes) -> str:
     return raw.split(b"\0", 1)[0].decode("utf-8", "replace")
 
 
+class Whole:
+    """A file that is in memory."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def window(self, at: int, least: int) -> tuple[int, bytes]:
+        return 0, self.data
+
+
+class Stored:
+    """A file wherever it is, of which a window is held at a time."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        files, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        self.file = files.open_input_file(inner)
+        self.size = self.file.size()
+
+    def window(self, at: int, least: int) -> tuple[int, bytes]:
+        """A place at or before ``at``, and the bytes from there: ``least`` of them, or up to the end."""
+        return at, self.file.read_at(min(max(least, WINDOW), self.size - at), at)
+
+
+class Layout:
+    """How an activity's items lie in this file: ``fields`` are (name, which of the values, bits); ``reason`` why they can't be read."""
+
+    def __init__(self, own: tuple, long_size: int):
+        number, magic, _, _, _, self.size, *self.types = own
+        self.activity, self.named, self.fields, self.reason = str(number), "index", [], None
+        if number not in ACTIVITIES:
+            self.reason = "unknown activity"
+            return
+        self.activity, self.named, revisions = ACTIVITIES[number]
+        groups = [(m, [g.split() for g in groups]) for m, *groups in revisions]
+        same = [g for _, g in groups if [len(x) for x in g] == self.types] or [g for m, g in groups if m == magic]
+        if not same:
+            self.reason = f"unknown revision {magic:#x} {self.types}"
+            return
+        # of each width as many as the file has; a width's later fields are newer
+        wide, longs, ints = self.types
+        first = 0
+        for names, n, bits in zip(same[0], self.types, (64, 8 * long_size, 32)):
+            # a long of a 32-bit machine takes 8 bytes in the file and wraps at 32 bits
+            self.fields += [(name, first + k, bits) for k, name in enumerate(names[:n])]
+            first += n
+        self.end = 8 * (wide + longs) + 4 * ints
+
+
 class Decoder:
-    """One file's bytes. ``lenient``: a cut-off tail ends the file; else it is an error.
+    """One file. ``lenient``: a cut-off tail ends the file; else it is an error.
 
     ``activities`` and ``fields``, if given, are the names of those wanted; others are skipped by their size.
     """
 
-    def __init__(self, data: bytes, lenient: bool = True, activities: set[str] | None = None, fields: set[str] | None = None):
-        self.data, self.lenient, self.wanted, self.fields = data, lenient, activities, fields
+    def __init__(self, data: bytes | Whole | Stored, lenient: bool = True, activities: set[str] | None = None, fields: set[str] | None = None):
+        self.source = data if isinstance(data, (Whole, Stored)) else Whole(data)
+        self.lenient, self.wanted, self.fields = lenient, activities, fields
         try:
-            self._open()
+            self._open(self.source.window(0, WINDOW)[1])
         except struct.error as error:
             raise BadFile("the head is cut off") from error
 
-    def _open(self) -> None:
-        data = self.data
+    def _open(self, data: bytes) -> None:
         if len(data) < MAGIC_SIZE:
             raise BadFile("shorter than its magic")
         for order in "<>":
@@ -112,175 +190,226 @@ class Decoder:
         if not ACTIVITY_SIZE <= activity_size <= 1024 or not RECORD_SIZE <= record_size <= 1024 or activities > 4096:
             raise BadFile("structure sizes")
         self.record_size, at = record_size, MAGIC_SIZE + header_size
-        self.activities = []
+        self.activities, self.layouts = [], []
         for _ in range(activities):
             own = struct.unpack_from(order + "IIiiiiIII", data, at)
             name, _, nr, nr2, _, size, *types = own
             if not 0 <= nr <= MOST_ITEMS or not 1 <= nr2 <= MOST_SLOTS or not 1 <= size <= MOST_BYTES or 8 * types[0] + 8 * types[1] + 4 * types[2] > size:
                 raise BadFile(f"counts of activity {name}")
             self.activities.append(own)
+            self.layouts.append(Layout(own, self.long_size))
             at += activity_size
-        self.start = at if not self.extra else self.after_extra(at)
+        self.start = at if not self.extra else self.after_extra(data, at)
 
-    def after_extra(self, at: int) -> int:
+    def after_extra(self, data: bytes, at: int) -> int:
         more = True
         while more:
-            number, size, more = struct.unpack_from(self.order + "III", self.data, at)
+            number, size, more = struct.unpack_from(self.order + "III", data, at)
             at += EXTRA_SIZE + number * size
-            if at > len(self.data):
+            if at > len(data):
                 raise struct.error("cut off")
         return at
 
-    def walk(self) -> Iterator[tuple]:
-        """(kind, segment, number, ust, uptime, (hour, minute, second), offset, content) of each whole record; the content of a
-
-        sample is a list of (place, items, slots, activity) in the file, of a restart the processors, of a comment its text.
-        """
-        at, segment, number, size = self.start, 0, 0, len(self.data)
-        try:
-            while at + self.record_size <= size:
-                offset = at
-                uptime, ust, extra, kind, *clock = struct.unpack_from(self.order + "QQIBBBB", self.data, at)
-                if not 1 <= kind <= 15 or clock[0] > 23 or clock[1] > 59 or clock[2] > 60 or ust >> 62:
-                    raise BadFile(f"record at byte {at}")
-                at += self.record_size
-                content: list | int | str | None = None
-                if kind in (STATS, LAST_STATS):
-                    content = []
-                    for own in self.activities:
-                        _, _, nr, nr2, has_nr, width, *_ = own
-                        if has_nr:
-                            nr, = struct.unpack_from(self.order + "i", self.data, at)
-                            at += 4
-                            if not 0 <= nr <= MOST_ITEMS:
-                                raise BadFile(f"number of items at byte {at - 4}")
-                        if at + nr * nr2 * width > size:
-                            raise struct.error("cut off")
-                        content.append((at, nr, nr2, own))
-                        at += nr * nr2 * width
-                elif kind == RESTART:
-                    content, = struct.unpack_from(self.order + "I", self.data, at)
+    def _record(self, data: bytes, at: int, base: int) -> tuple:
+        """(kind, ust, uptime, clock, content, end) of the record at ``at``."""
+        offset = base + at
+        uptime, ust, extra, kind, *clock = struct.unpack_from(self.order + "QQIBBBB", data, at)
+        if not 1 <= kind <= 15 or clock[0] > 23 or clock[1] > 59 or clock[2] > 60 or ust >> 62:
+            raise BadFile(f"record at byte {offset}")
+        at += self.record_size
+        content: list | int | str | None = None
+        if kind in (STATS, LAST_STATS):
+            content = []
+            for own in self.activities:
+                _, _, nr, nr2, has_nr, width, *_ = own
+                if has_nr:
+                    nr, = struct.unpack_from(self.order + "i", data, at)
                     at += 4
-                    segment += 1
-                elif kind == COMMENT:
-                    if at + COMMENT_SIZE > size:
-                        raise struct.error("cut off")
-                    content = text_of(self.data[at : at + COMMENT_SIZE])
-                    at += COMMENT_SIZE
-                if extra:
-                    at = self.after_extra(at)
-                yield kind, segment, number, ust, uptime, clock, offset, content
-                number += kind in (STATS, LAST_STATS)
-            if at != size:
+                    if not 0 <= nr <= MOST_ITEMS:
+                        raise BadFile(f"number of items at byte {base + at - 4}")
+                content.append((at, nr, nr2))
+                at += nr * nr2 * width
+                if at > len(data):
+                    raise struct.error("cut off")
+        elif kind == RESTART:
+            content, = struct.unpack_from(self.order + "I", data, at)
+            at += 4
+        elif kind == COMMENT:
+            if at + COMMENT_SIZE > len(data):
                 raise struct.error("cut off")
-        except struct.error as error:
-            if not self.lenient:
-                raise BadFile("the last record is cut off") from error
-
-    def items(self, at: int, records: int, stride: int, nr: int, nr2: int, own: tuple) -> tuple[str, list[str], list[str], np.ndarray, list[int]] | None:
-        """activity, item names, fields, values (records, items, fields) and bits of each field; None if not wanted, or if names change.
+            content = text_of(data[at : at + COMMENT_SIZE])
+            at += COMMENT_SIZE
+        if extra:
+            at = self.after_extra(data, at)
+        if at > len(data):
+            raise struct.error("cut off")
+        return kind, ust, uptime, clock, content, at
+
+    def walk(self, start: int | None = None, end: int | None = None, segment: int = 0, number: int = 0) -> Iterator[tuple]:
+        """(kind, segment, number, ust, uptime, (hour, minute, second), offset, content, window) of each whole record that begins
+
+        from ``start`` and before ``end``; the content of a sample is a list of (place in the window, items, slots) of its
+        activities, of a restart the processors, of a comment its text. A restart counts to the segment that it begins.
+        """
+        at, size, least = self.start if start is None else start, self.source.size, WINDOW
+        end = size if end is None else min(end, size)
+        base, data = self.source.window(at, least) if at < end else (0, b"")
+        while at < end:
+            try:
+                if at + self.record_size > base + len(data):
+                    raise struct.error("cut off")
+                kind, ust, uptime, clock, content, after = self._record(data, at - base, base)
+            except struct.error as error:
+                if base + len(data) < size:  # the record goes on behind the window
+                    least = WINDOW if at > base else 2 * len(data)
+                    base, data = self.source.window(at, least)
+                    continue
+                if not self.lenient:
+                    raise BadFile("the last record is cut off") from error
+                return
+            segment += kind == RESTART
+            yield kind, segment, number, ust, uptime, clock, at, content, data
+            number += kind in (STATS, LAST_STATS)
+            at = base + after
+
+    def splits(self, size: int) -> Iterator[tuple[int, int, int, int]]:
+        """(start, end, segment, number): parts of at least ``size`` bytes that begin at records."""
+        start, before = self.start, (0, 0)
+        for kind, segment, number, *_, offset, _, _ in self.walk():
+            if offset - start >= size:
+                yield start, offset, *before
+                start, before = offset, (segment - (kind == RESTART), number)
+        yield start, self.source.size, *before
+
+    def wanted_fields(self, layout: Layout) -> list[tuple[str, int, int]]:
+        if self.wanted is not None and layout.activity not in self.wanted:
+            return []
+        after = [(name, -1 - k, 8) for k, name in enumerate(BYTES_AFTER.get(layout.activity, []))]
+        return [f for f in layout.fields + after if self.fields is None or f[0] in self.fields]
+
+    def items(self, data: bytes, at: int, records: int, stride: int, nr: int, nr2: int, layout: Layout) -> tuple[str, list[str], list[str], np.ndarray, list[int]] | None:
+        """activity, item names, fields, values (records, items, fields) and bits of each field; None if names change.
 
         ``records`` records of one form follow each other, ``stride`` bytes apart.
         """
-        name, _, _, _, _, size, wide, longs, ints = own
-        activity, named, fields = self.columns(own)
-        if not fields or not nr:
-            return None
-        data = np.frombuffer(self.data, np.uint8)
-        raw = np.lib.stride_tricks.as_strided(data[at:], (records, nr * nr2, size), (stride, size, 1), writeable=False)
-        long_end, end = 8 * (wide + longs), 8 * (wide + longs) + 4 * ints
+        size, (wide, longs, ints), end = layout.size, layout.types, layout.end
+        raw = np.lib.stride_tricks.as_strided(np.frombuffer(data, np.uint8)[at:], (records, nr * nr2, size), (stride, size, 1), writeable=False)
         values = np.empty((records, nr * nr2, wide + longs + ints), np.uint64)
-        values[:, :, : wide + longs] = np.ascontiguousarray(raw[:, :, :long_end]).view(self.order + "u8")
-        values[:, :, wide + longs :] = np.ascontiguousarray(raw[:, :, long_end:end]).view(self.order + "u4")
-        every = FIELDS[name][2].split()[: values.shape[2]]
-        # a long of a 32-bit machine takes 8 bytes in the file and wraps at 32 bits
-        bits = [64 if k < wide or (k < wide + longs and self.long_size == 8) else 32 for k in range(len(every))]
-        if named == "cpu":
-            items = ["all" if i == 0 else f"cpu{i - 1}" for i in range(nr * nr2)]
-        elif named == "text":
-            texts = raw[:, :, end : end + NAME_SIZES[activity]]
+        values[:, :, : wide + longs] = np.ascontiguousarray(raw[:, :, : 8 * (wide + longs)]).view(self.order + "u8")
+        values[:, :, wide + longs :] = np.ascontiguousarray(raw[:, :, 8 * (wide + longs) : end]).view(self.order + "u4")
+        named, text = layout.named, NAME_SIZES.get(layout.activity, 0)
+        texts = raw[:, :, end : end + text] if end + text <= size else raw[:, :, end:end]
+        if named == "irq" and not texts.shape[2]:
+            # older ones have no names; the first is the sum
+            items = ["sum" if i == 0 else str(i - 1) for i in range(nr * nr2)]
+        elif named in ("text", "irq"):
             if records > 1 and (texts[1:] != texts[0]).any():
                 return None
             texts = [text_of(texts[0, i].tobytes()) for i in range(nr * nr2)]
             # of a matrix the first row has the names; the others are of one processor each
             items = texts if nr2 == 1 else [texts[i % nr2] + (f"/cpu{i // nr2 - 1}" if i >= nr2 else "") for i in range(nr * nr2)]
+        elif named == "cpu":
+            items = ["all" if i == 0 else f"cpu{i - 1}" for i in range(nr * nr2)]
+        elif named == "slot":
+            items = [("all" if i < nr2 else f"cpu{i // nr2 - 1}") + f"/{i % nr2}" for i in range(nr * nr2)]
         elif named == "disk":
-            numbers = values[:, :, [every.index("major"), every.index("minor")]]
-            if records > 1 and (numbers[1:] != numbers[0]).any():
-                return None
-            items = [f"dev{a}-{b}" for a, b in numbers[0].tolist()]
+            places = {name: k for name, k, _ in layout.fields}
+            if "major" not in places or "minor" not in places:
+                items = [str(i) for i in range(nr * nr2)]
+            else:
+                numbers = values[:, :, [places["major"], places["minor"]]]
+                if records > 1 and (numbers[1:] != numbers[0]).any():
+                    return None
+                items = [f"dev{a}-{b}" for a, b in numbers[0].tolist()]
         else:
             items = ["-"] if named == "one" and nr * nr2 == 1 else [str(i) for i in range(nr * nr2)]
-        chosen = [k for k, f in enumerate(every) if f in fields]
-        return activity, items, [every[k] for k in chosen], values if len(chosen) == values.shape[2] else values[:, :, chosen], [bits[k] for k in chosen]
-
-    def columns(self, own: tuple) -> tuple[str, str, list[str]]:
-        """Name of an activity, how its items are named, and its fields that are wanted."""
-        name, _, _, _, _, _, *types = own
-        if name not in FIELDS:
-            return "", "", []
-        activity, named, fields = FIELDS[name]
-        if self.wanted is not None and activity not in self.wanted:
-            return activity, named, []
-        return activity, named, [f for f in fields.split()[: sum(types)] if self.fields is None or f in self.fields]
-
-    def samples(self, records: range | None = None) -> Iterator[tuple]:
-        """(segments, numbers, ust, uptime, *items) of each activity of runs of samples; ``records``: numbers of the samples wanted.
-
+        chosen = self.wanted_fields(layout)
+        for name, k, _ in chosen:
+            if k < 0:
+                place = end + text - 1 - k
+                more = raw[:, :, place] if place < size else np.zeros(raw.shape[:2], np.uint8)
+                values = np.concatenate([values, more[:, :, None].astype(np.uint64)], axis=2)
+        columns = [k if k >= 0 else wide + longs + ints - 1 - k for _, k, _ in chosen]
+        return layout.activity, items, [f[0] for f in chosen], values if columns == list(range(values.shape[2])) else values[:, :, columns], [f[2] for f in chosen]
+
+    def samples(self, records: range | None = None, times: tuple[int, int] | None = None, part: tuple[int, int, int, int] | None = None) -> Iterator[tuple]:
+        """(segments, numbers, ust, uptime, *items) of each activity of runs of samples.
+
+        ``records``: numbers of the samples wanted; ``times``: their first and last ust; ``part``: see ``splits``.
         Samples of one form that stand one after the other, at even distances, are decoded together.
         """
-        wanted = [k for k, own in enumerate(self.activities) if self.columns(own)[2]]
+        wanted = [k for k, layout in enumerate(self.layouts) if self.wanted_fields(layout)]
 
-        def decoded(run: list[tuple]) -> Iterator[tuple]:
+        def decoded(run: list[tuple], data: bytes) -> Iterator[tuple]:
             stride = run[1][4][0][0] - run[0][4][0][0] if len(run) > 1 else 0
             heads = [np.array([x[k] for x in run], np.uint64 if k > 1 else np.int64) for k in range(4)]
             for k in wanted:
-                at, nr, nr2, own = run[0][4][k]
-                found = self.items(at, len(run), stride, nr, nr2, own)
+                at, nr, nr2 = run[0][4][k]
+                if not nr:
+                    continue
+                found = self.items(data, at, len(run), stride, nr, nr2, self.layouts[k])
                 if found is not None:
                     yield (*heads, *found)
-                elif nr and len(run) > 1:  # names change
+                else:  # names change
                     for j, one in enumerate(run):
-                        yield (*(h[j : j + 1] for h in heads), *self.items(one[4][k][0], 1, 0, nr, nr2, own))
+                        yield (*(h[j : j + 1] for h in heads), *self.items(data, one[4][k][0], 1, 0, nr, nr2, self.layouts[k]))
 
         run: list[tuple] = []
-        form, last = None, 0
-        for kind, segment, number, ust, uptime, _, _, content in self.walk():
-            if kind not in (STATS, LAST_STATS) or not content or (records is not None and number not in records):
+        form, last, held = None, 0, b""
+        for kind, segment, number, ust, uptime, _, _, content, data in self.walk(*part or ()):
+            if kind not in (STATS, LAST_STATS) or not content or (records is not None and number not in records) or (times is not None and not times[0] <= ust <= times[1]):
                 continue
-            own = tuple(x[1] for x in content)
+            own = [x[1] for x in content]
             at = content[0][0]
-            if run and (own != form or len(run) >= 4096 or (len(run) > 1 and at - last != last - run[-2][4][0][0])):
-                yield from decoded(run)
+            if run and (own != form or data is not held or len(run) >= 4096 or (len(run) > 1 and at - last != last - run[-2][4][0][0])):
+                yield from decoded(run, held)
                 run = []
             run.append((segment, number, ust, uptime, content))
-            form, last = own, at
+            form, last, held = own, at, data
         if run:
-            yield from decoded(run)
+            yield from decoded(run, held)
 
     def events(self) -> Iterator[tuple]:
-        for kind, _, _, ust, _, _, _, content in self.walk():
+        for kind, _, _, ust, _, _, _, content, _ in self.walk():
             if kind == RESTART:
                 yield ust, "restart", content, None
             elif kind == COMMENT:
                 yield ust, "comment", None, content
 
 
-class OneFile(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+class Files(InputPartition):
+    """Files that a task reads one after the other, or a part of one: (start, end, segment, number)."""
+
+    def __init__(self, paths: list[str], part: tuple[int, int, int, int] | None = None):
+        super().__init__(paths)
+        self.paths, self.part = paths, part
 
 
-def bytes_of(path: str) -> bytes:
+def sizes_of(paths: list[str]) -> dict[str, int]:
     from pyarrow import fs
 
-    files, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    with files.open_input_stream(inner, compression=None) as source:
-        return source.read()
+    if not paths:
+        return {}
+    uri = lambda p: p if "://" in p or p.startswith("file:") else f"file://{p}"
+    files, _ = fs.FileSystem.from_uri(uri(paths[0]))
+    inner = [fs.FileSystem.from_uri(uri(p))[1] for p in paths]
+    return {p: max(x.size or 0, 0) for p, x in zip(paths, files.get_file_info(inner))}
+
+
+def bundles(sizes: dict[str, int], most: int) -> Iterator[list[str]]:
+    """Files in order, together as far as their sizes, each with the cost of opening it, stay within ``most``."""
+    held, total = [], 0
+    for path, size in sizes.items():
+        if held and total + size + OPEN_COST > most:
+            yield held
+            held, total = [], 0
+        held.append(path)
+        total += size + OPEN_COST
+    if held:
+        yield held
 
 
-def sample_batches(path: str, file: Decoder, records: range | None) -> Iterator[pa.RecordBatch]:
+def sample_batches(path: str, samples: Iterator[tuple], host: str) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in SAMPLES.split(", ")]
     held: list[list[pa.Array]] = []
     size = 0
@@ -294,12 +423,12 @@ def sample_batches(path: str, file: Decoder, records: range | None) -> Iterator[
         item = np.repeat(np.arange(len(items)), len(fields))
         field = np.tile(np.arange(len(fields)), len(items))
         times = [pa.array(each(x).astype(np.int64)) for x in (segment, number, ust)] + [pa.array(each(uptime)).cast(pa.decimal128(20, 0))]
-        return [same(path), same(file.nodename), *times, same(activity), named(items, item), named(fields, field), raw, pa.array(np.tile(np.array(bits, np.int32)[field], len(segment)))]
+        return [same(path), same(host), *times, same(activity), named(items, item), named(fields, field), raw, pa.array(np.tile(np.array(bits, np.int32)[field], len(segment))), pa.array(np.tile(item.astype(np.int32), len(segment))), pa.array(np.full(total, len(items), np.int32))]
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*held)], names)
 
-    for one in file.samples(records):
+    for one in samples:
         held.append(arrays(*one))
         size += one[7].size
         if size >= BATCH_VALUES:
@@ -319,38 +448,80 @@ class SaReader(DataSourceReader):
         self.activities, self.fields = names("activities"), names("fields")
         first, last = options.get("first_record"), options.get("last_record")
         self.records = range(int(first or 0), int(last) + 1 if last else 1 << 62) if first or last else None
+        self.split = int(options.get("split_bytes", SPLIT))
+        self.parts = json.loads(options.get("parts", "[]"))
+        self.times = [0, 1 << 62]
 
     def partitions(self) -> list[InputPartition]:
-        return [OneFile(p) for p in self.paths]
-
-    def read(self, partition: OneFile) -> Iterator[tuple | pa.RecordBatch]:
-        path = partition.path
-        try:
-            file = Decoder(bytes_of(path), self.lenient, self.activities, self.fields)
-            if self.rows == "samples":
-                yield from sample_batches(path, file, self.records)
-            elif self.rows == "events":
-                yield from ((path, file.nodename, *x) for x in file.events())
-            elif self.rows == "headers":
-                names = " ".join(FIELDS[a[0]][0] if a[0] in FIELDS else str(a[0]) for a in file.activities)
-                yield path, file.nodename, file.sysname, file.release, file.machine, file.format, file.ust, file.hz, file.cpus, file.year + 1900, file.month + 1, file.day, file.long_size, names
+        parts = [Files([p], tuple(part)) for p, *part in self.parts]
+        whole = sizes_of([p for p in self.paths if p not in {x[0] for x in self.parts}])
+        return parts + [Files(b) for b in bundles(whole, self.split)]
+
+    def read(self, partition: Files) -> Iterator[tuple | pa.RecordBatch]:
+        for path in partition.paths:
+            try:
+                yield from self.rows_of(path, Decoder(Stored(path), self.lenient, self.activities, self.fields), partition.part)
+            except (BadFile, ValueError, IndexError, OverflowError, struct.error) as error:
+                if not self.skip:
+                    raise
+                if self.rows == "skipped":
+                    yield path, str(error)
+
+    def rows_of(self, path: str, file: Decoder, part: tuple[int, int, int, int] | None) -> Iterator[tuple | pa.RecordBatch]:
+        if self.rows == "samples":
+            yield from sample_batches(path, file.samples(self.records, tuple(self.times), part), file.nodename)
+        elif self.rows == "events":
+            yield from ((path, file.nodename, *x) for x in file.events())
+        elif self.rows == "headers":
+            names = " ".join(x.activity for x in file.layouts)
+            yield path, file.nodename, file.sysname, file.release, file.machine, file.format, file.ust, file.hz, file.cpus, file.year + 1900, file.month + 1, file.day, file.long_size, names
+        elif self.rows == "structure":
+            for own, x in zip(file.activities, file.layouts):
+                number, magic, nr, nr2, has_nr, size, *types = own
+                yield path, file.nodename, number, x.activity, magic, nr, nr2, bool(has_nr), size, *types, " ".join(f[0] for f in x.fields), x.reason
+        elif self.rows == "splits":
+            yield from ((path, *x) for x in file.splits(self.split))
+        else:
+            for kind, segment, number, ust, uptime, clock, offset, _, _ in file.walk():
+                if self.rows == "records":
+                    yield path, file.nodename, number, segment, kind, ust, Decimal(uptime), *clock, offset
+
+
+class PushingReader(SaReader):
+    """Spark refuses a reader that takes filters where it is not to push them down."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes over what is asked of activity, field and ust."""
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if self.rows != "samples":
+                yield f
+            elif column in (("activity",), ("field",)) and isinstance(f, (EqualTo, In)):
+                name = {"activity": "activities", "field": "fields"}[column[0]]
+                asked = {value} if isinstance(f, EqualTo) else set(value)
+                own = getattr(self, name)
+                setattr(self, name, asked if own is None else own & asked)
+            elif column == ("ust",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.times[0] = max(self.times[0], value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.times[1] = min(self.times[1], value - isinstance(f, LessThan))
+            elif isinstance(f, IsNotNull) and column in (("activity",), ("field",), ("ust",)):
+                pass  # they never are
             else:
-                for kind, segment, number, ust, uptime, clock, offset, _ in file.walk():
-                    if self.rows == "records":
-                        yield path, file.nodename, number, segment, kind, ust, Decimal(uptime), *clock, offset
-        except BadFile as error:
-            if not self.skip:
-                raise
-            if self.rows == "skipped":
-                yield path, str(error)
+                yield f
 
 
 class SaDataSource(DataSource):
-    """Options: ``rows`` (samples, events, headers, records, or skipped: files that can't be read, and why),
+    """Options: ``rows`` (samples, events, headers, structure: the activities of a file and what is read of them, records,
+
+    splits, or skipped: files that can't be read, and why), ``mode`` (FAILFAST or PERMISSIVE: leave out the rest of bad
+    files), ``lenient`` (a cut-off tail is no error), ``activities`` and ``fields`` (names, comma-separated: others
+    aren't decoded), ``first_record`` and ``last_record`` (numbers of samples), ``split_bytes`` (of a partition).
 
-    ``mode`` (FAILFAST or PERMISSIVE: leave out the rest of bad files), ``lenient`` (a cut-off tail is no error),
-    ``activities`` and ``fields`` (names, comma-separated: others aren't decoded), ``first_record`` and
-    ``last_record`` (numbers of samples).
+    With ``pushdown`` conditions on activity, field and ust are pushed down; Spark demands that
+    ``spark.sql.python.filterPushdown.enabled`` is on then, and ``read_sa`` sets it where that is so.
+    Small files share a partition; ``read_sa`` makes several of a large one. A task holds a window of a file.
     """
 
     @classmethod
@@ -361,16 +532,31 @@ class SaDataSource(DataSource):
         return SCHEMAS[self.options.get("rows", "samples")]
 
     def reader(self, schema) -> DataSourceReader:
-        return SaReader(dict(self.options))
+        return (PushingReader if self.options.get("pushdown") == "true" else SaReader)(dict(self.options))
 
 
 def read_sa(spark: SparkSession, paths: list[str], rows: str = "samples", mode: str = "FAILFAST", lenient: bool = True, **options) -> DataFrame:
-    """``options``: see ``SaDataSource``; lists of names are joined."""
+    """``options``: see ``SaDataSource``; lists of names are joined.
+
+    A file of more than ``split_bytes`` is first walked by a task, from record to record, for places to split it at.
+    """
     spark.dataSource.register(SaDataSource)
-    reader = spark.read.format("sa").option("paths", "\n".join(paths)).option("rows", rows).option("mode", mode).option("lenient", str(lenient).lower())
-    for key, value in options.items():
-        reader = reader.option(key, value if isinstance(value, str) else ",".join(value) if isinstance(value, (list, tuple, set)) else str(value))
-    return reader.load()
+
+    def load(paths: list[str], rows: str, **options) -> DataFrame:
+        reader = spark.read.format("sa").option("paths", "\n".join(paths)).option("rows", rows).option("mode", mode).option("lenient", str(lenient).lower())
+        for key, value in options.items():
+            reader = reader.option(key, value if isinstance(value, str) else ",".join(value) if isinstance(value, (list, tuple, set)) else str(value))
+        return reader.load()
+
+    if spark.conf.get(PUSHDOWN, "false") == "true":
+        options.setdefault("pushdown", "true")
+    size = int(options.get("split_bytes", SPLIT))
+    large = [p for p, n in sizes_of(list(paths)).items() if n > size] if rows == "samples" else []
+    if large:
+        # a row for each partition, as of any listing of files
+        parts = load(large, "splits", split_bytes=size).collect()
+        options["parts"] = json.dumps([list(x) for x in parts])
+    return load(list(paths), rows, **options)
 
 
 def identify(spark: SparkSession, path: str) -> DataFrame:

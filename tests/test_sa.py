@@ -123,3 +123,116 @@ def test_files_of_a_day(spark, tmp_path):
     names = lambda folder, day: sorted(r["path"].rsplit("/", 1)[1] for r in daily_files(spark, str(folder), day).collect())
     assert names(tmp_path, "2024-07-05") == ["sa05", "sa20240705"]
     assert names(tmp_path / "old", "2024-07-05") == [] and names(tmp_path, "2024-07-07") == []
+
+
+def items_file(activity, magic, types, items, size=None, nr2=1, records=2):
+    """A file of one activity: ``items`` are lists of values in the order of the file, with bytes after them."""
+    width = size or 8 * (types[0] + types[1]) + 4 * types[2]
+    out = struct.pack("<HH4BII3I48x", 0xD596, 0x2175, 12, 6, 0, 0, 336, 0, 1, 1, 12)
+    header = struct.pack("<QQIIi3I3IIII", 1_700_000_000, 100, 2, 1, 124, 0, 0, 9, 2, 0, 1, 36, 24, 0)
+    header += struct.pack("BBb", 5, 6, 8) + b"".join(x.ljust(65, b"\0") for x in (b"Linux", b"host-a", b"6.1", b"x86_64")) + b"UTC".ljust(8, b"\0")
+    out += header.ljust(336, b"\0") + struct.pack("<IIiiiiIII", activity, magic, len(items) // nr2, nr2, 1, width, *types)
+    for k in range(records):
+        out += struct.pack("<QQIBBBB", 1000 + 6000 * k, 1_700_000_000 + 60 * k, 0, 1, 1, 2, 3) + struct.pack("<i", len(items) // nr2)
+        for values, after in items:
+            out += (struct.pack(f"<{types[0] + types[1]}Q{types[2]}I", *values) + after).ljust(width, b"\0")
+    return out
+
+
+def decoded(data):
+    """{item: {field: value}} of the first sample."""
+    out = {}
+    for _, _, _, _, _, items, fields, values, _ in Decoder(data).samples(range(1)):
+        for i, item in enumerate(items):
+            out.setdefault(item, {}).update(zip(fields, values[0, i].tolist()))
+    return out
+
+
+DISK_NEW = "tps wwn_high wwn_low read_sectors write_sectors discard_sectors read_ticks write_ticks tot_ticks rq_ticks major minor discard_ticks partition_nr".split()
+
+
+@pytest.mark.parametrize(
+    ("activity", "magic", "types", "size", "fields", "items"),
+    [
+        (11, 0x8C, (3, 3, 8), 80, DISK_NEW, ["dev11-12"]),
+        (11, 0x8C, (1, 3, 7), 64, [f for f in DISK_NEW if f not in ("wwn_high", "wwn_low", "partition_nr")], ["dev9-10"]),
+        (11, 0x8C, (1, 2, 6), 48, "tps read_sectors write_sectors read_ticks write_ticks tot_ticks rq_ticks major minor".split(), ["dev8-9"]),
+        (3, 0x8B, (1, 0, 0), 8, ["intr"], ["sum"]),
+        (5, 0x8A, (0, 8, 0), 64, "pgpgin pgpgout fault majflt pgfree pgscank pgscand pgsteal".split(), ["-"]),
+        (6, 0x8B, (5, 0, 0), 40, "tps rtps wtps bread bwrtn".split(), ["-"]),
+        (34, 0x8B, (2, 0, 0), 16, ["kbhugfree", "kbhugtotal"], ["-"]),
+        (39, 0x8A, (0, 0, 5), 20, "total_per_sec dropd_per_sec squeezd_per_sec rx_rps_per_sec flw_lim_per_sec".split(), ["all"]),
+        # a newer one of the same magic: what is known of each width, by its place
+        (4, 0x8A, (0, 3, 1), 32, ["pswpin", "pswpout"], ["-"]),
+    ],
+)
+def test_revisions_are_read_by_their_own_layout(activity, magic, types, size, fields, items):
+    found = decoded(items_file(activity, magic, types, [(range(1, sum(types) + 1), b"")], size))
+    assert list(found) == items and list(found[items[0]]) == fields
+    if sum(types) == len(fields):
+        assert list(found[items[0]].values()) == list(range(1, len(fields) + 1))
+
+
+def test_names_of_interrupts_slots_and_interfaces():
+    plain = decoded(items_file(3, 0x8B, (1, 0, 0), [([k], b"") for k in (9, 4, 5)]))
+    assert {i: v["intr"] for i, v in plain.items()} == {"sum": 9, "0": 4, "1": 5}
+    rows = [([k], n.ljust(8, b"\0")) for k, n in enumerate((b"sum", b"NMI", b"", b"", b"", b""))]
+    assert list(decoded(items_file(3, 0x8C, (0, 0, 1), rows, 12, nr2=2))) == ["sum", "NMI", "sum/cpu0", "NMI/cpu0", "sum/cpu1", "NMI/cpu1"]
+    assert list(decoded(items_file(35, 0x8B, (1, 1, 0), [([1, 2], b"")] * 4, nr2=2))) == ["all/0", "all/1", "cpu0/0", "cpu0/1"]
+    net = decoded(items_file(12, 0x8D, (7, 0, 1), [(range(8), b"eth0".ljust(16, b"\0") + b"\2")], 80))
+    assert net["eth0"]["duplex"] == 2 and net["eth0"]["speed"] == 7
+
+
+def test_what_is_not_read_has_a_reason(spark, tmp_path):
+    (tmp_path / "a").write_bytes(items_file(11, 0x99, (2, 1, 1), [([1, 2, 3, 4], b"")]))
+    (tmp_path / "b").write_bytes(items_file(77, 0x8A, (1, 0, 0), [([1], b"")]))
+    paths = [str(tmp_path / n) for n in "ab"]
+    found = {r["number"]: r for r in read_sa(spark, paths, "structure").collect()}
+    assert found[11]["reason"] == "unknown revision 0x99 [2, 1, 1]" and found[77]["reason"] == "unknown activity"
+    assert (found[11]["activity"], found[11]["wide"], found[11]["longs"], found[11]["ints"], found[11]["item_bytes"]) == ("DISK", 2, 1, 1, 28)
+    assert read_sa(spark, paths).count() == 0
+
+
+@pytest.fixture
+def pushing(spark):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    yield spark
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_conditions_are_pushed_down(pushing, tmp_path, capsys):
+    path = tmp_path / "sa05"
+    path.write_bytes(sa_file())
+    every = read_sa(pushing, [str(path)], pushdown="true")
+    rows = every.where("activity = 'SWAP' and field in ('pswpin', 'idle') and ust >= 1700000060 and raw > 0")
+    rows.explain("formatted")
+    plan = capsys.readouterr().out
+    conditions = [x for x in plan.splitlines() if x.startswith("Condition")]
+    assert all("SWAP" not in c and "pswpin" not in c and "1700000060" not in c for c in conditions)
+    assert sorted((r["sample_id"], r["field"], int(r["raw"])) for r in rows.collect()) == [(1, "pswpin", 5), (2, "pswpin", 10)]
+
+
+def test_large_files_are_split_and_small_ones_bundled(spark, tmp_path, monkeypatch):
+    from bench import activity_file
+    from pulsegrid.sources import sa
+
+    monkeypatch.setattr(sa, "WINDOW", 5000)
+    data = activity_file(60, 3)
+    path = tmp_path / "large"
+    path.write_bytes(data)
+    whole = sorted(map(tuple, sa.read_sa(spark, [str(path)]).collect()))
+    parts = sa.read_sa(spark, [str(path)], split_bytes=len(data) // 10)
+    assert 8 <= parts.rdd.getNumPartitions() <= 10 and sorted(map(tuple, parts.collect())) == whole
+    small = list(sa.Decoder(sa.Stored(str(path))).samples())  # window by window
+    assert sum(x[7].size for x in small) == len(whole) and len(small) > len(list(sa.Decoder(data).samples()))
+    sizes = {str(k): 600_000 for k in range(10_000)}
+    held = list(sa.bundles(sizes, sa.SPLIT))
+    assert sum(map(len, held)) == 10_000 and len(held) < 800
+
+
+def test_segments_of_parts_count_on(spark, tmp_path):
+    path = tmp_path / "sa05"
+    path.write_bytes(sa_file())
+    for size in (50, 150, 400):
+        parts = read_sa(spark, [str(path)], split_bytes=size)
+        assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, read_sa(spark, [str(path)]).collect()))
