@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -82,12 +83,17 @@ def memory_used_percent(total: Column, available: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(percent(memory_used(total, available), total))
 
 
-def used_without_cache(total: Column, free: Column, buffers: Column, cached: Column, slab: Column) -> Column:
-    return F.greatest(total - free - buffers - cached - slab, F.lit(0))
+def used_without_cache(total: Column, free: Column, buffers: Column, cached: Column) -> Column:
+    return F.greatest(total - free - buffers - cached, F.lit(0))
+
+
+def percent_or_zero(part: Column, whole: Column) -> Column:
+    """0, and not missing, for a whole of 0."""
+    return F.when(whole == 0, F.lit(0.0)).otherwise(percent(part, whole))
 
 
 def commit_percent(committed: Column, total: Column, swap: Column) -> Column:
-    return percent(committed, total + F.coalesce(swap, F.lit(0)))
+    return percent_or_zero(committed, total + F.coalesce(swap, F.lit(0)))
 
 
 def swap_used_percent(total: Column, free: Column) -> Column:
@@ -129,10 +135,27 @@ def drain_per_minute(now: Column, before: Column, elapsed_cs: Column) -> Column:
     return F.try_divide((now - before).cast("double") * 6000, elapsed_cs.cast("double"))
 
 
-def reregistered(pairs: list[tuple[Column, Column]]) -> Column:
-    """An item whose first counter went back while every other went back or is 0 counts as new."""
-    (first, first_before), *rest = pairs
-    return reduce(lambda a, b: a & b, [(now < before) | (now == 0) for now, before in rest], first < first_before)
+#: Counters of an interface whose going back makes it a new one, and pairs (of which the first may overflow while the second grows).
+INTERFACE_COUNTERS = ["rxpck_per_sec", "txpck_per_sec", "rx_bytes_per_sec", "tx_bytes_per_sec", "rxcmp_per_sec", "txcmp_per_sec", "rxmcst_per_sec"]
+OVERFLOWS = [("rx_bytes_per_sec", "rxpck_per_sec"), ("tx_bytes_per_sec", "txpck_per_sec"), ("rxpck_per_sec", "rx_bytes_per_sec"), ("txpck_per_sec", "tx_bytes_per_sec")]
+INTERFACE_ERRORS = ["coll_per_sec", "rxerr_per_sec", "txerr_per_sec", "rxdrop_per_sec", "txdrop_per_sec", "rxfifo_per_sec", "txfifo_per_sec", "rxfram_per_sec"]
+SECTORS = ["read_sectors", "write_sectors", "discard_sectors"]
+
+
+def reregistered(activity: Column, now: Callable[[str], Column], before: Callable[[str], Column]) -> Column:
+    """Whether an item of the same name is a new one; ``now`` and ``before`` give its fields, 0 where it has none.
+
+    A disk whose requests went back while each count of sectors went back or was 0 before; an interface any of
+    whose counters went back, unless one did so from the upper half of 64 bits while its partner grew; any error
+    counter of an interface that went back (but not lost carriers).
+    """
+    back = lambda f: now(f) < before(f)
+    disk = reduce(lambda a, b: a & b, [(before(f) == 0) | back(f) for f in SECTORS], back("tps"))
+    half = F.lit(str((1 << 63) - 1)).cast(D)
+    overflow = reduce(lambda a, b: a | b, [back(f) & (now(o) > before(o)) & (before(f) > half) for f, o in OVERFLOWS])
+    interface = reduce(lambda a, b: a | b, map(back, INTERFACE_COUNTERS)) & ~overflow
+    errors = reduce(lambda a, b: a | b, map(back, INTERFACE_ERRORS))
+    return F.when(activity == "DISK", disk).when(activity == "NET_DEV", interface).when(activity == "NET_EDEV", errors).otherwise(F.lit(False))
 
 
 def next_or_zero(x: Column) -> Column:
@@ -140,13 +163,14 @@ def next_or_zero(x: Column) -> Column:
 
 
 def memory_derived(c: dict[str, Column]) -> dict[str, Column]:
-    """The derived memory columns from kbmemtotal, kbmemfree, kbavail, kbbuffers, kbcached, kbslab, kbcommit, kbswptotal, kbswpfree, kbswpcad.
+    """The derived memory columns from kbmemtotal, kbmemfree, kbavail, kbbuffers, kbcached, kbcommit, kbswptotal, kbswpfree, kbswpcad.
 
-    Shares of a whole of 0 are missing, but that of all memory is 0; so is the share of cached swap when nothing is used.
+    Shares of a whole of 0 are missing, but those of all memory and of what is committed are 0; so is the share of cached
+    swap when there is swap and none of it used.
     """
     used = memory_used(c["kbmemtotal"], c["kbavail"])
-    nocache = used_without_cache(c["kbmemtotal"], c["kbmemfree"], c["kbbuffers"], c["kbcached"], c["kbslab"])
-    withcache = c["kbmemfree"] + c["kbbuffers"] + c["kbcached"] + c["kbslab"]
+    nocache = used_without_cache(c["kbmemtotal"], c["kbmemfree"], c["kbbuffers"], c["kbcached"])
+    withcache = c["kbmemfree"] + c["kbbuffers"] + c["kbcached"]
     swap = next_or_zero(c["kbswptotal"] - c["kbswpfree"])
     return {
         "kbmemused": used,
@@ -154,23 +178,23 @@ def memory_derived(c: dict[str, Column]) -> dict[str, Column]:
         "kbmemused_nocache": nocache,
         "memused_nocache_pct": percent(nocache, c["kbmemtotal"]),
         "kbmemfree_withcache": withcache,
-        "memused_withcache_pct": percent(next_or_zero(c["kbmemtotal"] - withcache), c["kbmemtotal"]),
+        "memused_withcache_pct": percent(next_or_zero(c["kbmemtotal"] - c["kbmemfree"]), c["kbmemtotal"]),
         "commit_pct": commit_percent(c["kbcommit"], c["kbmemtotal"], c["kbswptotal"]),
         "kbswpused": swap,
         "swpused_pct": percent(swap, c["kbswptotal"]),
-        "swpcad_pct": F.when(swap == 0, F.lit(0.0)).otherwise(percent(c["kbswpcad"], swap)),
+        "swpcad_pct": F.when(c["kbswptotal"] != 0, percent_or_zero(c["kbswpcad"], swap)),
     }
 
 
 def huge_pages(total: Column, free: Column) -> tuple[Column, Column]:
-    """Used huge pages and their percent; missing where there are none."""
+    """Used huge pages and their percent, 0 where there are none."""
     used = next_or_zero(total - free)
-    return used, percent(used, total)
+    return used, percent_or_zero(used, total)
 
 
 def inodes_used(total: Column, free: Column) -> tuple[Column, Column]:
     used = next_or_zero(total - free)
-    return used, percent(used, total)
+    return used, percent_or_zero(used, total)
 
 
 def fan_above_least(rpm: Column, least: Column) -> Column:
@@ -178,7 +202,7 @@ def fan_above_least(rpm: Column, least: Column) -> Column:
 
 
 #: What a rate of a column is divided by.
-RATE_DIVISORS = {"read_kb_per_sec": 2, "write_kb_per_sec": 2, "discard_kb_per_sec": 2, "avg_queue_size": 1000, "util_pct": 10, "pressure_total": 10000}
+RATE_DIVISORS = {"read_kb_per_sec": 2, "write_kb_per_sec": 2, "discard_kb_per_sec": 2, "avg_queue_size": 1000, "util_pct": 10}
 #: Gauges kept in hundredths.
 HUNDREDTHS = ["ldavg_1", "ldavg_5", "ldavg_15", "mhz", "scpu_10", "scpu_60", "scpu_300", "sio_10", "sio_60", "sio_300", "fio_10", "fio_60", "fio_300", "smem_10", "smem_60", "smem_300", "fmem_10", "fmem_60", "fmem_300"]
 #: Activities all of whose columns are gauges, and gauges of others.
@@ -212,21 +236,34 @@ def divisor(field: Column) -> Column:
     return F.coalesce(*(F.when(field == f, float(d)) for f, d in RATE_DIVISORS.items()), F.lit(1.0))
 
 
-def column_value(activity: Column, field: Column, item: Column, now: Column, before: Column, bits: Column, elapsed_cs: Column, reason: Column) -> Column:
+#: What columns of disks are called that are made of one counter.
+DISK_COLUMNS = {"read_sectors": "read_kb_per_sec", "write_sectors": "write_kb_per_sec", "discard_sectors": "discard_kb_per_sec", "rq_ticks": "avg_queue_size", "tot_ticks": "util_pct"}
+#: What tells devices apart, and shares of time that count in microseconds.
+IDENTITIES = ["major", "minor", "wwn_high", "wwn_low", "partition_nr", "line"]
+PRESSURES = ["scpu", "sio", "fio", "smem", "fmem"]
+
+
+def column_value(activity: Column, field: Column, item: Column, now: Column, before: Column, bits: Column, elapsed_cs: Column, reason: Column, tick_total: Column | None = None) -> Column:
     """struct(value, reason) of one column of an interval, whatever its kind.
 
-    A gauge is its own value, hundredths divided, whatever came before. For a counter the reason why there is
-    no interval stands first; one of those that count 0 when they go back is 0 then; else its classified
-    delta a second, over the column's divisor.
+    A gauge is its own value, hundredths divided, whatever came before, but not of a replaced item. For a counter
+    the reason why there is no interval stands first; one of those that count 0 when they go back is 0 then; else its
+    classified delta a second, over the column's divisor. Where there is a ``tick_total``, processor time is divided by
+    that and not by the elapsed time; of an interval without ticks there is no share. Pressures may be negative.
     """
     gauge = is_gauge(activity, field)
     direct = now.cast("double") / F.when(field.isin(HUNDREDTHS), 100.0).otherwise(1.0)
     broken = F.when(reason.isNotNull() & (reason != "ambiguous_decrease"), reason)
-    clamped = clamps(activity, field, item) & (now < before)
-    found = F.when(broken.isNull() & ~clamped & (now < before) & (bits == 64), "ambiguous_decrease").otherwise(broken)
-    rate = F.when(clamped, 0.0).otherwise(per_second(wrapping_delta(now, before, bits), elapsed_cs)) / divisor(field)
-    value = F.when(gauge, direct).when(found.isNull(), rate)
-    return F.struct(value.alias("value"), F.when(~gauge, found).alias("reason"))
+    clamped, under_pressure = clamps(activity, field, item) & (now < before), field.isin(PRESSURES) & activity.startswith("PSI")
+    ticks = elapsed_cs if tick_total is None else F.when(activity == "CPU", tick_total.cast("double")).otherwise(elapsed_cs.cast("double"))
+    found = (
+        F.when(broken.isNull() & ~clamped & ~under_pressure & (now < before) & (bits == 64), "ambiguous_decrease")
+        .when(broken.isNull() & ~clamped & (ticks <= 0), "non_positive_elapsed")
+        .otherwise(broken)
+    )
+    rate = F.when(clamped, 0.0).when(under_pressure, pressure(now, before, elapsed_cs)).otherwise(per_second(wrapping_delta(now, before, bits), ticks) / divisor(field))
+    value = F.when(gauge & ~F.coalesce(reason == "item_replaced", F.lit(False)), direct).when(~gauge & found.isNull(), rate)
+    return F.struct(value.alias("value"), F.when(~gauge | (found == "item_replaced"), found).alias("reason"))
 
 
 def other_units(kb_per_sec: Column) -> dict[str, Column]:
@@ -239,9 +276,10 @@ UNITS = ["B", "k", "M", "G", "T", "P"]
 
 
 def human_size(bytes_: Column) -> Column:
-    """Like 1.5M: the largest unit that leaves at least 1, with one digit."""
-    power = F.least(F.greatest(F.floor(F.log(F.greatest(bytes_.cast("double"), F.lit(1.0))) / F.log(F.lit(1024.0)) + 1e-12), F.lit(0)), F.lit(len(UNITS) - 1)).cast("int")
-    return F.concat(F.format_string("%.1f", bytes_.cast("double") / F.pow(F.lit(1024.0), power)), F.get(F.array(*(F.lit(u) for u in UNITS)), power))
+    """Like 1.5M: the largest unit that leaves at least 1, with one digit; an exact half goes to the even one."""
+    value = bytes_.cast("double")
+    power = reduce(lambda rest, k: F.when(value >= float(1024**k), k).otherwise(rest), range(1, len(UNITS)), F.lit(0))
+    return F.concat(F.format_string("%.1f", F.bround(value / F.pow(F.lit(1024.0), power), 1)), F.get(F.array(*(F.lit(u) for u in UNITS)), power))
 
 
 def printable(text: Column) -> Column:
@@ -249,7 +287,17 @@ def printable(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x00-\\x1F\\x7F]", ".")
 
 
+def counted(n: Column, one: str) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {one}s"))
+
+
 def duration_text(seconds: Column) -> Column:
-    """Like 2h05m, 5m30s or 12s."""
-    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60
-    return F.when(seconds >= 3600, F.format_string("%dh%02dm", h, m)).when(seconds >= 60, F.format_string("%dm%02ds", m, s)).otherwise(F.format_string("%ds", s))
+    """Like 12 seconds, 5 minutes, 2 hours or 1 hour 5 minutes: whole ones, and no minutes of full hours."""
+    hours, minutes = F.floor(seconds / 3600), F.floor(seconds / 60)
+    both = F.concat_ws(" ", counted(hours, "hour"), counted(minutes % 60, "minute"))
+    return F.when(seconds < 60, counted(seconds, "second")).when(seconds < 3600, counted(minutes, "minute")).when(seconds % 3600 == 0, counted(hours, "hour")).otherwise(both)
+
+
+def support_text(samples: Column, seconds: Column) -> Column:
+    """How long something lasted: 3 samples spanning 10 minutes."""
+    return F.concat(counted(samples, "sample"), F.when(seconds == 0, " at a single point in time").otherwise(F.concat(F.lit(" spanning "), duration_text(seconds))))

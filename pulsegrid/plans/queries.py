@@ -126,7 +126,7 @@ def disk_derived(spark, d):
     return ad.disks(spark, d).select("item", "day", F.when(ios > 1, fn.mean_wait_ms(F.col("ticks"), ios)).otherwise(0.0).alias("await_ms"), fn.mean_request_kb(F.col("sectors"), ios).alias("request_kb"), fn.device_busy_percent(F.col("ticks"), F.lit(8640000)).alias("busy"))
 
 
-@query(M + " select day, greatest(total - available, 0) as used, case when total = 0 then 0.0 else cast(greatest(total - available, 0) as double) * 100 / cast(total as double) end as used_percent, greatest(total - free - cached, 0) as without_cache, cast(cached as double) * 100 / cast(total + available as double) as commit_percent, case when total <> 0 then cast(greatest(total - free, 0) as double) * 100 / cast(total as double) end as swap_percent from days")
+@query(M + " select day, greatest(total - available, 0) as used, case when total = 0 then 0.0 else cast(greatest(total - available, 0) as double) * 100 / cast(total as double) end as used_percent, greatest(total - free - cached, 0) as without_cache, case when total + available <> 0 then cast(cached as double) * 100 / cast(total + available as double) else 0.0 end as commit_percent, case when total <> 0 then cast(greatest(total - free, 0) as double) * 100 / cast(total as double) end as swap_percent from days")
 def memory_derived(spark, d):
     c = F.col
     zero = F.lit(0).cast("long")
@@ -134,7 +134,7 @@ def memory_derived(spark, d):
         "day",
         fn.memory_used(c("total"), c("available")).alias("used"),
         fn.memory_used_percent(c("total"), c("available")).alias("used_percent"),
-        fn.used_without_cache(c("total"), c("free"), zero, c("cached"), zero).alias("without_cache"),
+        fn.used_without_cache(c("total"), c("free"), zero, c("cached")).alias("without_cache"),
         fn.commit_percent(c("cached"), c("total"), c("available")).alias("commit_percent"),
         fn.swap_used_percent(c("total"), c("free")).alias("swap_percent"),
     )
@@ -172,13 +172,6 @@ def weighted_mhz(spark, d):
     return ad.event_hours(spark, d).groupBy("start_ust").agg((weighed.cast("double") / F.sum("n").cast("double")).alias("mhz"))
 
 
-@query(S + "select item, sample_id, raw32 < raw32_b and (cum < cum_b or cum = 0) as replaced from timed where sample_b is not null")
-def item_reregistered(spark, d):
-    w = Window.partitionBy("host", "item").orderBy("sample_id")
-    rows = ad.samples(spark, d).withColumns({"a": F.lag("raw32").over(w), "b": F.lag("cum").over(w)}).where("a is not null")
-    return rows.select("item", "sample_id", fn.reregistered([(F.col("raw32"), F.col("a")), (F.col("cum"), F.col("b"))]).alias("replaced"))
-
-
 # --- joins
 
 

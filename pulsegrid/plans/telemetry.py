@@ -470,7 +470,7 @@ def comparable_buckets_of_hosts(spark, d):
 # --- functions
 
 DAYS = "with days as (select o_orderkey as k, cast(round(o_totalprice) as bigint) as a, o_orderkey % 1000 as b, o_custkey % 300 as c from orders)"
-MEM = {"kbmemtotal": "a * 2", "kbmemfree": "a // 4", "kbavail": "a", "kbbuffers": "b", "kbcached": "b * 3", "kbslab": "c", "kbcommit": "a + b", "kbswptotal": "c * 4", "kbswpfree": "c * 4 - c // 3", "kbswpcad": "c // 7"}
+MEM = {"kbmemtotal": "a * 2", "kbmemfree": "a // 4", "kbavail": "a", "kbbuffers": "b", "kbcached": "b * 3", "kbcommit": "a + b", "kbswptotal": "c * 4", "kbswpfree": "c * 4 - c // 3", "kbswpcad": "c // 7"}
 mem = lambda text: " ".join(f"({MEM[w]})" if w in MEM else w for w in text.split())
 PCT = lambda x, y: mem(f"case when ( {y} ) <> 0 then cast( ( {x} ) as double ) * 100 / cast( ( {y} ) as double ) end")
 
@@ -480,18 +480,18 @@ def orders_as_memory(spark, d):
     return rows.select("k", *(F.expr(spark_words(x)).alias(n) for n, x in MEM.items()))
 
 
-NOCACHE = "greatest( kbmemtotal - kbmemfree - kbbuffers - kbcached - kbslab , 0 )"
-WITHCACHE = "kbmemfree + kbbuffers + kbcached + kbslab"
+NOCACHE = "greatest( kbmemtotal - kbmemfree - kbbuffers - kbcached , 0 )"
+WITHCACHE = "kbmemfree + kbbuffers + kbcached"
 
 
 @query(DAYS + mem(f" select k, greatest( kbmemtotal - kbavail , 0 ) as kbmemused, {NOCACHE} as kbmemused_nocache, {WITHCACHE} as kbmemfree_withcache, greatest( kbswptotal - kbswpfree , 0 ) as kbswpused,") + f"""
-case when a * 2 = 0 then 0.0 else {PCT("greatest( kbmemtotal - kbavail , 0 )", "kbmemtotal")} end as memused_pct, {PCT(NOCACHE, "kbmemtotal")} as memused_nocache_pct, {PCT(f"greatest( kbmemtotal - ( {WITHCACHE} ) , 0 )", "kbmemtotal")} as memused_withcache_pct,
-{PCT("kbcommit", "kbmemtotal + kbswptotal")} as commit_pct, {PCT("greatest( kbswptotal - kbswpfree , 0 )", "kbswptotal")} as swpused_pct, case when c // 3 = 0 then 0.0 else cast(c // 7 as double) * 100 / cast(c // 3 as double) end as swpcad_pct from days""")
+case when a * 2 = 0 then 0.0 else {PCT("greatest( kbmemtotal - kbavail , 0 )", "kbmemtotal")} end as memused_pct, {PCT(NOCACHE, "kbmemtotal")} as memused_nocache_pct, {PCT("greatest( kbmemtotal - kbmemfree , 0 )", "kbmemtotal")} as memused_withcache_pct,
+coalesce({PCT("kbcommit", "kbmemtotal + kbswptotal")}, 0.0) as commit_pct, {PCT("greatest( kbswptotal - kbswpfree , 0 )", "kbswptotal")} as swpused_pct, case when c = 0 then null when c // 3 = 0 then 0.0 else cast(c // 7 as double) * 100 / cast(c // 3 as double) end as swpcad_pct from days""")
 def memory_all_derived(spark, d):
     return orders_as_memory(spark, d).select("k", *(x.alias(n) for n, x in fn.memory_derived({c: F.col(c) for c in MEM}).items()))
 
 
-@query(DAYS + f" select k, greatest(c * 4 - b, 0) as hug_used, case when c <> 0 then cast(greatest(c * 4 - b, 0) as double) * 100 / cast(c * 4 as double) end as hug_pct, greatest(a - b, 0) as inodes, case when a <> 0 then cast(greatest(a - b, 0) as double) * 100 / cast(a as double) end as inodes_pct, b - c as fan, cast(b as double) * 2 as sectors, cast(b as double) / 1024 as mb from days")
+@query(DAYS + f" select k, greatest(c * 4 - b, 0) as hug_used, case when c <> 0 then cast(greatest(c * 4 - b, 0) as double) * 100 / cast(c * 4 as double) else 0.0 end as hug_pct, greatest(a - b, 0) as inodes, case when a <> 0 then cast(greatest(a - b, 0) as double) * 100 / cast(a as double) else 0.0 end as inodes_pct, b - c as fan, cast(b as double) * 2 as sectors, cast(b as double) / 1024 as mb from days")
 def other_derived(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice").cast("long").alias("a"), (F.col("o_orderkey") % 1000).alias("b"), (F.col("o_custkey") % 300).alias("c"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
@@ -501,42 +501,32 @@ def other_derived(spark, d):
     return rows.select("k", used.alias("hug_used"), used_pct.alias("hug_pct"), inodes.alias("inodes"), inodes_pct.alias("inodes_pct"), fn.fan_above_least(b, c).alias("fan"), units["sectors"].alias("sectors"), units["mb"].alias("mb"))
 
 
-COLUMNS = [("CPU", "all", "user"), ("IO", "-", "tps"), ("DISK", "dev8-0", "util_pct"), ("DISK", "dev8-0", "read_kb_per_sec"), ("QUEUE", "-", "ldavg_1"), ("MEMORY", "-", "kbavail"), ("NET_DEV", "eth0", "rxpck_per_sec"), ("NET_DEV", "eth0", "speed"), ("DISK", "dev8-0", "read_ticks"), ("MEMORY", "-", "memused_pct"), ("PAGE", "-", "fault")]
-SQL_COLUMNS = "cols(activity, item, field) as (" + values_sql(COLUMNS) + ")"
-GAUGE_SQL = "(activity in ('MEMORY', 'QUEUE') or field in ('ldavg_1', 'speed'))"
-CLAMP_SQL = "(activity in ('CPU', 'IO') or (activity = 'DISK' and field = 'util_pct'))"
-
-
-@query("with " + SQL_WIDE + ", " + SQL_COLUMNS + f""", s as (select host, start_ust, t * 100 as now, lag(t * 100) over (partition by host order by start_ust) as before, lag(start_ust) over (partition by host order by start_ust) as last from wide),
-x as (select *, case when last is null then 'first_sample' when last <> start_ust - 3600 then 'item_replaced' end as broken, {GAUGE_SQL} as gauge, {CLAMP_SQL} and now < before as clamped from s, cols),
-y as (select *, case when broken is not null then broken when not clamped and now < before then 'ambiguous_decrease' end as found from x)
-select host, start_ust, activity, field, case when gauge then now / case when field = 'ldavg_1' then 100.0::double else 1.0::double end when found is null then case when clamped then 0.0 else cast(now - before as double) / 360000.0::double * 100 end / case field when 'util_pct' then 10.0::double when 'read_kb_per_sec' then 2.0::double else 1.0::double end end as value,
-  case when not gauge then found end as reason from y""")
-def column_values(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("host").orderBy("start_ust")
-    rows = wide(spark, d).select("host", "start_ust", (F.col("t") * 100).alias("now"), F.lag(F.col("t") * 100).over(w).alias("before"), F.lag("start_ust").over(w).alias("last"))
-    broken = F.when(F.col("last").isNull(), "first_sample").when(F.col("last") != F.col("start_ust") - 3600, "item_replaced")
-    rows = rows.withColumn("broken", broken).crossJoin(F.broadcast(spark.createDataFrame(COLUMNS, "activity string, item string, field string")))  # 11 rows
-    c = F.col
-    value = fn.column_value(c("activity"), c("field"), c("item"), c("now"), c("before"), F.lit(64), F.lit(360000), c("broken"))
-    return rows.withColumn("x", value).select("host", "start_ust", "activity", "field", "x.value", "x.reason")
-
-
-@query("with " + SQL_COLUMNS + f" select activity, field, {GAUGE_SQL} as gauge, {CLAMP_SQL} as clamps, case when field = 'memused_pct' then 'derived_interval_sample_mean' when field = 'speed' then 'last_valid' when field = 'read_ticks' then 'delta_sum' when {GAUGE_SQL} then 'sample_mean' else 'rate_over_valid_intervals' end as method from cols")
+@query(M + """ select distinct activity, item, field, activity in ('MEMORY', 'QUEUE') or field = 'await' as gauge, activity = 'CPU' as clamps,
+  case when field = 'memused_pct' then 'derived_interval_sample_mean' when field = 'await' or activity in ('MEMORY', 'QUEUE') then case when field = 'await' then 'derived_interval_sample_mean' else 'sample_mean' end else 'rate_over_valid_intervals' end as method from metrics""")
 def column_methods(spark, d):
-    rows = spark.createDataFrame(COLUMNS, "activity string, item string, field string")
     c = F.col
-    return rows.select("activity", "field", fn.is_gauge(c("activity"), c("field")).alias("gauge"), fn.clamps(c("activity"), c("field"), c("item")).alias("clamps"), fn.method(c("activity"), c("field"), c("field").isin(filters.DERIVED)).alias("method"))
-
-
-@query("""select o_orderkey, case when x >= 3600 then cast(x // 3600 as varchar) || 'h' || lpad(cast(x // 60 % 60 as varchar), 2, '0') || 'm' when x >= 60 then cast(x // 60 as varchar) || 'm' || lpad(cast(x % 60 as varchar), 2, '0') || 's' else cast(x as varchar) || 's' end as duration,
-case when y >= 1048576 then cast(cast(round(y / 1048576.0::double * 10) as bigint) // 10 as varchar) || '.' || cast(cast(round(y / 1048576.0::double * 10) as bigint) % 10 as varchar) || 'M' else cast(y // 1024 as varchar) || '.0k' end as size, replace('a' || chr(9) || o_orderpriority, chr(9), '.') as shown
-from (select o_orderkey, o_orderpriority, o_custkey * 7 as x, o_custkey * 1024 * 4 as y from orders)""")
+    rows = metrics(spark, d).select("activity", "item", "field").distinct()
+    gauge, clamps = fn.is_gauge(c("activity"), c("field")), fn.clamps(c("activity"), c("field"), c("item"))
+    return rows.select("activity", "item", "field", gauge.alias("gauge"), clamps.alias("clamps"), fn.method(c("activity"), c("field"), c("field").isin(filters.DERIVED)).alias("method"))
+
+
+@query("""with x as (select o_orderkey, o_orderpriority, o_custkey * 7 as s, o_custkey * 4096 as y, o_custkey % 3 as n from orders),
+words as (select *, s // 3600 as h, s // 60 % 60 as m, case when s = 1 then '' else 's' end as ps, case when s // 3600 = 1 then '' else 's' end as ph, case when s // 60 % 60 = 1 then '' else 's' end as pm from x),
+told as (select *, case when s < 60 then s || ' second' || ps when s < 3600 then m || ' minute' || pm when s % 3600 = 0 then h || ' hour' || ph else h || ' hour' || ph || ' ' || m || ' minute' || pm end as duration from words)
+select o_orderkey, duration, n || ' sample' || case when n = 1 then '' else 's' end || case when s = 0 then ' at a single point in time' else ' spanning ' || duration end as support,
+  case when y >= 1073741824 then printf('%.1fG', y / 1073741824.0::double) when y >= 1048576 then printf('%.1fM', y / 1048576.0::double) when y >= 1024 then printf('%.1fk', y / 1024.0::double) else printf('%.1fB', y::double) end as size,
+  printf('%.1fk', 1.0::double + (o_orderkey % 8) / 4.0::double) as tied, replace('a' || chr(9) || o_orderpriority, chr(9), '.') as shown
+from told""")
 def text_functions(spark, d):
-    rows = table(spark, d, "orders")
-    return rows.select("o_orderkey", fn.duration_text(F.col("o_custkey") * 7).alias("duration"), fn.human_size(F.col("o_custkey") * 4096).alias("size"), fn.printable(F.concat(F.lit("a\t"), "o_orderpriority")).alias("shown"))
+    c = F.col("o_custkey")
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        fn.duration_text(c * 7).alias("duration"),
+        fn.support_text(c % 3, c * 7).alias("support"),
+        fn.human_size(c * 4096).alias("size"),
+        fn.human_size(1024 + F.col("o_orderkey") % 8 * 256).alias("tied"),
+        fn.printable(F.concat(F.lit("a\t"), "o_orderpriority")).alias("shown"),
+    )
 
 
 # --- sinks

@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from pulsegrid.plans import queries, telemetry
+from pulsegrid.plans import chain, queries, telemetry
 
-QUERIES, SQL = queries.QUERIES | telemetry.QUERIES, queries.SQL | telemetry.SQL
+QUERIES, SQL = queries.QUERIES | telemetry.QUERIES | chain.QUERIES, queries.SQL | telemetry.SQL | chain.SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
