@@ -38,7 +38,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/pulsegrid/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: its lineage ends there,
 
     so a lost executor never recomputes what stands before, and every reader sees the same rows. Spark
@@ -51,7 +51,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

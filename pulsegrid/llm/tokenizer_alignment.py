@@ -2,13 +2,18 @@
 
 Texts are cut before runs of white space where neither vocabulary can hold a token across (``segments``;
 both vocabularies are read to make sure, and where they can, texts stay whole). Documents become
-numbers into the segments of their chunk of the corpus; the different segments of all chunks are
-tokenized and aligned once; the alignments are joined back to each chunk's segments, and documents
-composed from them. Links are counted over the corpus by chunk first, and the counts joined back likewise.
+numbers into the segments of their chunk of the corpus; the segments of all chunks are dealt by their
+text, so that equal ones meet and are tokenized and aligned once; alignments go back to each chunk that
+has the segment, and documents are composed from them. Links are counted over the corpus by chunk first,
+and the counts joined back likewise.
+
+An alignment is a path over the tokens of both sides: a step says whose token ends at the next place
+where one does (0: both, so a group ends; 1: A's; 2: B's), and each step is one link.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -23,8 +28,10 @@ from pulsegrid.llm.segments import SPACES, cutting_pattern, is_byte_level, is_re
 from pulsegrid.llm.word_tokens import byte_characters
 
 #: Characters of the texts of a chunk, whose documents and segments one task holds at a time.
-CHUNK = 16 << 20
+CHUNK = 64 << 20
 ROWS = 256
+#: Alignments that a task holds before it sends them to their chunks.
+HELD = 200_000
 BLANK = "▁"
 
 
@@ -46,6 +53,7 @@ class TokenizerPair:
         plain = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         self.cuts = never_behind(plain, BLANK) if is_byte_level(about) and unchanged else set()
         self.guard = self.b.encode("x")
+        self.short = max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16
 
     @staticmethod
     def _a_bytes(token: str | None, characters: dict[str, bytes]) -> bytes:
@@ -62,28 +70,22 @@ class TokenizerPair:
         second = self.b.encode(own, num_threads=1)
         return first, [ids if len(s) > 1 and s[0] == " " else ids[len(self.guard) :] for s, ids in zip(segments, second)]
 
-    def aligned(self, segment: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, list[int]] | None:
-        """n_a, n_b, n_groups, the groups as text and the links (A id times B's size and B id); None if either changes the bytes."""
-        whole, a_bytes, b_bytes, size = segment.encode(), self.a_bytes, self.b_bytes, len(self.b_bytes)
-        if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
+    def steps(self, segment: str, a: list[int], b: list[int]) -> bytes | None:
+        """The path over the tokens; None if either tokenizer changes the bytes."""
+        whole, a_bytes, b_bytes = segment.encode(), self.a_bytes, self.b_bytes
+        first, second = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
+        if b"".join(first) != whole or b"".join(second) != whole:
             return None
-        groups, links, i, j, at_i, at_j = [], [], 0, 0, 0, 0
-        end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-        while True:
-            links.append(a[i] * size + b[j])
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[at_i:i])) + "|" + ",".join(map(str, b[at_j:j])))
-                at_i, at_j = i, j
-                if i == len(a):
-                    return len(a), len(b), len(groups), ";".join(groups), links
-                end_a, end_b = end_a + len(a_bytes[a[i]]), end_b + len(b_bytes[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(a_bytes[a[i]])
-            else:
-                j += 1
-                end_b += len(b_bytes[b[j]])
+        ends = {}
+        at = 0
+        for x in first:
+            at += len(x)
+            ends[at] = 1
+        at = 0
+        for x in second:
+            at += len(x)
+            ends[at] = 0 if at in ends else 2
+        return bytes([ends[k] for k in sorted(ends)])
 
 
 _pairs: dict[tuple[str, str], TokenizerPair] = {}
@@ -110,7 +112,8 @@ class Numbers(dict):
 
 
 def in_chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Rows (chunk, doc_id, numbers, null) of documents and (chunk, null, null, words) of chunks: words by number."""
+    """Rows of documents (chunk, doc_id, low, high: the lower 16 and the other bits of its words' numbers) and of chunks (chunk, words)."""
+    names = ["chunk", "doc_id", "low", "high", "words"]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = pair_of(a_path, b_path).cuts
@@ -118,10 +121,9 @@ def in_chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         words: list[str] = []
         behind_blank, literal = Numbers(words, " "), Numbers(words)
         chunk, held = uuid.uuid4().int >> 65, 0
-        names = ["chunk", "doc_id", "numbers", "words"]
 
         def end_of_chunk() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([words], pa.list_(pa.string()))], names)
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([words], pa.list_(pa.string()))], names)
 
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
@@ -137,9 +139,8 @@ def in_chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                         found.append(np.fromiter(map(literal.__getitem__, segments(" " + text)), np.int32))
                     held += len(text or "")
                     if held >= CHUNK or n == len(texts) - 1:
-                        ends = np.cumsum([0] + [len(f) for f in found]).astype(np.int32)
-                        lists = pa.ListArray.from_arrays(ends, np.concatenate(found))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), part.column(0).slice(start, len(found)), lists, pa.nulls(len(found), pa.list_(pa.string()))], names)
+                        low, high = ([(f >> bits).astype(kind).tobytes() for f in found] for bits, kind in ((0, "<u2"), (16, "<u2")))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk)), part.column(0).slice(start, len(found)), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.nulls(len(found), pa.list_(pa.string()))], names)
                         start, found = n + 1, []
                     if held >= CHUNK:
                         yield end_of_chunk()
@@ -150,65 +151,124 @@ def in_chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         if words:
             yield end_of_chunk()
 
-    return docs.mapInArrow(number, "chunk long, doc_id long, numbers array<int>, words array<string>")
+    return docs.mapInArrow(number, "chunk long, doc_id long, low binary, high binary, words array<string>")
+
+
+ALIGNED = ["of", "numbers", "n_a", "n_b", "n_steps", "a", "b", "steps"]
+
 
+def aligned_segments(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """Rows (of, numbers, n_a, n_b, n_steps, a, b, steps) of chunks from ``words`` (of, number, word): alignments one after
 
-def segment_alignments(words: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """word, n_a, n_b, n_groups, groups, links of each row of ``words`` (word); n_a is -1 where a tokenizer changes the bytes."""
+    the other, numbers of tokens and steps as 32-bit integers. Where a tokenizer changes a segment's bytes n_steps is 0.
+    Equal words meet in a task and follow each other there; each is tokenized and aligned once.
+    """
+
+    def send(held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda x: x[0])
+        rows, at = [], 0
+        while at < len(held):
+            end = at
+            while end < len(held) and held[end][0] == held[at][0]:
+                end += 1
+            _, numbers, n_a, n_b, n_steps, a, b, steps = zip(*held[at:end])
+            packed = [np.array(x, "<i4").tobytes() for x in (numbers, n_a, n_b, n_steps)]
+            rows.append((held[at][0], *packed, *(b"".join(x) for x in (a, b, steps))))
+            at = end
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[1:])], ALIGNED)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pair_of(a_path, b_path)
+        pair, held, last, code = pair_of(a_path, b_path), [], None, ()
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                own = batch.column(0).slice(k, 2048)
-                texts = own.to_pylist()
-                rows = [pair.aligned(*x) or (-1, 0, 0, "", []) for x in zip(texts, *pair.ids_of(texts))]
-                n_a, n_b, n_groups, groups, links = zip(*rows)
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int32()) for x in (n_a, n_b, n_groups)), pa.array(groups, pa.string()), pa.array(links, pa.list_(pa.int64()))], ["word", "n_a", "n_b", "n_groups", "groups", "links"])
-
-    return words.mapInArrow(align, "word string, n_a int, n_b int, n_groups int, groups string, links array<long>")
-
-
-def composed(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """A chunk's documents from the alignments of its words, and a row with how many of them hold each link."""
-    words = words.take(pa.array(np.argsort(words.column("number").to_numpy()))).combine_chunks()
-    n_a, n_b, n_groups = (words.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups"))
-    groups = words.column("groups").to_pylist()
-    lists = words.column("links").combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int64()))
-    every, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy().astype(np.int64)))
-    wide = np.int64 if len(every) and every.max() >= 1 << 31 else np.int32
-    every, counts = every.astype(wide), np.diff(ends)
-    chunk, batches, seen = docs.column("chunk")[0].as_py(), [], []
-    names = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "times"]
-
-    def out(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-        a, b, g, n, text, links, times = zip(*rows)
-        offsets = np.append(0, np.cumsum([len(x) for x in links])).astype(np.int32)
-        as_list = lambda x, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(kind)))
-        columns = [pa.array(np.full(len(rows), chunk)), ids, *(pa.array(x, pa.int64()) for x in (a, b, g, n)), pa.array(text, pa.string())]
-        return pa.RecordBatch.from_arrays([*columns, as_list(links, np.int64), as_list(times, np.int32)], names)
-
-    nothing = (0, 0, 0, 0, "", np.empty(0, wide), np.empty(0, np.int64))
-    for batch in docs.to_batches(max_chunksize=ROWS):
-        numbers, rows = batch.column(batch.schema.get_field_index("numbers")), []
-        flat, offsets = numbers.flatten().to_numpy(), np.append(0, np.cumsum(numbers.value_lengths().to_numpy()))
-        for k in range(len(numbers)):
-            own = flat[offsets[k] : offsets[k + 1]]
-            a = n_a[own]
-            if not len(own) or (a < 0).any():
-                rows.append(nothing)
-                continue
-            size = counts[own]
-            total = int(size.sum())
-            places = np.arange(total) + np.repeat(ends[own] - (np.cumsum(size) - size), size)
-            links, times = np.unique(every[places], return_counts=True)
-            seen.append(links)
-            rows.append((int(a.sum()), int(n_b[own].sum()), int(n_groups[own].sum()), total, ";".join([groups[i] for i in own.tolist()]), links, times))
-        batches.append(out(batch.column(batch.schema.get_field_index("doc_id")), rows))
-    if seen:
-        links, documents = np.unique(np.concatenate(seen), return_counts=True)
-        batches.append(out(pa.nulls(1, pa.int64()), [(-1, 0, 0, 0, None, links, documents)]))
-    return pa.Table.from_batches(batches)
+            for k in range(0, batch.num_rows, 4096):
+                of, number, word = (batch.column(c).slice(k, 4096).to_pylist() for c in range(3))
+                new = list(dict.fromkeys(word))
+                if new[0] == last:
+                    new = new[1:]
+                codes = {last: code}
+                for w, a, b in zip(new, *pair.ids_of(new)) if new else ():
+                    steps = pair.steps(w, a, b)
+                    codes[w] = (0, 0, 0, b"", b"", b"") if steps is None else (len(a), len(b), len(steps), np.array(a, "<u2").tobytes() if pair.short else np.array(a, "<u4").tobytes(), np.array(b, "<u2").tobytes() if pair.short else np.array(b, "<u4").tobytes(), steps)
+                held += [(o, n, *codes[w]) for o, n, w in zip(of, number, word)]
+                last, code = word[-1], codes[word[-1]]
+                if len(held) >= HELD:
+                    yield send(held)
+                    held = []
+        if held:
+            yield send(held)
+
+    dealt = words.select("of", "number", "word").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(align, "of long, numbers binary, n_a binary, n_b binary, n_steps binary, a binary, b binary, steps binary")
+
+
+def composed(a_path: str, b_path: str, digest: bool):
+    """The function that makes a chunk's documents from the alignments of its words, and a row with how many of them hold each link."""
+
+    def compose(docs: pa.Table, words: pa.Table) -> pa.Table:
+        pair = pair_of(a_path, b_path)
+        size, kind = len(pair.b_bytes), "<u2" if pair.short else "<u4"
+        joined = lambda c, kind: np.frombuffer(b"".join(words.column(c).to_pylist()), kind)
+        numbers, n_a, n_b, n_steps = (joined(c, "<i4") for c in ALIGNED[1:5])
+        a, b, steps = joined("a", kind), joined("b", kind), joined("steps", np.uint8)
+        # a step's tokens: how many have ended before it, over all words
+        links = a[np.cumsum(steps != 2) - (steps != 2)].astype(np.int64) * size + b[np.cumsum(steps != 1) - (steps != 1)]
+        links = links.astype(np.int32 if len(pair.a_bytes) * size < 1 << 31 else np.int64)
+        ends = np.cumsum(n_steps)
+        n_groups = np.diff(np.append(0, np.append(0, np.cumsum(steps == 0))[ends]))
+        groups, decimal = [""] * len(numbers), [str(i) for i in range(max(len(pair.a_bytes), size))]
+        spelled_a, spelled_b = [decimal[i] for i in a.tolist()], [decimal[i] for i in b.tolist()]
+        marks = bytes(steps)
+        at_a = at_b = start = 0
+        for k, end in enumerate(ends.tolist()):
+            parts = []
+            at = start
+            while at < end:
+                stop = marks.index(0, at) + 1
+                own = marks[at:stop]
+                to_a, to_b = at_a + (stop - at) - own.count(2), at_b + (stop - at) - own.count(1)
+                parts.append(",".join(spelled_a[at_a:to_a]) + "|" + ",".join(spelled_b[at_b:to_b]))
+                at, at_a, at_b = stop, to_a, to_b
+            groups[k] = ";".join(parts)
+            start = end
+        # alignments in order of the words' numbers
+        place = np.empty(len(numbers), np.int64)
+        place[numbers] = np.arange(len(numbers))
+        groups = [groups[k] for k in place.tolist()]
+        n_a, n_b, n_groups, counts, firsts = (x[place] for x in (n_a, n_b, n_groups, n_steps, ends - n_steps))
+        chunk, batches, seen = docs.column("chunk")[0].as_py(), [], []
+        names = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "times"]
+
+        def out(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+            *numbers, text, own, times = zip(*rows)
+            offsets = np.append(0, np.cumsum([len(x) for x in own])).astype(np.int32)
+            as_list = lambda x, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(kind)))
+            columns = [pa.array(np.full(len(rows), chunk)), ids, *(pa.array(x, pa.int64()) for x in numbers), pa.array(text, pa.string())]
+            return pa.RecordBatch.from_arrays([*columns, as_list(own, links.dtype), as_list(times, np.int32)], names)
+
+        nothing = (0, 0, 0, 0, "", np.empty(0, links.dtype), np.empty(0, np.int64))
+        for batch in docs.to_batches(max_chunksize=ROWS):
+            low, high, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("low", "high", "doc_id"))
+            rows = []
+            for x, y in zip(low.to_pylist(), high.to_pylist()):
+                own = np.frombuffer(x, "<u2").astype(np.int32) | np.frombuffer(y, "<u2").astype(np.int32) << 16
+                size_of = counts[own]
+                if not len(own) or not size_of.all():
+                    rows.append(nothing)
+                    continue
+                total = int(size_of.sum())
+                places = np.arange(total) + np.repeat(firsts[own] - (np.cumsum(size_of) - size_of), size_of)
+                found, times = np.unique(links[places], return_counts=True)
+                seen.append(found)
+                text = ";".join([groups[i] for i in own.tolist()])
+                rows.append((int(n_a[own].sum()), int(n_b[own].sum()), int(n_groups[own].sum()), total, hashlib.sha256(text.encode()).hexdigest() if digest else text, found, times))
+            batches.append(out(ids, rows))
+        if seen:
+            found, documents = np.unique(np.concatenate(seen), return_counts=True)
+            batches.append(out(pa.nulls(1, pa.int64()), [(-1, 0, 0, 0, None, found, documents)]))
+        return pa.Table.from_batches(batches)
+
+    return compose
 
 
 def weighed(docs: pa.Table, counts: pa.Table) -> pa.Table:
@@ -223,24 +283,25 @@ def weighed(docs: pa.Table, counts: pa.Table) -> pa.Table:
     return docs.drop_columns(["chunk", "links", "times"]).append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum))
 
 
-def aligned_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def aligned_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """A row per document: doc_id, n_a, n_b, n_groups, n_links, groups (``a1,a2|b1;a3|b2``: ids between places where both
 
-    tokenizers end a token), links (each once: A id times the size of B and B id) and times (of each link), and chunk;
-    and a row per chunk with n_a -1 and how many of its documents hold each link.
+    tokenizers end a token; with ``digest`` the sha256 of that), links (each once: A id times the size of B and B id),
+    times (of each link) and chunk; and a row per chunk with n_a -1 and how many of its documents hold each link.
 
     Whole texts of any length. Null and empty texts, and those that a tokenizer doesn't give back byte for byte,
     have zeros and an empty string. Rows are documents each by itself, also where ids repeat or are null. An empty
     table gives no rows. Other columns are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    numbered = stored(in_chunks(rows, a_path, b_path), "numbered")
-    words = numbered.where("words is not null").select("chunk", F.posexplode("words").alias("number", "word"))
-    aligned = stored(segment_alignments(words.select("word").distinct(), a_path, b_path), "aligned")
-    own = words.withColumnRenamed("chunk", "of").join(aligned, "word").drop("word")
-    schema = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<long>, times array<int>"
-    left = numbered.where("words is null").select("chunk", "doc_id", "numbers")
-    return left.groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(composed, schema)
+    numbered = stored(in_chunks(rows, a_path, b_path), "numbered", compression="zstd")
+    words = numbered.where("words is not null").select(F.col("chunk").alias("of"), F.posexplode("words").alias("number", "word"))
+    own = aligned_segments(words, a_path, b_path)
+    pair = pair_of(a_path, b_path)
+    kind = "int" if len(pair.a_bytes) * len(pair.b_bytes) < 1 << 31 else "long"
+    schema = f"chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<{kind}>, times array<int>"
+    left = numbered.where("words is null").select("chunk", "doc_id", "low", "high")
+    return left.groupBy("chunk").cogroup(own.groupBy("of")).applyInArrow(composed(a_path, b_path, digest), schema)
 
 
 def alignment_digest(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,9 +312,8 @@ def alignment_digest(docs: DataFrame, a_path: str, b_path: str, id_col: str = "d
     """
     spark, before = docs.sparkSession, []
     with recorded(before):
-        found = aligned_documents(docs, a_path, b_path, id_col, text_col)
-        digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
-        found = stored(found.withColumn("groups_sha256", digest).drop("groups"), "composed")
+        found = aligned_documents(docs, a_path, b_path, id_col, text_col, digest=True).withColumnRenamed("groups", "groups_sha256")
+        found = stored(found, "composed", compression="zstd")
     delete_tables(spark, before[:-1])
     size = len(pair_of(a_path, b_path).b_bytes)
     by_chunk = found.where("n_a < 0").select("chunk", F.explode(F.arrays_zip("links", "times")).alias("x")).select("chunk", F.col("x.links").alias("link"), F.col("x.times").alias("n"))
