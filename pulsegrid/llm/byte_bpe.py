@@ -61,6 +61,9 @@ class ByteBpe:
         self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
         self.code = "H" if len(self.strings) <= 1 << 16 else "I"
         self.dtype = np.dtype(self.code)
+        self.joined = np.frombuffer(b"".join(self.strings), np.uint8)
+        self.sizes = np.array([*map(len, self.strings), 0])
+        self.firsts = np.cumsum(self.sizes) - self.sizes
         self.segments = cutting_pattern(SPACES).findall
         self.known: dict[str, bytes] = {}
         self.splits: dict[str, bytes] = {}
@@ -137,13 +140,17 @@ class ByteBpe:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
-    def decode(self, ids: list[int]) -> str:
-        """The text that ``ids`` stand for; bytes that are no UTF-8 become U+FFFD. Unknown ids give nothing."""
-        strings = self.strings
-        try:
-            return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
-        except IndexError:
-            return b"".join([strings[i] for i in ids if i < len(strings)]).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts that stretches of ``ids`` stand for, up to each of ``ends``; bytes that are no UTF-8 become U+FFFD.
+
+        The vocabulary's strings, one behind the other, are taken from one array of all of them. Unknown ids give nothing.
+        """
+        ids = np.where((ids >= 0) & (ids < len(self.strings)), ids, len(self.strings))
+        size = self.sizes[ids]
+        to = np.cumsum(size)
+        whole = self.joined[np.arange(to[-1] if len(to) else 0) + np.repeat(self.firsts[ids] - (to - size), size)].tobytes()
+        stops = np.append(0, to)[ends].tolist()
+        return [whole[i:k].decode("utf-8", "replace") for i, k in zip([0, *stops], stops)]
 
 
 _known: dict[str, ByteBpe] = {}
@@ -191,7 +198,9 @@ def decoded(tokens: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_c
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                texts = [words.decode(ids) if ids else "" for ids in part.column(len(rest)).to_pylist()]
+                lists = part.column(len(rest))
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+                texts = words.decode(lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False), ends)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(texts, pa.string())], names)
 
     names = [*rest, text_col]
