@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.detect import DEVIATION_RATIO, baselines
+from pulsegrid.operators.detect import DEVIATION_RATIO, baselines, level_shifts, shift_windows
 from pulsegrid.operators.series import hit_runs, series_of
 
 #: Activity, field, scope (aggregate: item all; single: the activity's only item; each: every item), kind,
@@ -146,33 +146,78 @@ def departures(points: DataFrame, ratio: float = DEVIATION_RATIO) -> DataFrame:
     meant = F.when(F.col("deviation") == "upper", apart > 0).when(F.col("deviation") == "lower", apart < 0).otherwise(apart != 0)
     robust = (F.col("state") == "measured") & (F.abs(apart) >= ratio * F.col("mad")) & (F.abs(apart) >= F.coalesce(floor, F.lit(0.0)))
     absolute = F.col("state").isin("not_measurable", "too_sparse") & (floor > 0) & (F.abs(apart) >= floor)
-    runs = hit_runs(rows, meant & (robust | F.coalesce(absolute, F.lit(False))))
-    of = baselines(rows.select(*keys, "value")).select(*keys, "median", "state")
+    runs = hit_runs(rows, meant & (robust | F.coalesce(absolute, F.lit(False))), ["median", "state"])
     shape = F.when(F.col("max_value") > F.col("median"), "spike").otherwise("dip")
-    return runs.join(of, keys).withColumns({"route": F.when(F.col("state") == "measured", "robust").otherwise("absolute"), "shape": shape}).drop("state")
+    return runs.withColumns({"route": F.when(F.col("state") == "measured", "robust").otherwise("absolute"), "shape": shape}).drop("state")
 
 
-def route_status(points: DataFrame, found: DataFrame, routes: list[str]) -> DataFrame:
-    """A row per watched series and route: detected with its count, evaluated, or why it was not evaluated."""
+def shift_points(points: DataFrame) -> DataFrame:
+    """Points of watched series with what ``detect.level_shifts`` asks for."""
+    rows = watched(points)
+    return rows.withColumn("instant", origin(F.col("activity"), F.col("field"), F.col("kind")) == "instant_gauge")
+
+
+def level_shift_route(points: DataFrame) -> DataFrame:
+    """Level shifts of watched series in the catalog's directions, by its least changes."""
+    return level_shifts(shift_points(points)).withColumn("route", F.lit("level_shift"))
+
+
+#: Reasons why a route is not taken that lie in the catalog or the selection, not in the data.
+BY_DESIGN = ["excluded_by_selection", "no_fixed_condition_declared", "no_deviation_interest_declared", "level_shift_not_declared"]
+ROUTES = ["fixed", "robust", "absolute", "level_shift"]
+
+
+def route_status(points: DataFrame, found: DataFrame, routes: list[str] = ROUTES, selected: list[str] | None = None) -> DataFrame:
+    """A row per host, series that is watched or should be, and route: ``status`` with ``reason``, ``count`` and ``blind_edges``.
+
+    detected; evaluated, or evaluated_with_blind_edges (level shifts: points too near an end of a segment for
+    windows on both sides); or not_evaluated, why: the series is absent from the source (item and all: null), its
+    activity isn't among ``selected``, it has no value, no condition or direction or level shift is declared, its
+    dispersion can't be measured or is too sparse, it has too few samples, no segment is long enough for windows,
+    or all windows span missing samples. ``found``: detections (series, route).
+    """
     rows = watched(points)
     keys = series_of(rows)
-    known = rows.select(*keys, "deviation", "change", "amount").distinct()
-    base = baselines(rows).select(*keys, "n", "state")
-    seen = known.join(base, keys, "left").join(F.broadcast(conditions(points.sparkSession).select("activity", "field", "condition")), ["activity", "field"], "left")
+    known = rows.groupBy(*keys).agg(*(F.first(c).alias(c) for c in ("deviation", "change")))
+    missing = absent(points).join(F.broadcast(catalog(points.sparkSession).select("activity", "field", "deviation", "change")), ["activity", "field"])  # 41 rows
+    conditioned = F.broadcast(conditions(points.sparkSession).select("activity", "field").distinct().withColumn("condition", F.lit(True)))  # 22 rows
+    windows = shift_windows(shift_points(points)).groupBy(*keys).agg(F.sum("joined").alias("joined"), F.sum("candidates").alias("candidates"), F.sum("blind").alias("blind"))
+    seen = known.join(baselines(rows).select(*keys, "n", "state"), keys, "left").join(windows, keys, "left").withColumn("present", F.lit(True))
+    seen = seen.unionByName(missing, allowMissingColumns=True).join(conditioned, ["activity", "field"], "left")
     each = seen.withColumn("route", F.explode(F.array(*(F.lit(r) for r in routes))))
     counts = found.groupBy(*keys, "route").agg(F.count("*").alias("count"))
-    route, state = F.col("route"), F.col("state")
+    each = each.join(counts, [*keys, "route"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    route, state, shifts = F.col("route"), F.col("state"), F.col("route") == "level_shift"
+    chosen = F.col("activity").isin(selected) if selected is not None else F.lit(True)
     why = (
-        F.when(F.coalesce("n", F.lit(0)) == 0, "no_usable_observation")
+        F.when(~chosen, "excluded_by_selection")
+        .when(F.col("present").isNull(), "series_absent_from_source")
         .when((route == "fixed") & F.col("condition").isNull(), "no_fixed_condition_declared")
+        .when(route.isin("robust", "absolute") & (F.col("deviation") == "none"), "no_deviation_interest_declared")
+        .when(shifts & (F.col("change") == "none"), "level_shift_not_declared")
+        .when(F.coalesce("n", F.lit(0)) == 0, "no_usable_observation")
         .when(route.isin("robust", "absolute") & (state == "insufficient_samples"), "too_few_baseline_samples")
         .when((route == "robust") & (state == "not_measurable"), "dispersion_not_measurable")
         .when((route == "robust") & (state == "too_sparse"), "dispersion_too_sparse")
         .when((route == "absolute") & (F.col("change") == "none"), "no_magnitude_floor_declared")
+        .when(shifts & (F.coalesce("joined", F.lit(0)) == 0), F.when(F.coalesce("candidates", F.lit(0)) > 0, "window_spans_missing_samples").otherwise("no_window_long_enough"))
+    )
+    out = each.withColumn("reason", why)
+    blind = F.when(shifts & F.col("reason").isNull(), F.coalesce("blind", F.lit(0))).otherwise(0)
+    status = F.when(F.col("reason").isNotNull(), "not_evaluated").when(F.col("count") > 0, "detected").when(blind > 0, "evaluated_with_blind_edges").otherwise("evaluated")
+    return out.select(*keys, "route", status.alias("status"), "reason", "count", blind.alias("blind_edges"))
+
+
+def coverage_tally(statuses: DataFrame) -> DataFrame:
+    """Of each host and route how many series were evaluated, how many found something, and how many were kept out by data or by design."""
+    status, reason = F.col("status"), F.col("reason")
+    return statuses.groupBy("host", "route").agg(
+        F.count("*").alias("series"),
+        F.count_if(status != "not_evaluated").alias("evaluated"),
+        F.count_if(status == "detected").alias("detected"),
+        F.count_if(reason.isNotNull() & ~reason.isin(BY_DESIGN)).alias("blocked"),
+        F.count_if(reason.isin(BY_DESIGN)).alias("by_design"),
     )
-    out = each.join(counts, [*keys, "route"], "left").withColumn("reason", why)
-    status = F.when(F.col("count") > 0, "detected").when(F.col("reason").isNotNull(), "not_evaluated").otherwise("evaluated")
-    return out.select(*keys, "route", status.alias("status"), F.when(status == "not_evaluated", F.col("reason")).alias("reason"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def support(points: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.series import hit_runs, longest_run, series_of
+from pulsegrid.operators.series import hit_runs, series_of
 
 #: Defaults of the detector.
 DEVIATION_RATIO = 8.0
@@ -20,20 +21,26 @@ STANDING_PERCENT = 90
 PROMOTION_SAMPLES, PROMOTION_SECONDS = 3, 1800
 
 
-def verdicts(points: DataFrame, hit: Column, least_s: int) -> DataFrame:
-    """observed / not_observed / undetermined for a condition that must hold for ``least_s`` seconds, with its longest run."""
-    seen = points.groupBy(*series_of(points)).agg(F.count("value").alias("observations"))
-    run = longest_run(points, hit).select(*series_of(points), "seconds", "start_ust", "end_ust", "points")
-    verdict = F.when(F.col("observations") == 0, "undetermined").when(F.col("seconds") >= least_s, "observed").otherwise("not_observed")
-    return seen.join(run, series_of(points), "left").withColumn("verdict", verdict)
-
-
 def baselines(points: DataFrame) -> DataFrame:
-    """Median, raw MAD and the state of the dispersion of each series: too few samples, flat, too sparse or measured."""
-    rows = points.where(F.col("value").isNotNull()).select(*series_of(points), "value")
-    centre = rows.groupBy(*series_of(points)).agg(F.count("*").alias("n"), F.median("value").alias("median"))
-    apart = rows.join(centre, series_of(points)).withColumn("apart", F.abs(F.col("value") - F.col("median")))
-    out = apart.groupBy(*series_of(points)).agg(F.first("n").alias("n"), F.first("median").alias("median"), F.median("apart").alias("mad"), F.count_if(F.col("apart") > 0).alias("off_centre"))
+    """Median, raw MAD and the state of the dispersion of each series: too few samples, flat, too sparse or measured.
+
+    Exact, from counts by value: a series' different values are ranked by running sums, once by value and once by their
+    distance from the median. No aggregate keeps them; the windows' rows are sorted, and spilled where there are many.
+    """
+    keys = series_of(points)
+    whole = Window.partitionBy(*keys)
+    ranks = [F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1]
+
+    def middle(value: str, run: str) -> Column:
+        low, high = (F.min(F.when(F.col(run) >= rank, F.col(value))).over(whole) for rank in ranks)
+        return (low + high) / 2
+
+    running = lambda by: F.sum("__c").over(whole.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    counts = points.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("__c"))
+    ranked = counts.withColumns({"n": F.sum("__c").over(whole), "__run": running("value")}).withColumn("median", middle("value", "__run"))
+    apart = ranked.withColumn("__apart", F.abs(F.col("value") - F.col("median")))
+    apart = apart.withColumn("__run", running("__apart")).withColumn("mad", middle("__apart", "__run"))
+    out = apart.groupBy(*keys, "n", "median", "mad").agg(F.coalesce(F.sum(F.when(F.col("__apart") > 0, F.col("__c"))), F.lit(0)).alias("off_centre"))
     needed = F.floor((F.col("n") * OFF_CENTRE_PERCENT + 99) / 100)
     state = F.when(F.col("n") < LEAST_SAMPLES, "insufficient_samples").when(F.col("mad") == 0, "not_measurable").when(F.col("off_centre") < needed, "too_sparse").otherwise("measured")
     return out.withColumn("state", state)
@@ -80,8 +87,11 @@ def window_shifts(points: DataFrame, width: int, least: float) -> DataFrame:
 
 
 def standing(found: DataFrame, first_ust: Column, last_ust: Column) -> DataFrame:
-    """``standing``: a detection over at least 90 % of the input is background."""
-    return found.withColumn("standing", (F.col("end_ust") - F.col("start_ust")) * 100 >= (last_ust - first_ust) * STANDING_PERCENT)
+    """``standing``: a detection over at least 90 % of the input is background, but a level shift never is; an input without a span has none."""
+    span = last_ust - first_ust
+    share = F.floor(F.try_divide((F.col("end_ust") - F.col("start_ust")) * 100, span))
+    local = F.col("route") == "level_shift" if "route" in found.columns else F.lit(False)
+    return found.withColumn("standing", ~local & F.coalesce(share >= STANDING_PERCENT, F.lit(False)))
 
 
 def episode_limits(points: DataFrame) -> DataFrame:
@@ -153,78 +163,132 @@ def priority(base: Column, points: Column, seconds: Column, thin: Column, level_
     return F.greatest(base + F.when(lasts, 1).otherwise(0) - F.when(thin, 1).otherwise(0), F.lit(0))
 
 
-#: Points in a block of a series that one call looks at.
-SHIFT_BLOCK = 4096
+#: Values in the windows of a block of a series that one call looks at, and the least splits of it.
+SHIFT_VALUES, SHIFT_SPLITS = 1 << 20, 256
 
 
 def shift_width(points: DataFrame) -> DataFrame:
-    """``width`` of a series: points in half an hour by the upper median of its intervals, five at least."""
-    keys = series_of(points)
-    steps = points.groupBy(*keys, (F.col("end_ust") - F.col("start_ust")).alias("step")).agg(F.count("*").alias("n"))
+    """``width`` of a series (and segment): points in half an hour by the upper median of its intervals, five at least."""
+    keys = parts_of(points)
+    steps = points.groupBy(*keys, (F.col("end_ust") - F.col("start_ust")).alias("step")).agg(F.count("*").alias("n")).where("step > 0")
     past = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     ranked = steps.withColumns({"run": F.sum("n").over(past), "all": F.sum("n").over(Window.partitionBy(*keys))})
     median = ranked.groupBy(*keys).agg(F.min(F.when(F.col("run") > F.floor(F.col("all") / 2), F.col("step"))).alias("step"))
-    return median.where("step > 0").select(*keys, F.greatest(F.ceil(F.lit(SHIFT_SECONDS) / F.col("step")), F.lit(SHIFT_POINTS)).cast("int").alias("width"))
+    return median.select(*keys, F.greatest(F.ceil(F.lit(SHIFT_SECONDS) / F.col("step")), F.lit(SHIFT_POINTS)).cast("int").alias("width"))
 
 
-def level_shifts(points: DataFrame, least: float, block: int = SHIFT_BLOCK) -> DataFrame:
-    """Level shifts of each series; the width of a window depends on the series' own interval.
+def parts_of(points: DataFrame) -> list[str]:
+    """What names a stretch of a series that windows don't leave: the series, and its segment where there is one."""
+    return series_of(points) + (["segment"] if "segment" in points.columns else [])
 
-    For each split into ``width`` points before and after that follow each other in time: the shift is
-    the difference of the medians; what the windows' own slope explains of it is taken off and never
-    added. Shift and step must reach ``least``, 70 % of the points after must lie that far on the same
-    side of the level before, and the step must be three times the scatter around the two levels where
-    there is any. Of adjacent splits the strongest stays; ties go to the steadier, then the earlier.
-    Series are cut into blocks of ``block`` splits with ``width`` points more at both ends, so no task
-    holds a whole series.
+
+def sliding_medians(values: np.ndarray, width: int) -> np.ndarray:
+    """Medians of all stretches of ``width`` values: a sorted list of them that one leaves and one enters at each step."""
+    own = sorted(values[:width].tolist())
+    low, high, out = (width - 1) // 2, width // 2, np.empty(len(values) - width + 1)
+    out[0] = (own[low] + own[high]) / 2
+    for k, (gone, new) in enumerate(zip(values.tolist(), values[width:].tolist()), 1):
+        del own[bisect_left(own, gone)]
+        insort(own, new)
+        out[k] = (own[low] + own[high]) / 2
+    return out
+
+
+def shift_windows(points: DataFrame) -> DataFrame:
+    """Of each stretch of a series (``parts_of``) what windows it allows: ``points``, ``width``, ``candidates`` (splits with room
+
+    for a window on both sides), ``joined`` (those whose windows miss no sample) and ``blind`` (points that are no candidate).
+    Runs of points that follow each other tell it: one of L points has L - 2 width + 1 such splits.
     """
-    keys = series_of(points)
-    known = points.where(F.col("value").isNotNull()).select(*keys, "start_ust", "end_ust", "value")
-    rows = known.join(shift_width(known), keys).withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("end_ust")) - 1)
-    number = lambda c: F.floor(F.greatest(c, F.lit(0)) / block)
-    rows = rows.withColumn("block", F.explode(F.sequence(number(F.col("n") - F.col("width")), number(F.col("n") + F.col("width")))))
+    keys = parts_of(points)
+    order = Window.partitionBy(*keys).orderBy("end_ust")
+    known = points.where(F.col("value").isNotNull())
+    new = F.coalesce(F.col("start_ust") != F.lag("end_ust").over(order), F.lit(True)).cast("int")
+    runs = known.withColumn("__new", new).withColumn("__run", F.sum("__new").over(order)).groupBy(*keys, "__run").agg(F.count("*").alias("size"))
+    rows = runs.join(shift_width(known), keys, "left")
+    room = F.greatest(F.col("size") - 2 * F.col("width") + 1, F.lit(0))
+    out = rows.groupBy(*keys).agg(F.sum("size").alias("points"), F.first("width").alias("width"), F.sum(room).alias("joined"))
+    candidates = F.greatest(F.col("points") - 2 * F.col("width") + 1, F.lit(0))
+    # a stretch without any interval is passed over
+    return out.withColumn("candidates", F.coalesce(candidates, F.lit(0))).withColumn("blind", F.when(F.col("width").isNotNull(), F.col("points") - F.col("candidates")).otherwise(0)).withColumn("joined", F.coalesce("joined", F.lit(0)))
+
+
+def level_shifts(points: DataFrame, least: float | None = None) -> DataFrame:
+    """Level shifts of each stretch of a series; the width of a window depends on its own interval.
+
+    For each split into ``width`` points before and after that follow each other in time: the shift is the difference
+    of the medians; what the windows' own slope explains of it is taken off and never added (windows of four points
+    at least). Shift and step must reach the least change, 70 % of the points after must lie that far on the same
+    side of the level before, and the step must be three times the scatter around the two levels where there is any.
+    Of adjacent splits the strongest stays; ties go to the steadier, then the earlier. The result has the time of the
+    windows too: ``start_ust`` to ``end_ust`` is that after the split.
+
+    The least change is ``least``, or by series: ``change`` (absolute; relative to the level before; none: no shift
+    is looked for), ``amount``, ``change_floor``, ``shift`` (upper, lower, both) and ``instant`` (values of a moment count at the end
+    of their interval), as in the catalog. Series are cut into blocks of splits with ``width`` points more at both
+    ends, so no task holds a whole series.
+    """
+    keys = parts_of(points)
+    if least is not None:
+        points = points.withColumns({"change": F.lit("absolute"), "amount": F.lit(float(least)), "change_floor": F.lit(0.0), "shift": F.lit("both"), "instant": F.lit(False)})
+    own = ["change", "amount", "change_floor", "shift", "instant"]
+    known = points.where(F.col("value").isNotNull() & (F.col("change") != "none")).select(*keys, "start_ust", "end_ust", "value", *own)
+    order = Window.partitionBy(*keys).orderBy("end_ust")
+    rows = known.join(shift_width(known), keys).withColumn("n", F.row_number().over(order) - 1)
+    size = F.greatest(F.lit(SHIFT_SPLITS), F.floor(F.lit(SHIFT_VALUES) / F.col("width")))
+    number = lambda c: F.floor(F.greatest(c, F.lit(0)) / F.col("size"))
+    rows = rows.withColumn("size", size).withColumn("block", F.explode(F.sequence(number(F.col("n") - F.col("width")), number(F.col("n") + F.col("width")))))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("n").reset_index(drop=True)
-        width, size = int(part["width"][0]), len(part)
+        width, count = int(part["width"][0]), len(part)
         starts, ends, values, n = (part[c].to_numpy() for c in ("start_ust", "end_ust", "value", "n"))
+        change, amount, floor, wanted, instant = (part[c][0] for c in own)
         names = [part[c][0] for c in keys]
 
-        def rows_of(n, start, shift, normalized, strength, stays) -> pd.DataFrame:
+        def rows_of(n, start, end, before, after, shift, normalized, strength, stays) -> pd.DataFrame:
             named = {c: pd.Series([x] * len(n), dtype=object) for c, x in zip(keys, names)}
-            return pd.DataFrame(named | {"n": n, "start_ust": start, "shift": shift, "normalized": normalized, "strength": strength, "stays": stays})
+            return pd.DataFrame(named | {"n": n, "start_ust": start, "end_ust": end, "level_before": before, "level_after": after, "shift": shift, "normalized": normalized, "strength": strength, "stays": stays})
 
-        none = rows_of(*(np.zeros(0, t) for t in (int, int, float, float, float, float)))
-        if size < 2 * width:
+        none = rows_of(*(np.zeros(0, t) for t in (int, int, int, float, float, float, float, float, float)))
+        if count < 2 * width:
             return none
-        views = lambda x: np.lib.stride_tricks.sliding_window_view(x, width)
-        times, half = (starts + ends) / 2, width // 2
         joined = np.append(0, np.cumsum(np.append(True, starts[1:] == ends[:-1])))
-        split = np.arange(width, size - width + 1)
-        own = (n[split] // block == part["block"][0]) & (joined[split + width] - joined[split - width + 1] == 2 * width - 1)
-        split = split[own]
+        split = np.arange(width, count - width + 1)
+        split = split[(n[split] // part["size"][0] == part["block"][0]) & (joined[split + width] - joined[split - width + 1] == 2 * width - 1)]
         if not len(split):
             return none
-        v, t = views(values), views(times)
-        old, new, old_t, new_t = v[split - width], v[split], t[split - width], t[split]
-        median = lambda x: np.median(x, axis=1)
-        slope = lambda x, at: (median(x[:, -half:]) - median(x[:, :half])) / (median(at[:, -half:]) - median(at[:, :half]))
-        level = median(old)
-        shift = median(new) - level
-        explained = (slope(old, old_t) + slope(new, new_t)) / 2 * (median(new_t) - median(old_t))
-        step = np.where(explained * shift <= 0, shift, np.sign(shift) * np.maximum(np.abs(shift) - np.abs(explained), 0.0))
-        stays = ((new - level[:, None]) * np.sign(shift)[:, None] >= least).mean(axis=1)
-        scatter = median(np.abs(np.concatenate([old - level[:, None], new - (level + shift)[:, None]], axis=1))) * MAD_SCALE
-        normalized = np.abs(step) / np.where(scatter > 0, scatter, np.nan)
-        normalized = np.where(scatter > 0, normalized, np.inf)
-        hit = (np.minimum(np.abs(shift), np.abs(step)) >= least) & (stays >= PERSISTENCE) & (normalized >= SHIFT_NORMALIZED)
-        strength = np.where(scatter > 0, normalized, np.abs(step) / least)
+        times, half = (ends if instant else (starts + ends) / 2).astype(float), width // 2
+        level, level_time = sliding_medians(values, width), sliding_medians(times, width)
+        before, after = level[split - width], level[split]
+        shift = after - before
+        least = np.full(len(split), amount) if change == "absolute" else np.maximum(np.abs(before) * amount, floor)
+        explained = np.zeros(len(split))
+        if width >= 4:
+            short, short_time = sliding_medians(values, half), sliding_medians(times, half)
+            slope = lambda at: (short[at + width - half] - short[at]) / np.maximum(short_time[at + width - half] - short_time[at], 1e-9)
+            explained = (slope(split - width) + slope(split)) / 2 * (level_time[split] - level_time[split - width])
+        step = np.where(explained * shift <= 0, shift, np.where(np.abs(explained) >= np.abs(shift), 0.0, shift - explained))
+        meant = np.ones(len(split), bool) if wanted == "both" else shift > 0 if wanted == "upper" else shift < 0
+        far = meant & (np.minimum(np.abs(shift), np.abs(step)) >= least)
+        split, before, after, shift, least, step = (x[far] for x in (split, before, after, shift, least, step))
+        windows = np.lib.stride_tricks.sliding_window_view(values, width)
+        stays, scatter = np.empty(len(split)), np.empty(len(split))
+        for k in range(0, len(split), SHIFT_SPLITS):
+            at = slice(k, k + SHIFT_SPLITS)
+            old, new = windows[split[at] - width], windows[split[at]]
+            moved = (new - before[at, None]) * np.sign(shift[at])[:, None]
+            stays[at] = ((moved > 0) & (moved >= least[at, None])).mean(axis=1)
+            scatter[at] = np.median(np.abs(np.concatenate([old - before[at, None], new - after[at, None]], axis=1)), axis=1) * MAD_SCALE
+        normalized = np.where(scatter > 0, np.abs(step) / np.where(scatter > 0, scatter, 1.0), np.inf)
+        strength = np.where(scatter > 0, normalized, np.abs(step) / np.where(least > 0, least, 1.0))
+        hit = (stays >= PERSISTENCE) & (normalized >= SHIFT_NORMALIZED)
         at = split[hit]
-        return rows_of(n[at], starts[at], shift[hit], normalized[hit], strength[hit], stays[hit])
+        return rows_of(n[at], starts[at], ends[at + width - 1], before[hit], after[hit], shift[hit], normalized[hit], strength[hit], stays[hit])
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n long, start_ust long, shift double, normalized double, strength double, stays double"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n long, start_ust long, end_ust long, level_before double, level_after double, shift double, normalized double, strength double, stays double"
     hits = rows.groupBy(*keys, "block").applyInPandas(fold, schema)
     island = F.col("n") - F.row_number().over(Window.partitionBy(*keys).orderBy("n"))
     best = Window.partitionBy(*keys, "island").orderBy(F.col("strength").desc(), F.col("stays").desc(), "n")
-    return hits.withColumn("island", island).withColumn("r", F.row_number().over(best)).where("r = 1").select(*keys, "start_ust", "shift", "normalized")
+    return hits.withColumn("island", island).withColumn("r", F.row_number().over(best)).where("r = 1").select(*keys, "start_ust", "end_ust", "level_before", "level_after", "shift", "normalized")

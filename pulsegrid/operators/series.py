@@ -54,8 +54,11 @@ def with_segments(points: DataFrame) -> DataFrame:
     return points.withColumn("__cut", cut.cast("int")).withColumn("run_segment", F.sum("__cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__cut")
 
 
-def hit_runs(points: DataFrame, hit: Column) -> DataFrame:
-    """Maximal runs of adjacent points that hold ``hit``: start, end, points, seconds, least and greatest value."""
+def hit_runs(points: DataFrame, hit: Column, carry: list[str] | None = None) -> DataFrame:
+    """Maximal runs of adjacent points that hold ``hit``: start, end, points, seconds, least and greatest value.
+
+    ``carry``: columns that are the same for all points of a series, and come along.
+    """
     order = Window.partitionBy(*series_of(points)).orderBy("end_ust")
     rows = points.where(hit & F.col("value").isNotNull() & (F.col("elapsed_cs") > 0))
     new = F.coalesce(F.col("start_ust") != F.lag("end_ust").over(order), F.lit(True))
@@ -68,6 +71,7 @@ def hit_runs(points: DataFrame, hit: Column) -> DataFrame:
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
         (F.sum(F.col("value") * F.col("elapsed_cs")) / F.sum("elapsed_cs")).alias("mean_value"),
+        *(F.first(c).alias(c) for c in carry or []),
     ).drop("__run")
 
 

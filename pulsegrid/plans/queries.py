@@ -534,11 +534,6 @@ def priority(spark, d):
     return rows.select("host", "item", "start_ust", detect.priority(F.lit(1), F.col("points"), F.col("seconds"), F.col("points") < 2, F.lit(False)).alias("priority"))
 
 
-@query(G + BASE + "select state, count(*) as n, count(*) filter (state = 'measured') as evaluated from base group by 1")
-def coverage_tally(spark, d):
-    return detect.baselines(ad.gauge(spark, d)).groupBy("state").agg(F.count("*").alias("n"), F.count_if(F.col("state") == "measured").alias("evaluated"))
-
-
 # --- sinks
 
 

@@ -188,16 +188,6 @@ def departures(spark, d):
     return found(spark, d).select("host", "activity", "item", "field", "route", "shape", "start_ust", "end_ust", "points", "min_value", "max_value")
 
 
-@query(M + SQL_DEPARTURES + f""", seen as (select s.*, c.condition, k.change from states s left join conditions c using (activity, field) join catalog k using (activity, field)),
-each as (select *, unnest(['fixed', 'robust', 'absolute']) as route from seen), counts as (select {KEYS}, route, count(*) as count from departures group by all),
-why as (select e.*, coalesce(count, 0) as count, case when e.route = 'fixed' and condition is null then 'no_fixed_condition_declared' when e.route in ('robust', 'absolute') and state = 'insufficient_samples' then 'too_few_baseline_samples'
-  when e.route = 'robust' and state = 'not_measurable' then 'dispersion_not_measurable' when e.route = 'robust' and state = 'too_sparse' then 'dispersion_too_sparse' when e.route = 'absolute' and change = 'none' then 'no_magnitude_floor_declared' end as why
-  from each e left join counts using ({KEYS}, route))
-select {KEYS}, route, case when count > 0 then 'detected' when why is not null then 'not_evaluated' else 'evaluated' end as status, case when count = 0 then why end as reason, count from why""")
-def route_status(spark, d):
-    return catalog.route_status(metrics(spark, d), found(spark, d), ["fixed", "robust", "absolute"])
-
-
 @query(M + SQL_CATALOG + f", o as (select *, {ORIGIN} as origin from watched where value is not null) select {KEYS}, min(case when origin = 'instant_gauge' then end_ust else start_ust end) as first_ust, max(end_ust) as last_ust, cast(sum(case when origin = 'instant_gauge' then 0 else elapsed_cs end) as bigint) as observed_cs, count(*) as samples from o group by all")
 def temporal_support(spark, d):
     return catalog.support(metrics(spark, d))

@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from pulsegrid.plans import chain, queries, telemetry
+from pulsegrid.plans import chain, queries, shifts, telemetry
 
-QUERIES, SQL = queries.QUERIES | telemetry.QUERIES | chain.QUERIES, queries.SQL | telemetry.SQL | chain.SQL
+QUERIES, SQL = queries.QUERIES | telemetry.QUERIES | chain.QUERIES | shifts.QUERIES, queries.SQL | telemetry.SQL | chain.SQL | shifts.SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
