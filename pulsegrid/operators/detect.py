@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -109,46 +109,58 @@ def episode_limits(points: DataFrame) -> DataFrame:
     return p90.crossJoin(span).select(gap.alias("gap_s"), F.greatest(F.floor(F.col("span") / 4), gap * 4).alias("span_cap_s"))  # one row each
 
 
-def marks_before(found: DataFrame, marks: DataFrame) -> DataFrame:
-    """``found`` with the numbers of its host's ``marks`` (host, ust) up to the onset and up to the end."""
-    own = [F.col(c) for c in found.columns]
-    looks = found.select("host", F.struct(*own).alias("d"), F.explode(F.array(F.struct(F.col("start_ust").alias("t"), F.lit(0).alias("end")), F.struct(F.col("end_ust").alias("t"), F.lit(1).alias("end")))).alias("x"))
-    looks = looks.select("host", "d", "x.t", "x.end", F.lit(0).alias("mark"))
-    both = looks.unionByName(marks.select("host", F.col("ust").alias("t"), F.lit(1).alias("mark")), allowMissingColumns=True)
-    past = Window.partitionBy("host").orderBy("t", F.col("mark").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumn("n", F.sum("mark").over(past)).where("mark = 0")
-    counted = counted.groupBy("host", "d").agg(F.max(F.when(F.col("end") == 0, F.col("n"))).alias("marks_on"), F.max(F.when(F.col("end") == 1, F.col("n"))).alias("marks_end"))
-    return counted.select("d.*", "marks_on", "marks_end")
+def marks_of_stretches(spans: DataFrame, marks: DataFrame) -> DataFrame:
+    """Marks that lie after the beginning of a host's stretch (host, stretch, lo, hi) and not after its end: by days, so few meet that don't belong together."""
+    day = lambda c: F.floor(F.col(c) / 86400)
+    days = spans.withColumn("day", F.explode(F.sequence(day("lo"), day("hi"))))
+    return days.join(marks.withColumn("day", day("ust")), ["host", "day"]).where("ust > lo and ust <= hi").drop("day", "lo", "hi")
 
 
 def episodes(found: DataFrame, gap_s: int, span_cap_s: int, marks: DataFrame | None = None) -> DataFrame:
     """Groups detections of a host by onset. A new episode begins where the next onset is later than ``gap_s`` after
 
-    the last one or ``span_cap_s`` after the episode's first, or where one of ``marks`` (host, ust: restarts
-    and other discontinuities) lies after the episode's first onset and not after the end of what it would
-    cover. Windows cut at gaps; cap and marks depend on where an episode began, so each stretch without a
-    gap is folded in order. ``episode`` counts within the host.
+    the last one or ``span_cap_s`` after the episode's first, or where one of ``marks`` lies after the episode's first
+    onset and not after the end of what it would cover. ``marks`` have host and ust; those that name a series (any of
+    activity, item, field not null) stand in the way only of episodes that hold it, or would then; others of all.
+    Stretches without a gap are told by a window over the host's detections; as cap, marks and series depend on where an
+    episode began, each stretch is folded in order, with the marks of its time. ``episode`` counts within the host.
     """
     keys = series_of(found)
     rest = [c for c in keys if c != "host"]
     order = Window.partitionBy("host").orderBy("start_ust", "end_ust", *rest)
     rows = found.select(*keys, "start_ust", "end_ust").distinct()
-    zero = F.lit(0).cast("long")
-    rows = marks_before(rows, marks) if marks is not None else rows.withColumns({"marks_on": zero, "marks_end": zero})
     cut = F.coalesce(F.col("start_ust") - F.lag("start_ust").over(order) > gap_s, F.lit(True))
     rows = rows.withColumn("stretch", F.sum(cut.cast("long")).over(order))
     kinds = dict(rows.dtypes)
+    if marks is None:
+        marks = found.sparkSession.createDataFrame([], "host string, ust long")
+    marks = marks.select("host", "ust", *(F.col(c) if c in marks.columns else F.lit(None).cast("string").alias(c) for c in rest))
+    spans = rows.groupBy("host", "stretch").agg(F.min("start_ust").alias("lo"), F.max("end_ust").alias("hi"))
+    own_marks = marks_of_stretches(spans, marks).select(F.col("host").alias("m_host"), F.col("stretch").alias("m_stretch"), "ust", *(F.col(c).alias(f"m_{c}") for c in rest))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
+    def fold(part: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["start_ust", "end_ust", *rest]).reset_index(drop=True)
-        first, seen, covered, fresh = None, 0, 0, []
-        for at, on, end in zip(part["start_ust"], part["marks_on"], part["marks_end"]):
-            fresh.append(first is None or at - first > span_cap_s or max(covered, end) > seen)
-            first, seen, covered = (at, on, end) if fresh[-1] else (first, seen, max(covered, end))
+        marks = marks.sort_values("ust")
+        times = marks["ust"].tolist()
+        # what a mark names of a series; nothing: every series
+        named = [{k: v for k, v in zip(rest, m) if v is not None and v == v} for m in zip(*(marks[f"m_{c}"].tolist() for c in rest))] if rest else [{}] * len(times)
+        first, covered, held, fresh = None, 0, [], []
+        for series, at, end in zip(zip(*(part[c].tolist() for c in rest)) if rest else [()] * len(part), part["start_ust"].tolist(), part["end_ust"].tolist()):
+            series = dict(zip(rest, series))
+            joins = first is not None and at - first <= span_cap_s
+            if joins:
+                between = named[bisect_right(times, first) : bisect_right(times, max(covered, end))]
+                joins = not any(all(s[k] == v for k, v in mark.items()) for mark in between for s in (*held, series))
+            if not joins:
+                first, covered, held = at, end, []
+            covered = max(covered, end)
+            if series not in held:
+                held.append(series)
+            fresh.append(not joins)
         return part[[*keys, "start_ust", "end_ust"]].assign(fresh=fresh)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", start_ust long, end_ust long, fresh boolean"
-    folded = rows.groupBy("host", "stretch").applyInPandas(fold, schema)
+    folded = rows.groupBy("host", "stretch").cogroup(own_marks.groupBy("m_host", "m_stretch")).applyInPandas(fold, schema)
     return folded.withColumn("episode", F.sum(F.col("fresh").cast("long")).over(order)).drop("fresh")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import catalog
+from pulsegrid.operators import catalog, detect, series
 from pulsegrid.plans import adapters as ad
 from pulsegrid.plans.telemetry import names_of, values_sql
 
@@ -141,3 +141,41 @@ BY_DESIGN = "('excluded_by_selection', 'no_fixed_condition_declared', 'no_deviat
   count(*) filter (reason is not null and reason not in {BY_DESIGN}) as blocked, count(*) filter (reason in {BY_DESIGN}) as by_design from statuses group by all""")
 def coverage_tally(spark, d):
     return catalog.coverage_tally(statuses(spark, d))
+
+
+#: Runs of these values; marks of the whole host and of one series.
+HIT = "(activity in ('QUEUE', 'NET_SOCK') and value >= 15) or (activity = 'DISK' and value >= 340)"
+SQL_EPISODES = f"""{SQL_LINED},
+hit as (select *, case when start_ust = lag(end_ust) over (partition by {KEYS} order by end_ust) then 0 else 1 end as fresh from known where field in ('runq_sz', 'await') and {HIT}),
+runs as (select *, sum(fresh) over (partition by {KEYS} order by end_ust) as g from hit),
+found as (select {KEYS}, min(start_ust) as start_ust, max(end_ust) as end_ust from runs group by {KEYS}, g),
+marks as (
+  select cast(i * {STEP} as bigint) as ust, cast(null as varchar) as activity from u where event_type = 'click' and i % 61 = 0
+  union all select cast(i * {STEP} as bigint), 'DISK' from u where event_type = 'click' and i % 7 = 0),
+steps as (select end_ust - start_ust as step, count(*) as n from points group by 1),
+p90 as (select min(step) as p from (select step, sum(n) over (order by step) as run, sum(n) over () as every from steps) where run * 10 >= every * 9),
+limits as (select least(p * 2, 1800) as gap, greatest((select max(end_ust) - min(start_ust) from points) // 4, least(p * 2, 1800) * 4) as cap from p90),
+d as (select *, row_number() over (order by start_ust, end_ust, activity, item, field) as n from found),
+e as (
+  select host, activity, item, field, start_ust, end_ust, n, start_ust as first, end_ust as covered, [activity] as held, 1 as episode from d where n = 1
+  union all
+  select d.host, d.activity, d.item, d.field, d.start_ust, d.end_ust, d.n, case when j.joins then e.first else d.start_ust end, case when j.joins then greatest(e.covered, d.end_ust) else d.end_ust end,
+    case when j.joins then list_append(e.held, d.activity) else [d.activity] end, e.episode + case when j.joins then 0 else 1 end
+  from e join d on d.n = e.n + 1, limits, lateral (
+    select d.start_ust - e.start_ust <= gap and d.start_ust - e.first <= cap and not exists (
+      select 1 from marks m where m.ust > e.first and m.ust <= greatest(e.covered, d.end_ust) and (m.activity is null or m.activity = d.activity or list_contains(e.held, m.activity))) as joins) j)"""
+
+
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("event_type").orderBy("event_id")
+    rows = ad.table(spark, d, "events").select("event_type", (F.row_number().over(order) - 1).cast("long").alias("i")).where("event_type = 'click'")
+    of = F.explode(F.expr("filter(array(case when i % 61 = 0 then '' end, case when i % 7 = 0 then 'DISK' end), x -> x is not null)"))
+    return rows.select(F.lit("h").alias("host"), (F.col("i") * STEP).alias("ust"), of.alias("activity")).withColumn("activity", F.nullif("activity", F.lit("")))
+
+
+@query(SQL_EPISODES.replace("with e as", "with recursive ev as", 1).replace("from e),", "from ev),", 1) + f" select {KEYS}, start_ust, end_ust, cast(episode as bigint) as episode from e")
+def episodes_with_marks(spark, d):
+    rows = lined(spark, d)
+    found = series.hit_runs(rows.where("field in ('runq_sz', 'await')"), F.expr(HIT))
+    limits = detect.episode_limits(rows).first()
+    return detect.episodes(found, limits["gap_s"], limits["span_cap_s"], marked(spark, d))
