@@ -28,7 +28,9 @@ def items(samples: DataFrame) -> DataFrame:
 
     A disk's key is its device number, that of named activities the name, and else its place.
     """
-    whole = ["host", "activity", "item", "item_index", "item_count", "segment", "sample_id", "ust", "uptime_cs"]
+    if "cut" not in samples.columns:
+        samples = samples.withColumn("cut", F.lit(None).cast("string"))
+    whole = ["host", "activity", "item", "item_index", "item_count", "segment", "sample_id", "ust", "uptime_cs", "cut"]
     rows = samples.repartition("host", "activity", "item").groupBy(*whole).agg(
         F.map_from_entries(F.collect_list(F.struct("field", F.col("raw").cast(D)))).alias("v"), F.map_from_entries(F.collect_list(F.struct("field", "bits"))).alias("bits")
     )
@@ -42,10 +44,10 @@ def matched(rows: DataFrame) -> DataFrame:
 
     Of several items with one key each name takes the first; a disk that from its own place on, and then from the
     first. ``broken``: first_sample of its host's activity, restart, item_replaced (not in the sample before, or
-    registered anew since), non_positive_elapsed.
+    registered anew since), non_positive_elapsed; or what the samples' own ``cut`` says (``hosts.merge_files``).
     """
     place = ["host", "activity", "key"]
-    sample = ["item_count", "segment", "sample_id", "ust", "uptime_cs"]
+    sample = ["item_count", "segment", "sample_id", "ust", "uptime_cs", "cut"]
     # maps can't be ordered, but their entries can; items of a sample differ in their places
     listed = rows.withColumns({"v": F.map_entries("v"), "bits": F.map_entries("bits")})
     grouped = listed.groupBy(*place, *sample).agg(F.array_sort(F.collect_list(F.struct("item_index", "item", "v", "bits"))).alias("own"))
@@ -64,8 +66,8 @@ def matched(rows: DataFrame) -> DataFrame:
     )
     anew = counters.reregistered(F.col("activity"), field_of("v"), field_of("p"))
     none = F.col("p").isNull()
-    broken = F.when(none & (F.col("sample_id") == F.col("least")), "first_sample").when(F.col("near") & (F.col("last_segment") != F.col("segment")), "restart").when(none | anew, "item_replaced")
-    elapsed = F.when(F.col("near") & (F.col("last_segment") == F.col("segment")), counters.native_interval_cs(F.col("uptime_cs"), F.col("last_uptime"))).otherwise(F.lit(0).cast("long"))
+    broken = F.when(none & (F.col("sample_id") == F.col("least")), "first_sample").when(F.col("cut").isNotNull(), F.col("cut")).when(F.col("near") & (F.col("last_segment") != F.col("segment")), "restart").when(none | anew, "item_replaced")
+    elapsed = F.when(F.col("near") & (F.col("last_segment") == F.col("segment")) & F.col("cut").isNull(), counters.native_interval_cs(F.col("uptime_cs"), F.col("last_uptime"))).otherwise(F.lit(0).cast("long"))
     rows = rows.withColumns({"broken": broken, "elapsed_cs": elapsed})
     rows = rows.withColumn("broken", F.coalesce("broken", F.when(F.col("elapsed_cs") <= 0, "non_positive_elapsed")))
     return rows.withColumns({"start_ust": F.when(F.col("near"), F.col("last_ust")).otherwise(F.col("ust")), "end_ust": F.col("ust")}).drop("least", "last_segment", "last_ust", "last_uptime", "near")
@@ -167,14 +169,14 @@ def wide(rows: DataFrame, fields: list[str]) -> DataFrame:
 def intervals(rows: DataFrame) -> DataFrame:
     """host, sample_id and what there is to say of the time since the host's sample before: start_ust, elapsed_cs, broken."""
     order = Window.partitionBy("host").orderBy("sample_id")
-    heads = rows.select("host", "sample_id", "segment", "ust", "uptime_cs").distinct()
+    heads = rows.select("host", "sample_id", "segment", "ust", "uptime_cs", "cut").distinct()
     last = F.lag(F.struct("sample_id", "segment", "ust", "uptime_cs")).over(order)
     heads = heads.withColumn("last", last)
-    same = (F.col("last.segment") == F.col("segment")) & (F.col("last.sample_id") == F.col("sample_id") - 1)
+    same = (F.col("last.segment") == F.col("segment")) & (F.col("last.sample_id") == F.col("sample_id") - 1) & F.col("cut").isNull()
     elapsed = F.when(same, counters.native_interval_cs(F.col("uptime_cs"), F.col("last.uptime_cs"))).otherwise(F.lit(0).cast("long"))
-    broken = F.when(F.col("last").isNull(), "first_sample").when(F.col("last.segment") != F.col("segment"), "restart").when(~same, "item_replaced")
+    broken = F.when(F.col("last").isNull(), "first_sample").when(F.col("cut").isNotNull(), F.col("cut")).when(F.col("last.segment") != F.col("segment"), "restart").when(~same, "item_replaced")
     heads = heads.withColumns({"elapsed_cs": elapsed, "broken": broken, "start_ust": F.coalesce("last.ust", "ust"), "end_ust": F.col("ust")})
-    return heads.withColumn("broken", F.coalesce("broken", F.when(F.col("elapsed_cs") <= 0, "non_positive_elapsed"))).drop("last", "ust", "uptime_cs")
+    return heads.withColumn("broken", F.coalesce("broken", F.when(F.col("elapsed_cs") <= 0, "non_positive_elapsed"))).drop("last", "ust", "uptime_cs", "cut")
 
 
 def processor_points(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import hosts
 from pulsegrid.operators import points as pt
 from pulsegrid.plans import adapters as ad
 
@@ -258,3 +259,58 @@ select item, cast(sample_id as bigint) as sample_id, start_ust, end_ust, unnest(
 def processor_columns(spark, d):
     rows = pt.points(processor_samples(spark, d)).where(F.col("field").isin("user", "idle"))
     return rows.select("item", "sample_id", "start_ust", "end_ust", "field", "value", "reason")
+
+
+DAY = 86400
+
+
+def files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Hours of events as samples of one host's files, one for each day, and a row per sample of what the files say of it.
+
+    Days of another layout and release, a restart record at six of every fifth day, and a clock that starts anew every nine days.
+    """
+    rows = samples(spark, d).where("activity in ('PAGE', 'QUEUE')").drop("segment", "sample_id", "uptime_cs")
+    day = F.floor(F.col("ust") / DAY).cast("long")
+    rows = rows.withColumns({"day": day, "path": F.concat(F.lit("sa"), day.cast("string"))})
+    heads = rows.select("path", "day", "ust").distinct()
+    number = F.row_number().over(Window.partitionBy("path").orderBy("ust")) - 1
+    cpus, release = F.when(F.col("day") % 23 == 0, 4).otherwise(8), F.lit("6.1")
+    heads = heads.withColumns({"number": number.cast("long"), "restarts": ((F.col("day") % 5 == 0) & (F.col("ust") % DAY >= 6 * 3600)).cast("int")})
+    heads = heads.withColumns({"uptime_cs": ((F.col("ust") % (9 * DAY)) + 60) * 100, "layout": F.when(F.col("day") % 7 == 0, "a").otherwise("b"), "nodename": F.lit("h"), "sysname": F.lit("s"), "machine": F.lit("m"), "release": release, "cpus": cpus})
+    values = rows.join(heads.select("path", "ust", F.col("number").alias("sample_id"), F.col("restarts").cast("long").alias("segment"), F.col("uptime_cs").cast("decimal(20,0)").alias("uptime_cs")), ["path", "ust"])
+    return values.drop("day"), heads.withColumnRenamed("path", "file").drop("day")
+
+
+def merged_sql(carry: bool) -> str:
+    broken_file = "false" if carry else "day <> day_b"
+    return SQL_BASE + f""",
+v as (select start_ust as ust, start_ust // {DAY} as day, n, cents from one),
+heads as (select *, case when day % 5 = 0 and ust % {DAY} >= 21600 then 1 else 0 end as restarts, (ust % {9 * DAY} + 60) * 100 as up, day % 7 = 0 as layout, case when day % 23 = 0 then 4 else 8 end as cpus from v),
+b as (
+  select *, lag(ust) over w as ust_b, lag(day) over w as day_b, lag(restarts) over w as restarts_b, lag(up) over w as up_b, lag(layout) over w as layout_b, lag(cpus) over w as cpus_b, lag(cents) over w as cents_b,
+    lag(n) over w as n_b, row_number() over w - 1 as id from heads window w as (order by ust)),
+d as (
+  select *, case when ust_b is null then 'first' when restarts > case when day = day_b then restarts_b else 0 end then 'restart' when cpus <> cpus_b then 'restart' when layout <> layout_b then 'layout_changed'
+    when abs((ust - up // 100) - (ust_b - up_b // 100)) > 5 then 'restart' when up < up_b then 'file_boundary_unverified' when up - up_b > 720000 then 'file_boundary_unverified' when {broken_file} then 'file_boundary_unverified' end as cut from b),
+e as (select *, sum(case when cut = 'restart' then 1 else 0 end) over (order by ust) as segment from d),
+f as (select *, case when cut = 'first' then 'first_sample' else cut end as broken, case when cut is null then up - up_b else 0 end as elapsed from e),
+out_ as (
+  select 'PAGE' as activity, 'fault' as field, cents as now, cents_b as before, * from f union all select 'PAGE', 'majflt', n, n_b, * from f)
+select activity, field, cast(segment as bigint) as segment, cast(id as bigint) as sample_id, coalesce(ust_b, ust) as start_ust, ust as end_ust, cast(elapsed as bigint) as elapsed_cs,
+  case when broken is null and now >= before then cast(now - before as double) / cast(elapsed as double) * 100 end as value, coalesce(broken, case when now < before then 'ambiguous_decrease' end) as reason from out_
+union all select 'QUEUE', unnest(['runq_sz', 'ldavg_1']), cast(segment as bigint), cast(id as bigint), coalesce(ust_b, ust), ust, cast(elapsed as bigint), unnest([cast(n as double), cast(cents as double) / 100]), null from f"""
+
+
+def merged_points(spark: SparkSession, d: str, carry: bool) -> DataFrame:
+    values, heads = files(spark, d)
+    return pt.points(hosts.merge_files(values, heads, carry)).drop("host", "item")
+
+
+@query(merged_sql(True))
+def merged_files(spark, d):
+    return merged_points(spark, d, True)
+
+
+@query(merged_sql(False))
+def merged_files_without_carry(spark, d):
+    return merged_points(spark, d, False)
