@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.partenum_join import BLOCK, compare_families, dealt_in_parts, folded, is_similar, parity_bits, set_class, shared_counts
 from pulsegrid.llm.row_keys import with_rows
-from pulsegrid.llm.scratch import stored
+from pulsegrid.llm.scratch import stored, trimmed
 from pulsegrid.llm.substring_dedup import as_batch, split
 from pulsegrid.llm.word_hashes import WEIGHTS, hash_words, mix, pieces
 
@@ -395,7 +395,7 @@ def repeated_lines(rows: DataFrame, percent: int, least_words: int = 1, large: i
     levels = spark.sparkContext.broadcast(count_words(rows.select("text")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    met = rows.select("doc", "row", "text").mapInArrow(send_words(levels, percent, max(1, least_words), buckets), SENT).groupBy("bucket").applyInArrow(meet_words(percent, large), MET)
+    met = rows.select("doc", "row", "text").mapInArrow(trimmed(send_words(levels, percent, max(1, least_words), buckets)), SENT).groupBy("bucket").applyInArrow(trimmed(meet_words(percent, large)), MET)
     met = stored(met, "met")
     lines = met.where("group is null").select("doc", "row", "line", "class")
     firsts = stored(lines.groupBy("class").agg(F.min(F.struct("doc", "row", "line")).alias("at"), F.count("*").alias("n")), "firsts")
@@ -404,7 +404,7 @@ def repeated_lines(rows: DataFrame, percent: int, least_words: int = 1, large: i
     if not too_large.isEmpty():
         parts = dealt_in_parts(too_large.select("group", "class", "size", "place", "pattern"), block).withColumn("part", F.col("part").cast("long"))
         parts = parts.select("group", "part", "class", "size", "place", "pattern").repartition("group", "part").sortWithinPartitions("group", "part")
-        members = members.union(parts.mapInArrow(groups_of_parts(percent), "group long, class long"))
+        members = members.union(parts.mapInArrow(trimmed(groups_of_parts(percent)), "group long, class long"))
     members = stored(members.distinct().join(firsts.select("class", "at"), "class"), "members")
 
     # each class goes to the family of the earliest of the groups' earliest lines
@@ -421,12 +421,12 @@ def repeated_lines(rows: DataFrame, percent: int, least_words: int = 1, large: i
     wanted = wanted.groupBy("doc", "row").agg(F.collect_list("w").alias("wanted"))  # of one document
     # repeated rows have one text, so one of them is enough
     sources = rows.select("doc", "row", "text").join(wanted.hint("merge"), ["doc", "row"])
-    sets = sources.mapInArrow(sets_of_lines(levels), "class long, doc long, row long, line long, places array<struct<family:long,part:int>>, features binary, bits binary, size long")
+    sets = sources.mapInArrow(trimmed(sets_of_lines(levels)), "class long, doc long, row long, line long, places array<struct<family:long,part:int>>, features binary, bits binary, size long")
     sets = stored(sets, "sets")
     dealt = sets.select("class", "doc", "row", "line", "features", F.explode("places").alias("p")).select("p.family", "p.part", "doc", "row", "line", "class", "features")
     dealt = dealt.repartition("family", "part").sortWithinPartitions("family", "part", "doc", "row", "line", "class")
     # repeated rows give a class several times; its link with itself says nothing
-    decided = stored(dealt.mapInArrow(compare_families(percent), "a long, b long").where("a <> b").select(F.col("b").alias("class")).distinct(), "decided")
+    decided = stored(dealt.mapInArrow(trimmed(compare_families(percent)), "a long, b long").where("a <> b").select(F.col("b").alias("class")).distinct(), "decided")
 
     # classes not decided yet against every earlier class of their groups; a group of such a class and its hub says nothing new
     undecided = chosen.select("class", F.col("head.class").alias("hub")).join(decided, "class", "left_anti")
@@ -438,9 +438,9 @@ def repeated_lines(rows: DataFrame, percent: int, least_words: int = 1, large: i
     parts = dealt_in_parts(open_, block).join(marks, "class").select("group", F.col("part").cast("long").alias("part"), "at", "class", "done", "bits", "size")
     parts = parts.repartition("group", "part").sortWithinPartitions("group", "part", "at")
     kind = "group long, part long, at struct<doc:long,row:long,line:long>, class long, done boolean"
-    parts = stored(parts.mapInArrow(possible_with_earlier(percent), kind), "possible")
+    parts = stored(parts.mapInArrow(trimmed(possible_with_earlier(percent)), kind), "possible")
     parts = parts.join(features, "class").select("group", "part", "at", "class", "done", "features")
-    more = parts.repartition("group", "part").sortWithinPartitions("group", "part", "at").mapInArrow(compare_with_earlier(percent), "class long")
+    more = parts.repartition("group", "part").sortWithinPartitions("group", "part", "at").mapInArrow(trimmed(compare_with_earlier(percent)), "class long")
     gone = stored(decided.union(more).distinct().withColumn("gone", F.lit(True)), "gone")
 
     verdicts = firsts.join(gone, "class", "left").where("n > 1 or gone").select("class", "at", F.coalesce("gone", F.lit(False)).alias("gone"))

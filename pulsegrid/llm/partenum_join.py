@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.components import connected_components
 from pulsegrid.llm.row_keys import NO_ID, with_rows
-from pulsegrid.llm.scratch import stored
+from pulsegrid.llm.scratch import stored, trimmed
 from pulsegrid.llm.substring_dedup import as_batch, pmod, split
 from pulsegrid.llm.word_hashes import WEIGHTS, hash_words, mix, pieces, sequences
 
@@ -318,19 +318,28 @@ def possible_pairs(members: list[tuple[int, int, int, bytes]], percent: int, spa
 
 
 def compare_groups(percent: int, spanning: bool):
-    """Pairs that may be similar, from rows (group, part, class, component, size, bits) sorted by group and part; a part is held in memory."""
+    """Pairs (group, a, b) that may be similar, from rows (group, part, class, component, size, bits) sorted by group and part; a part is held in memory.
+
+    With ``spanning`` only as many as join what a part's pairs may join: some pair of each part that has any.
+    """
+
+    def own(key: tuple | None, members: list) -> list[tuple[int, int, int]]:
+        return [(key[0], *pair) for pair in possible_pairs(members, percent, spanning)] if len(members) > 1 else []
+
+    def sent(links: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in range(3)], ["group", "a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
         for batch in batches:
-            links: list[tuple[int, int]] = []
-            for group, part, *own in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "class", "component", "size", "bits"))):
+            links: list[tuple[int, int, int]] = []
+            for group, part, *member in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "class", "component", "size", "bits"))):
                 if key != (group, part):
-                    links += possible_pairs(members, percent, spanning) if len(members) > 1 else []
+                    links += own(key, members)
                     key, members = (group, part), []
-                members.append(tuple(own))
-            yield links_of(links)
-        yield links_of(possible_pairs(members, percent, spanning) if len(members) > 1 else [])
+                members.append(tuple(member))
+            yield sent(links)
+        yield sent(own(key, members))
 
     return compare
 
@@ -375,8 +384,8 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
     rows = rows.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    met = rows.mapInArrow(send_signatures(scheme, words, buckets), SENT).groupBy("bucket").applyInArrow(meet, "doc long, row long, size long, class long, group long, hub long")
-    met = stored(met, "met")
+    met = rows.mapInArrow(trimmed(send_signatures(scheme, words, buckets)), SENT).groupBy("bucket").applyInArrow(trimmed(meet), "doc long, row long, size long, class long, group long, hub long")
+    met = stored(met, "met", compression="zstd")
     of_docs = met.where("group is null").select("doc", "row", "size", "class")
     members = met.where("group is not null").select("group", "class", "hub")
 
@@ -407,11 +416,11 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
             yield pa.RecordBatch.from_arrays([batch.column("class").take(meant), batch.column("places").take(meant), features, bits], ["class", "places", "features", "bits"])
 
     sets = rows.join(places.hint("merge"), ["doc", "row"]).select("class", "places", "text")
-    sets = sets.mapInArrow(features_of, "class long, places array<struct<family:long,part:int,rank:int>>, features binary, bits binary")
-    sets = stored(sets, "sets")
+    sets = sets.mapInArrow(trimmed(features_of), "class long, places array<struct<family:long,part:int,rank:int>>, features binary, bits binary")
+    sets = stored(sets, "sets", compression="zstd")
     dealt = sets.select("class", "features", F.explode("places").alias("p")).select("p.family", "p.part", "p.rank", "class", "features")
     dealt = dealt.repartition("family", "part").sortWithinPartitions("family", "part", "rank", "class")
-    links = stored(dealt.mapInArrow(compare_families(percent), "a long, b long"), "links")
+    links = stored(dealt.mapInArrow(trimmed(compare_families(percent)), "a long, b long"), "links")
 
     # classes that share a signature and are not joined yet: first as few pairs as may join them, then all that are left
     groups = members.select("group", "class").distinct()
@@ -420,16 +429,18 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
     joined = connected_components(links)
     for spanning in (True, False):
         met_in = groups.join(joined.withColumnRenamed("node", "class"), "class", "left")
-        met_in = stored(met_in.select("group", "class", F.coalesce("component", "class").alias("component")), "met-in")
+        met_in = stored(met_in.select("group", "class", F.coalesce("component", "class").alias("component")), "met-in", compression="zstd")
         mixed = met_in.groupBy("group").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("group")
-        open_ = stored(met_in.join(mixed, "group", "left_semi"), "open")
+        open_ = stored(met_in.join(mixed, "group", "left_semi"), "open", compression="zstd")
         parts = dealt_in_parts(open_, BLOCK).join(bits, "class").select("group", "part", "class", "component", "size", "bits")
         parts = parts.repartition("group", "part").sortWithinPartitions("group", "part", "class")
-        pairs = parts.mapInArrow(compare_groups(percent, spanning), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(pairs.distinct(), "pairs")
+        of_groups = stored(parts.mapInArrow(trimmed(compare_groups(percent, spanning)), "group long, a long, b long"), "pairs")
+        # a group that gives none now has none that a bit pattern doesn't rule out
+        groups = groups.join(of_groups.select("group").distinct(), "group", "left_semi")
+        pairs = of_groups.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.join(features.select(F.col("class").alias("a"), F.col("features").alias("of_a")), "a")
         pairs = pairs.join(features.select(F.col("class").alias("b"), F.col("features").alias("of_b")), "b")
-        more = stored(pairs.mapInArrow(compare_pairs(percent), "a long, b long"), "more-links")
+        more = stored(pairs.mapInArrow(trimmed(compare_pairs(percent)), "a long, b long"), "more-links")
         if not more.isEmpty():
             links = links.union(more)
             joined = connected_components(links)
