@@ -122,3 +122,42 @@ def overlaps_daily_window(spans: DataFrame, start_s: int, end_s: int, zone: str)
     opens = F.when(shows(opens - 3600, start_s, F.col("__day")), opens - 3600).otherwise(opens)
     closes = F.when(shows(closes + 3600, end_s, end_day), closes + 3600).otherwise(closes)
     return rows.where((F.col("start_ust") <= closes) & (F.col("end_ust") >= opens)).select(*own).distinct()
+
+
+#: Seconds by which clocks are changed; the same clock time may come again so much later.
+CLOCK_CHANGES = [0, 3600, -3600, 1800, -1800]
+
+
+def zoned_window(points: DataFrame, start_s: int, end_s: int, zone: str) -> DataFrame:
+    """Points of a daily window of a zone's own clock, seconds of the day from ``start_s`` to ``end_s``, both included.
+
+    ``admitted`` is emit where a point begins and ends in the window without leaving it between, and reference where
+    it only ends in it: the sample with which the window is entered counts as a start and gives no value. Others are
+    left out. An end before the start crosses midnight; a window of the whole day leaves nothing out. Whether a
+    point leaves the window is told by the instants, on the local days that it touches, at which the clock shows the first second
+    after the window or the last before it: none where the clock jumps over it, two where it comes again. No row meets another.
+    """
+    clock = lambda t: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(t), zone))
+    within = lambda t: in_clock(F.pmod(clock(t), F.lit(86400)), start_s, end_s)
+    start, end = F.col("start_ust"), F.col("end_ust")
+    if (end_s - start_s) % 86400 == 86399:
+        return points.withColumn("admitted", F.lit("emit"))
+    outside = [(end_s + 1) % 86400, (start_s - 1) % 86400]
+    days = F.sequence(F.floor(F.least(clock(start), clock(end)) / 86400) - 1, F.floor(F.greatest(clock(start), clock(end)) / 86400) + 1)
+
+    def shown(day: Column) -> Column:
+        found = F.lit(False)
+        for second in outside:
+            local = day * 86400 + second
+            instant = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), zone))
+            for change in CLOCK_CHANGES:
+                t = instant + change
+                found = found | ((t >= start) & (t <= end) & (clock(t) == local))
+        return found
+
+    inside = within(start) & within(end) & ~F.exists(days, shown)
+    return points.where(within(end)).withColumn("admitted", F.when(inside, "emit").otherwise("reference"))
+
+
+def in_clock(second: Column, start_s: int, end_s: int) -> Column:
+    return second.between(start_s, end_s) if start_s <= end_s else (second >= start_s) | (second <= end_s)

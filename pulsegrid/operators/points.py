@@ -206,6 +206,23 @@ def processor_points(rows: DataFrame) -> DataFrame:
     return out.unionByName(start).withColumn("activity", F.lit("CPU")).select(*POINTS)
 
 
+def frequency_points(rows: DataFrame) -> DataFrame:
+    """``weighted_mhz`` of each processor from ``matched`` slots of frequencies: the mean of whole MHz, weighed by the time spent at each.
+
+    A processor's slots are folded up to the first one without a frequency; without any time the mean is 0.
+    """
+    name = F.split("item", "/")
+    spent = F.pmod(field_of("v")("time_in_state") - F.coalesce(F.try_element_at("p", F.lit("time_in_state")), F.lit(0).cast(D)), counters.modulus(F.lit(64)))
+    slot = F.struct(F.element_at(name, 2).cast("int").alias("slot"), F.floor(field_of("v")("freq_khz") / 1000).cast(D).alias("mhz"), field_of("v")("freq_khz").alias("khz"), spent.alias("spent"))
+    whole = ["host", "activity", "segment", "sample_id", "start_ust", "end_ust", "elapsed_cs"]
+    rows = rows.groupBy(*whole, F.element_at(name, 1).alias("item")).agg(F.array_sort(F.collect_list(slot)).alias("slots"), F.min("broken").alias("broken"))
+    used = F.filter("slots", lambda s, i: ~F.exists(F.slice("slots", 1, i + 1), lambda t: t["khz"] == 0))
+    total = lambda of: F.aggregate(used, F.lit(0).cast(D), lambda sum_, s: (sum_ + of(s)).cast(D))
+    value = F.coalesce(F.try_divide(total(lambda s: s["mhz"] * s["spent"]).cast("double"), total(lambda s: s["spent"]).cast("double")), F.lit(0.0))
+    reason = F.when(F.col("broken") != "non_positive_elapsed", F.col("broken"))
+    return rows.withColumns({"field": F.lit("weighted_mhz"), "value": F.when(reason.isNull(), value), "reason": reason}).select(*POINTS)
+
+
 def points(samples: DataFrame) -> DataFrame:
     """Points (host, activity, item, field, segment, sample_id, start_ust, end_ust, elapsed_cs, value, reason) of samples.
 
@@ -215,4 +232,5 @@ def points(samples: DataFrame) -> DataFrame:
     and sensors. No row is left out: where there is no value ``reason`` says why.
     """
     others = matched(items(samples.where("activity <> 'CPU'")))
-    return columns(others).unionByName(processor_points(items(samples.where("activity = 'CPU'"))))
+    slots = matched(items(samples.where("activity = 'PWR_FREQ'")))
+    return columns(others).unionByName(frequency_points(slots)).unionByName(processor_points(items(samples.where("activity = 'CPU'"))))

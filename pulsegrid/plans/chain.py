@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import hosts
+from pulsegrid.operators import filters, hosts
 from pulsegrid.operators import points as pt
 from pulsegrid.plans import adapters as ad
 
@@ -314,3 +314,68 @@ def merged_files(spark, d):
 @query(merged_sql(False))
 def merged_files_without_carry(spark, d):
     return merged_points(spark, d, False)
+
+
+ZONE, OPENS, CLOSES = "Europe/Berlin", 2 * 3600 + 1800, 2 * 3600 + 1200
+#: The hours of events, moved to times in which the zone's clock goes forward, and back.
+MOVED = (5_000_400, 24_001_200)
+
+
+def zoned_points(spark: SparkSession, d: str) -> DataFrame:
+    moved = ad.gauge(spark, d).withColumn("by", F.explode(F.array(*(F.lit(m) for m in MOVED))))
+    return moved.withColumns({"start_ust": F.col("start_ust") + F.col("by"), "end_ust": F.col("end_ust") + F.col("by")}).drop("by")
+
+
+ZONED_SQL = (
+    "with "
+    + ad.SQL_GAUGE
+    + f""",
+moved as (select host, item, start_ust + plus as start_ust, end_ust + plus as end_ust, value from points, (values {", ".join(f"({m})" for m in MOVED)}) as q(plus)),
+-- summer time is from 31 March to 27 October 2024, each at one o'clock UTC
+told as (select *, (start_ust + case when start_ust >= 1711846800 and start_ust < 1729990800 then 7200 else 3600 end) % 86400 as a, (end_ust + case when end_ust >= 1711846800 and end_ust < 1729990800 then 7200 else 3600 end) % 86400 as b from moved),
+entered as (select *, a >= {OPENS} or a <= {CLOSES} as starts from told where b >= {OPENS} or b <= {CLOSES}),
+seconds as (select distinct start_ust, end_ust, unnest(range(start_ust, end_ust + 1)) as t from (select distinct start_ust, end_ust from entered where starts)),
+leaves as (select distinct start_ust from seconds where (t + case when t >= 1711846800 and t < 1729990800 then 7200 else 3600 end) % 86400 in ({CLOSES + 1}, {OPENS - 1})),
+out_ as (select e.*, case when starts and l.start_ust is null then 'emit' else 'reference' end as admitted from entered e left join leaves l using (start_ust))"""
+)
+
+
+@query(ZONED_SQL + " select host, item, start_ust, end_ust, value, admitted from out_")
+def zoned_daily_window(spark, d):
+    return filters.zoned_window(zoned_points(spark, d), OPENS, CLOSES, ZONE).select("host", "item", "start_ust", "end_ust", "value", "admitted")
+
+
+SLOTS = ["click", "error", "purchase", "signup", "view"]
+
+
+def slot_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Time that two processors spend at each of five frequencies: events of even and odd users so far; now and then a slot without a frequency comes before others."""
+    ust = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = ad.table(spark, d, "events").select((F.floor(ust / ad.HOUR) * ad.HOUR).cast("long").alias("ust"), (F.col("user_id") % 2).cast("int").alias("c"), (F.array_position(F.array(*(F.lit(s) for s in SLOTS)), F.col("event_type")) - 1).cast("int").alias("k"))
+    ids = rows.select("ust").distinct().withColumn("sample_id", (F.row_number().over(Window.orderBy("ust")) - 1).cast("long"))
+    cells = ids.select("ust", "sample_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("c")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    counts = rows.groupBy("ust", "c", "k").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("c", "k").orderBy("ust").rowsBetween(Window.unboundedPreceding, 0)
+    rows = cells.join(counts, ["ust", "c", "k"], "left").fillna(0, ["n"])
+    frequency = F.when((F.col("sample_id") + F.col("k")) % 7 == 0, 0).otherwise(800000 + F.col("k") * 400000 + F.col("sample_id") % 3 * 500)
+    rows = rows.withColumns({"time_in_state": F.sum("n").over(so_far), "freq_khz": frequency})
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("decimal(20,0)").alias("raw")) for f in ("time_in_state", "freq_khz"))))
+    item = F.concat(F.when(F.col("c") == 0, "all").otherwise("cpu0"), F.lit("/"), F.col("k").cast("string"))
+    rows = rows.select("ust", "sample_id", item.alias("item"), (F.col("c") * 5 + F.col("k")).alias("item_index"), each.alias("x"))
+    return rows.select(
+        F.lit("h").alias("host"), F.lit(0).cast("long").alias("segment"), "sample_id", "ust", (F.col("ust") * 100).cast("decimal(20,0)").alias("uptime_cs"), F.lit("PWR_FREQ").alias("activity"), "item",
+        "x.field", "x.raw", F.lit(64).alias("bits"), "item_index", F.lit(10).alias("item_count"),
+    )
+
+
+@query(f"""with e as (select cast(floor(epoch(ts) / 3600) as bigint) * 3600 as ust, user_id % 2 as c, list_position({SLOTS!r}, event_type) - 1 as k from events),
+ids as (select ust, row_number() over (order by ust) - 1 as sample_id from (select distinct ust from e)),
+counts as (select ust, c, k, count(*) as n from e group by all),
+cells as (select i.*, c, k, coalesce(n, 0) as n from ids i cross join (values (0), (1)) as p(c) cross join (values (0), (1), (2), (3), (4)) as q(k) left join counts using (ust, c, k)),
+slots as (select *, case when (sample_id + k) % 7 = 0 then 0 else 800000 + k * 400000 + sample_id % 3 * 500 end as freq from cells),
+ended as (select sample_id, c, coalesce(min(k) filter (freq = 0), 5) as stop from slots group by 1, 2)
+select case when c = 0 then 'all' else 'cpu0' end as item, cast(sample_id as bigint) as sample_id, case when sample_id > 0 then coalesce(cast(sum(freq // 1000 * n) filter (k < stop) as double) / nullif(sum(n) filter (k < stop), 0), 0.0) end as value,
+  case when sample_id = 0 then 'first_sample' end as reason
+from slots join ended using (sample_id, c) group by c, sample_id""")
+def weighted_mhz_of_slots(spark, d):
+    return pt.points(slot_samples(spark, d)).where("field = 'weighted_mhz'").select("item", "sample_id", "value", "reason")

@@ -589,3 +589,26 @@ def discontinuity_marks(spark, d):
     rows = hosts.boundaries(file_samples(spark, d), carry_across_files=False)
     points = rows.select(F.col("nodename").alias("host"), F.col("ust").alias("end_ust"), F.col("decision").alias("reason"))
     return series.marks(points.union(points)).where("reason = 'layout_changed'")
+
+
+def split_metrics(spark, d):
+    """The metrics, hosts started anew one after the other on the twentieth day; one host has no swap activity."""
+    rows = metrics(spark, d).where("not (host = 'h2' and activity = 'SWAP')")
+    return rows.withColumn("segment", (F.col("start_ust") >= 1705795200 + F.col("host").substr(2, 1).cast("int") * 90000).cast("long"))
+
+
+@query(M + """, m as (select * exclude (segment), case when start_ust >= 1705795200 + cast(host[2] as int) * 90000 then 1 else 0 end as segment from metrics where not (host = 'h2' and activity = 'SWAP')),
+sizes as (select host, segment, count(distinct end_ust) as samples from m group by 1, 2),
+best as (select host, segment from sizes qualify row_number() over (partition by host order by samples desc, segment desc) = 1),
+chosen as (select m.* from m join best using (host, segment)),
+spans as (select host, min(start_ust) as lo, max(end_ust) as hi from chosen group by 1),
+win as (select max(lo) as ws, min(hi) as we from spans),
+inputs as (select host, field, (start_ust - ws) // 21600 as bucket, avg(value) as value from chosen, win
+  where start_ust >= ws and end_ust <= we and ws < we and value is not null and item in ('all', '-') and field in ('idle', 'iowait', 'steal', 'kbavail', 'kbmemtotal', 'kbswpfree', 'kbswptotal', 'pswpin', 'pswpout', 'runq_sz', 'blocked') group by 1, 2, 3),
+means as (select field, host, avg(value) as mean, count(*) as buckets from inputs group by 1, 2),
+every as (select f.field, h.host, mean, coalesce(buckets, 0) as buckets from (select distinct field from means) f cross join (select distinct host from chosen) h left join means using (field, host)),
+lacks as (select field, list_sort(list(host) filter (buckets = 0)) as missing from every group by 1)
+select field as item, host, case when missing is null then round(mean, 6) end as mean, buckets, coalesce(array_to_string(missing, ','), '') as missing from every join lacks using (field)""")
+def compare_hosts(spark, d):
+    found = hosts.compare_hosts(split_metrics(spark, d), 21600)
+    return found.withColumns({"mean": F.round("mean", 6), "missing": F.array_join("missing", ",")})
