@@ -199,6 +199,31 @@ def integer_mean(points: DataFrame, value: str) -> DataFrame:
     return points.groupBy(*series_of(points)).agg((F.signum(total) * F.floor(F.abs(total) / n)).cast("long").alias("mean"))
 
 
+def carried_counts(activities: DataFrame) -> DataFrame:
+    """``denominator`` of the mean values of each activity that printed rows: host, activity, position (in the report), samples, rows.
+
+    A report counts the samples of each activity and begins anew only where it has printed an average: the count of
+    an activity that printed no row stays and adds to that of the next one that does.
+    """
+    order = Window.partitionBy("host").orderBy("position")
+    block = F.coalesce(F.count_if(F.col("rows") > 0).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = activities.withColumn("__block", block)
+    so_far = Window.partitionBy("host", "__block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("denominator", F.sum("samples").over(so_far)).where("rows > 0").drop("__block")
+
+
+def average_rows(points: DataFrame, counted: DataFrame) -> DataFrame:
+    """Mean of each gauge of ``points`` over the samples that its report counted: not those of the item, but all of its activity,
+
+    and what was left over before. ``counted``: the activities of a host's report (host, activity, position, samples).
+    """
+    sums = points.where(F.col("value").isNotNull()).groupBy(*series_of(points)).agg(F.sum("value").alias("total"), F.count("*").alias("observed"))
+    rows = sums.groupBy("host", "activity").agg(F.sum("observed").alias("rows"))
+    known = carried_counts(counted.join(rows, ["host", "activity"], "left").withColumn("rows", F.coalesce("rows", F.lit(0))))
+    means = sums.join(known.select("host", "activity", "denominator"), ["host", "activity"])
+    return means.select(*series_of(points), "observed", "denominator", F.try_divide(F.col("total"), F.col("denominator").cast("double")).alias("average"))
+
+
 #: Reasons that concern every series of a host.
 WHOLE_HOST = ["restart", "file_boundary_unverified", "layout_changed"]
 

@@ -432,13 +432,15 @@ def merged_segments(spark, d):
 IDENTITY_SQL = "case when a.n_name <> b.n_name then 'different' when a.n_regionkey <> b.n_regionkey or a.k % 2 <> b.k % 2 then 'ambiguous' when a.k % 3 <> b.k % 3 or a.k % 5 <> b.k % 5 then 'likely_same_machine' else 'identical' end"
 
 
-@query(f"with n as (select 'n' || cast(n_nationkey % 2 as varchar) as n_name, n_regionkey, n_nationkey as k from nation) select a.k as a, b.k as b, {IDENTITY_SQL} as verdict from n a join n b on a.k % 5 = b.k % 5 or a.k = b.k + 1")
+@query(f"with n as (select 'n' || cast(n_nationkey % 2 as varchar) as n_name, n_regionkey, n_nationkey as k from nation) select a.k as a, b.k as b, {IDENTITY_SQL} as verdict from n a join n b on a.k % 5 = b.k % 5 union select a.k, b.k, {IDENTITY_SQL} from n a join n b on a.k = b.k + 1")
 def identity_of_hosts(spark, d):
-    rows = table(spark, d, "nation").select(F.concat(F.lit("n"), (F.col("n_nationkey") % 2).cast("string")).alias("nodename"), F.col("n_regionkey").alias("sysname"), (F.col("n_nationkey") % 2).alias("machine"), (F.col("n_nationkey") % 3).alias("release"), (F.col("n_nationkey") % 5).alias("cpus"), F.col("n_nationkey").alias("k"))
+    k = F.col("n_nationkey")
+    rows = table(spark, d, "nation").select(F.concat(F.lit("n"), (k % 2).cast("string")).alias("nodename"), F.col("n_regionkey").alias("sysname"), (k % 2).alias("machine"), (k % 3).alias("release"), (k % 5).alias("cpus"), k.alias("k"))
     a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.k") % 5 == F.col("b.k") % 5) | (F.col("a.k") == F.col("b.k") + 1))
     of = lambda x: {c: F.col(f"{x}.{c}") for c in ("nodename", "sysname", "machine", "release", "cpus")}
-    return pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), hosts.identity(of("a"), of("b")).alias("verdict"))
+    told = lambda pairs: pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), hosts.identity(of("a"), of("b")).alias("verdict"))
+    # two joins on equal values: one on either condition would compare all rows with all
+    return told(a.join(b, F.col("a.k") % 5 == F.col("b.k") % 5)).union(told(a.join(b, F.col("a.k") == F.col("b.k") + 1))).distinct()
 
 
 @query(M + ", s as (select host, end_ust // 432000 as segment, count(distinct end_ust) as samples from metrics group by 1, 2) select host, segment, samples from s qualify row_number() over (partition by host order by samples desc, segment desc) = 1")
@@ -522,14 +524,14 @@ def text_functions(spark, d):
 # --- sinks
 
 
-@query(M + " select host as hostname, cast(null as varchar) as source, segment as boot, start_ust as start_epoch, end_ust as end_epoch, elapsed_cs, true as continuous, activity, item, cast(null as varchar) as item_index, cast(null as varchar) as space, field as metric, cast(null as varchar) as unit, cast(null as varchar) as kind, value, cast(null as varchar) as raw, cast(null as varchar) as text, cast(null as varchar) as cpu, 'ok' as quality from metrics")
+@query(M + " select host as hostname, cast(null as varchar) as source, segment as boot, start_ust as start_epoch, end_ust as end_epoch, elapsed_cs, true as continuous, activity, item, cast(null as varchar) as item_index, cast(null as varchar) as space, field as metric, case when field like '%_pct' or activity = 'CPU' then 'percent' when field = 'rx_bytes_per_sec' then 'bytes_per_sec' when field like 'kb%' then 'kilobytes' when field = 'await' then 'milliseconds' when activity = 'SWAP' then 'count_per_sec' end as unit, case when activity in ('MEMORY', 'QUEUE') or field = 'await' then 'gauge' else 'counter' end as kind, value, cast(null as varchar) as raw, cast(null as varchar) as text, cast(null as varchar) as cpu, 'ok' as quality from metrics")
 def csv_table(spark, d):
     return sinks.csv_rows(metrics(spark, d))
 
 
-@query(M + """ select host, activity, item, field, end_ust, '{"type":"sample","host":"' || host || '","boot":0,"activity":"' || activity || '","item":"' || item || '","field":"' || field || '","start":' || cast(start_ust as varchar) || ',"end":' || cast(end_ust as varchar) || ',"value":' || cast(cast(value as bigint) as varchar) || '.0,"quality":"ok"}' as line from metrics where value < 1000000""")
+@query(M + """ select host, activity, item, field, end_ust, '{"type":"sample","host":"' || host || '","boot":0,"activity":"' || activity || '","item":"' || item || '","field":"' || field || '","start":' || cast(start_ust as varchar) || ',"end":' || cast(end_ust as varchar) || ',"value":' || cast(cast(value as bigint) as varchar) || '.0,"quality":"ok"}' as line from metrics""")
 def sample_lines(spark, d):
-    return sinks.sample_lines(metrics(spark, d).where("value < 1000000"))
+    return sinks.sample_lines(metrics(spark, d))
 
 
 @query("with " + SQL_WIDE + """ select host, start_ust as ust, '{"type":"restart","host":"' || host || '","epoch":' || cast(start_ust as varchar) || ',"cpus":' || cast(t as varchar) || '}' as line from wide""")
@@ -568,10 +570,10 @@ def summary_lines(spark, d):
     return sinks.lines(metrics(spark, d).groupBy("host").agg(F.count("*").alias("points"), F.min("start_ust").alias("first_ust")), "summary", ["host"])
 
 
-@query(M + """, p as (select host, end_ust, activity, '{"activity":"' || activity || '","values":[' || string_agg('{"item":"' || item || '","field":"' || field || '","value":"' || cast(cast(value as bigint) as varchar) || '.0"}', ',' order by item, field) || ']}' as part from metrics where activity in ('CPU', 'QUEUE') group by 1, 2, 3)
+@query(M + """, p as (select host, end_ust, activity, '{"activity":"' || activity || '","values":[' || string_agg('{"item":"' || item || '","field":"' || field || '","value":"' || cast(cast(value as bigint) as varchar) || '.0"}', ',' order by item, field) || ']}' as part from metrics group by 1, 2, 3)
 select host, end_ust, '{"host":"' || host || '","timestamp":' || cast(end_ust as varchar) || ',"activities":[' || string_agg(part, ',' order by activity) || ']}' as line from p group by 1, 2""")
 def nested_sample_lines(spark, d):
-    return sinks.nested_samples(metrics(spark, d).where("activity in ('CPU', 'QUEUE')"))
+    return sinks.nested_samples(metrics(spark, d))
 
 
 @query(M + " select activity, item, field, cast(3 - (grouping(activity) + grouping(item) + grouping(field)) as integer) as level, count(*) as points, count(value) as observed, min(start_ust) as first_ust, max(end_ust) as last_ust from metrics group by rollup (activity, item, field)")
@@ -584,11 +586,10 @@ def integer_means(spark, d):
     return series.integer_mean(metrics(spark, d), "value")
 
 
-@query("with " + SQL_FILES + " select distinct nodename as host, ust, 'layout_changed' as reason from bo where decision = 'layout_changed'")
+@query("with " + SQL_FILES + " select distinct nodename as host, ust, decision as reason from bo where decision = 'layout_changed'")
 def discontinuity_marks(spark, d):
     rows = hosts.boundaries(file_samples(spark, d), carry_across_files=False)
-    points = rows.select(F.col("nodename").alias("host"), F.col("ust").alias("end_ust"), F.col("decision").alias("reason"))
-    return series.marks(points.union(points)).where("reason = 'layout_changed'")
+    return series.marks(rows.select(F.col("nodename").alias("host"), F.col("ust").alias("end_ust"), F.col("decision").alias("reason")))
 
 
 def split_metrics(spark, d):
@@ -612,3 +613,19 @@ select field as item, host, case when missing is null then round(mean, 6) end as
 def compare_hosts(spark, d):
     found = hosts.compare_hosts(split_metrics(spark, d), 21600)
     return found.withColumns({"mean": F.round("mean", 6), "missing": F.array_join("missing", ",")})
+
+
+#: Activities in the order of a report, and where hosts have samples of them but no row.
+REPORT = ["CPU", "DISK", "MEMORY", "NET_DEV", "QUEUE", "SWAP"]
+SHOWN = "not (host = 'h1' and activity in ('CPU', 'DISK', 'NET_DEV')) and not (host = 'h2' and activity = 'MEMORY') and not (host = 'h3' and start_ust % 7200 = 0 and activity = 'QUEUE')"
+
+
+@query(M + f""", counted as (select host, a as activity, list_position({REPORT!r}, a) as position, n as samples from (select host, count(*) as n from wide group by 1) cross join (select unnest({REPORT!r}) as a)),
+shown as (select host, activity, item, field, sum(value) as total, count(*) as observed from metrics where {SHOWN} group by all),
+printed as (select c.*, exists (select 1 from shown s where s.host = c.host and s.activity = c.activity) as has_rows from counted c),
+last_ as (select p.*, coalesce((select max(q.position) from printed q where q.host = p.host and q.has_rows and q.position < p.position), 0) as after from printed p where has_rows),
+denominators as (select l.host, l.activity, cast(sum(c.samples) as bigint) as denominator from last_ l join counted c on c.host = l.host and c.position > l.after and c.position <= l.position group by 1, 2)
+select host, activity, item, field, observed, denominator, total / cast(denominator as double) as average from shown join denominators using (host, activity)""")
+def carried_averages(spark, d):
+    counted = wide(spark, d).groupBy("host").agg(F.count("*").alias("samples")).select("host", "samples", F.posexplode(F.array(*(F.lit(a) for a in REPORT))).alias("position", "activity"))
+    return series.average_rows(metrics(spark, d).where(SHOWN), counted)
