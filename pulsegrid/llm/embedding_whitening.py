@@ -1,8 +1,10 @@
 """Operator 12: whitening of embeddings.
 
 Spark SQL expressions sum the centred products of all pairs of dimensions (upper triangle) in one
-aggregation, of which only the sums reach the driver. LAPACK decomposes the covariance that they make,
-and rows are projected on its eigenvectors where they are.
+aggregation, of which only the sums reach the driver. The triangle is cut into square tiles, so that the
+aggregation, grouped by tile, has one short list of generated expressions, which Spark compiles, for any
+number of dimensions. LAPACK decomposes the covariance that the sums make, and rows are projected on its
+eigenvectors where they are.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pulsegrid.llm.scratch import stored
 SCALE, SHIFT = 64, 1_000_000
 #: Whole numbers beyond this stand at it, so that no sum of products loses its place.
 FARTHEST = 1 << 52
-#: Pairs of dimensions that one aggregation sums; more dimensions take several.
-PAIRS_AT_ONCE = 8256
+#: Dimensions on a side of a tile; its square is the number of sums of the aggregation.
+TILE = 8
 #: Components whose variance is below this part of the largest can't be told from none, and are left out.
 LEAST_VARIANCE = 1e-12
 LONGEST = (1 << 63) - 1
@@ -36,21 +38,20 @@ def whole_numbers(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return usable.select("vec_id", F.transform("c", lambda c: F.floor(F.least(F.greatest(c * SCALE, F.lit(-far)), F.lit(far))).cast("long") + SHIFT).alias("x"))
 
 
-def triangle(size: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(size) for j in range(i, size)]
-
-
-def covariance(columns: list[Column], rows: DataFrame, n: int) -> np.ndarray:
-    """Covariance (divisor ``n``) of columns that are centred already: a sum of products for each pair of them."""
-    size = len(columns)
-    flat = rows.select(*(c.alias(f"d{i}") for i, c in enumerate(columns)))
-    found, pairs = np.zeros((size, size)), triangle(size)
-    for k in range(0, len(pairs), PAIRS_AT_ONCE):
-        part = pairs[k : k + PAIRS_AT_ONCE]
-        sums = flat.selectExpr(*(f"sum(d{i} * d{j})" for i, j in part)).first()
-        for (i, j), total in zip(part, sums):
-            found[i, j] = found[j, i] = total / n
-    return found
+def covariance(entries: Column, rows: DataFrame, size: int, n: int) -> np.ndarray:
+    """Covariance (divisor ``n``) of arrays of ``size`` ``entries`` that are centred already: a sum of products for each pair of dimensions."""
+    sides = -(-size // TILE)
+    tiles = [(g, h) for g in range(sides) for h in range(g, sides)]
+    flat = rows.select(entries.alias("c"), F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.lit(h).alias("h")) for g, h in tiles))).alias("tile"))
+    left = [f"coalesce(get(c, tile.g * {TILE} + {i}), 0D) as l{i}" for i in range(TILE)]
+    right = [f"coalesce(get(c, tile.h * {TILE} + {i}), 0D) as r{i}" for i in range(TILE)]
+    sums = [F.expr(f"sum(l{i} * r{j})").alias(f"s{i}_{j}") for i in range(TILE) for j in range(TILE)]
+    found = np.zeros((sides * TILE, sides * TILE))
+    for g, h, *own in flat.selectExpr("tile.g", "tile.h", *left, *right).groupBy("g", "h").agg(*sums).collect():
+        part = np.array(own).reshape(TILE, TILE) / n
+        found[g * TILE : (g + 1) * TILE, h * TILE : (h + 1) * TILE] = part
+        found[h * TILE : (h + 1) * TILE, g * TILE : (g + 1) * TILE] = part.T
+    return found[:size, :size]
 
 
 def whitened_embeddings(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", components: int = 32) -> DataFrame:
@@ -75,8 +76,9 @@ def whitened_embeddings(rows: DataFrame, id_col: str = "vec_id", vector_col: str
     sums = [int(s) for s in sums]
     # x - S/n, with the whole part of S/n taken off in whole numbers
     mean = [divmod(s, n) for s in sums]
-    centred = [(F.col("x")[i] - q).cast("double") - r / n for i, (q, r) in enumerate(mean)]
-    variance, vectors = np.linalg.eigh(covariance(centred, whole, n))
+    floors, rests = (F.array(*(F.lit(v).cast(kind) for v in own)) for own, kind in (([q for q, _ in mean], "long"), ([r / n for _, r in mean], "double")))
+    centred = F.transform("x", lambda v, i: (v - F.get(floors, i)).cast("double") - F.get(rests, i))
+    variance, vectors = np.linalg.eigh(covariance(centred, whole, size, n))
     falling = np.argsort(variance)[::-1]
     variance, vectors = variance[falling], vectors[:, falling]
     trace = float(variance.sum())
@@ -101,7 +103,7 @@ def whitened_embeddings(rows: DataFrame, id_col: str = "vec_id", vector_col: str
 
     white = stored(whole.mapInArrow(project, "vec_id long, deviation long, w array<double>"), "whitened")
     means = white.agg(F.array(*(F.avg(F.col("w")[k]) for k in range(kept))).alias("m")).first()["m"]
-    found = covariance([F.col("w")[k] - m for k, m in enumerate(means)], white, n)
+    found = covariance(F.transform("w", lambda v, i: v - F.get(F.array(*map(F.lit, means)), i)), white, kept, n)
     error = float(np.abs(found - np.eye(kept)).max())
     explained = F.array(*(F.lit(float(v) / trace) for v in variance[:kept]))
     out = white.select("vec_id", "deviation", F.posexplode("w").alias("k", "whitened"))

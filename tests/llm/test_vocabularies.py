@@ -118,10 +118,9 @@ def test_cuts_are_read_from_the_vocabularies():
 
 
 @pytest.mark.parametrize("size", [5, 40])
-def test_whitening_against_numpy(spark, size, monkeypatch):
+def test_whitening_against_numpy(spark, size):
     from pulsegrid.llm import embedding_whitening
 
-    monkeypatch.setattr(embedding_whitening, "PAIRS_AT_ONCE", 100)
     r = np.random.default_rng(size)
     vectors = r.normal(size=(300, size)) @ r.normal(size=(size, size)) + r.normal(size=size) * 5
     good = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(None, vectors[3].tolist()), (7, vectors[7].tolist())]
