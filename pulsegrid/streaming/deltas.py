@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,32 +28,37 @@ def streaming_deltas(samples: DataFrame) -> DataFrame:
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("sample_id")
-        out = []
-        for r in rows.itertuples(index=False):
-            if last is not None and r.sample_id <= last[0]:
-                continue
-            reason, elapsed, delta, wrapped = None, 0, None, False
-            if last is None:
-                reason = "first_sample"
-            elif r.segment != last[3]:
-                reason = "restart"
-            elif r.sample_id != last[0] + 1:
-                reason = "item_replaced"
-            else:
-                apart, raw, before = int(r.uptime_cs) - int(last[2]), int(r.raw), int(last[4])
-                elapsed = apart if 0 < apart < 1 << 62 else 0
-                if not elapsed:
-                    reason = "non_positive_elapsed"
-                elif raw < before and r.bits == 64:
-                    reason = "ambiguous_decrease"
-                else:
-                    delta, wrapped = Decimal((raw - before) % (1 << int(r.bits))), raw < before
-            out.append((*key, r.sample_id, last[1] if last else r.ust, r.ust, elapsed, delta, wrapped, reason))
-            last = (int(r.sample_id), int(r.ust), Decimal(int(r.uptime_cs)), int(r.segment), Decimal(int(r.raw)))
+        rows = pd.concat(list(batches)).sort_values("sample_id", kind="stable").drop_duplicates("sample_id")
         if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=columns)
+            rows = rows[rows["sample_id"] > last[0]]
+        if not len(rows):
+            return
+        fields = ("sample_id", "ust", "uptime_cs", "segment", "raw")
+        # exact whole numbers: 64-bit counters don't fit a signed array
+        now = {c: np.array([int(x) for x in rows[c]], object) for c in fields}
+        before = {c: np.append(np.array([now[c][0] if last is None else int(last[k])], object), now[c][:-1]) for k, c in enumerate(fields)}
+        bits, first = rows["bits"].to_numpy(), np.zeros(len(rows), bool)
+        first[0] = last is None
+        apart = now["uptime_cs"] - before["uptime_cs"]
+        near = (now["segment"] == before["segment"]) & (now["sample_id"] == before["sample_id"] + 1)
+        elapsed = np.where(near & (apart > 0) & (apart < 1 << 62), apart, 0)
+        back = now["raw"] < before["raw"]
+        conditions = [first, now["segment"] != before["segment"], ~near, elapsed == 0, back & (bits == 64)]
+        reason = np.select([c.astype(bool) for c in conditions], ["first_sample", "restart", "item_replaced", "non_positive_elapsed", "ambiguous_decrease"], "")
+        fine = reason == ""
+        delta = [Decimal((a - b) % (1 << int(w))) if ok else None for a, b, w, ok in zip(now["raw"], before["raw"], bits, fine)]
+        out = dict(zip(keys, key)) | {
+            "sample_id": now["sample_id"].astype(np.int64),
+            "start_ust": before["ust"].astype(np.int64),
+            "end_ust": now["ust"].astype(np.int64),
+            "elapsed_cs": elapsed.astype(np.int64),
+            "delta": delta,
+            "wrapped": (fine & back).astype(bool),
+            "reason": [r or None for r in reason],
+        }
+        end = {c: x[-1] for c, x in now.items()}
+        state.update((end["sample_id"], end["ust"], Decimal(end["uptime_cs"]), end["segment"], Decimal(end["raw"])))
+        yield pd.DataFrame(out)[columns]
 
     kinds = dict(samples.dtypes)
     schema = ", ".join([f"{c} {kinds[c]}" for c in keys] + [OUT])
