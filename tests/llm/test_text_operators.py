@@ -133,6 +133,33 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == int(r["doc_id"] % 4 != 0) for r in held]) > 0.95
 
 
+def test_weights_and_scores_are_those_of_a_dense_solve(spark):
+    from pulsegrid.llm.quality_classifier import STATISTICS, fit
+
+    r, width = np.random.default_rng(8), len(STATISTICS)
+    x = r.normal(2, 3, (700, width))
+    label = (x[:, 0] + x[:, 1] ** 2 / 4 + r.normal(size=700) > 4).astype(float)
+    calibrate = np.arange(700) % 4 == 0
+    rows = spark.createDataFrame([(a.tolist(), float(b), bool(c)) for a, b, c in zip(x, label, calibrate)], "x array<double>, label double, calibrate boolean").repartition(5)
+    model = fit(rows, features=40, bandwidth=3.0, ridge=0.5, bins=200)
+    # Gaussian kernel's waves of standardised statistics, and a constant that isn't penalised
+    mean, spread = x[~calibrate].mean(0), x[~calibrate].std(0)
+    waves = lambda v: np.column_stack([np.sqrt(2 / 40) * np.cos(np.clip((v - mean) / spread, -6, 6) @ model.directions + model.phases), np.ones(len(v))])
+    z, penalty = waves(x[~calibrate]), np.diag([0.5] * 40 + [1e-9])
+    weights = np.linalg.solve(z.T @ z + penalty, z.T @ label[~calibrate])
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    # the isotonic fit of the bins' rates, from its definition: of each bin the greatest of the least means of stretches around it
+    raw = waves(x[calibrate]) @ weights
+    bins = np.minimum((np.clip(raw, -0.5, 1.5) + 0.5) / 2 * 200, 199).astype(int)
+    own = sorted(set(bins))
+    hits, counts = (np.array([f(label[calibrate][bins == b]) for b in own], float) for f in (np.sum, len))
+    rate = lambda i, j: hits[i : j + 1].sum() / counts[i : j + 1].sum()
+    plain = np.array([max(min(rate(i, j) for j in range(k, len(own))) for i in range(k + 1)) for k in range(len(own))])
+    knots = [np.average((np.array(own)[plain == v] + 0.5) / 200 * 2 - 0.5, weights=counts[plain == v]) for v in sorted(set(plain))]
+    assert np.allclose(model.levels, sorted(set(plain))) and np.allclose(model.knots, knots)
+    assert np.allclose(model.score(x), np.clip(np.interp(waves(x) @ weights, knots, sorted(set(plain))), 0, 1), atol=1e-6)
+
+
 def test_isotonic_rises():
     from pulsegrid.llm.quality_classifier import isotonic
 
