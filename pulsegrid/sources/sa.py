@@ -102,6 +102,12 @@ def text_of(raw: bytes) -> str:
     return raw.split(b"\0", 1)[0].decode("utf-8", "replace")
 
 
+def stretches(chosen: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each stretch that is chosen, of 4096 at most."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], chosen, [False]]).astype(np.int8)))
+    return [(k, min(k + 4096, b)) for a, b in edges.reshape(-1, 2).tolist() for k in range(a, b, 4096)]
+
+
 class Whole:
     """A file that is in memory."""
 
@@ -272,6 +278,48 @@ class Decoder:
             number += kind in (STATS, LAST_STATS)
             at = base + after
 
+    def runs(self, start: int | None = None, end: int | None = None, segment: int = 0, number: int = 0) -> Iterator[tuple]:
+        """(segment, first number, ust, uptime, content of the first, stride, window) of samples of one form that follow each other.
+
+        A sample says how long one of its form is. What stands at that distance again and again is looked at in arrays:
+        heads of samples, with equal counts of items. Where it is anything else, the next record is read by itself.
+        """
+        at, size, least = self.start if start is None else start, self.source.size, WINDOW
+        end = size if end is None else min(end, size)
+        base, data = self.source.window(at, least) if at < end else (0, b"")
+        head = np.dtype([("uptime", self.order + "u8"), ("ust", self.order + "u8"), ("extra", self.order + "u4"), ("kind", "u1"), ("clock", "u1", 3)])
+        most = np.array([23, 59, 60], np.uint8)
+        while at < end:
+            place = at - base
+            try:
+                if place + self.record_size > len(data):
+                    raise struct.error("cut off")
+                kind, ust, uptime, _, content, after = self._record(data, place, base)
+            except struct.error as error:
+                if base + len(data) < size:  # the record goes on behind the window
+                    least = WINDOW if at > base else 2 * len(data)
+                    base, data = self.source.window(at, least)
+                    continue
+                if not self.lenient:
+                    raise BadFile("the last record is cut off") from error
+                return
+            segment += kind == RESTART
+            n, stride = 1, after - place
+            if kind in (STATS, LAST_STATS):
+                room = min((len(data) - place) // stride, -(-(end - at) // stride))
+                rows = np.lib.stride_tricks.as_strided(np.frombuffer(data, np.uint8)[place:], (room, stride), (stride, 1), writeable=False)
+                heads = np.ascontiguousarray(rows[:, : head.itemsize]).view(head)[:, 0]
+                same = (heads["kind"] == kind) & (heads["extra"] == 0) & (heads["clock"] <= most).all(axis=1) & (heads["ust"] < 1 << 62)
+                if content:
+                    counted = [(x[0] - 4 - place, x[1]) for x, own in zip(content, self.activities) if own[4]]
+                    for where, nr in counted:
+                        same &= np.ascontiguousarray(rows[:, where : where + 4]).view(self.order + "i4")[:, 0] == nr
+                # one with something extra behind it stands alone: its length says nothing of others
+                n = max(int(same.argmin()) if not same.all() else room, 1)
+                yield segment, number, heads["ust"][:n].astype(np.uint64), heads["uptime"][:n].astype(np.uint64), content, stride, data
+                number += n
+            at += n * stride
+
     def splits(self, size: int) -> Iterator[tuple[int, int, int, int]]:
         """(start, end, segment, number): parts of at least ``size`` bytes that begin at records."""
         start, before = self.start, (0, 0)
@@ -294,9 +342,7 @@ class Decoder:
         """
         size, (wide, longs, ints), end = layout.size, layout.types, layout.end
         raw = np.lib.stride_tricks.as_strided(np.frombuffer(data, np.uint8)[at:], (records, nr * nr2, size), (stride, size, 1), writeable=False)
-        values = np.empty((records, nr * nr2, wide + longs + ints), np.uint64)
-        values[:, :, : wide + longs] = np.ascontiguousarray(raw[:, :, : 8 * (wide + longs)]).view(self.order + "u8")
-        values[:, :, wide + longs :] = np.ascontiguousarray(raw[:, :, 8 * (wide + longs) : end]).view(self.order + "u4")
+        parts = [np.ascontiguousarray(raw[:, :, a:b]).view(self.order + kind).astype(np.uint64, copy=False) for a, b, kind in ((0, 8 * (wide + longs), "u8"), (8 * (wide + longs), end, "u4")) if a < b]
         named, text = layout.named, NAME_SIZES.get(layout.activity, 0)
         texts = raw[:, :, end : end + text] if end + text <= size else raw[:, :, end:end]
         if named == "irq" and not texts.shape[2]:
@@ -317,7 +363,7 @@ class Decoder:
             if "major" not in places or "minor" not in places:
                 items = [str(i) for i in range(nr * nr2)]
             else:
-                numbers = values[:, :, [places["major"], places["minor"]]]
+                numbers = np.concatenate(parts, axis=2)[:, :, [places["major"], places["minor"]]]
                 if records > 1 and (numbers[1:] != numbers[0]).any():
                     return None
                 items = [f"dev{a}-{b}" for a, b in numbers[0].tolist()]
@@ -328,7 +374,8 @@ class Decoder:
             if k < 0:
                 place = end + text - 1 - k
                 more = raw[:, :, place] if place < size else np.zeros(raw.shape[:2], np.uint8)
-                values = np.concatenate([values, more[:, :, None].astype(np.uint64)], axis=2)
+                parts.append(more[:, :, None].astype(np.uint64))
+        values = np.concatenate(parts, axis=2) if len(parts) > 1 else parts[0]
         columns = [k if k >= 0 else wide + longs + ints - 1 - k for _, k, _ in chosen]
         return layout.activity, items, [f[0] for f in chosen], values if columns == list(range(values.shape[2])) else values[:, :, columns], [f[2] for f in chosen]
 
@@ -339,35 +386,26 @@ class Decoder:
         Samples of one form that stand one after the other, at even distances, are decoded together.
         """
         wanted = [k for k, layout in enumerate(self.layouts) if self.wanted_fields(layout)]
-
-        def decoded(run: list[tuple], data: bytes) -> Iterator[tuple]:
-            stride = run[1][4][0][0] - run[0][4][0][0] if len(run) > 1 else 0
-            heads = [np.array([x[k] for x in run], np.uint64 if k > 1 else np.int64) for k in range(4)]
-            for k in wanted:
-                at, nr, nr2 = run[0][4][k]
-                if not nr:
-                    continue
-                found = self.items(data, at, len(run), stride, nr, nr2, self.layouts[k])
-                if found is not None:
-                    yield (*heads, *found)
-                else:  # names change
-                    for j, one in enumerate(run):
-                        yield (*(h[j : j + 1] for h in heads), *self.items(data, one[4][k][0], 1, 0, nr, nr2, self.layouts[k]))
-
-        run: list[tuple] = []
-        form, last, held = None, 0, b""
-        for kind, segment, number, ust, uptime, _, _, content, data in self.walk(*part or ()):
-            if kind not in (STATS, LAST_STATS) or not content or (records is not None and number not in records) or (times is not None and not times[0] <= ust <= times[1]):
-                continue
-            own = [x[1] for x in content]
-            at = content[0][0]
-            if run and (own != form or data is not held or len(run) >= 4096 or (len(run) > 1 and at - last != last - run[-2][4][0][0])):
-                yield from decoded(run, held)
-                run = []
-            run.append((segment, number, ust, uptime, content))
-            form, last, held = own, at, data
-        if run:
-            yield from decoded(run, held)
+        for segment, number, ust, uptime, content, stride, data in self.runs(*part or ()):
+            numbers = np.arange(number, number + len(ust))
+            chosen = np.ones(len(ust), bool)
+            if records is not None:
+                chosen &= (numbers >= records.start) & (numbers < records.stop)
+            if times is not None:
+                chosen &= (ust >= times[0]) & (ust <= times[1])
+            for first, last in stretches(chosen):
+                own = slice(first, last)
+                heads = (np.full(last - first, segment), numbers[own], ust[own], uptime[own])
+                for k in wanted:
+                    at, nr, nr2 = content[k]
+                    if not nr:
+                        continue
+                    found = self.items(data, at + first * stride, last - first, stride, nr, nr2, self.layouts[k])
+                    if found is not None:
+                        yield (*heads, *found)
+                    else:  # names change
+                        for j in range(last - first):
+                            yield (*(h[j : j + 1] for h in heads), *self.items(data, at + (first + j) * stride, 1, 0, nr, nr2, self.layouts[k]))
 
     def events(self) -> Iterator[tuple]:
         for kind, _, _, ust, _, _, _, content, _ in self.walk():
