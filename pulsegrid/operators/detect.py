@@ -225,7 +225,7 @@ def shift_windows(points: DataFrame) -> DataFrame:
     return out.withColumn("candidates", F.coalesce(candidates, F.lit(0))).withColumn("blind", F.when(F.col("width").isNotNull(), F.col("points") - F.col("candidates")).otherwise(0)).withColumn("joined", F.coalesce("joined", F.lit(0)))
 
 
-def level_shifts(points: DataFrame, least: float | None = None) -> DataFrame:
+def level_shifts(points: DataFrame, least: float | None = None, block: int | None = None) -> DataFrame:
     """Level shifts of each stretch of a series; the width of a window depends on its own interval.
 
     For each split into ``width`` points before and after that follow each other in time: the shift is the difference
@@ -237,8 +237,8 @@ def level_shifts(points: DataFrame, least: float | None = None) -> DataFrame:
 
     The least change is ``least``, or by series: ``change`` (absolute; relative to the level before; none: no shift
     is looked for), ``amount``, ``change_floor``, ``shift`` (upper, lower, both) and ``instant`` (values of a moment count at the end
-    of their interval), as in the catalog. Series are cut into blocks of splits with ``width`` points more at both
-    ends, so no task holds a whole series.
+    of their interval), as in the catalog. Series are cut into blocks of splits (``block``, or by the
+    width) with ``width`` points more at both ends, so no task holds a whole series.
     """
     keys = parts_of(points)
     if least is not None:
@@ -247,7 +247,7 @@ def level_shifts(points: DataFrame, least: float | None = None) -> DataFrame:
     known = points.where(F.col("value").isNotNull() & (F.col("change") != "none")).select(*keys, "start_ust", "end_ust", "value", *own)
     order = Window.partitionBy(*keys).orderBy("end_ust")
     rows = known.join(shift_width(known), keys).withColumn("n", F.row_number().over(order) - 1)
-    size = F.greatest(F.lit(SHIFT_SPLITS), F.floor(F.lit(SHIFT_VALUES) / F.col("width")))
+    size = F.lit(block) if block else F.greatest(F.lit(SHIFT_SPLITS), F.floor(F.lit(SHIFT_VALUES) / F.col("width")))
     number = lambda c: F.floor(F.greatest(c, F.lit(0)) / F.col("size"))
     rows = rows.withColumn("size", size).withColumn("block", F.explode(F.sequence(number(F.col("n") - F.col("width")), number(F.col("n") + F.col("width")))))
 
