@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet to the
 shared folder and rereads as the next stage's docs. All but the last return the columns of documents.
 
+All stages take texts whole, very long ones as one row of one task, keep all columns, clashing names too, and turn an
+empty table into an empty one. Rows that repeat are rows of their own but where a stage says otherwise.
+
 A stage keeps intermediate tables in the shared folder, which its result reads. They are deleted when
 the next stage is called, so a result must be written before that.
 """
@@ -48,13 +51,21 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 @staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; cutoffs come from the labels of the documents given."""
+    """Documents that the rules reject go; cutoffs come from the labels of the documents given.
+
+    Null and empty texts have too few words and go. Rows with a null id have no label and are judged like others; of
+    repeated rows all stay or go together. A document at a cutoff stays.
+    """
     return keep_good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 @staged
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat earlier ones go; so do documents of which no word is left."""
+    """Lines that repeat earlier ones go; so do documents of which no word is left, null and empty texts among them.
+
+    The order of documents is that of ids, null ones last; repeated rows are documents of their own, of which the first
+    keeps its lines. Of lines that are equally alike the first stays.
+    """
     left = remove_repeated_lines(docs).where(F.translate("text", " \t\n\x0b\x0c\r", "") != "")
     return with_length(left).select(*docs.columns)
 
@@ -77,13 +88,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @staged
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; no document goes."""
+    """Secrets are masked; no document goes. Null and empty texts stay as they are, and each of repeated rows is masked."""
     return with_length(mask_secrets(docs)).select(*docs.columns)
 
 
 @staged
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of the packed sequences."""
+    """A row per piece of the packed sequences. A null or empty text is the end id alone; rows with a null or repeated id are packed like others."""
     return pack_documents(docs, vocabulary("word_bpe_49k.json"), keep_words=False)
 
 

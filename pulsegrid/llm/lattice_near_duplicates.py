@@ -91,8 +91,10 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, tables: int
 
     Only vectors of equal, non-null label and equal length are compared. Null or zero vectors and those
     with null or non-finite components link with nothing. Repeated rows count as vectors of their own.
-    Very long vectors are compared whole; other columns are left out. An empty table gives no rows. Every pair that is reported has a cosine of ``least`` or more; the
-    share of such pairs that is found depends on the other parameters (see the README).
+    Very long vectors are compared whole; other columns are left out. An empty table gives no rows. A row with a null
+    vec_id gets one with nulls and no links. A pair at ``least`` itself links; equal vectors link each with all others and
+    stand under their smallest id. Every pair that is reported has a cosine of ``least`` or more; the share of such
+    pairs that is found depends on the other parameters (see the README).
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is above infinity

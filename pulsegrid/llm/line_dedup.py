@@ -493,6 +493,12 @@ def remove_repeated_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc
 
 
 def with_removed(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, **options) -> DataFrame:
+    """``docs`` with the text that is left, ``__doc`` (its place in the order of documents) and ``__removed`` (numbers of the lines that went, or null).
+
+    Null and empty texts, and those without a word, stay as they are. Of equal rows each is judged as a document of
+    its own; rows with a null id come last. Of lines that are equally alike the first stays. Very long texts
+    are rows of one task. An empty table stays empty. Columns named __doc, __row and __removed are taken for this and replaced.
+    """
     rows = with_rows(docs, id_col, text_col)
     found = repeated_lines(rows.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text")), percent, least_words, **options)
     found = found.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("lines").alias("__removed"))

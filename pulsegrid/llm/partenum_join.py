@@ -376,7 +376,8 @@ def near_duplicate_components(docs: DataFrame, words: int = 4, percent: int = 85
     Documents link when the Jaccard similarity of their sets of ``words``-word shingles (A-Z
     lower-cased) is at least ``percent``; none is lost and none is below. Null and empty texts have an
     empty set and link with nothing. Repeated rows each get a row; rows with a null id take part and,
-    unlinked, keep a null component. Other columns are left out. An empty table gives no rows.
+    unlinked, keep a null component. Other columns are left out. An empty table gives no rows. A very long text is one row
+    of one task, and its whole set is compared. A pair at ``percent`` itself links.
     """
     spark = docs.sparkSession
     scheme = PartEnum(percent)

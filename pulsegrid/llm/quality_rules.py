@@ -196,7 +196,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, settings: RuleSettings
     Null and empty texts have no words and fail. Documents with a null id or language are judged with
     the stratum of other languages; repeated rows each get a row. Empty tables: without labels there
     are no cutoffs, and only the base rules decide. Statistics are written once to the shared folder
-    (a row of counts for each document); both the choice and the verdicts read them there.
+    (a row of counts for each document); both the choice and the verdicts read them there. A very long text is judged
+    whole, as one row of one task. A document at a cutoff is kept: only what lies beyond it is rejected. Other columns,
+    whatever their names, are left out.
     """
     from pulsegrid.llm.scratch import stored
 

@@ -93,7 +93,8 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: an array of (start, kind, stop), code points, stop exclusive, sorted.
 
     A null or empty text has an empty array. All other columns stay; ``secrets`` replaces a column of
-    that name. Repeated rows each get their own spans. No shuffle; a text is one row of one task.
+    that name. Repeated rows each get their own spans. No shuffle; a very long text is scanned whole, as one row of one
+    task. An empty table stays empty. Of spans that begin together the kind that is listed first comes first.
     """
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("stop", pa.int32())]))
 
