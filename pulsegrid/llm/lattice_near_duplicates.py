@@ -100,8 +100,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, tables: int
     finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is above infinity
     sound = F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull())
-    alike = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("class"), F.count("*").alias("n"))
-    alike = stored(alike, "classes")
+    alike = rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n"))
+    # ids may repeat with other vectors: a class of equal vectors has a number of its own
+    alike = stored(alike.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +149,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, tables: int
     linked = both.groupBy("class").agg(F.sum("n").alias("others"))
     joined = connected_components(links.select("a", "b")).withColumnRenamed("node", "class")
     found = alike.join(linked, "class", "left").join(joined, "class", "left")
-    found = found.select("label", "v", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
+    found = found.withColumn("component", F.coalesce("component", "class"))
+    least_of = found.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    found = found.join(least_of, "component").select("label", "v", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     out = rows.where("sound").join(found, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -475,6 +475,21 @@ def test_near_copies_of_rows_without_a_name(spark):
 # --- secrets
 
 
+def test_secrets_of_odd_rows(spark):
+    from pulsegrid.llm.secret_scan import secret_digest, secret_spans
+
+    key = "AKIA" + "ABCDEFGH12345678"
+    long = "word " * 30_000 + key + " " + "x" * 200_000 + " password = hunter22"
+    rows = spark.createDataFrame([(1, key, "a"), (1, key, "a"), (None, key, "b"), (2, None, "c"), (3, "", "d"), (4, long, "e")], "doc_id long, text string, secrets string")
+    found = secret_spans(rows)
+    assert found.columns == ["doc_id", "text", "secrets"] and found.count() == 6
+    spans = {(r["doc_id"], len(r["text"] or "")): [(x["start"], x["kind"], x["stop"]) for x in r["secrets"]] for r in found.collect()}
+    assert spans[1, 20] == spans[None, 20] == [(0, "access", 20)] and spans[2, 0] == spans[3, 0] == []
+    assert (150_000, "access", 150_020) in spans[4, len(long)] and any(k == "assign" and e == len(long) for _, k, e in spans[4, len(long)])
+    assert sorted((r["doc_id"] or 0, r["n_access"]) for r in secret_digest(found).collect()) == [(0, 1), (1, 1), (1, 1), (2, 0), (3, 0), (4, 1)]
+    assert secret_spans(rows.limit(0)).count() == 0
+
+
 def test_secrets(spark):
     from pulsegrid.llm.secret_scan import base62_crc_holds, find_secrets, mask_secrets, secret_digest, secret_spans
 

@@ -45,6 +45,15 @@ def test_near_duplicate_vectors(spark):
     assert near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_without_an_id_and_with_the_same(spark):
+    from pulsegrid.llm.lattice_near_duplicates import near_duplicate_vectors
+
+    one, other = [1.0] * 16, [1.0] * 15 + [1.1]
+    rows = spark.createDataFrame([(1, one, 0, "k"), (1, other, 0, "k"), (None, one, 0, "k"), (2, one, 0, "k"), (3, [-x for x in one], 0, "k")], "vec_id long, embedding array<double>, label int, class string")
+    found = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_duplicate_vectors(rows).collect()), key=repr)
+    assert found == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, 0, None, True)]
+
+
 @pytest.mark.parametrize("size", [16, 64, 384])
 def test_pairs_at_the_threshold_are_found(size):
     from pulsegrid.llm.lattice_near_duplicates import cells, most_differing_bits, sketches
