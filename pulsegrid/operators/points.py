@@ -155,9 +155,10 @@ def columns(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("field", field).where(~((F.col("activity").isin("DISK", "SERIAL")) & F.col("field").isin(counters.IDENTITIES)))
     item = F.when((F.col("activity") == "IRQ") & ~F.col("item").contains("/"), F.lit("sum")).otherwise(F.col("item"))
     found = counters.column_value(F.col("activity"), F.col("field"), item, F.col("x.now"), F.col("x.before"), F.col("x.bits"), F.col("elapsed_cs"), F.col("broken"))
+    rows = rows.withColumn("found", found)
     sensor = F.col("activity").isin(FLOATING) & ~F.col("x.made")
-    value = F.when(F.col("x.made"), F.col("x.value")).when(sensor & ~replaced, floating(F.col("x.now"))).when(~sensor, found["value"])
-    reason = F.when(F.col("x.made"), F.coalesce("x.issue", F.when(F.col("x.value").isNull(), "missing_in_sample"))).when(~sensor | replaced, found["reason"])
+    value = F.when(F.col("x.made"), F.col("x.value")).when(sensor & ~replaced, floating(F.col("x.now"))).when(~sensor, F.col("found.value"))
+    reason = F.when(F.col("x.made"), F.coalesce("x.issue", F.when(F.col("x.value").isNull(), "missing_in_sample"))).when(~sensor | replaced, F.col("found.reason"))
     return rows.withColumns({"value": value, "reason": reason}).select(*POINTS)
 
 
