@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,8 +60,23 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes in memory from which a worker gives back what it has freed; below, taking it again costs more than it holds.
+TRIMMED_ABOVE = 350 << 20
+
+
+def in_memory() -> int:
+    """Bytes of this process in memory; 0 where the system doesn't tell."""
+    try:
+        with open("/proc/self/statm") as sizes:
+            return int(sizes.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    except OSError:
+        return 0
+
+
 def give_back() -> None:
-    """Returns what this Python worker has freed to the machine: allocators keep it, and idle workers stay."""
+    """Returns what a large Python worker has freed to the machine: allocators keep it, and idle workers stay."""
+    if in_memory() < TRIMMED_ABOVE:
+        return
     import ctypes
 
     import pyarrow as pa
