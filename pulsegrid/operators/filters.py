@@ -57,7 +57,7 @@ def compat_time_filter(samples: DataFrame, start_s: int, end_s: int, cross_day:
 
 
 def _rounded_seconds(hundredths: Column) -> Column:
-    f = F.pmod(hundredths, F.lit(1 << 32)).cast("double") / 100.0
+    f = hundredths.cast("double") / 100.0
     whole = F.floor(f)
     return whole + F.when(f * 10.0 - whole.cast("double") * 10.0 >= 5.0, 1).otherwise(0)
 
@@ -67,22 +67,26 @@ def _int(x: Column) -> Column:
     return F.pmod(x + (1 << 31), F.lit(1 << 32)) - (1 << 31)
 
 
-def thinned(samples: DataFrame, interval_s: int) -> DataFrame:
+def thinned(samples: DataFrame, interval_s: int, wraps: bool = True) -> DataFrame:
     """Samples of each segment near a multiple of the interval: one that lies within half the file's own interval.
 
-    Times count from the segment's first sample, which is left out, and are rounded to seconds; bounds are
-    compared as 32-bit signed numbers. An interval of 1 keeps all.
+    Times count from the segment's first sample, which is left out, and are rounded to seconds. ``wraps``: differences
+    are taken modulo 2^32 and bounds compared as 32-bit signed numbers, as files' own tools do, so a sample whose uptime
+    went back counts as a very long interval. Else both are whole numbers, and near such a sample no multiple lies.
+    An interval of 1 keeps all.
     """
     keys = [*series_of(samples), "segment"]
     order = Window.partitionBy(*keys).orderBy("sample_id")
     rows = samples.withColumns({"__ref": F.first("uptime_cs").over(order), "__last": F.lag("uptime_cs").over(order)}).where("__last is not null")
     if interval_s == 1:
         return rows.drop("__ref", "__last")
-    rows = rows.withColumns({"__step": _rounded_seconds(F.col("uptime_cs") - F.col("__last")), "__at": _rounded_seconds(F.col("uptime_cs") - F.col("__ref"))})
-    low = _int(F.col("__at") - F.floor(F.col("__step") / 2))
-    high = _int(F.col("__at") + F.floor(F.col("__step") / 2) + F.col("__step") % 2)
-    one = F.floor(F.col("__at") / interval_s) * interval_s
-    near = lambda x: (_int(x) >= low) & (_int(x) < high)
+    since = lambda c: F.pmod(F.col("uptime_cs") - F.col(c), F.lit(1 << 32)) if wraps else F.col("uptime_cs") - F.col(c)
+    bound = _int if wraps else lambda x: x
+    rows = rows.withColumns({"__step": _rounded_seconds(since("__last")), "__at": _rounded_seconds(since("__ref"))})
+    low = bound(F.expr("__at - __step div 2"))
+    high = bound(F.expr("__at + __step div 2 + __step % 2"))
+    one = F.expr(f"__at div {interval_s} * {interval_s}")
+    near = lambda x: (bound(x) >= low) & (bound(x) < high)
     return rows.where(near(one) | near(one + interval_s)).drop("__ref", "__last", "__step", "__at")
 
 

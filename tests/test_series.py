@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import counters as fn
-from pulsegrid.operators import detect, series
+from pulsegrid.operators import detect, filters, series
 from pulsegrid.sources import sinks
 from pulsegrid.streaming.deltas import streaming_deltas
 
@@ -127,6 +127,25 @@ def test_episodes_end_at_gap_or_span(spark):
     assert [r["episode"] for r in found] == [1, 1, 1, 2, 3]
 
 
+def test_thinning_where_uptime_goes_back(spark):
+    """Whole differences leave the sample out whose uptime went back; those of 32 bits take it as of a very long interval."""
+    uptimes = [100000, 160000, 220000, 200000, 1 << 32, (1 << 32) + 300000, 80000, 99000]
+    rows = spark.createDataFrame([("h", 0, i, cs) for i, cs in enumerate(uptimes)], "host string, segment long, sample_id long, uptime_cs long")
+    own = lambda wraps: sorted(r["sample_id"] for r in filters.thinned(rows, 1200, wraps).collect())
+
+    def reference(k):  # as the files' own tools count
+        seconds = lambda cs: (cs + 50) // 100
+        as_int = lambda x: (x + (1 << 31)) % (1 << 32) - (1 << 31)
+        step, at = (seconds((uptimes[k] - uptimes[j]) % (1 << 32)) for j in (k - 1, 0))
+        low, high = as_int(at - step // 2), as_int(at + step // 2 + step % 2)
+        return any(low <= as_int(at // 1200 * 1200 + more) < high for more in (0, 1200))
+
+    assert own(True) == [k for k in range(1, len(uptimes)) if reference(k)]
+    # 7 is before the first sample and near it
+    assert own(False) == [2, 4, 5, 7]
+    assert 3 in own(True) and 6 in own(True)
+
+
 def test_percentile_is_exact_and_refuses_large_series(spark):
     rows = points(spark, [float(i) for i in range(1, 101)]).withColumn("one", F.lit(1))
     assert series.weighted_percentile(rows, 0.95, "one").first()["percentile"] == 95.0
