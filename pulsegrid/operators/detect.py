@@ -116,6 +116,10 @@ def marks_of_stretches(spans: DataFrame, marks: DataFrame) -> DataFrame:
     return days.join(marks.withColumn("day", day("ust")), ["host", "day"]).where("ust > lo and ust <= hi").drop("day", "lo", "hi")
 
 
+#: Detections that one call folds, besides the rest of the last one's stretch.
+FOLDED = 10_000
+
+
 def episodes(found: DataFrame, gap_s: int, span_cap_s: int, marks: DataFrame | None = None) -> DataFrame:
     """Groups detections of a host by onset. A new episode begins where the next onset is later than ``gap_s`` after
 
@@ -123,44 +127,54 @@ def episodes(found: DataFrame, gap_s: int, span_cap_s: int, marks: DataFrame | N
     onset and not after the end of what it would cover. ``marks`` have host and ust; those that name a series (any of
     activity, item, field not null) stand in the way only of episodes that hold it, or would then; others of all.
     Stretches without a gap are told by a window over the host's detections; as cap, marks and series depend on where an
-    episode began, each stretch is folded in order, with the marks of its time. ``episode`` counts within the host.
+    episode began, each stretch is folded in order, with the marks of its time. Stretches are short and many, so whole
+    blocks of them go through one call. ``episode`` counts within the host.
     """
     keys = series_of(found)
     rest = [c for c in keys if c != "host"]
     order = Window.partitionBy("host").orderBy("start_ust", "end_ust", *rest)
     rows = found.select(*keys, "start_ust", "end_ust").distinct()
     cut = F.coalesce(F.col("start_ust") - F.lag("start_ust").over(order) > gap_s, F.lit(True))
-    rows = rows.withColumn("stretch", F.sum(cut.cast("long")).over(order))
+    rows = rows.withColumns({"cut": cut, "n": F.row_number().over(order)})
+    begun = F.max(F.when(F.col("cut"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("stretch", begun.cast("long")).withColumn("block", F.floor(F.col("stretch") / FOLDED)).drop("cut")
     kinds = dict(rows.dtypes)
     if marks is None:
         marks = found.sparkSession.createDataFrame([], "host string, ust long")
     marks = marks.select("host", "ust", *(F.col(c) if c in marks.columns else F.lit(None).cast("string").alias(c) for c in rest))
-    spans = rows.groupBy("host", "stretch").agg(F.min("start_ust").alias("lo"), F.max("end_ust").alias("hi"))
-    own_marks = marks_of_stretches(spans, marks).select(F.col("host").alias("m_host"), F.col("stretch").alias("m_stretch"), "ust", *(F.col(c).alias(f"m_{c}") for c in rest))
+    spans = rows.groupBy("host", "block", "stretch").agg(F.min("start_ust").alias("lo"), F.max("end_ust").alias("hi"))
+    own_marks = marks_of_stretches(spans, marks).select(F.col("host").alias("m_host"), F.col("block").alias("m_block"), F.col("stretch").alias("m_stretch"), "ust", *(F.col(c).alias(f"m_{c}") for c in rest))
 
     def fold(part: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["start_ust", "end_ust", *rest]).reset_index(drop=True)
-        marks = marks.sort_values("ust")
-        times = marks["ust"].tolist()
-        # what a mark names of a series; nothing: every series
-        named = [{k: v for k, v in zip(rest, m) if v is not None and v == v} for m in zip(*(marks[f"m_{c}"].tolist() for c in rest))] if rest else [{}] * len(times)
-        first, covered, held, fresh = None, 0, [], []
-        for series, at, end in zip(zip(*(part[c].tolist() for c in rest)) if rest else [()] * len(part), part["start_ust"].tolist(), part["end_ust"].tolist()):
-            series = dict(zip(rest, series))
-            joins = first is not None and at - first <= span_cap_s
+        part = part.sort_values("n").reset_index(drop=True)
+        marks = marks.sort_values(["m_stretch", "ust"])
+        times, of = marks["ust"].tolist(), marks["m_stretch"].to_numpy()
+        # what a mark names of a series, by place; nothing: every series
+        named = [tuple((k, v) for k, v in enumerate(m) if v is not None and v == v) for m in zip(*(marks[f"m_{c}"].tolist() for c in rest))] if rest else [()] * len(times)
+        meets = lambda names, series: any(all(series[k] == v for k, v in mark) for mark in names)
+        each = list(zip(*(part[c].tolist() for c in rest))) if rest else [()] * len(part)
+        stretch, fresh = part["stretch"].to_numpy(), []
+        lows, highs = np.searchsorted(of, stretch, "left").tolist(), np.searchsorted(of, stretch, "right").tolist()
+        first, now = 0, None
+        for series, own, low, high, at, end in zip(each, stretch.tolist(), lows, highs, part["start_ust"].tolist(), part["end_ust"].tolist()):
+            joins = own == now and at - first <= span_cap_s
+            if joins:
+                # marks up to ``looked`` are known not to meet what the episode holds
+                until = bisect_right(times, max(covered, end), looked, high)
+                new = set(named[looked:until])
+                joins = not (any(meets(new, s) for s in held) or meets(new, series) or (series not in held and meets(passed, series)))
             if joins:
-                between = named[bisect_right(times, first) : bisect_right(times, max(covered, end))]
-                joins = not any(all(s[k] == v for k, v in mark.items()) for mark in between for s in (*held, series))
-            if not joins:
-                first, covered, held = at, end, []
-            covered = max(covered, end)
-            if series not in held:
-                held.append(series)
+                covered, looked = max(covered, end), until
+                passed |= new
+                held.add(series)
+            else:
+                now, first, covered, held, passed = own, at, end, {series}, set()
+                looked = bisect_right(times, at, low, high)
             fresh.append(not joins)
         return part[[*keys, "start_ust", "end_ust"]].assign(fresh=fresh)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", start_ust long, end_ust long, fresh boolean"
-    folded = rows.groupBy("host", "stretch").cogroup(own_marks.groupBy("m_host", "m_stretch")).applyInPandas(fold, schema)
+    folded = rows.groupBy("host", "block").cogroup(own_marks.groupBy("m_host", "m_block")).applyInPandas(fold, schema)
     return folded.withColumn("episode", F.sum(F.col("fresh").cast("long")).over(order)).drop("fresh")
 
 
