@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.partenum_join import BLOCK, compare_families, dealt_in_parts, folded, is_similar, parity_bits, set_class, shared_counts
+from pulsegrid.llm.partenum_join import BLOCK, compare_families, dealt_in_parts, folded, is_similar, shared_counts
 from pulsegrid.llm.row_keys import with_rows
 from pulsegrid.llm.scratch import stored, trimmed
 from pulsegrid.llm.substring_dedup import as_batch, split
@@ -47,6 +48,8 @@ FAMILY = 4000
 LARGE_GROUP = 4000
 #: Level of a word that the corpus has once.
 ONCE = 2
+#: Pairs of classes, and cells of wide patterns, that are looked at in one step.
+PAIRS, PARITY_CELLS = 1 << 16, 1 << 20
 
 
 def count_words(texts: DataFrame) -> np.ndarray:
@@ -334,28 +337,66 @@ def groups_of_parts(percent: int):
     return found
 
 
+def whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one or more whole parts (group, part) at once, from rows sorted by both."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        group, part = batch.column("group").to_numpy(), batch.column("part").to_numpy()
+        starts = np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1])) + 1
+        if held and (held[-1].column("group")[-1].as_py() != group[0] or held[-1].column("part")[-1].as_py() != part[0]):
+            starts = np.append(0, starts)
+        if len(starts):
+            last = int(starts[-1])
+            before = [*held, batch.slice(0, last)] if last else held
+            yield pa.Table.from_batches(before)
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def possible_with_earlier(percent: int):
-    """Of rows sorted by group, part and place: classes not done that wide patterns let be similar to an earlier one, and those earlier ones."""
+    """Of rows sorted by group, part and place: classes not done that wide patterns let be similar to an earlier one, and those earlier ones.
+
+    Pairs of many parts are looked at together, ``PAIRS`` at a time.
+    """
 
     def found(rows: pa.Table) -> pa.Table:
-        done, sizes, needed = rows.column("done").to_numpy(), rows.column("size").to_numpy(), np.zeros(len(rows), bool)
-        bits = [np.frombuffer(x, np.uint64) for x in rows.column("bits").to_pylist()]
-        width = np.array([len(x) for x in bits])
-        stacks = {w: (np.flatnonzero(width == w), np.stack([x for x in bits if len(x) == w])) for w in np.unique(width).tolist()}
-        for i in np.flatnonzero(~done).tolist():
-            for w, (places, patterns) in stacks.items():
-                n = int(np.searchsorted(places, i))
-                least = min(w, int(width[i]))
-                differ = np.bitwise_count(folded(patterns[:n], least) ^ folded(bits[i], least)).sum(axis=1, dtype=np.int64)
-                own = places[:n]
-                near = own[np.maximum(differ, np.abs(sizes[own] - sizes[i])) * (100 + percent) <= (sizes[own] + sizes[i]) * (100 - percent)]
-                if len(near):
-                    needed[i] = True
-                    needed[near] = True
+        group, part, done, sizes = (rows.column(c).to_numpy() for c in ("group", "part", "done", "size"))
+        bits = rows.column("bits").to_pylist()
+        width, needed = np.array([len(x) >> 3 for x in bits]), np.zeros(len(rows), bool)
+        # for each width the rows of that width or a wider one, folded to it
+        patterns, places = {}, {}
+        for w in np.unique(width).tolist():
+            patterns[w] = np.empty(((width >= w).sum(), w), np.uint64)
+            places[w] = np.cumsum(width >= w) - 1
+            for wider in np.unique(width[width >= w]).tolist():
+                own = np.flatnonzero(width == wider)
+                patterns[w][places[w][own]] = folded(np.frombuffer(b"".join([bits[i] for i in own.tolist()]), np.uint64).reshape(len(own), wider), w)
+        begins = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
+        begin = np.repeat(begins, np.diff(np.append(begins, len(rows))))
+        late = np.flatnonzero(~done)
+        run = np.cumsum(late - begin[late])
+        cuts = np.flatnonzero(run[1:] // PAIRS != run[:-1] // PAIRS) + 1
+        for own in np.split(late, cuts):
+            count = own - begin[own]
+            a = np.repeat(own, count)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count - begin[own], count)
+            both = sizes[a] + sizes[b]
+            near = np.abs(sizes[a] - sizes[b]) * (100 + percent) <= both * (100 - percent)
+            a, b, both = a[near], b[near], both[near]
+            least = np.minimum(width[a], width[b])
+            for w, of in patterns.items():
+                at = np.flatnonzero(least == w)
+                differ = np.bitwise_count(of[places[w][a[at]]] ^ of[places[w][b[at]]]).sum(axis=1, dtype=np.int64)
+                at = at[differ * (100 + percent) <= both[at] * (100 - percent)]
+                needed[a[at]] = needed[b[at]] = True
         return rows.filter(pa.array(needed)).select(["group", "part", "at", "class", "done"])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in parts_in_order(batches):
+        for rows in whole_parts(batches):
             yield from found(rows).combine_chunks().to_batches()
 
     return possible
@@ -449,30 +490,59 @@ def repeated_lines(rows: DataFrame, percent: int, least_words: int = 1, large: i
     return repeated.groupBy("doc", "row").agg(F.collect_list("line").alias("lines"))
 
 
+def parity_bits_of(rank: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """``parity_bits`` of many lines at once."""
+    out: list[bytes] = [b""] * len(heads)
+    if not len(heads):
+        return out
+    hashes = mix(rank ^ WEIGHTS[6])
+    power = np.maximum(np.frexp((4 * sizes - 1).astype(np.float64))[1], 8)
+    for k in np.unique(power).tolist():
+        lines, width = np.flatnonzero(power == k), 1 << k
+        each = max(1, PARITY_CELLS >> k)
+        for own in (lines[i : i + each] for i in range(0, len(lines), each)):
+            n = sizes[own]
+            owner = np.repeat(np.arange(len(own)), n)
+            word = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n - heads[own], n)
+            cell = owner * width + (hashes[word] & np.uint64(width - 1)).astype(np.int64)
+            odd = (np.bincount(cell, minlength=len(own) * width) & 1).astype(bool)
+            data, size = np.packbits(odd, bitorder="little").tobytes(), width >> 3
+            for j, i in enumerate(own.tolist()):
+                out[i] = data[j * size : (j + 1) * size]
+    return out
+
+
 def sets_of_lines(levels):
     """Words, wide pattern and size of the lines that are wanted of each text, from rows (doc, row, text, wanted)."""
-    place = pa.list_(pa.struct([("family", pa.int64()), ("part", pa.int32())]))
-    kinds = {"class": pa.int64(), "doc": pa.int64(), "row": pa.int64(), "line": pa.int64(), "places": place, "features": pa.binary(), "bits": pa.binary(), "size": pa.int64()}
+    names = ["class", "doc", "row", "line", "places", "features", "bits", "size"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked, texts = [], []
-            for doc, row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text", "wanted"))):
-                lines = text.split("\n")
-                for w in wanted:
-                    asked.append((doc, row, w))
-                    texts.append(lines[w["line"]])
-            texts, out = pa.array(texts, pa.string()), []
+            wanted = batch.column("wanted")
+            places, of = wanted.flatten(), pc.list_parent_indices(wanted)
+            numbers, classes, places = (places.field(c) for c in ("line", "class", "places"))
+            asked, texts, lines, last = classes.to_numpy(), [], [], None
+            whole = batch.column("text").to_pylist()
+            for text, number in zip(of.to_pylist(), numbers.to_pylist()):
+                if text != last:
+                    lines, last = whole[text].split("\n"), text
+                texts.append(lines[number])
+            texts = pa.array(texts, pa.string())
+            found, features, bits, counts = [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int64)]
             for k, n in pieces(texts):
                 line, rank, _ = line_tokens(texts.slice(k, n), levels.value)
                 number, heads, sizes = lines_with_sizes(line)
-                for i, a, size in zip(number.tolist(), heads.tolist(), sizes.tolist()):
-                    doc, row, w = asked[k + i]
-                    features = rank[a : a + size]
-                    if set_class(features) == w["class"]:
-                        out.append((w["class"], doc, row, w["line"], w["places"], features.tobytes(), parity_bits(features), size))
-            columns = [list(x) for x in zip(*out)] or [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds.values())], list(kinds))
+                meant = classes_of(rank, heads, sizes) == asked[k + number]
+                number, heads, sizes = number[meant], heads[meant], sizes[meant]
+                data = rank.tobytes()
+                features += [data[8 * a : 8 * b] for a, b in zip(heads.tolist(), (heads + sizes).tolist())]
+                bits += parity_bits_of(rank, heads, sizes)
+                found.append(k + number)
+                counts.append(sizes)
+            at = pa.array(np.concatenate(found))
+            of = of.take(at)
+            columns = [classes.take(at), batch.column("doc").take(of), batch.column("row").take(of), numbers.take(at), places.take(at), pa.array(features, pa.binary()), pa.array(bits, pa.binary()), pa.array(np.concatenate(counts))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return sets
 

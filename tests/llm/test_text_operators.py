@@ -706,3 +706,51 @@ def test_lines_of_families(spark, options):
     found = removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **options)
     expected = plain_lines(rows, least=options.get("least_words", 1))
     assert found == sorted((i, n, sha(t)) for i, (n, t) in expected.items())
+
+
+def test_wide_patterns_of_many_lines():
+    from pulsegrid.llm import line_dedup
+    from pulsegrid.llm.partenum_join import parity_bits
+
+    rng = np.random.default_rng(3)
+    sizes = np.append(rng.integers(1, 40, 300), [63, 64, 65, 200, 5000, 1])
+    rank = rng.integers(0, 1 << 63, sizes.sum() + 20).astype(np.uint64)
+    heads = np.cumsum(sizes) - sizes + np.arange(len(sizes)) // 20  # some words between lines
+    assert line_dedup.parity_bits_of(rank, heads, sizes) == [parity_bits(rank[a : a + n]) for a, n in zip(heads, sizes)]
+    none = np.zeros(0, np.int64)
+    assert line_dedup.parity_bits_of(rank[:0], none, none) == []
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 16])
+def test_pairs_of_many_parts_are_looked_at_together(monkeypatch, pairs):
+    """As many rows as before and fewer steps: a step for each row made this the dearest stage of op6_line_dedup."""
+    import pyarrow as pa
+
+    from pulsegrid.llm import line_dedup
+    from pulsegrid.llm.partenum_join import folded, parity_bits
+
+    rng = np.random.default_rng(11)
+    words = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    rows = []
+    for group in range(120):
+        for part in range(int(rng.integers(1, 3))):
+            family = rng.permutation(400)[: rng.choice([5, 12, 30, 80])]
+            for at in range(int(rng.choice([1, 2, 5, 40]))):
+                own = words[np.unique(np.append(family[rng.random(len(family)) < 0.85], rng.integers(0, 400, 2)))]
+                rows.append({"group": group, "part": part, "at": at, "class": len(rows), "done": bool(rng.random() < 0.4), "bits": parity_bits(own), "size": len(own)})
+    expected = set()
+    for i, a in enumerate(rows):
+        for b in rows[max(0, i - 40) : i]:
+            if (a["group"], a["part"]) == (b["group"], b["part"]) and not a["done"]:
+                x, y = (np.frombuffer(r["bits"], np.uint64) for r in (a, b))
+                differ = int(np.bitwise_count(folded(x, min(len(x), len(y))) ^ folded(y, min(len(x), len(y)))).sum())
+                if max(differ, abs(a["size"] - b["size"])) * 180 <= (a["size"] + b["size"]) * 20:
+                    expected |= {a["class"], b["class"]}
+    calls = []
+    monkeypatch.setattr(line_dedup, "folded", lambda *a: calls.append(1) or folded(*a))
+    monkeypatch.setattr(line_dedup, "PAIRS", pairs, raising=False)
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=97)
+    found = [c for batch in line_dedup.possible_with_earlier(80)(iter(batches)) for c in batch.column("class").to_pylist()]
+    assert found == sorted(expected) and len(expected) > 20
+    assert len(calls) < len(rows) / 4
+    assert list(line_dedup.possible_with_earlier(80)(iter([]))) == []
